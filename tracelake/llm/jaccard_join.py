@@ -13,10 +13,10 @@ intersection is at least ``percent`` % of the union.
    n - a + c. Small (light) sets enumerate all subsets of c = 2 of these; large (heavy) sets scan the
    inverted lists of single shingles (c = 1), and so do small sets that can be partners of a large
    one. The boundary is the size at which the summed cost of both is least (``boundary``).
-4. Sets under one key form a list. Round by round, each list compares its smallest set with the
-   others that are not yet in its component; long lists shrink by what has joined and by the set
-   compared. A list whose sets are all in one component is done. So a list costs about its length
-   where its sets are copies, and no pair of a list in different components stays uncompared.
+4. Sets under one key form a list. Round by round, each list compares some of its sets (pivots) with
+   the others that are not yet in their component; the pivots then leave the list. A list whose sets
+   are all in one component is done. So a list costs about its length where its sets are copies, and
+   no pair of a list in different components stays uncompared. Pivots grow eightfold by the round.
 
 Candidates are verified on the whole sets (64-bit shingle hashes; two different shingles of a
 corpus fall together with a chance of about n^2 / 2^65).
@@ -37,8 +37,8 @@ from .textops import IS_SPACE_WORD, LOWER, byte_blocks, mix, prefix_hash, segmen
 
 #: Text bytes for each hash bucket of the profile: about two million shingles.
 BUCKET_BYTES = 12_000_000
-#: Lists up to this length give all their pairs at once.
-SHORT_LIST = 6
+#: Sets of each list that are compared with all others in the first round, and how many times more in each next one.
+FIRST_PIVOTS, MORE_PIVOTS = 4, 8
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,45 +199,52 @@ def links_of(sets: DataFrame, scratch: Scratch, *, percent: int = 80) -> DataFra
     own = F.array_sort(F.collect_list(F.struct("df", "token")))
     first = F.col("n") - needed(F.col("n"), percent) - (F.col("n") - F.size("own"))  # of the shared ones, without the c more
     prefix = flat.join(df, "token").groupBy("doc_id", "n").agg(own.alias("own")).withColumn("p", first).where("p + 1 > 0")
-    prefix = prefix.select("doc_id", "n", F.slice("own", 1, (F.col("p") + 2).cast("int")).alias("own"), "p")
+    prefix = prefix.select("doc_id", "n", F.size("own").cast("long").alias("shared"), F.slice("own", 1, (F.col("p") + 2).cast("int")).alias("own"), "p")
     scan = F.aggregate(F.slice("own", 1, (F.col("p") + 1).cast("int")), F.lit(0).cast("long"), lambda x, y: x + y["df"])
-    prefix = scratch.keep(prefix.select("doc_id", "n", "p", F.transform("own", lambda x: x["token"]).alias("own"), F.size("own").cast("long").alias("light"), scan.alias("scan")), "prefix")
+    prefix = scratch.keep(prefix.select("doc_id", "n", "p", "shared", F.transform("own", lambda x: x["token"]).alias("own"), F.size("own").cast("long").alias("light"), scan.alias("scan")), "prefix")
     x = boundary(prefix)
 
-    token = F.explode(F.slice("own", 1, (F.col("p") + 1).cast("int")))
-    heavy = prefix.where(F.col("n") * 100 >= x * percent).select(token.alias("k1"), F.lit(0).cast("long").alias("k2"), "doc_id", "n")
-    tail = F.transform("own", lambda a, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda b: F.struct(a.alias("k1"), b.alias("k2"))))
-    light = prefix.where((F.col("n") < x) & (F.col("n") > 1)).select(F.explode(F.flatten(tail)).alias("k"), "doc_id", "n").select("k.k1", "k.k2", "doc_id", "n")
+    # ``left``: the most that two sets can have in common if this key is the first they share (position filter)
+    before = F.col("n") - F.col("shared")
+    single = F.posexplode(F.slice("own", 1, (F.col("p") + 1).cast("int"))).alias("i", "k1")
+    heavy = prefix.where(F.col("n") * 100 >= x * percent).select(single, F.lit(0).cast("long").alias("k2"), "doc_id", "n", before.alias("u"))
+    heavy = heavy.select("k1", "k2", "doc_id", "n", (F.col("n") - F.col("u") - F.col("i")).alias("left"))
+    tail = F.transform("own", lambda a, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda b, j: F.struct(a.alias("k1"), b.alias("k2"), (i + j + 1).alias("j"))))
+    light = prefix.where((F.col("n") < x) & (F.col("n") > 1)).select(F.explode(F.flatten(tail)).alias("k"), "doc_id", "n", before.alias("u"))
+    light = light.select("k.k1", "k.k2", "doc_id", "n", (F.col("n") - F.col("u") - F.col("k.j") + 1).alias("left"))
     lists = heavy.unionByName(light)
     key = ["k1", "k2"]
-    size = lists.groupBy(*key).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("first")).where("m > 1")
-    lists = scratch.keep(lists.join(size, key).select(*key, "doc_id", "n", "m", F.col("first.doc_id").alias("pivot"), F.col("first.n").alias("np")), "lists")
-
-    short = lists.where(F.col("m") <= SHORT_LIST).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("all"))
-    pairs = F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda b: F.struct(a["doc_id"].alias("a"), a["n"].alias("na"), b["doc_id"].alias("b"), b["n"].alias("nb"))))
-    short = short.select(F.explode(F.flatten(pairs)).alias("p")).select("p.*")
-    lists = lists.where(F.col("m") > SHORT_LIST).select(*key, "doc_id", "n", "pivot", "np", (F.col("doc_id") != F.col("pivot")).alias("compare"))
-    found = None
+    size = lists.groupBy(*key).agg(F.count("*").alias("m"), F.max("left").alias("most"), F.min("n").alias("least")).where("m > 1")
+    can = F.least("left", "most") * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.col("n") * percent / 100)) * percent
+    lists = scratch.keep(lists.join(size, key).where(can).select(*key, "doc_id", "n", "left", F.col("doc_id").alias("component")), "lists")
+    found = tested = None
+    pivots = FIRST_PIVOTS
     while True:
-        pairs = lists.where("compare").select(F.col("pivot").alias("a"), F.col("np").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        pairs = pairs.union(short) if found is None else pairs
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        pairs = scratch.keep(pairs.where(fits).select("a", "b").distinct(), "pairs")
+        # one pivot of each of ``pivots`` parts of a list, so that no list is gathered
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(pivots))
+        chosen = lists.groupBy(*key, part.alias("part")).agg(F.min(F.struct("doc_id", "n", "left", "component")).alias("p")).select(*key, F.col("p.doc_id").alias("p"), F.col("p.n").alias("np"), F.col("p.left").alias("lp"), F.col("p.component").alias("cp"))
+        chosen = scratch.keep(chosen, "pivots")
+        same = [lists[c] == chosen[c] for c in key]
+        fits = (F.col("component") != F.col("cp")) & (F.least("left", "lp") * (100 + percent) >= (F.col("n") + F.col("np")) * percent)
+        pairs = lists.join(chosen, [*same, fits]).select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs, "pairs")
         both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
         common = F.size(F.array_intersect("ta", "tb"))
         new = scratch.keep(both.where(common * 100 >= (F.size("ta") + F.size("tb") - common) * percent).select("a", "b"), "links")
-        found = new if found is None else scratch.keep(found.union(new), "links")
-        # the compared set leaves each list; lists within one component are done
-        rest = lists.where(F.col("doc_id") > F.col("pivot"))
+        found, tested = (new, pairs) if found is None else (found.union(new), tested.union(pairs))
+        # compared sets leave their lists; lists within one component are done
+        rest = scratch.keep(lists.join(chosen.select(*key, F.col("p").alias("doc_id")), [*key, "doc_id"], "left_anti").select(*key, "doc_id", "n", "left"), "rest")
         if rest.isEmpty():
             return found
         label = connected_components(found, scratch)
-        rest = rest.select(*key, "doc_id", "n").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        next_ = rest.groupBy(*key).agg(F.min(F.struct("doc_id", "n", "component")).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        lists = rest.join(next_, key).select(*key, "doc_id", "n", F.col("first.doc_id").alias("pivot"), F.col("first.n").alias("np"), (F.col("component") != F.col("first.component")).alias("compare"))
-        lists = scratch.keep(lists, "lists")
+        rest = rest.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        open_ = rest.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*key)
+        lists = scratch.keep(rest.join(open_, key).select(*key, "doc_id", "n", "left", "component"), "lists")
         if lists.isEmpty():
             return found
+        pivots *= MORE_PIVOTS
 
 
 def jaccard_components(docs: DataFrame, *, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination_report
 from .jaccard_join import jaccard_components
+from .repeated_bytes import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +21,35 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir), words_per_shingle=5, percent=80)
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_docs(spark, sf_dir), length=400).drop("kept", "spans")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+#: Words are lower-cased over A-Z alone; windows are joined by a byte that no word holds.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP8_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS p
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS p FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT dw.r, dw.n, dw.i, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.p = bw.p),
+cov AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(cov.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(cov.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov ON d.r = cov.r LEFT JOIN its ON d.r = its.r
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_jaccard_join": op2_jaccard_join}
+    return {"op2_jaccard_join": op2_jaccard_join, "op5_repeated_bytes": op5_repeated_bytes, "op8_decontaminate": op8_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": OP8_SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contamination_report
 from .jaccard_join import jaccard_components
 from .repeated_bytes import remove_repeats
+from .secret_scan import secret_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_docs(spark, sf_dir))
+
+
 #: Words are lower-cased over A-Z alone; windows are joined by a byte that no word holds.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP8_SQL = rf"""
@@ -47,9 +52,34 @@ FROM d LEFT JOIN cov ON d.r = cov.r LEFT JOIN its ON d.r = its.r
 """
 
 
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: kind, pattern, group of the value, least length of it; positions are sums of the lengths between and of the matches.
+_RULES = [
+    ("assign", _ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1), ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1), ("google", "AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1), ("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
+]
+OP10_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), m AS ("
+    + " UNION ALL ".join(
+        f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v, {least} AS least FROM d WHERE regexp_matches(t, '{p}')"
+        for k, (kind, p, group, least) in enumerate(_RULES)
+    )
+    + """),
+e AS (SELECT r, k, kind, least, unnest(range(1, len(m) + 1)) AS i, g, m, v FROM m),
+p AS (SELECT r, k, kind, sum(length(g[i]) + length(m[i])) OVER (PARTITION BY r, k ORDER BY i) AS e, length(m[i]) AS n, length(v[i]) AS vn, least FROM e),
+s AS (SELECT r, k, kind, CAST(e - n AS BIGINT) AS a, kind || ':' || CAST(CAST(e - n AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR) AS x FROM p WHERE vn >= least),
+a AS (SELECT r, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+      string_agg(x, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY a, k) AS spans FROM s GROUP BY r)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a ON d.r = a.r
+"""
+)
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_jaccard_join": op2_jaccard_join, "op5_repeated_bytes": op5_repeated_bytes, "op8_decontaminate": op8_decontaminate}
+    return {"op2_jaccard_join": op2_jaccard_join, "op5_repeated_bytes": op5_repeated_bytes, "op8_decontaminate": op8_decontaminate, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8_SQL}
+    return {"op8_decontaminate": OP8_SQL, "op10_secret_scan": OP10_SQL}

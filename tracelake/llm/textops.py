@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _PINV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

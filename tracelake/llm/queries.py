@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_report
 from .jaccard_join import jaccard_components
+from .mixing import mix_report
 from .repeated_bytes import remove_repeats
 from .secret_scan import secret_report
+from .warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +32,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_docs(spark, sf_dir))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_docs(spark, sf_dir))
 
@@ -77,9 +87,36 @@ FROM d LEFT JOIN a ON d.r = a.r
 )
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS least FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > least THEN least END AS refers_to
+FROM f
+"""
+
+OP3_SQL = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+b AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM s GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][turn + 1] AS DOUBLE) AS weight, source_size * 3 AS most FROM b),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
+m AS (SELECT arg_min(lv, most / weight) FILTER (lv * weight <= most) AS level, CAST(sum(source_size) AS DOUBLE) AS total FROM l),
+t AS (SELECT source, turn, source_size, least(CAST(most AS DOUBLE), level * weight) AS target, CAST(floor(least(CAST(most AS DOUBLE), level * weight) + 0.5) AS BIGINT) AS quota, total FROM l, m),
+d AS (SELECT s.*, t.turn, t.source_size, t.target, t.quota, t.total, CAST(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS before,
+      CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, least(greatest(quota - passes * source_size - before, 0), size) AS rest FROM d),
+f AS (SELECT *, passes * size + rest AS taken, CASE WHEN size > 0 AND (passes > 0 OR rest > 0) THEN (before + (CASE WHEN passes > 0 THEN size ELSE rest END) / 2.0) / quota END AS u FROM r),
+k AS (SELECT *, CASE turn WHEN 0 THEN CASE WHEN u < 0.625 THEN u * 2 / (sqrt(u * -2.0 + 2.25) + 1.5) ELSE (u - 0.625) * 2 / (sqrt((u - 0.625) * -2.0 + 1.0) + 1.0) + 0.5 END
+      WHEN 1 THEN u WHEN 2 THEN CASE WHEN u < 0.375 THEN u * 2 / (sqrt(u * 2.0 + 0.25) + 0.5) ELSE (u - 0.375) * 2 / (sqrt((u - 0.375) * 2.0 + 1.0) + 1.0) + 0.5 END END AS moment FROM f)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(floor(moment * total) AS BIGINT) AS position FROM k
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_jaccard_join": op2_jaccard_join, "op5_repeated_bytes": op5_repeated_bytes, "op8_decontaminate": op8_decontaminate, "op10_secret_scan": op10_secret_scan}
+    all_ = (op2_jaccard_join, op3_mixing, op5_repeated_bytes, op7_warc, op8_decontaminate, op10_secret_scan)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_secret_scan": OP10_SQL}

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_report
+from .html_text import main_texts
 from .jaccard_join import jaccard_components
 from .mixing import mix_report
 from .repeated_bytes import remove_repeats
 from .secret_scan import secret_report
+from .toxicity import toxicity_report
+from .url_rules import url_verdicts
 from .warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +27,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir), words_per_shingle=5, percent=80)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_docs(spark, sf_dir), length=400).drop("kept", "spans")
 
@@ -36,6 +43,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_docs(spark, sf_dir))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -114,7 +129,7 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(f
 
 
 def queries() -> dict[str, Query]:
-    all_ = (op2_jaccard_join, op3_mixing, op5_repeated_bytes, op7_warc, op8_decontaminate, op10_secret_scan)
+    all_ = (op2_jaccard_join, op3_mixing, op4_toxicity, op5_repeated_bytes, op6_url_rules, op7_warc, op8_decontaminate, op9_html_text, op10_secret_scan)
     return {f.__name__: f for f in all_}
 
 

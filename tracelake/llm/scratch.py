@@ -16,6 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
@@ -27,6 +30,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        # whole texts in Arrow batches: fewer rows at once keep both sides of a Python worker small
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -126,7 +126,9 @@ def write_archives(pages: DataFrame, scratch: Scratch, *, date: str = "1970-01-0
     firsts = keyed.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("digest", "least")
     first = F.when((F.col("n") >= REVISIT_BYTES) & (F.col("page_id") > F.col("least")), F.col("least"))
     rows = keyed.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", first.alias("first"))
-    sample = pages.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(DICTIONARY_RECORDS).collect()
+    ids = [r.page_id for r in pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_RECORDS).collect()]
+    sample = pages.where(F.col("page_id").isin(ids)).dropDuplicates(["page_id"]).collect() if ids else []
+    sample.sort(key=lambda r: r.page_id)
     dictionary = build_dictionary([record(r.page_id, r.url, r.html.encode(), hashlib.sha256(r.html.encode()).hexdigest(), None, date) for r in sample])
     folder = scratch.path("warc")
     store, base = _open(folder)

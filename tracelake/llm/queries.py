@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contamination_report
 from .html_text import main_texts
 from .jaccard_join import jaccard_components
+from .media_chunks import media_report
 from .mixing import mix_report
 from .repeated_bytes import remove_repeats
 from .secret_scan import secret_report
@@ -23,6 +24,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(_docs(spark, sf_dir))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir), words_per_shingle=5, percent=80)
 
@@ -129,7 +134,7 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(f
 
 
 def queries() -> dict[str, Query]:
-    all_ = (op2_jaccard_join, op3_mixing, op4_toxicity, op5_repeated_bytes, op6_url_rules, op7_warc, op8_decontaminate, op9_html_text, op10_secret_scan)
+    all_ = (op1_media_chunks, op2_jaccard_join, op3_mixing, op4_toxicity, op5_repeated_bytes, op6_url_rules, op7_warc, op8_decontaminate, op9_html_text, op10_secret_scan)
     return {f.__name__: f for f in all_}
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,16 +40,22 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the table read again."""
-        to = self.path(name)
+    @contextlib.contextmanager
+    def releasing(self) -> Iterator[None]:
+        """Writes within release their shuffle files when they end."""
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(key, None)
         self.spark.conf.set(key, "true")
         try:
-            df.write.option("compression", "zstd").parquet(to)
+            yield
         finally:
             self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return the table read again."""
+        to = self.path(name)
+        with self.releasing():
+            df.write.option("compression", "zstd").parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def drop(self, df: DataFrame) -> None:

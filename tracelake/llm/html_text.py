@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -310,11 +310,11 @@ def main_texts(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or train()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 200):
-                part = batch.iloc[a : a + 200]
-                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": extract(part["html"].tolist(), model)})
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(extract(part.column(2).to_pylist(), model), pa.string())], names=["page_id", "url", "text"])
 
-    rows = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string")
+    rows = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
     return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -250,25 +250,30 @@ def links_of(sets: DataFrame, scratch: Scratch, *, percent: int = 80) -> DataFra
 def jaccard_components(docs: DataFrame, *, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
 
-    Null and empty texts, and texts without words, have no shingles and are their own component. Repeated
-    rows and equal texts share a component. An empty table gives an empty result. Other columns are ignored.
+    Null and empty texts, and texts without words, have no shingles and are their own component. Repeated rows and
+    equal texts share a component, and so do all rows of a doc_id; a doc_id that repeats should repeat its text. Rows
+    with a null doc_id are linked with nothing; their component is null. An empty table gives an empty result. Other
+    columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    nameless = docs.where("doc_id is null").mapInArrow(_sets(words_per_shingle), "doc_id long, tokens array<long>")
+    docs = docs.where("doc_id is not null")
     all_ = scratch.keep(profile(docs, words_per_shingle=words_per_shingle), "profile")
     classes = all_.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("common").alias("common"))
     live = classes.where(F.col("common") >= needed(F.col("n"), percent)).select(F.col("rep").alias("doc_id"), "n")
     texts = docs.join(live.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sets(words_per_shingle), "doc_id long, tokens array<long>")
+    sets = texts.select("doc_id", "text").mapInArrow(_sets(words_per_shingle), "doc_id long, tokens array<long>")
     sets = scratch.keep(sets.select("doc_id", F.size("tokens").cast("long").alias("n"), "tokens"), "sets")
     label = connected_components(links_of(sets, scratch, percent=percent), scratch)
     of = classes.select("n", "d1", "d2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    return all_.join(of, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = all_.join(of, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionAll(nameless.select("doc_id", F.size("tokens").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, *, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; of repeated doc_ids all stay."""
+    """The rows of ``docs`` whose doc_id is the smallest of its component, and those without doc_id; repeated rows stay."""
     of = jaccard_components(docs, words_per_shingle=words_per_shingle, percent=percent)
-    firsts = of.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").select(docs.columns)
+    others = of.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)

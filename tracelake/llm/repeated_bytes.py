@@ -87,10 +87,10 @@ _OTHER = ((np.arange(256) * 167 + 89) ^ (np.arange(256) >> 3)).astype(np.uint8)
 def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, data, offs in byte_blocks(batch.column(1), 1 << 20):
+            for i, _, data, offs in byte_blocks(batch.column(2), 1 << 20):
                 c = contexts_of_block(data, offs, length)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + c["row"]], pa.int64()), *(pa.array(c[x], pa.int64()) for x in ("key", "h1", "h2")), *(pa.array(c[x], pa.int32()) for x in ("q", "lo", "hi"))], names=["doc_id", "key", "h1", "h2", "q", "lo", "hi"])
+                row = pa.array(i + c["row"], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(c[x], pa.int64()) for x in ("key", "h1", "h2")), *(pa.array(c[x], pa.int32()) for x in ("q", "lo", "hi"))], names=["doc_id", "h", "key", "h1", "h2", "q", "lo", "hi"])
 
     return run
 
@@ -136,23 +136,22 @@ def expand(key: np.ndarray, left: np.ndarray, right: np.ndarray, lo: np.ndarray,
 
 
 def _fetch(length: int):
-    """Rows (doc_id, text, contexts) to the bytes of each context."""
+    """Rows (doc_id, h, text, contexts) to the bytes of each context."""
     core, reach = _geometry(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            lists = batch.column(2)
-            out = {x: [] for x in ("doc_id", "key", "q", "lo", "hi", "m", "bytes")}
-            for i, j, data, offs in byte_blocks(batch.column(1)):
+            ids, hs, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            out = {x: [] for x in ("doc_id", "h", "key", "q", "lo", "hi", "m", "bytes")}
+            for i, j, data, offs in byte_blocks(batch.column(2)):
                 data = data.tobytes()
                 for r in range(i, j):
                     for c in lists[r].as_py():
                         a = int(offs[r - i]) + c["q"]
-                        for x, v in (("doc_id", ids[r]), ("bytes", data[a - c["hi"] : a + core + reach - c["lo"]]), *((x, c[x]) for x in ("key", "q", "lo", "hi", "m"))):
+                        for x, v in (("doc_id", ids[r]), ("h", hs[r]), ("bytes", data[a - c["hi"] : a + core + reach - c["lo"]]), *((x, c[x]) for x in ("key", "q", "lo", "hi", "m"))):
                             out[x].append(v)
             for a in range(0, len(out["key"]), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[a : a + 20_000], t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(v[a : a + 20_000], t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=list(out))
 
     return run
 
@@ -162,7 +161,7 @@ def _expand(length: int):
     core, reach = _geometry(length)
 
     def spans(t: pa.Table) -> pa.RecordBatch:
-        doc, key, q, lo, hi, m = (t.column(x).to_numpy() for x in ("doc_id", "key", "q", "lo", "hi", "m"))
+        key, q, lo, hi, m = (t.column(x).to_numpy() for x in ("key", "q", "lo", "hi", "m"))
         raw = t.column("bytes").combine_chunks()
         offs = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
         data = np.frombuffer(raw.buffers()[2], np.uint8)
@@ -179,7 +178,8 @@ def _expand(length: int):
         a = np.flatnonzero(new)
         z = np.concatenate([a[1:], [len(who)]]) - 1 if len(a) else a
         w = who[a]
-        return pa.RecordBatch.from_arrays([pa.array(doc[w], pa.int64()), pa.array(q[w] - e[z], pa.int32()), pa.array(q[w] - e[a] + length, pa.int32())], names=["doc_id", "start", "end"])
+        doc, h = (t.column(x).combine_chunks().take(pa.array(w, pa.int64())) for x in ("doc_id", "h"))
+        return pa.RecordBatch.from_arrays([doc, h, pa.array(q[w] - e[z], pa.int32()), pa.array(q[w] - e[a] + length, pa.int32())], names=["doc_id", "h", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -229,21 +229,27 @@ def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
 
     ``kept`` holds the remaining bytes and ``spans`` the maximal removed runs (end exclusive). Null texts are
     empty; texts shorter than ``length`` stay whole. Equal rows are separate texts, so both lose what they share;
-    a doc_id that repeats must repeat its text. Other columns are ignored; an empty table gives an empty result.
+    rows are told apart by doc_id and text, so a null or repeated doc_id is no matter. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = scratch.keep(docs.mapInArrow(_find(length), "doc_id long, key long, h1 long, h2 long, q int, lo int, hi int"), "contexts")
-    whole = ["key", "h1", "h2"]
-    counted = found.groupBy(*whole).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "q", "lo", "hi")).alias("one"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
+    found = scratch.keep(docs.mapInArrow(_find(length), "doc_id long, h long, key long, h1 long, h2 long, q int, lo int, hi int"), "contexts")
+    whole, row = ["key", "h1", "h2"], ["doc_id", "h"]
+    counted = found.groupBy(*whole).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "q", "lo", "hi")).alias("one"))
     keys = counted.groupBy("key").agg(F.count("*").alias("c"), F.sum("m").alias("n")).where("n > 1")
     counted = scratch.keep(counted.join(keys, "key").select(*whole, "m", "c", "one"), "shared")
 
-    copies = found.join(counted.where("m > 1").select(*whole), whole, "left_semi").select("doc_id", (F.col("q") - F.col("hi")).alias("start"), (F.col("q") - F.col("lo") + length).alias("end"))
-    open_ = counted.where("c > 1").select("key", "m", "one.*").groupBy("doc_id").agg(F.collect_list(F.struct("key", "q", "lo", "hi", "m")).alias("contexts"))
-    texts = docs.join(open_, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "contexts")
-    bytes_ = texts.mapInArrow(_fetch(length), "doc_id long, key long, q int, lo int, hi int, m long, bytes binary")
-    near = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(_expand(length), "doc_id long, start int, end int")
-    spans = scratch.keep(copies.union(near).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends")
+    copies = found.join(counted.where("m > 1").select(*whole), whole, "left_semi").select(*row, (F.col("q") - F.col("hi")).alias("start"), (F.col("q") - F.col("lo") + length).alias("end"))
+    open_ = counted.where("c > 1").select("key", "m", "one.*").groupBy(*row).agg(F.collect_list(F.struct("key", "q", "lo", "hi", "m")).alias("contexts"))
+    texts = _with(docs, open_, ["contexts"], "inner").dropDuplicates(row)
+    bytes_ = texts.mapInArrow(_fetch(length), "doc_id long, h long, key long, q int, lo int, hi int, m long, bytes binary")
+    near = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(_expand(length), "doc_id long, h long, start int, end int")
+    spans = scratch.keep(copies.union(near).groupBy(*row).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
+    joined = _with(docs, spans, ["starts", "ends"], "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>")
+
+
+def _with(docs: DataFrame, other: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """``docs(doc_id, h, text)`` joined with ``other(doc_id, h, *columns)``; a null doc_id meets a null doc_id."""
+    other = other.select(F.col("doc_id").alias("id"), F.col("h").alias("of"), *columns)
+    return docs.join(other, docs["doc_id"].eqNullSafe(other["id"]) & (docs["h"] == other["of"]), how).select("doc_id", "h", "text", *columns)

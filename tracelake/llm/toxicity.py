@@ -20,8 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds: labelled rows to learn from, terms of the lexicon.
 LABELLED_ROWS, TERMS = 20_000, 400
@@ -254,14 +256,16 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score")
     coef = np.array(model.coef)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            x = np.array([scorer.features(t) for t in batch["text"]]).reshape(len(batch), len(FEATURES))
-            yield batch.assign(score=1 / (1 + np.exp(-np.clip(x @ coef[:-1] + coef[-1], -30, 30))))
+            x = np.array([scorer.features(t) for t in batch.column(text_at).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
+            score = 1 / (1 + np.exp(-np.clip(x @ coef[:-1] + coef[-1], -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{names}, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

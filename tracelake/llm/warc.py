@@ -19,6 +19,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -86,7 +87,7 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def _writer(folder: str, dictionary: bytes, date: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
         d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if d is not None:
@@ -94,13 +95,12 @@ def _writer(folder: str, dictionary: bytes, date: str):
         c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d)
         out, path, n, size, done = None, "", 0, 0, []
         for batch in batches:
-            for page_id, url, html, digest, first in zip(batch["page_id"], batch["url"], batch["html"], batch["digest"], batch["first"], strict=True):
+            for page_id, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path, n, size = f"{base}/{uuid.uuid4().hex}.warc.zst", 0, 0
                     out = store.open_output_stream(path)
                     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
-                number = lambda x: None if pd.isna(x) else int(x)
-                frame = c.compress(record(number(page_id), url, html.encode(), digest, number(first), date))
+                frame = c.compress(record(page_id, url, html.encode(), digest, first, date))
                 out.write(frame)
                 n, size = n + 1, size + len(frame)
                 if size >= ARCHIVE_BYTES:
@@ -110,7 +110,7 @@ def _writer(folder: str, dictionary: bytes, date: str):
         if out is not None:
             out.close()
             done.append((path, n, size))
-        yield pd.DataFrame(done, columns=["path", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
     return run
 
@@ -133,7 +133,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, *, date: str = "1970-01-0
     folder = scratch.path("warc")
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
-    return scratch.keep(rows.mapInPandas(_writer(folder, dictionary, date), "path string, records long, bytes long"), "manifest")
+    return scratch.keep(rows.mapInArrow(_writer(folder, dictionary, date), "path string, records long, bytes long"), "manifest")
 
 
 def _reader(folder: str):

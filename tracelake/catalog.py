@@ -2,16 +2,569 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import complexes as C
+from .functions import nmea
+from .functions import scalars as S
+from .operators import match, reconcile, timing
+from .plans import chain, dsp, provenance
+from .sources import projections as P
+from .sources import sinks, views
+from .streaming import frames
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = re.sub(r'(?<!")\bat\b(?!")', '"at"', sql)  # a keyword of the oracle's dialect
+        return f
+
+    return add
+
+
+def micro(c: Column) -> Column:
+    """Millionths as an integer; -0.0 becomes 0."""
+    return F.round(c * 1e6 + 0.0).cast("long")
+
+
+def _m(x: str) -> str:
+    return f"CAST(round(({x}) * 1e6 + 0.0) AS BIGINT)"
+
+
+_AIR, _GROUND = P.side_sql("air"), P.side_sql("ground")
+_AIRX, _GROUNDX = P.excluded_sql("air"), P.excluded_sql("ground")
+_NS = 1_000_000_000
+_BIG = "CAST(1000000000 AS BIGINT)"
+
+# ---- scans and views
+
+
+@_query("A2_committed_window", f"WITH {_AIR}, {P.MISSIONS_SQL} SELECT a.mission_id, trace_index, record_position FROM air a JOIN missions m ON a.mission_id = m.mission_id AND record_position < committed_record_count")
+def a2(spark, d):
+    return views.committed(P.side(spark, d, "air"), P.missions(spark, d)).select("mission_id", "trace_index", "record_position")
+
+
+@_query("A3_physical_view", f"WITH {_AIR} SELECT mission_id, record_position, trace_index FROM air ORDER BY 1, 2")
+def a3(spark, d):
+    return views.physical(P.side(spark, d, "air")).select("mission_id", "record_position", "trace_index")
+
+
+@_query("A4_logical_view", f"WITH {_AIR}, {_AIRX} SELECT mission_id, trace_index, trace_uid, hash, record_position FROM air_l")
+def a4(spark, d):
+    return views.logical(P.side(spark, d, "air")).select("mission_id", "trace_index", "trace_uid", "hash", "record_position")
+
+
+@_query("A5_point_lookup", f"WITH {_AIR}, {_AIRX} SELECT mission_id, trace_index, hash FROM air_l WHERE trace_index = 12 AND mission_id = (SELECT mission_id FROM air WHERE trace_index = 12 LIMIT 1)")
+def a5(spark, d):
+    air = P.side(spark, d, "air")
+    mission = air.where("trace_index = 12").select("mission_id").first()[0]
+    return views.by_index(air, mission, 12).select("mission_id", "trace_index", "hash")
+
+
+def _checks():
+    return {"priced": F.col("o_totalprice") > 1000, "dated": F.col("o_orderdate").isNotNull(), "ranked": F.col("o_orderpriority").rlike("^[1-3]-")}
+
+
+@_query("A6_row_issues", "SELECT o_orderkey, unnest(list_filter([CASE WHEN NOT coalesce(o_totalprice > 1000, false) THEN 'priced' END, CASE WHEN o_orderdate IS NULL THEN 'dated' END, CASE WHEN NOT coalesce(regexp_matches(o_orderpriority, '^[1-3]-'), false) THEN 'ranked' END], lambda x: x IS NOT NULL)) AS issue FROM orders")
+def a6(spark, d):
+    return views.decode(P.table(spark, d, "orders"), _checks())[1].select("o_orderkey", "issue")
+
+
+@_query("A9_cell_codec", "SELECT event_id, CASE WHEN user_id % 7 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 3 <> 0 THEN " + _m("value") + " END AS value FROM events")
+def a9(spark, d):
+    e = P.table(spark, d, "events").select("event_id", S.to_sentinel(F.when(F.col("user_id") % 7 != 0, F.col("user_id"))).alias("user_id"), "value", S.present_mask(F.lit(1), F.when(F.col("event_id") % 3 != 0, F.col("value"))).alias("present"))
+    out = views.decode_cells(e, ["user_id"], {"value": 1})
+    return out.select("event_id", "user_id", micro(F.col("value")).alias("value"))
+
+
+@_query("A12_legacy_migration", "SELECT 'legacy' AS mission_id, trace_index, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST((instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS trace_uid FROM (SELECT event_id AS trace_index, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode('legacy:' || CAST(event_id AS VARCHAR))) AS h FROM events)")
+def a12(spark, d):
+    e = P.table(spark, d, "events")
+    return e.select(F.lit("legacy").alias("mission_id"), F.col("event_id").alias("trace_index"), S.uuid5("6ba7b8129dad11d180b400c04fd430c8", F.concat(F.lit("legacy:"), F.col("event_id").cast("string"))).alias("trace_uid"))
+
+
+@_query("A14_append_classes", f"""WITH {_AIR}, {_GROUND}, st AS (SELECT mission_id, trace_index, arg_min(hash, record_position) AS old FROM air GROUP BY 1, 2),
+r AS (SELECT g.*, st.old, row_number() OVER w AS n, first(g.hash) OVER w AS f FROM ground g LEFT JOIN st USING (mission_id, trace_index) WINDOW w AS (PARTITION BY mission_id, trace_index ORDER BY record_position)),
+x AS (SELECT *, coalesce(old, CASE WHEN n > 1 THEN f END) AS against FROM r)
+SELECT mission_id, trace_index, record_position, CASE WHEN against IS NULL THEN 'append' WHEN against = hash THEN 'duplicate' ELSE 'conflict' END AS action FROM x""")
+def a14(spark, d):
+    return sinks.classify(P.side(spark, d, "ground"), P.side(spark, d, "air")).select("mission_id", "trace_index", "record_position", "action")
+
+
+@_query("A17_recovery_plan", f"""WITH {_AIR}, {P.MISSIONS_SQL} SELECT m.mission_id, committed_record_count, count(*) AS stored, greatest(0, max(record_position) + 1 - committed_record_count) AS tail_rows,
+CASE WHEN max(record_position) + 1 >= committed_record_count THEN 'recover' ELSE 'refuse' END AS plan FROM missions m JOIN air USING (mission_id) GROUP BY 1, 2""")
+def a17(spark, d):
+    return sinks.recovery_plan(P.side(spark, d, "air"), P.missions(spark, d))
+
+
+# ---- predicates and constraints
+
+
+@_query("B3_receiver_plan", "SELECT vec_id, label, (label IN (1, 4)) AS ok FROM embeddings")
+def b3(spark, d):
+    e = P.table(spark, d, "embeddings")
+    one = lambda desc: F.struct(F.lit(desc).alias("desc"), F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    both = F.when(F.col("label") == 1, F.array(one(0b00100001), one(0b00110000))).when(F.col("label") == 4, F.array(one(0b00100001))).when(F.col("label") == 2, F.array(one(0b00100001), one(0b00100001))).otherwise(F.array(one(0b01000010)))
+    return e.select("vec_id", "label", frames.receiver_plan(both, 1, 1).alias("ok"))
+
+
+_AXIS = "list_transform(range(16), lambda k: CAST(520000000 + k * 100000000 + CASE WHEN vec_id % 4 = 1 AND k = 3 THEN 50 WHEN vec_id % 4 = 2 AND k = 3 THEN 500 WHEN vec_id % 4 = 3 AND k = 5 THEN -200000000 ELSE 0 END AS DOUBLE))"
+
+
+def _axes(spark, d):
+    k = F.sequence(F.lit(0), F.lit(15))
+    v = F.col("vec_id") % 4
+    axis = F.transform(k, lambda i: (F.lit(520000000) + i * 100000000 + F.when((v == 1) & (i == 3), 50).when((v == 2) & (i == 3), 500).when((v == 3) & (i == 5), -200000000).otherwise(0)).cast("double"))
+    return P.table(spark, d, "embeddings").select("vec_id", axis.alias("axis"))
+
+
+@_query("B4_axis_valid", f"WITH a AS (SELECT vec_id, {_AXIS} AS x FROM embeddings) SELECT vec_id, len(list_filter(range(1, 16), lambda i: x[i + 1] <= x[i])) = 0 AS valid FROM a")
+def b4(spark, d):
+    return _axes(spark, d).select("vec_id", S.axis_valid(F.col("axis")).alias("valid"))
+
+
+_STEPS = f"a AS (SELECT vec_id, {_AXIS} AS x FROM embeddings), s AS (SELECT vec_id, x, list_transform(range(1, 16), lambda i: x[i + 1] - x[i]) AS d FROM a), m AS (SELECT *, list_median(d) AS md, list_max(list_transform(d, lambda y: abs(y - list_median(d)))) AS er FROM s)"
+
+
+@_query("B5_uniform_axis", f"WITH {_STEPS} SELECT vec_id, er <= greatest(1.0, abs(md) * 1e-6) AS uniform, er <= abs(md) * 1e-6 AS regular, len(list_filter(d, lambda y: abs(y - d[1]) > 1e-6 + abs(d[1]) * 1e-9)) = 0 AS like_first FROM m")
+def b5(spark, d):
+    a = F.col("axis")
+    return _axes(spark, d).select("vec_id", S.axis_uniform(a).alias("uniform"), S.time_regular(a).alias("regular"), S.first_step_uniform(a).alias("like_first"))
+
+
+@_query("B9_scan_constraints", f"WITH {_AIR}, p AS (SELECT mission_id, record_position, trace_index, lag(trace_index) OVER (PARTITION BY mission_id ORDER BY record_position) AS q FROM air) SELECT mission_id, record_position, trace_index FROM p WHERE trace_index <= q")
+def b9(spark, d):
+    return timing.monotonic_violations(P.side(spark, d, "air"), "trace_index").select("mission_id", "record_position", "trace_index")
+
+
+# ---- joins
+
+
+@_query("C1_nearest_fix", f"""WITH {P.EVENTS_SQL}, s AS (SELECT *, (started_ns + finished_ns) // 2 AS at FROM sweeps),
+f AS (SELECT domain, received_ns, min(fix_id) AS fix_id, arg_min(valid, seq) AS valid FROM fixes GROUP BY 1, 2),
+b AS (SELECT s.domain, sweep_id, s.at, f.received_ns AS rt, f.fix_id, f.valid FROM s ASOF LEFT JOIN f ON s.domain = f.domain AND s.at >= f.received_ns),
+n AS (SELECT b.*, f.received_ns AS nt, f.fix_id AS nf, f.valid AS nv FROM b ASOF LEFT JOIN f ON b.domain = f.domain AND b.at <= f.received_ns),
+c AS (SELECT sweep_id, domain, CASE WHEN nt IS NULL OR at - rt <= nt - at THEN fix_id ELSE nf END AS fix_id, CASE WHEN nt IS NULL OR at - rt <= nt - at THEN at - rt ELSE nt - at END AS distance_ns, CASE WHEN nt IS NULL OR at - rt <= nt - at THEN valid ELSE nv END AS valid FROM n),
+v AS (SELECT *, CASE WHEN fix_id IS NULL THEN 'no_fix' WHEN distance_ns > 600 * {_BIG} THEN 'out_of_range' WHEN NOT valid THEN 'invalid' WHEN distance_ns > 120 * {_BIG} THEN 'stale' END AS reason FROM c)
+SELECT domain, sweep_id, fix_id, distance_ns, reason, reason IS NULL AS usable FROM v""")
+def c1(spark, d):
+    return match.nearest_fix(P.sweeps(spark, d), P.fixes(spark, d), stale_after_s=120, window_s=600).select("domain", "sweep_id", "fix_id", "distance_ns", "reason", "usable")
+
+
+_RECONCILE = f"""{_AIR}, {_GROUND}, {_AIRX}, {_GROUNDX},
+j AS (SELECT coalesce(a.mission_id, g.mission_id) AS mission_id, coalesce(a.trace_index, g.trace_index) AS trace_index, a.trace_uid AS au, g.trace_uid AS gu, a.hash AS ah, g.hash AS gh, a.latitude AS al, g.latitude AS gl, a.rn AS ha, g.rn AS hg
+  FROM air_l a FULL JOIN ground_l g ON a.mission_id = g.mission_id AND a.trace_index = g.trace_index),
+k AS (SELECT j.*, ax.trace_index AS xa, gx.trace_index AS xg FROM j LEFT JOIN air_x ax ON j.mission_id = ax.mission_id AND j.trace_index = ax.trace_index LEFT JOIN ground_x gx ON j.mission_id = gx.mission_id AND j.trace_index = gx.trace_index),
+items AS (SELECT mission_id, trace_index, CASE WHEN ha = 1 AND hg = 1 AND (au <> gu OR ah <> gh) THEN 'conflict' WHEN ha = 1 AND hg = 1 AND al IS DISTINCT FROM gl THEN 'gnss_diff' WHEN ha = 1 AND hg = 1 THEN 'consistent'
+  WHEN xa IS NOT NULL OR xg IS NOT NULL THEN 'conflict' WHEN ha = 1 THEN 'missing' ELSE 'extra' END AS kind,
+  CASE WHEN ha = 1 AND hg = 1 AND au <> gu THEN 'uid differs' WHEN ha = 1 AND hg = 1 AND ah <> gh THEN 'hash differs' WHEN ha = 1 AND hg = 1 AND al IS NULL AND gl IS NOT NULL THEN 'air has no match' WHEN ha = 1 AND hg = 1 AND gl IS NULL AND al IS NOT NULL THEN 'ground has no match'
+  WHEN ha = 1 AND hg = 1 AND al IS DISTINCT FROM gl THEN 'latitude' WHEN ha = 1 AND hg = 1 THEN NULL WHEN xg IS NOT NULL AND ha = 1 THEN 'conflict within ground' WHEN xa IS NOT NULL AND hg = 1 THEN 'conflict within air' END AS detail FROM k)"""
+
+
+@_query("C2_reconcile", f"WITH {_RECONCILE} SELECT * FROM items")
+def c2(spark, d):
+    return reconcile.reconcile(P.side(spark, d, "air"), P.side(spark, d, "ground"))
+
+
+@_query("C4_contract", "WITH a AS (SELECT n_regionkey, max(n_name) AS n, count(*) AS c FROM nation GROUP BY 1), b AS (SELECT n_regionkey, max(n_name) AS n, count(*) + CASE WHEN n_regionkey = 2 THEN 1 ELSE 0 END AS c FROM nation GROUP BY 1) SELECT CAST(a.n_regionkey AS VARCHAR) AS mission_id, unnest(['n', 'c']) AS field, unnest([a.n = b.n, a.c = b.c]) AS match FROM a JOIN b USING (n_regionkey)")
+def c4(spark, d):
+    a = P.table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("string").alias("mission_id")).agg(F.max("n_name").alias("n"), F.count("*").alias("c"))
+    b = a.withColumn("c", F.col("c") + F.when(F.col("mission_id") == "2", 1).otherwise(0))
+    return reconcile.contract(a, b, ["n", "c"])
+
+
+@_query("C5_calibration_binding", f"WITH {P.SAMPLES_SQL}, r AS (SELECT channel, k, avg(re) AS mre, avg(im) AS mim FROM s GROUP BY 1, 2) SELECT trace_id, channel, count(*) AS points FROM s JOIN r USING (channel, k) GROUP BY 1, 2")
+def c5(spark, d):
+    s = P.samples(spark, d)
+    ref = dsp.coherent_mean(s)
+    return dsp.flat(s).join(ref.select("channel", "k"), ["channel", "k"]).groupBy("trace_id", "channel").agg(F.count("*").alias("points"))
+
+
+@_query("C7_last_before", f"""WITH {P.EVENTS_SQL}, r AS (SELECT domain, event_id AS id, at FROM ev WHERE event_type = 'purchase'), o AS (SELECT domain, at, max(CAST(event_id AS VARCHAR)) AS v FROM ev WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT r.domain, r.id, CASE WHEN r.at - o.at <= 60 * {_BIG} THEN o.v END AS view_id FROM r ASOF LEFT JOIN o ON r.domain = o.domain AND r.at >= o.at""")
+def c7(spark, d):
+    e = P._events(spark, d)
+    others = e.where("event_type = 'view'").groupBy("domain", "at").agg(F.max(F.col("event_id").cast("string")).alias("view_id"))
+    return match.last_before(e.where("event_type = 'purchase'").select("domain", F.col("event_id").alias("id"), "at"), others, "view_id", 60 * _NS).select("domain", "id", "view_id")
+
+
+@_query("C9_missing_indices", f"WITH {_AIR}, m AS (SELECT mission_id, max(trace_index) AS hi FROM air GROUP BY 1), g AS (SELECT mission_id, unnest(range(hi + 1)) AS trace_index FROM m) SELECT mission_id, trace_index FROM g ANTI JOIN air USING (mission_id, trace_index)")
+def c9(spark, d):
+    return views.missing_indices(P.side(spark, d, "air"))
+
+
+@_query("C10_registry_lookup", "SELECT l_orderkey, l_linenumber, coalesce(s_name, 'unknown') AS spec FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 5 <> 0) ON l_suppkey = s_suppkey WHERE l_quantity > 45")
+def c10(spark, d):
+    s = P.table(spark, d, "supplier").where("s_suppkey % 5 <> 0")
+    li = P.table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return li.join(s.select("s_suppkey", "s_name"), li["l_suppkey"] == s["s_suppkey"], "left").select("l_orderkey", "l_linenumber", F.coalesce("s_name", F.lit("unknown")).alias("spec"))
+
+
+@_query("C11_field_diff", "WITH r AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS size, p_brand AS brand FROM part), a AS (SELECT p_partkey AS k, CAST(CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS VARCHAR) AS size, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_brand END AS brand FROM part) SELECT r.k, f AS field, CASE f WHEN 'size' THEN r.size ELSE r.brand END AS requested, CASE f WHEN 'size' THEN a.size ELSE a.brand END AS applied FROM r JOIN a USING (k), (SELECT unnest(['size', 'brand']) AS f) WHERE CASE f WHEN 'size' THEN r.size ELSE r.brand END IS DISTINCT FROM CASE f WHEN 'size' THEN a.size ELSE a.brand END")
+def c11(spark, d):
+    r = P.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))
+    a = r.select("k", F.when(F.col("k") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(F.col("k") % 11 != 0, F.col("brand")).alias("brand"))
+    return reconcile.field_diff(r, a, "k", ["size", "brand"])
+
+
+# ---- aggregations
+
+
+@_query("D1_identity_classes", f"WITH {_GROUND} SELECT mission_id, trace_index, count(*) AS rows, count(DISTINCT hash) AS hashes, min(record_position) AS first_position, CASE WHEN count(DISTINCT hash) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'single' END AS verdict FROM ground GROUP BY 1, 2")
+def d1(spark, d):
+    return views.identity_classes(P.side(spark, d, "ground"))
+
+
+@_query("D1_lineitem_identities", "SELECT l_orderkey, count(*) AS rows, count(DISTINCT sha256(CAST(l_suppkey % 3 AS VARCHAR))) AS hashes FROM lineitem GROUP BY 1")
+def d1b(spark, d):
+    li = P.table(spark, d, "lineitem").select(F.lit("m").alias("mission_id"), F.col("l_orderkey").alias("trace_index"), F.sha2((F.col("l_suppkey") % 3).cast("string"), 256).alias("hash"), F.col("l_linenumber").alias("record_position"))
+    return views.identity_classes(li).select(F.col("trace_index").alias("l_orderkey"), "rows", "hashes")
+
+
+@_query("D2_validation_summary", f"""WITH {_AIR}, c AS (SELECT mission_id, trace_index, count(*) AS n, count(DISTINCT hash) AS h FROM air GROUP BY 1, 2), u AS (SELECT mission_id, count(*) AS uid_conflicts FROM (SELECT mission_id, trace_uid FROM air GROUP BY ALL HAVING count(DISTINCT trace_index) > 1) GROUP BY 1)
+SELECT c.mission_id, CAST(sum(n) AS BIGINT) AS rows, count(*) AS indices, count(*) FILTER (h = 1 AND n > 1) AS duplicates, count(*) FILTER (h > 1) AS conflicts, max(trace_index) + 1 - count(*) AS missing, 0 AS unhashed, coalesce(any_value(u.uid_conflicts), 0) AS uid_conflicts FROM c LEFT JOIN u ON c.mission_id = u.mission_id GROUP BY 1""")
+def d2(spark, d):
+    return views.validation_summary(P.side(spark, d, "air"))
+
+
+@_query("D3_inventory_summary", f"""WITH {_RECONCILE}, i AS (SELECT mission_id, count(*) FILTER (kind IN ('consistent', 'gnss_diff')) AS matched, count(*) FILTER (kind = 'missing') AS missing, count(*) FILTER (kind = 'extra') AS extra, count(*) FILTER (kind = 'conflict') AS conflicts, count(*) FILTER (kind = 'gnss_diff') AS gnss_diffs FROM items GROUP BY 1),
+ca AS (SELECT mission_id, count(*) AS air_traces, count(*) FILTER (h = 1 AND n > 1) AS air_duplicates, count(*) FILTER (h > 1) AS x FROM (SELECT mission_id, trace_index, count(*) AS n, count(DISTINCT hash) AS h FROM air GROUP BY 1, 2) GROUP BY 1),
+cg AS (SELECT mission_id, count(*) AS ground_traces, count(*) FILTER (h = 1 AND n > 1) AS ground_duplicates, count(*) FILTER (h > 1) AS x FROM (SELECT mission_id, trace_index, count(*) AS n, count(DISTINCT hash) AS h FROM ground GROUP BY 1, 2) GROUP BY 1),
+ua AS (SELECT mission_id, count(*) AS u FROM (SELECT mission_id, trace_uid FROM air GROUP BY ALL HAVING count(DISTINCT trace_index) > 1) GROUP BY 1), ug AS (SELECT mission_id, count(*) AS u FROM (SELECT mission_id, trace_uid FROM ground GROUP BY ALL HAVING count(DISTINCT trace_index) > 1) GROUP BY 1)
+SELECT i.*, air_traces, air_duplicates, ca.x + coalesce(ua.u, 0) AS air_conflicts, ground_traces, ground_duplicates, cg.x + coalesce(ug.u, 0) AS ground_conflicts FROM i JOIN ca USING (mission_id) JOIN cg USING (mission_id) LEFT JOIN ua USING (mission_id) LEFT JOIN ug USING (mission_id)""")
+def d3(spark, d):
+    a, g = P.side(spark, d, "air"), P.side(spark, d, "ground")
+    return reconcile.summary(reconcile.reconcile(a, g), a, g)
+
+
+@_query("D4_coherent_mean", f"WITH {P.SAMPLES_SQL} SELECT channel, k, {_m('avg(re)')} AS re, {_m('avg(im)')} AS im, count(*) AS captures FROM s GROUP BY 1, 2")
+def d4(spark, d):
+    return dsp.coherent_mean(P.samples(spark, d)).select("channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"), "captures")
+
+
+@_query("D5_capture_quality", f"WITH {P.SAMPLES_SQL}, r AS (SELECT channel, k, avg(re) AS a, avg(im) AS b FROM s GROUP BY 1, 2), e AS (SELECT channel, sqrt((re - a) * (re - a) + (im - b) * (im - b)) AS e FROM s JOIN r USING (channel, k)) SELECT channel, {_m('sqrt(avg(e * e))')} AS rms, {_m('max(e)')} AS worst, count(*) AS n FROM e GROUP BY 1")
+def d5(spark, d):
+    s = P.samples(spark, d)
+    return dsp.capture_quality(s, dsp.coherent_mean(s)).select("channel", micro(F.col("rms")).alias("rms"), micro(F.col("worst")).alias("worst"), "n")
+
+
+@_query("D6_latency_metrics", f"WITH m AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, avg(value) FILTER (event_type <> 'error') AS mean, max(value) FILTER (event_type <> 'error') AS max, quantile_cont(value, 0.5) FILTER (event_type <> 'error') AS p50, quantile_cont(value, 0.95) FILTER (event_type <> 'error') AS p95, quantile_cont(value, 0.99) FILTER (event_type <> 'error') AS p99 FROM events GROUP BY 1) SELECT user_id, n, errors, {_m('errors / n')} AS error_rate, {_m('mean')} AS mean, {_m('max')} AS max, {_m('p50')} AS p50, {_m('p95')} AS p95, {_m('p99')} AS p99 FROM m")
+def d6(spark, d):
+    e = P.table(spark, d, "events").withColumn("failed", F.col("event_type") == "error")
+    m = timing.latency_metrics(e, "user_id", "value", "failed")
+    return m.select("user_id", "n", "errors", *(micro(F.col(c)).alias(c) for c in ("error_rate", "mean", "max", "p50", "p95", "p99")))
+
+
+@_query("D7_fingerprint", "WITH d AS (SELECT sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)) AS d FROM lineitem) SELECT count(*) AS rows, " + ", ".join(f"bit_xor(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT)) AS w{i}" for i in range(8)) + " FROM d")
+def d7(spark, d):
+    li = P.table(spark, d, "lineitem").select(*(F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")))
+    return provenance.fingerprint(li, "l_orderkey", "l_linenumber", "l_partkey")
+
+
+@_query("D8_missing_ranges", f"WITH {_AIR}, m AS (SELECT mission_id, max(trace_index) AS hi FROM air GROUP BY 1), g AS (SELECT mission_id, unnest(range(hi + 1)) AS t FROM m), x AS (SELECT g.* FROM g ANTI JOIN air a ON g.mission_id = a.mission_id AND g.t = a.trace_index), y AS (SELECT mission_id, t, t - row_number() OVER (PARTITION BY mission_id ORDER BY t) AS isl FROM x) SELECT mission_id, min(t) AS low, max(t) AS high FROM y GROUP BY mission_id, isl")
+def d8(spark, d):
+    return views.ranges(views.missing_indices(P.side(spark, d, "air")))
+
+
+@_query("D12_compatibility", "WITH c AS (SELECT l_suppkey AS subject, l_returnflag = 'R' AS hard, l_discount < 0.1 AS ok, l_linenumber FROM lineitem) SELECT subject, CASE WHEN NOT coalesce(bool_and(ok) FILTER (hard), true) THEN 'incompatible' WHEN NOT coalesce(bool_and(ok) FILTER (NOT hard), true) THEN 'warnings' ELSE 'compatible' END AS verdict FROM c GROUP BY 1")
+def d12(spark, d):
+    li = P.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("subject"), (F.col("l_returnflag") == "R").alias("hard"), (F.col("l_discount") < 0.1).alias("match"))
+    return reconcile.compatibility(li)
+
+
+# ---- windows
+
+
+@_query("E1_flat_reflection", f"WITH {P.SAMPLES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY channel, k ORDER BY trace_id) - 1 AS n, count(*) OVER (PARTITION BY channel, k) AS t, sum(re) OVER w AS sr, sum(im) OVER w AS si, first(re) OVER a AS fr, first(im) OVER a AS fi, last(re) OVER a AS lr, last(im) OVER a AS li FROM s WINDOW w AS (PARTITION BY channel, k ORDER BY trace_id ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING), a AS (PARTITION BY channel, k ORDER BY trace_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT trace_id, channel, k, {_m('re - (sr + greatest(0, 50 - n) * fr + greatest(0, n + 50 - t + 1) * lr) / 101')} AS re, {_m('im - (si + greatest(0, 50 - n) * fi + greatest(0, n + 50 - t + 1) * li) / 101')} AS im FROM n")
+def e1(spark, d):
+    return dsp.flat_reflection(P.samples(spark, d), 101).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"))
+
+
+@_query("E2_dewow", f"WITH {P.SAMPLES_SQL}, l AS (SELECT trace_id, channel, list(re ORDER BY k) AS r, list(im ORDER BY k) AS i FROM s GROUP BY 1, 2), o AS (SELECT *, unnest(range(16)) AS k FROM l), m AS (SELECT *, list_transform(range(-2, 3), lambda j: CASE WHEN k + j < 0 THEN -(k + j) WHEN k + j > 15 THEN 30 - (k + j) ELSE k + j END + 1) AS ix FROM o) SELECT trace_id, channel, k, {_m('r[k + 1] - list_sum(list_transform(ix, lambda x: r[x])) / 5')} AS re, {_m('i[k + 1] - list_sum(list_transform(ix, lambda x: i[x])) / 5')} AS im FROM m")
+def e2(spark, d):
+    return dsp.flat(dsp.dewow(P.samples(spark, d), 5)).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"))
+
+
+@_query("E3_window_samples", "WITH x AS (SELECT p_partkey, p_size / 2.0 AS ratio FROM part), y AS (SELECT p_partkey, greatest(1, CAST(round_even(ratio, 0) AS BIGINT)) AS n FROM x) SELECT p_partkey, CASE WHEN n + (CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END) BETWEEN 3 AND 21 THEN n + (CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END) END AS samples FROM y")
+def e3(spark, d):
+    n = F.greatest(F.lit(1).cast("long"), F.bround(F.col("p_size") / 2.0).cast("long"))
+    n = n + F.when(n % 2 == 0, 1).otherwise(0)
+    return P.table(spark, d, "part").select("p_partkey", F.when(n.between(3, 21), n).alias("samples"))
+
+
+@_query("E4_schedule", f"WITH {P.EVENTS_SQL} SELECT domain, sweep_id, started_ns - lag(started_ns) OVER w AS interval_ns, started_ns - lag(started_ns) OVER w - 60 * {_BIG} AS error_ns, greatest(0, finished_ns - started_ns - 60 * {_BIG}) AS overrun_ns FROM sweeps WINDOW w AS (PARTITION BY domain ORDER BY started_ns, sweep_id)")
+def e4(spark, d):
+    return timing.schedule(P.sweeps(spark, d), 60 * _NS).select("domain", "sweep_id", "interval_ns", "error_ns", "overrun_ns")
+
+
+@_query("E6_deadlines", f"WITH {P.EVENTS_SQL}, s AS (SELECT *, sum(CASE WHEN sweep_id % 50 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY started_ns, sweep_id) AS seg FROM sweeps) SELECT domain, sweep_id, first(started_ns) OVER w + (row_number() OVER w - 1) * 60 * {_BIG} AS deadline_ns FROM s WINDOW w AS (PARTITION BY domain, seg ORDER BY started_ns, sweep_id)")
+def e6(spark, d):
+    return timing.deadlines(P.sweeps(spark, d).withColumn("resumed", F.col("sweep_id") % 50 == 0), 60 * _NS).select("domain", "sweep_id", "deadline_ns")
+
+
+@_query("E7_replay_gaps", f"WITH {P.EVENTS_SQL} SELECT domain, sweep_id, coalesce(greatest(0, started_ns - lag(started_ns) OVER (PARTITION BY domain ORDER BY sweep_id)), 0) AS gap_ns FROM sweeps")
+def e7(spark, d):
+    s = P.sweeps(spark, d).select(F.col("domain").alias("mission_id"), F.col("sweep_id").alias("trace_index"), F.col("started_ns").alias("at_ns"))
+    return timing.replay_gaps(s).select(F.col("mission_id").alias("domain"), F.col("trace_index").alias("sweep_id"), "gap_ns")
+
+
+_HISTORY = "h AS (SELECT o_custkey AS dataset_id, o_orderkey AS ordinal, CASE o_orderkey % 3 WHEN 0 THEN 'calibration' WHEN 1 THEN 'ifft' ELSE 'dewow' END AS stage, CASE o_orderkey % 3 WHEN 0 THEN 'frequency_raw' WHEN 1 THEN 'frequency_calibrated' ELSE 'time_base' END AS source, CASE o_orderkey % 3 WHEN 0 THEN 'frequency_calibrated' WHEN 1 THEN 'time_base' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'frequency_raw' ELSE 'time_processed' END END AS target FROM orders)"
+
+
+@_query("E10_history_violations", f"WITH {_HISTORY}, x AS (SELECT *, NOT (source, target) IN (('frequency_raw', 'frequency_calibrated'), ('frequency_calibrated', 'time_base'), ('time_base', 'time_processed')) AS bad, source <> coalesce(lag(target) OVER (PARTITION BY dataset_id ORDER BY ordinal), 'frequency_raw') AS broken, row_number() OVER (PARTITION BY dataset_id, stage ORDER BY ordinal) > 1 AS again FROM h) SELECT dataset_id, ordinal, CASE WHEN bad THEN 'illegal_hop' WHEN broken THEN 'broken_link' ELSE 'repeated_stage' END AS violation FROM x WHERE bad OR broken OR again")
+def e10(spark, d):
+    k = F.col("o_orderkey") % 3
+    pick = lambda a, b, c: F.when(k == 0, a).when(k == 1, b).otherwise(c)
+    h = P.table(spark, d, "orders").select(F.col("o_custkey").alias("dataset_id"), F.col("o_orderkey").alias("ordinal"), pick("calibration", "ifft", "dewow").alias("stage"), pick("frequency_raw", "frequency_calibrated", "time_base").alias("source"), pick(F.lit("frequency_calibrated"), F.lit("time_base"), F.when(F.col("o_orderkey") % 5 == 0, "frequency_raw").otherwise("time_processed")).alias("target"))
+    return provenance.history_violations(h)
+
+
+# ---- paging, caches, sets, digests
+
+
+@_query("F1_page", f"WITH {_RECONCILE}, c AS (SELECT mission_id, trace_index FROM items WHERE kind = 'conflict' ORDER BY 1, 2 LIMIT 51 OFFSET 50) SELECT *, (SELECT count(*) FROM c) > 50 AS has_more FROM c ORDER BY 1, 2 LIMIT 50")
+def f1(spark, d):
+    return reconcile.page(reconcile.reconcile(P.side(spark, d, "air"), P.side(spark, d, "ground")), 1, 50, "conflict").select("mission_id", "trace_index", "has_more")
+
+
+@_query("F4_bounded_cache", f"WITH {P.EVENTS_SQL}, n AS (SELECT max(received_ns) AS now FROM fixes), r AS (SELECT domain, fix_id, row_number() OVER (PARTITION BY domain ORDER BY received_ns DESC, seq DESC) AS k FROM fixes, n WHERE received_ns >= now - CAST(86400 AS BIGINT) * {_BIG}) SELECT domain, fix_id FROM r WHERE k <= 256")
+def f4(spark, d):
+    f = P.fixes(spark, d)
+    now = f.agg(F.max("received_ns")).first()[0]
+    return match.bounded_cache(f, now, max_age_s=86400).select("domain", "fix_id")
+
+
+@_query("G1_union", f"WITH {_AIR}, {_GROUND} SELECT mission_id, trace_index, trace_uid FROM air UNION ALL SELECT mission_id, trace_index, trace_uid FROM ground")
+def g1(spark, d):
+    return P.side(spark, d, "air").unionByName(P.side(spark, d, "ground")).select("mission_id", "trace_index", "trace_uid")
+
+
+@_query("G2_excluded", f"WITH {_AIR}, {_AIRX} SELECT DISTINCT mission_id, trace_index FROM air EXCEPT SELECT mission_id, trace_index FROM air_l")
+def g2(spark, d):
+    a = P.side(spark, d, "air")
+    return a.select("mission_id", "trace_index").distinct().exceptAll(views.logical(a).select("mission_id", "trace_index"))
+
+
+def _hx(s: str) -> str:
+    return f"lpad(lower(printf('%x', {s})), 16, '0')"
+
+
+@_query("G3_canonical_hash", "SELECT c_custkey, sha256(unhex(hex(encode('TRACELAKE-RAW')) || '0000000000000001' || lpad(printf('%x', octet_length(encode(c_name))), 16, '0') || hex(encode(c_name)) || lpad(printf('%x', octet_length(encode(c_mktsegment))), 16, '0') || hex(encode(c_mktsegment)) || lpad(printf('%x', c_custkey), 16, '0') || '0000000000000001' || '0000000000000002' || hex(encode('s1')) || '0000000000000004' || 'AABB' || 'CCDD')) AS hash FROM customer")
+def g3(spark, d):
+    c = P.table(spark, d, "customer")
+    h = S.raw_trace_sha256("TRACELAKE-RAW", F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey"), F.array(F.lit("s1")), F.lit(4), F.unhex(F.lit("AABB")), F.unhex(F.lit("CCDD")))
+    return c.select("c_custkey", h.alias("hash"))
+
+
+# ---- scalar functions
+
+
+def _lines(spark, d):
+    e = P.table(spark, d, "events").select("event_id", F.col("event_id").alias("i"))
+    i = F.col("i")
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    body = F.concat_ws(",", F.lit("GPGGA"), F.concat(pad(i % 24, 2), pad(i % 60, 2), pad((i * 7) % 60, 2)), F.concat(pad(i % 90, 2), pad(i % 61, 2), F.lit(".5")), F.when(i % 2 == 0, "N").otherwise("S"), F.concat(pad(i % 180, 3), pad((i * 3) % 60, 2), F.lit(".25")), F.when(i % 13 == 0, "N").when(i % 3 == 0, "W").otherwise("E"), (i % 9).cast("string"), pad(i % 40, 2), F.lit("1.5"), F.lit("100.0"), F.lit("M"), F.lit("0.0"), F.lit("M"), F.lit(""), F.lit(""))
+    line = F.concat(F.lit("$"), body, F.lit("*"), F.when(i % 17 == 0, "00").otherwise(nmea.checksum(body)))
+    return e.select("event_id", line.alias("line"))
+
+
+_LINES = """x AS (SELECT event_id, event_id AS i FROM events), b AS (SELECT event_id, i, concat_ws(',', 'GPGGA', lpad(CAST(i % 24 AS VARCHAR), 2, '0') || lpad(CAST(i % 60 AS VARCHAR), 2, '0') || lpad(CAST((i * 7) % 60 AS VARCHAR), 2, '0'), lpad(CAST(i % 90 AS VARCHAR), 2, '0') || lpad(CAST(i % 61 AS VARCHAR), 2, '0') || '.5', CASE WHEN i % 2 = 0 THEN 'N' ELSE 'S' END, lpad(CAST(i % 180 AS VARCHAR), 3, '0') || lpad(CAST((i * 3) % 60 AS VARCHAR), 2, '0') || '.25', CASE WHEN i % 13 = 0 THEN 'N' WHEN i % 3 = 0 THEN 'W' ELSE 'E' END, CAST(i % 9 AS VARCHAR), lpad(CAST(i % 40 AS VARCHAR), 2, '0'), '1.5', '100.0', 'M', '0.0', 'M', '', '') AS body FROM x),
+c AS (SELECT *, list_reduce(list_transform(string_split(body, ''), lambda ch: ascii(ch)), lambda p, q: xor(p, q)) AS ck FROM b)"""
+
+
+@_query("H1_nmea", f"""WITH {_LINES}, r AS (SELECT event_id, i, CASE WHEN i % 17 = 0 AND ck <> 0 THEN 'bad_checksum' WHEN i % 61 = 60 THEN 'out_of_range' WHEN i % 13 = 0 THEN 'malformed_field' WHEN i % 9 IN (3, 7) THEN 'unsupported_fix_quality' END AS reason FROM c)
+SELECT event_id, reason, CASE WHEN reason IS NULL THEN 'GGA' END AS sentence, CASE WHEN reason IS NULL THEN ['invalid', 'gps_fix', 'dgps', NULL, 'rtk_fixed', 'rtk_float', 'estimated', NULL, 'simulated'][i % 9 + 1] END AS quality,
+CASE WHEN reason IS NULL AND i % 9 <> 0 THEN {_m("(i % 90 + (i % 61 + 0.5) / 60) * CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END")} END AS latitude, CASE WHEN reason IS NULL AND i % 9 <> 0 THEN {_m("(i % 180 + ((i * 3) % 60 + 0.25) / 60) * CASE WHEN i % 3 = 0 THEN -1 ELSE 1 END")} END AS longitude, CASE WHEN reason IS NULL THEN CAST(i % 40 AS INT) END AS satellites FROM r""")
+def h1(spark, d):
+    return nmea.parse(_lines(spark, d)).select("event_id", "reason", "sentence", "quality", micro(F.col("latitude")).alias("latitude"), micro(F.col("longitude")).alias("longitude"), "satellites")
+
+
+@_query("H2_checksum", f"WITH {_LINES} SELECT event_id, lpad(upper(printf('%x', ck)), 2, '0') AS checksum FROM c")
+def h2(spark, d):
+    return _lines(spark, d).select("event_id", nmea.checksum(F.expr("substring(line, 2, instr(line, '*') - 2)")).alias("checksum"))
+
+
+@_query("H10_instants", "SELECT event_id, epoch_us(ts) * 1000 AS ns, epoch_us(ts) AS us FROM events")
+def h10(spark, d):
+    ns = S.ns_of(F.col("ts"))
+    return P.table(spark, d, "events").select("event_id", ns.alias("ns"), F.unix_micros(S.ts_of(ns)).alias("us"))
+
+
+@_query("H15_edge_window", f"WITH k AS (SELECT unnest(range(0, 300)) AS k), f AS (SELECT k, k * 1e7 AS f FROM k) SELECT k, {_m('CASE WHEN f < 5e8 OR f > 25e8 THEN 0 WHEN f < 1e9 THEN pow(sin(pi() / 2 * (f - 5e8) / 5e8), 2) WHEN f <= 15e8 THEN 1 ELSE pow(sin(pi() / 2 * (25e8 - f) / 1e9), 2) END')} AS w FROM f")
+def h15(spark, d):
+    return spark.range(300).select(F.col("id").alias("k"), micro(S.edge_window(F.col("id") * 1e7, (0.5e9, 1e9, 1.5e9, 2.5e9))).alias("w"))
+
+
+@_query("H16_next_power", "SELECT p_partkey, CAST(pow(2, ceil(log2(p_partkey))) AS BIGINT) AS n FROM part WHERE p_partkey > 0")
+def h16(spark, d):
+    return P.table(spark, d, "part").where("p_partkey > 0").select("p_partkey", S.next_power_of_two(F.col("p_partkey")).alias("n"))
+
+
+@_query("H17_ratio", f"WITH {P.SAMPLES_SQL}, z AS (SELECT a.trace_id, a.k, a.re AS ar, a.im AS ai, b.re AS br, b.im AS bi, b.re * b.re + b.im * b.im AS q FROM s a JOIN s b ON a.trace_id = b.trace_id AND a.k = b.k AND a.channel = 0 AND b.channel = 1) SELECT trace_id, k, CASE WHEN q > 0.0001 THEN CAST(round((ar * br + ai * bi) / q * 1e4 + 0.0) AS BIGINT) END AS re, CASE WHEN q > 0.0001 THEN CAST(round((ai * br - ar * bi) / q * 1e4 + 0.0) AS BIGINT) END AS im FROM z")
+def h17(spark, d):
+    s = P.samples(spark, d)
+    a, b = (s.where(f"channel = {c}").select("trace_id", F.col("values").alias(f"v{c}")) for c in (0, 1))
+    q = F.transform(F.arrays_zip("v0", "v1"), lambda z: F.when(C.power(z["v1"]) > 0.0001, C.div(z["v0"], z["v1"])))
+    rows = a.join(b, "trace_id").select("trace_id", F.posexplode(q).alias("k", "r"))
+    return rows.select("trace_id", "k", F.round(F.col("r.re") * 1e4 + 0.0).cast("long").alias("re"), F.round(F.col("r.im") * 1e4 + 0.0).cast("long").alias("im"))
+
+
+@_query("H19_backoff", "SELECT p_partkey, least(0.5 * pow(2, p_size % 12), 30) AS wait FROM part")
+def h19(spark, d):
+    return P.table(spark, d, "part").select("p_partkey", S.backoff(F.col("p_size") % 12 + 1, 0.5, 2.0, 30.0).alias("wait"))
+
+
+@_query("H20_quality_reasons", _SQL["C1_nearest_fix"].replace("SELECT domain, sweep_id, fix_id, distance_ns, reason, reason IS NULL AS usable FROM v", "SELECT sweep_id, CASE reason WHEN 'stale' THEN 'gnss_stale' WHEN 'invalid' THEN 'gnss_invalid' WHEN 'no_fix' THEN 'gnss_no_fix' WHEN 'out_of_range' THEN 'gnss_no_fix' END AS quality, CASE WHEN reason IS NULL THEN 'valid' WHEN reason IN ('stale', 'invalid') THEN reason ELSE 'no_fix' END AS health FROM v"))
+def h20(spark, d):
+    m = match.nearest_fix(P.sweeps(spark, d), P.fixes(spark, d), stale_after_s=120, window_s=600)
+    return m.select("sweep_id", S.quality_reason(F.col("reason"), F.col("usable")).alias("quality"), S.health(F.col("reason"), F.col("usable")).alias("health"))
+
+
+@_query("H23_quantize", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS hz, CAST(round_even(o_totalprice * 10, 0) AS BIGINT) AS tenths FROM orders")
+def h23(spark, d):
+    return P.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("long").alias("hz"), F.bround(F.col("o_totalprice") * 10).cast("long").alias("tenths"))
+
+
+@_query("H24_timeout", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE greatest(2.0, 501.0 * 2 / greatest(p_size, 1) * 0.1) END AS timeout_s FROM part")
+def h24(spark, d):
+    explicit = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("double"))
+    return P.table(spark, d, "part").select("p_partkey", F.coalesce(explicit, F.greatest(F.lit(2.0), F.lit(501.0) * 2 / F.greatest("p_size", F.lit(1)) * 0.1)).alias("timeout_s"))
+
+
+# ---- signal processing
+
+
+def _standards(spark, d):
+    rows = dsp.flat(P.samples(spark, d)).where("trace_id < 3")
+    name = F.element_at(F.array(F.lit("open"), F.lit("short"), F.lit("load")), (F.col("trace_id") + 1).cast("int"))
+    ideal = F.element_at(F.array(*(C.cx(F.lit(x), F.lit(y)) for x, y in ((1.0, 0.1), (-1.0, 0.1), (0.0, 0.02)))), (F.col("trace_id") + 1).cast("int"))
+    return rows.select("channel", "k", name.alias("standard"), F.struct("re", "im").alias("measured"), ideal.alias("actual"))
+
+
+@_query("I1_solve_terms")
+def i1(spark, d):
+    t = dsp.solve_terms(_standards(spark, d))
+    return t.select("channel", "k", "ok", *(micro(F.col(f"{x}.{p}")).alias(f"{x}_{p}") for x in "DTS" for p in ("re", "im")))
+
+
+@_query("I2_calibration_round_trip", f"WITH {P.SAMPLES_SQL} SELECT channel, k, trace_id, true AS exact FROM s WHERE trace_id < 3")
+def i2(spark, d):
+    """Standards corrected by the terms solved from them are the ideal standards again."""
+    st = _standards(spark, d)
+    s = P.samples(spark, d).where("trace_id < 3")
+    got = dsp.flat(dsp.apply_terms(s, dsp.solve_terms(st)))
+    ideal = F.element_at(F.array(*(C.cx(F.lit(x), F.lit(y)) for x, y in ((1.0, 0.1), (-1.0, 0.1), (0.0, 0.02)))), (F.col("trace_id") + 1).cast("int"))
+    return got.select("channel", "k", "trace_id", (C.magnitude(C.sub(F.struct("re", "im"), ideal)) < 1e-6).alias("exact"))
+
+
+@_query("I3_background", f"WITH {P.SAMPLES_SQL}, r AS (SELECT channel, k, avg(re) AS a, avg(im) AS b FROM s GROUP BY 1, 2) SELECT trace_id, channel, k, {_m('re - a')} AS re, {_m('im - b')} AS im FROM s JOIN r USING (channel, k)")
+def i3(spark, d):
+    s = P.samples(spark, d)
+    return dsp.flat(dsp.subtract_background(s, dsp.coherent_mean(s))).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"))
+
+
+_WEIGHT = "CASE WHEN f < 5e8 OR f > 25e8 THEN 0 WHEN f < 1e9 THEN pow(sin(pi() / 2 * (f - 5e8) / 5e8), 2) WHEN f <= 15e8 THEN 1 ELSE pow(sin(pi() / 2 * (25e8 - f) / 1e9), 2) END"
+_EDGES = (0.5e9, 1.0e9, 1.5e9, 2.5e9)
+
+
+@_query("I4_bandpass", f"WITH {P.SAMPLES_SQL}, f AS (SELECT *, 520000000 + k * 1e8 AS f FROM s) SELECT trace_id, channel, k, {_m(f're * ({_WEIGHT})')} AS re, {_m(f'im * ({_WEIGHT})')} AS im FROM f")
+def i4(spark, d):
+    return dsp.flat(dsp.bandpass(P.samples(spark, d), P.F0, P.DF, _EDGES, P.POINTS)).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"))
+
+
+def _dft(source: str, n: int) -> str:
+    """The inverse transform as a sum: bins from the first one on, and the ramp of the offset."""
+    return f"""t AS (SELECT unnest(range({n})) AS j), e AS (SELECT trace_id, channel, j, sum(re * cos(2 * pi() * (k + 5) * j / {n}) - im * sin(2 * pi() * (k + 5) * j / {n})) / {n} AS re, sum(re * sin(2 * pi() * (k + 5) * j / {n}) + im * cos(2 * pi() * (k + 5) * j / {n})) / {n} AS im FROM {source}, t GROUP BY 1, 2, 3),
+y AS (SELECT trace_id, channel, j AS k, re * cos(2 * pi() * 2e7 * j / ({n} * 1e8)) - im * sin(2 * pi() * 2e7 * j / ({n} * 1e8)) AS re, re * sin(2 * pi() * 2e7 * j / ({n} * 1e8)) + im * cos(2 * pi() * 2e7 * j / ({n} * 1e8)) AS im FROM e)"""
+
+
+@_query("I5_ifft", f"WITH {P.SAMPLES_SQL}, {_dft('s', 64)} SELECT trace_id, channel, k, {_m('re')} AS re, {_m('im')} AS im FROM y")
+def i5(spark, d):
+    return dsp.flat(dsp.ifft(P.samples(spark, d), P.F0, P.DF, 2)).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"))
+
+
+@_query("B1_time_crop", f"WITH {P.SAMPLES_SQL}, {_dft('s', 64)} SELECT trace_id, channel, k - 7 AS k, {_m('re')} AS re FROM y WHERE k / (64 * 1e8) >= 1e-9 AND k / (64 * 1e8) <= 4e-9")
+def b1(spark, d):
+    x = dsp.ifft(P.samples(spark, d), P.F0, P.DF, 2)
+    return dsp.flat(dsp.time_crop(x, 1 / (64 * P.DF), 1e-9, 4e-9, 64)).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"))
+
+
+@_query("I8_chain")
+def i8(spark, d):
+    """The whole chain with background, band-pass, transform, dewow and flat reflection."""
+    s = P.samples(spark, d)
+    p = chain.Profile(P.F0, P.DF, P.POINTS, _EDGES, 16, dewow_s=4e-9, traces=101)
+    return dsp.flat(chain.process(s, p, background=dsp.coherent_mean(s)).rows).groupBy("trace_id", "channel").agg(F.count("*").alias("samples"), F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) * 1e4).cast("long").alias("energy"))
+
+
+# ---- streams
+
+
+@_query("J1_packets", "SELECT event_id AS stream, 0 AS n, CAST(1 + event_id % 5 AS INT) AS kind, lower(hex(encode(event_type))) AS payload FROM events WHERE event_id % 20 <> 0")
+def j1(spark, d):
+    """Packets made of events, between noise, cut in two chunks; every twentieth has a broken checksum."""
+    e = P.table(spark, d, "events").select("event_id", "event_type")
+    body = F.concat(F.unhex(F.lit("5A")), F.unhex(F.lpad(F.hex((F.length("event_type") + 8).cast("long")), 2, "0")), F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex((F.col("event_id") % 5 + 1).cast("long")), 2, "0")), F.col("event_type").cast("binary"))
+    crc = F.lpad(F.hex(F.crc32("b") + F.when(F.col("event_id") % 20 == 0, 1).otherwise(0)), 8, "0")
+    flip = F.concat(*(F.substring("c", i, 2) for i in (7, 5, 3, 1)))
+    rows = e.withColumn("b", body).withColumn("c", crc).withColumn("p", F.concat(F.unhex(F.lit("00FF")), F.col("b"), F.unhex(flip)))
+    half = rows.select(F.col("event_id").alias("stream"), F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.expr("substring(p, 1, 7)").alias("data")), F.struct(F.lit(1).alias("seq"), F.expr("substring(p, 8, 100)").alias("data")))).alias("x")).select("stream", "x.seq", "x.data")
+    return frames.packets(half).select("stream", F.col("n").cast("int").alias("n"), "kind", F.lower(F.hex("payload")).alias("payload"))
+
+
+_POINTS = "p AS (SELECT user_id AS stream, event_id AS n, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 7 + CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END AS point FROM events)"
+
+
+@_query("J4_sweeps", f"WITH {_POINTS}, s AS (SELECT *, sum(CASE WHEN point = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY n) AS sweep FROM p), q AS (SELECT *, row_number() OVER (PARTITION BY stream, sweep ORDER BY n) - 1 AS at FROM s WHERE sweep > 0) SELECT stream, CAST(sweep AS BIGINT) AS sweep, min(n) AS first_n, count(*) AS points, count(*) >= 5 AND count(*) FILTER (at < 5 AND point <> at) = 0 AS complete FROM q GROUP BY 1, 2")
+def j4(spark, d):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    p = P.table(spark, d, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("n"), (n % 7 + F.when(F.col("event_id") % 31 == 0, 1).otherwise(0)).alias("point"))
+    return frames.sweeps(p, 5)
+
+
+@_query("J7_health", """WITH e AS (SELECT user_id AS stream, epoch_us(ts) * 1000 AS at, event_id AS seq, CASE event_type WHEN 'signup' THEN 'connect' WHEN 'purchase' THEN 'valid' WHEN 'error' THEN 'invalid' WHEN 'view' THEN 'sentence' ELSE 'tick' END AS kind FROM events),
+l AS (SELECT *, sum(CASE WHEN kind = 'connect' THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY at, seq) AS link FROM e),
+f AS (SELECT *, max(CASE WHEN kind = 'valid' THEN at END) OVER w AS fix, last(CASE WHEN kind IN ('invalid', 'valid', 'sentence') THEN kind = 'invalid' END IGNORE NULLS) OVER w AS bad, max(CASE WHEN kind IN ('invalid', 'valid', 'sentence') THEN 1 ELSE 0 END) OVER w AS seen FROM l WHERE link > 0 WINDOW w AS (PARTITION BY stream, link ORDER BY at, seq))
+SELECT stream, seq, CASE WHEN fix IS NOT NULL THEN CASE WHEN at - fix > CAST(36000 AS BIGINT) * 1000000000 THEN 'stale' ELSE 'valid' END WHEN bad THEN 'invalid' WHEN seen = 1 THEN 'no_fix' ELSE 'no_sentence' END AS state FROM f""")
+def j7(spark, d):
+    k = F.element_at(F.create_map(*(F.lit(x) for kv in (("signup", "connect"), ("purchase", "valid"), ("error", "invalid"), ("view", "sentence"), ("click", "tick")) for x in kv)), F.col("event_type"))
+    e = P._events(spark, d).select(F.col("user_id").alias("stream"), "at", F.col("event_id").alias("seq"), k.alias("kind"))
+    return frames.health(e, 36000 * _NS).select("stream", "seq", "state")
+
+
+@_query("J14_capture_steps", "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) SELECT event_id, user_id, n // 5 AS step FROM r WHERE n // 5 < 6")
+def j14(spark, d):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return P.table(spark, d, "events").select("event_id", "user_id", F.floor(n / 5).cast("long").alias("step")).where("step < 6")
+
+
+@_query("J16_publishable", "SELECT o_orderkey, o_custkey FROM orders JOIN (SELECT o_custkey, max(o_orderkey % 3) AS m FROM orders GROUP BY 1) USING (o_custkey) WHERE o_orderkey % 3 = m")
+def j16(spark, d):
+    o = P.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("dataset_id"), (F.col("o_orderkey") % 3).alias("revision"))
+    return provenance.publishable(o, o).select("o_orderkey", F.col("dataset_id").alias("o_custkey"))
+
+
+@_query("L9_metadata_upsert", "SELECT c_custkey AS trace_id, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 'new' END ELSE 'old' END AS hash, c_custkey % 3 <> 0 AND c_custkey % 4 = 0 AS refused FROM customer")
+def l9(spark, d):
+    c = P.table(spark, d, "customer")
+    stored = c.select(F.col("c_custkey").alias("trace_id"), F.when(F.col("c_custkey") % 3 != 0, "old").alias("hash"), F.col("c_name").alias("fact"))
+    new = c.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("trace_id"), F.lit("new").alias("hash"), F.col("c_name").alias("fact"))
+    return provenance.metadata_upsert(stored, new).select("trace_id", "hash", "refused")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

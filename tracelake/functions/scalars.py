@@ -15,7 +15,7 @@ def ns_of(ts: Column) -> Column:
 
 def ts_of(ns: Column) -> Column:
     """The timestamp of nanoseconds; null unless they are whole microseconds."""
-    return F.when(ns % 1000 == 0, F.timestamp_micros(F.floor(ns / 1000).cast("long")))
+    return F.when(ns % 1000 == 0, F.timestamp_micros(F.call_function("div", ns, F.lit(1000))))
 
 
 def present_mask(*columns: Column) -> Column:
@@ -58,7 +58,7 @@ def edge_window(f: Column, edges: tuple[float, float, float, float]) -> Column:
 
 
 def next_power_of_two(n: Column) -> Column:
-    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(n - 1)).cast("int")))
+    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n - 1))))
 
 
 def steps(axis: Column) -> Column:

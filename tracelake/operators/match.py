@@ -29,7 +29,7 @@ def nearest_fix(sweeps: DataFrame, fixes: DataFrame, *, stale_after_s: float, wi
         return s.select(*sweeps.columns, F.lit(None).cast("long").alias("fix_id"), F.lit(None).cast("long").alias("distance_ns"), F.lit(False).alias("usable"), F.lit("clock_unavailable").alias("reason"))
     first = fixes.groupBy("domain", "received_ns").agg(F.min_by(F.struct("fix_id", "valid"), "seq").alias("f")).select("domain", F.col("received_ns").alias("at"), "f.fix_id", "f.valid")
     size = bucket_s * NS
-    bucket = F.floor(F.col("at") / size).cast("long")
+    bucket = F.call_function("div", F.col("at"), F.lit(size))
     # the last fix before and the first after a bucket stand in for all that lie beyond it
     ends = first.groupBy("domain", bucket.alias("bucket")).agg(F.min(F.struct("at", "fix_id", "valid")).alias("lo"), F.max(F.struct("at", "fix_id", "valid")).alias("hi"))
     buckets = s.select("domain", bucket.alias("bucket")).distinct().join(ends, ["domain", "bucket"], "full_outer")

@@ -178,12 +178,13 @@ def _sets(size: int):
 def boundary(sets: DataFrame, subset: int = 2) -> int:
     """The set size from which scanning inverted lists is cheaper than enumerating subsets.
 
-    ``sets`` has n, ``light`` (shingles that a subset can hold) and ``scan`` (summed lengths of the set's lists).
+    ``sets`` has n, ``light`` (shingles that a subset can hold) and ``scan``: a list's length, or the number of sets that
+    each of its sets is compared with where that is less. A subset costs two, for being made and for being grouped.
     Costs are summed by size class (powers of 1.25, so a bounded number of rows); the boundary is the size
     class at which the subsets of all smaller sets and the scans of all others are least together.
     """
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    rows = sets.groupBy(step.alias("k")).agg(F.sum(F.col("light").cast("double") * (F.col("light") - 1) / 2).alias("light"), F.sum("scan").alias("scan"), F.min("n").alias("n")).orderBy("k").collect()
+    rows = sets.groupBy(step.alias("k")).agg(F.sum(F.col("light").cast("double") * (F.col("light") - 1)).alias("light"), F.sum("scan").alias("scan"), F.min("n").alias("n")).orderBy("k").collect()
     best, at = sum(r.scan for r in rows), 0
     for i in range(len(rows)):
         cost = sum(r.light for r in rows[: i + 1]) + sum(r.scan for r in rows[i + 1 :])
@@ -200,7 +201,7 @@ def links_of(sets: DataFrame, scratch: Scratch, *, percent: int = 80) -> DataFra
     first = F.col("n") - needed(F.col("n"), percent) - (F.col("n") - F.size("own"))  # of the shared ones, without the c more
     prefix = flat.join(df, "token").groupBy("doc_id", "n").agg(own.alias("own")).withColumn("p", first).where("p + 1 > 0")
     prefix = prefix.select("doc_id", "n", F.size("own").cast("long").alias("shared"), F.slice("own", 1, (F.col("p") + 2).cast("int")).alias("own"), "p")
-    scan = F.aggregate(F.slice("own", 1, (F.col("p") + 1).cast("int")), F.lit(0).cast("long"), lambda x, y: x + y["df"])
+    scan = F.aggregate(F.slice("own", 1, (F.col("p") + 1).cast("int")), F.lit(0).cast("long"), lambda x, y: x + F.least(y["df"], F.lit(FIRST_PIVOTS)))
     prefix = scratch.keep(prefix.select("doc_id", "n", "p", "shared", F.transform("own", lambda x: x["token"]).alias("own"), F.size("own").cast("long").alias("light"), scan.alias("scan")), "prefix")
     x = boundary(prefix)
 

@@ -251,9 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1); null and empty texts have the score of a text without hits. Every other column stays."""
-    docs = docs.drop("score")
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a score (0 to 1); null and empty texts have the score of a text without hits. Every column but one of that name stays."""
+    docs = docs.drop(name)
     coef = np.array(model.coef)
 
     text_at = docs.columns.index("text")
@@ -263,9 +263,9 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             x = np.array([scorer.features(t) for t in batch.column(text_at).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
             score = 1 / (1 + np.exp(-np.clip(x @ coef[:-1] + coef[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; nulls and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return with_score(docs, fit(docs, labels)).where("score < 0.5").select(docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, fit(docs, labels), name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

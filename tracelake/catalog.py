@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import complexes as C
 from .functions import nmea
 from .functions import scalars as S
-from .operators import match, reconcile, timing
+from .operators import constraints, match, reconcile, timing
 from .plans import chain, dsp, provenance
 from .sources import projections as P
 from .sources import sinks, views
@@ -562,6 +562,158 @@ def l9(spark, d):
     return provenance.metadata_upsert(stored, new).select("trace_id", "hash", "refused")
 
 
+# ---- more of the inventory
+
+
+@_query("A10_legacy_union", "SELECT event_id AS trace_index, user_id AS generation, 2 AS version FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, NULL, 1 FROM events WHERE event_type = 'view'")
+def a10(spark, d):
+    """A legacy table lacks columns; they stay missing."""
+    e = P.table(spark, d, "events")
+    new = e.where("event_type = 'click'").select(F.col("event_id").alias("trace_index"), F.col("user_id").alias("generation"), F.lit(2).alias("version"))
+    return new.unionByName(e.where("event_type = 'view'").select(F.col("event_id").alias("trace_index"), F.lit(1).alias("version")), allowMissingColumns=True)
+
+
+@_query("A16_partial_inspection", f"WITH {_AIR}, {P.MISSIONS_SQL} SELECT a.mission_id, count(*) AS stored, count(*) FILTER (record_position >= committed_record_count) AS tail_rows, max(record_position) AS last FROM air a JOIN missions USING (mission_id) GROUP BY 1")
+def a16(spark, d):
+    t = P.side(spark, d, "air").join(P.missions(spark, d), "mission_id")
+    return t.groupBy("mission_id").agg(F.count("*").alias("stored"), F.count_if(F.col("record_position") >= F.col("committed_record_count")).alias("tail_rows"), F.max("record_position").alias("last"))
+
+
+@_query("A20_simulated_source")
+def a20(spark, d):
+    """Noise of a hash under a falling envelope: the same whatever the partitioning."""
+    u = lambda k: (F.pmod(F.xxhash64("trace_id", "channel", "k", F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30)
+    g = F.sqrt(-2 * F.log(u(0)))
+    rows = spark.range(50).select(F.col("id").alias("trace_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("channel")).select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    env = 1 / (1 + F.pow((F.col("k") + 1) / 16.0, 2))
+    return rows.select("trace_id", "channel", "k", micro(g * F.cos(2 * F.pi() * u(1)) * env).alias("re"), micro(g * F.sin(2 * F.pi() * u(1)) * env).alias("im"))
+
+
+@_query("A21_replay_gate", f"WITH {_AIR}, c AS (SELECT mission_id, trace_index, count(DISTINCT hash) AS h FROM air GROUP BY 1, 2), u AS (SELECT DISTINCT mission_id FROM (SELECT mission_id, trace_uid FROM air GROUP BY ALL HAVING count(DISTINCT trace_index) > 1)) SELECT mission_id, 'conflicts' AS reason FROM (SELECT mission_id FROM c WHERE h > 1 UNION SELECT mission_id FROM u)")
+def a21(spark, d):
+    return constraints.replay_refusals(views.validation_summary(P.side(spark, d, "air")))
+
+
+@_query("B2_filter_kind", f"WITH {_RECONCILE} SELECT mission_id, trace_index FROM items WHERE kind = 'gnss_diff'")
+def b2(spark, d):
+    return reconcile.reconcile(P.side(spark, d, "air"), P.side(spark, d, "ground")).where("kind = 'gnss_diff'").select("mission_id", "trace_index")
+
+
+@_query("B7_trace_constraints", "WITH t AS (SELECT o_orderkey AS k, o_orderkey % 7 = 0 AS utc, o_orderkey % 11 = 0 AS mono, o_orderkey % 13 = 0 AS iv, o_orderkey % 17 = 0 AS rs, o_orderkey % 19 = 0 AS hs FROM orders) SELECT k AS trace_index, 'utc_order' AS rule FROM t WHERE utc UNION ALL SELECT k, 'mono_order' FROM t WHERE mono UNION ALL SELECT k, 'interval' FROM t WHERE iv AND k <> 0 UNION ALL SELECT k, 'reasons' FROM t WHERE rs UNION ALL SELECT k, 'hash' FROM t WHERE hs")
+def b7(spark, d):
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    off = lambda m: k % m == 0
+    t = P.table(spark, d, "orders").select(
+        k.alias("trace_index"), at.alias("started_utc"), F.when(off(7), at - F.expr("interval 1 second")).otherwise(at).alias("midpoint_utc"), at.alias("finished_utc"),
+        k.alias("started_mono_ns"), (k + 1).alias("midpoint_mono_ns"), F.when(off(11), k).otherwise(k + 2).alias("finished_mono_ns"), F.when(~off(13), 1.0).alias("actual_interval_s"),
+        F.lit("nominal").alias("quality_status"), F.when(off(17), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("quality_reasons"), F.when(off(19), "zz").otherwise(F.sha2(k.cast("string"), 256)).alias("hash"),
+    )
+    return constraints.violations(t, ["trace_index"], constraints.trace_rules())
+
+
+@_query("B8_fix_constraints", "WITH f AS (SELECT event_id, (event_id % 200) - 95.0 AS la, (event_id % 400) - 195.0 AS lo, event_type <> 'error' AS v FROM events) SELECT event_id, 'latitude' AS rule FROM f WHERE la NOT BETWEEN -90 AND 90 UNION ALL SELECT event_id, 'longitude' FROM f WHERE lo NOT BETWEEN -180 AND 180 UNION ALL SELECT event_id, 'valid_has_position' FROM f WHERE NOT v")
+def b8(spark, d):
+    i = F.col("event_id")
+    f = P.table(spark, d, "events").select(i, (i % 200 - 95.0).alias("latitude"), (i % 400 - 195.0).alias("longitude"), F.lit(1.0).alias("hdop"), F.lit(5).alias("satellites"), (F.col("event_type") != "error").alias("valid"), F.when(F.col("event_type") == "error", "no_fix").alias("invalid_reason"))
+    return constraints.violations(f, ["event_id"], constraints.fix_rules())
+
+
+@_query("B11_axis_gate", f"WITH a AS (SELECT vec_id, {_AXIS} AS x FROM embeddings) SELECT vec_id FROM a WHERE list_max(list_transform(range(16), lambda i: abs(x[i + 1] - (520000000 + i * 1e8)))) <= 60")
+def b11(spark, d):
+    planned = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.lit(520000000) + i * 100000000).cast("double"))
+    return constraints.axis_gate(_axes(spark, d).withColumn("planned", planned), "planned", "axis", 60.0).select("vec_id")
+
+
+@_query("C8_visible_traces", f"WITH {_AIR}, {_AIRX} SELECT mission_id, trace_index, record_position FROM air ANTI JOIN air_x USING (mission_id, trace_index)")
+def c8(spark, d):
+    a = P.side(spark, d, "air")
+    return a.join(views.excluded_indices(a), ["mission_id", "trace_index"], "left_anti").select("mission_id", "trace_index", "record_position")
+
+
+@_query("C12_field_list", "SELECT a.c_custkey, array_to_string(list_filter([CASE WHEN a.c_name <> b.c_name THEN 'name' END, CASE WHEN a.c_mktsegment IS DISTINCT FROM b.c_mktsegment THEN 'segment' END], lambda x: x IS NOT NULL), ', ') AS fields FROM customer a JOIN (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE c_name END AS c_name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer) b USING (c_custkey)")
+def c12(spark, d):
+    c = P.table(spark, d, "customer")
+    other = {"name": F.when(F.col("c_custkey") % 3 == 0, "x").otherwise(F.col("c_name")), "segment": F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment"))}
+    return c.select("c_custkey", reconcile.diff_fields({"name": F.col("c_name"), "segment": F.col("c_mktsegment")}, other).alias("fields"))
+
+
+@_query("D9_reader_counters", f"WITH {_LINES}, r AS (SELECT event_id % 10 AS reader, i % 17 = 0 AND ck <> 0 AS bad FROM c) SELECT reader, count(*) AS lines, count(*) FILTER (bad) AS bad_checksum FROM r GROUP BY 1")
+def d9(spark, d):
+    p = nmea.parse(_lines(spark, d)).withColumn("reader", F.col("event_id") % 10)
+    return p.groupBy("reader").agg(F.count("*").alias("lines"), F.count_if(F.col("reason") == "bad_checksum").alias("bad_checksum"))
+
+
+@_query("D10_config_facts", f"WITH a AS (SELECT vec_id, {_AXIS} AS x FROM embeddings) SELECT vec_id, (x[16] - x[1]) / 15 AS step, {_m('1e9 / ((x[16] - x[1]) / 15)')} AS period_ns, x[16] - x[1] AS bandwidth FROM a")
+def d10(spark, d):
+    f = constraints.config_facts(_axes(spark, d), "axis")
+    return f.select("vec_id", "step", micro(F.col("period") * 1e9).alias("period_ns"), "bandwidth")
+
+
+@_query("D11_step_facts", f"WITH {_STEPS} SELECT vec_id, md AS step, er AS worst FROM m")
+def d11(spark, d):
+    step, worst = S.step_error(F.col("axis"))
+    return _axes(spark, d).select("vec_id", step.alias("step"), worst.alias("worst"))
+
+
+@_query("E8_first_of_duplicates", f"WITH {_GROUND} SELECT mission_id, trace_index, min(record_position) AS record_position FROM ground GROUP BY 1, 2")
+def e8(spark, d):
+    n = F.row_number().over(Window.partitionBy("mission_id", "trace_index").orderBy("record_position"))
+    return P.side(spark, d, "ground").withColumn("n", n).where("n = 1").select("mission_id", "trace_index", "record_position")
+
+
+@_query("F5_argmin", "SELECT l_suppkey, arg_min({'o': l_orderkey, 'l': l_linenumber}, {'d': abs(l_quantity - 25), 'o': l_orderkey, 'l': l_linenumber}).o AS l_orderkey FROM lineitem GROUP BY 1")
+def f5(spark, d):
+    li = P.table(spark, d, "lineitem")
+    return li.groupBy("l_suppkey").agg(F.min_by("l_orderkey", F.struct(F.abs(F.col("l_quantity") - 25), "l_orderkey", "l_linenumber")).alias("l_orderkey"))
+
+
+@_query("G9_manifest", "SELECT page_id, sha256(html) AS digest, strlen(html) AS bytes FROM pages")
+def g9(spark, d):
+    return P.table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+
+
+@_query("H7_combine_utc", "WITH x AS (SELECT event_id, CAST(date '2024-02-28' + CAST(event_id % 3 AS INT) AS DATE) AS dt, (event_id * 977) % 86400 AS r, (event_id * 4099) % 86400 AS g FROM events) SELECT event_id, epoch_us(dt + INTERVAL 1 DAY * CASE WHEN g - r < -43200 THEN 1 WHEN g - r > 43200 THEN -1 ELSE 0 END) + g * 1000000 AS us FROM x")
+def h7(spark, d):
+    i = F.col("event_id")
+    day = F.date_add(F.lit("2024-02-28").cast("date"), (i % 3).cast("int"))
+    return P.table(spark, d, "events").select(i, F.unix_micros(nmea.combine_utc(day, ((i * 977) % 86400).cast("double"), ((i * 4099) % 86400).cast("double"))).alias("us"))
+
+
+@_query("H13_json", "SELECT event_id, json_valid(p) AS valid FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN left(props, length(props) - 1) ELSE props END AS p FROM events)")
+def h13(spark, d):
+    p = F.when(F.col("event_id") % 5 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    return P.table(spark, d, "events").select("event_id", F.try_parse_json(p).isNotNull().alias("valid"))
+
+
+@_query("H22_midpoint", f"WITH {P.EVENTS_SQL} SELECT sweep_id, (started_ns + finished_ns) // 2 AS mid FROM sweeps")
+def h22(spark, d):
+    return P.sweeps(spark, d).select("sweep_id", S.midpoint(F.col("started_ns"), F.col("finished_ns")).alias("mid"))
+
+
+@_query("J2_datapoints", "SELECT vec_id AS stream, 0 AS n, label AS point, 1000000 + vec_id AS frequency, label <> 9 AS whole, " + _m("embedding[1]") + " AS re, " + _m("embedding[2]") + " AS im FROM (SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE label END AS label, embedding FROM embeddings) WHERE label IS NOT NULL AND label <> 9")
+def j2(spark, d):
+    """Payloads of one receiver made of ``embeddings``; every ninth is cut short and label 9 left out, and malformed ones are dropped."""
+    import struct
+
+    import pandas as pd
+
+    def make(batches):
+        for b in batches:
+            p = [struct.pack("<QhH", 1_000_000 + i, 0, q) + struct.pack("<ffB", e[0], e[1], 33) for i, q, e in zip(b["vec_id"], b["label"], b["embedding"], strict=True)]
+            yield pd.DataFrame({"stream": b["vec_id"], "n": 0, "payload": [x[:-1] if i % 9 == 0 else x for i, x in zip(b["vec_id"], p, strict=True)]})
+
+    rows = P.table(spark, d, "embeddings").where("label <> 9").mapInPandas(make, "stream long, n long, payload binary")
+    got = frames.datapoints(rows).where("not malformed")
+    r = F.get("receivers", F.lit(0))
+    return got.select("stream", F.col("n").cast("int").alias("n"), "point", "frequency", (F.size("receivers") == 1).alias("whole"), micro(r["re"].cast("double")).alias("re"), micro(r["im"].cast("double")).alias("im"))
+
+
+@_query("J15_background_capture", f"WITH {P.SAMPLES_SQL} SELECT channel, k, {_m('avg(re)')} AS re, {_m('avg(im)')} AS im, count(*) AS captures FROM s WHERE trace_id < 12 GROUP BY 1, 2")
+def j15(spark, d):
+    """The reference is the mean of the first twelve captures."""
+    return dsp.coherent_mean(P.samples(spark, d).where("trace_id < 12")).select("channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"), "captures")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 #: Bounds: labelled rows to learn from, terms of the lexicon.
 LABELLED_ROWS, TERMS = 20_000, 400
 #: A term needs this log odds ratio, and this share of the toxic texts (three texts at least).
-LOG_ODDS, SUPPORT = 3.5, 0.002
+LOG_ODDS, SUPPORT = 3.5, 0.01
 #: Tokens on each side of a hit that make its window.
 WINDOW = 10
 #: Tokens: runs of letters and digits; quotation marks count by themselves.

@@ -130,6 +130,23 @@ def test_jaccard_against_all_pairs(spark, monkeypatch):
         assert {tuple(r) for r in jaccard_join.jaccard_components(df).collect()} == want
 
 
+def test_profile_counts_shared_shingles(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcd", k=rng.choice((0, 3, 7, 9)))) for _ in range(60)] + [" ".join(rng.choices("abcdefghij", k=40)) for _ in range(20)]
+    texts += texts[60:65]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    of = Counter(x for s in set(sets) for x in s)
+    want = [(i, len(s), sum(of[x] > 1 for x in s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for buckets, block in ((1, 1 << 20), (7, 200), (500, 1)):
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", block)
+        got = jaccard_join.profile(df, buckets=buckets)
+        assert sorted((r.doc_id, r.n, r.common) for r in got.collect()) == want
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = rows(jaccard_join.jaccard_components(odd))
     named = {(i, t) for i, t, *_ in ODD if i is not None}

@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .textops import IS_SPACE_WORD, LOWER, byte_blocks, mix, prefix_hash, segments, span_hash, window_hash, words
+from .textops import BLOCK_BYTES, IS_SPACE_WORD, LOWER, byte_blocks, mix, prefix_hash, segments, span_hash, window_hash, words
 
 #: Text bytes for each hash bucket of the profile: about two million shingles.
 BUCKET_BYTES = 12_000_000
+#: Beyond so many buckets they grow instead, and blocks of documents with them, so that a message keeps several shingles.
+MANY_BUCKETS, LARGE_BUCKET_BYTES = 4096, 300_000_000
 #: Sets of each list that are compared with all others in the first round, and how many times more in each next one.
 FIRST_PIVOTS, MORE_PIVOTS = 4, 8
 
@@ -69,7 +71,7 @@ def _digests(values: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, two
 
 
-def _send(size: int, buckets: int):
+def _send(words_in: int, buckets: int, block: int):
     """Blocks of (doc_id, text) to messages for each hash bucket; the message of bucket 0 also holds the block's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,8 +80,8 @@ def _send(size: int, buckets: int):
         part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, data, offs in byte_blocks(batch.column(1)):
-                values, ptr = shingle_sets(data, offs, size)
+            for i, j, data, offs in byte_blocks(batch.column(1), block):
+                values, ptr = shingle_sets(data, offs, words_in)
                 n = np.diff(ptr)
                 d1, d2 = _digests(values, ptr)
                 row = segments(ptr)
@@ -98,16 +100,23 @@ def _send(size: int, buckets: int):
                 single[order[many]] = False
                 v, r = v[single], r[single]
                 to, to_shared = (v >> np.uint64(40)) % np.uint64(buckets), (shared >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(to.astype(np.uint16 if buckets < 65536 else np.int64), kind="stable")
-                v, r, cut = v[order], r[order], np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
-                rows = {x: [] for x in ("bucket", "block", "classes", "counts", "hashes", "shared", "head")}
-                for b in range(buckets):
-                    x = slice(cut[b], cut[b + 1])
-                    head = np.stack([ids[i:j].astype(np.int64), n.astype(np.int64), d1.view(np.int64), d2.view(np.int64), local.astype(np.int64)]).tobytes() if b == 0 else None
-                    for name, value in (("bucket", b), ("block", part << 32 | k), ("classes", d1.tobytes()), ("counts", np.bincount(r[x], minlength=j - i).astype(np.uint32).tobytes()), ("hashes", (v[x] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()), ("shared", (shared[to_shared == b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()), ("head", head)):
+                order = np.argsort(to, kind="stable")
+                v, r, to = (v[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), r[order], to[order]
+                order = np.argsort(to_shared, kind="stable")
+                shared, to_shared = (shared[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), to_shared[order]
+                # within a bucket the shingles of one document follow each other
+                at = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (r[1:] != r[:-1])])) if len(v) else np.zeros(0, np.int64)
+                doc, size, cls = r[at].astype(np.uint32), np.diff(np.concatenate([at, [len(v)]])).astype(np.uint32), d1[r[at]]
+                some = np.union1d(np.union1d(to[at], to_shared), np.zeros(1, np.uint64))  # bucket 0 brings the documents
+                cut, of, cut_shared = (np.searchsorted(x, np.append(some, np.uint64(buckets))) for x in (to, to[at], to_shared))
+                rows = {x: [] for x in ("bucket", "block", "docs", "classes", "counts", "hashes", "shared", "head")}
+                for m, bucket in enumerate(some.tolist()):
+                    x, y = slice(cut[m], cut[m + 1]), slice(of[m], of[m + 1])
+                    head = np.stack([ids[i:j].astype(np.int64), n.astype(np.int64), d1.view(np.int64), d2.view(np.int64), local.astype(np.int64)]).tobytes() if bucket == 0 else None
+                    for name, value in (("bucket", bucket), ("block", part << 32 | k), ("docs", doc[y].tobytes()), ("classes", cls[y].tobytes()), ("counts", size[y].tobytes()), ("hashes", v[x].tobytes()), ("shared", shared[cut_shared[m] : cut_shared[m + 1]].tobytes()), ("head", head)):
                         rows[name].append(value)
                 k += 1
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["block"], pa.int64()), *(pa.array(rows[x], pa.binary()) for x in ("classes", "counts", "hashes", "shared", "head"))], names=list(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["block"], pa.int64()), *(pa.array(rows[x], pa.binary()) for x in ("docs", "classes", "counts", "hashes", "shared", "head"))], names=list(rows))
 
     return run
 
@@ -136,14 +145,16 @@ def _tally(table: pa.Table) -> pa.Table:
         m = int(n.sum())
         out.append(np.bincount(np.repeat(np.arange(len(n)), n)[common[k : k + m]], minlength=len(n)).astype(np.uint32).tobytes())
         k += m
-    return pa.table({"block": pa.array(t["block"], pa.int64()), "common": pa.array(out, pa.binary()), "head": pa.array(t["head"], pa.binary())})
+    return pa.table({"block": pa.array(t["block"], pa.int64()), "docs": pa.array(t["docs"], pa.binary()), "common": pa.array(out, pa.binary()), "head": pa.array(t["head"], pa.binary())})
 
 
 def _total(table: pa.Table) -> pa.Table:
     """Of one block: its documents with their counts summed over the buckets."""
     t = table.to_pydict()
     ids, n, d1, d2, local = np.frombuffer(next(x for x in t["head"] if x is not None), np.int64).reshape(5, -1)
-    common = local + sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in t["common"])
+    common = local.copy()
+    for docs, some in zip(t["docs"], t["common"], strict=True):
+        common[np.frombuffer(docs, np.uint32)] += np.frombuffer(some, np.uint32)  # a document is once in a message
     # the copies of a class within a block have the counts of the first
     first, back = np.unique(d1, return_index=True, return_inverse=True)[1:]
     return pa.table({"doc_id": ids, "n": n, "d1": d1, "d2": d2, "common": common[first][back]})
@@ -157,10 +168,11 @@ def needed(n: Column, percent: int) -> Column:
 def profile(docs: DataFrame, *, words_per_shingle: int = 5, buckets: int | None = None) -> DataFrame:
     """``(doc_id, n, d1, d2, common)`` for every row: set size, 128-bit set digest, shingles that another different set has too."""
     if buckets is None:
-        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = 1 + int(total) // BUCKET_BYTES
-    sent = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_send(words_per_shingle, buckets), "bucket int, block long, classes binary, counts binary, hashes binary, shared binary, head binary")
-    back = sent.groupBy("bucket").applyInArrow(_tally, "block long, common binary, head binary")
+        total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        buckets = 1 + min(total // BUCKET_BYTES, MANY_BUCKETS + total // LARGE_BUCKET_BYTES)
+    block = max(BLOCK_BYTES, 64 * buckets)
+    sent = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_send(words_per_shingle, buckets, block), "bucket int, block long, docs binary, classes binary, counts binary, hashes binary, shared binary, head binary")
+    back = sent.groupBy("bucket").applyInArrow(_tally, "block long, docs binary, common binary, head binary")
     return back.groupBy("block").applyInArrow(_total, "doc_id long, n long, d1 long, d2 long, common long")
 
 

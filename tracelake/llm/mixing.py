@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textops import IS_SPACE_WORD, byte_blocks, words
 
 #: Sources by code point (null last) take these weights in turn; no document is taken more often (fixed values).
@@ -86,9 +87,9 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDU
     source, last by order. Repeated rows are documents of their own. An empty table gives an empty result.
     Other columns are ignored.
     """
-    # the sizes are read by three branches of the plan; Spark reuses the exchange of the windows where it can
-    sizes = sized(docs).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    by = targets(sizes, weights, most)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.keep(sized(docs), "sizes").withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    by = scratch.keep(targets(sizes, weights, most), "targets")
     totals = by.agg(F.sum("rows"), F.sum("source_size")).first()
     digits = 1
     while (totals[0] or 0) >> (4 * digits) > RANGE_ROWS:

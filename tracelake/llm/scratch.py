@@ -25,13 +25,18 @@ BATCH_ROWS = 1000
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
-    A table is written whole and read again, so a lost executor costs a re-read, not the lineage.
+    A table is written whole and read again, so a lost executor costs a re-read, not the lineage. The folder goes when
+    the application ends.
     While a call writes, shuffle files of finished writes are released, which bounds the disk.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
         # whole texts in Arrow batches: fewer rows at once keep both sides of a Python worker small
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

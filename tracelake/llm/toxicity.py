@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import Scratch
+
 #: Bounds: labelled rows to learn from, terms of the lexicon.
 LABELLED_ROWS, TERMS = 20_000, 400
 #: A term needs this log odds ratio, and this share of the toxic texts (three texts at least).
@@ -230,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model([], [], [0.0] * len(FEATURES) + [float(np.log(share / (1 - share)))])
     spark = docs.sparkSession
     known = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": list(y), "toxic": list(y.values())}), "doc_id long, toxic int"))
-    texts = docs.select("doc_id", "text").join(known, "doc_id")
+    texts = Scratch(spark, "toxicity").keep(docs.select("doc_id", "text").join(known, "doc_id"), "labelled")
     counts = texts.select("text", "toxic").mapInPandas(_terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (len(y) - n_bad + 1))
     found = counts.where(F.col("bad") >= max(3, SUPPORT * n_bad)).select("term", "bad", odds.alias("odds")).where(F.col("odds") >= LOG_ODDS)

@@ -115,9 +115,11 @@ def _writer(folder: str, dictionary: bytes, date: str):
     return run
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, *, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, scratch: Scratch, *, folder: str | None = None, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write one record for each row of ``pages(page_id, url, html)``; returns the manifest (path, records, bytes).
 
+    ``folder`` is where the archives stay, any file system that Arrow knows; without it they go to the scratch folder.
+
     A null html is an empty payload, a null url leaves the header out. Repeated rows each get a record. An
     empty table gives an empty manifest. Other columns are ignored.
     """
@@ -130,7 +132,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, *, date: str = "1970-01-0
     sample = pages.where(F.col("page_id").isin(ids)).dropDuplicates(["page_id"]).collect() if ids else []
     sample.sort(key=lambda r: r.page_id)
     dictionary = build_dictionary([record(r.page_id, r.url, r.html.encode(), hashlib.sha256(r.html.encode()).hexdigest(), None, date) for r in sample])
-    folder = scratch.path("warc")
+    folder = folder or scratch.path("warc")
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
     return scratch.keep(rows.mapInArrow(_writer(folder, dictionary, date), "path string, records long, bytes long"), "manifest")

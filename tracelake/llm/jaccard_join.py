@@ -72,7 +72,7 @@ def _digests(values: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _send(words_in: int, buckets: int, block: int):
-    """Blocks of (doc_id, text) to messages for each hash bucket; the message of bucket 0 also holds the block's documents."""
+    """Blocks of (doc_id, text) to messages for each hash bucket; one of a block's messages also holds its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -107,12 +107,13 @@ def _send(words_in: int, buckets: int, block: int):
                 # within a bucket the shingles of one document follow each other
                 at = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (r[1:] != r[:-1])])) if len(v) else np.zeros(0, np.int64)
                 doc, size, cls = r[at].astype(np.uint32), np.diff(np.concatenate([at, [len(v)]])).astype(np.uint32), d1[r[at]]
-                some = np.union1d(np.union1d(to[at], to_shared), np.zeros(1, np.uint64))  # bucket 0 brings the documents
+                home = (part * 1_000_003 + k) % buckets  # the bucket that brings the block's documents
+                some = np.union1d(np.union1d(to[at], to_shared), np.array([home], np.uint64))
                 cut, of, cut_shared = (np.searchsorted(x, np.append(some, np.uint64(buckets))) for x in (to, to[at], to_shared))
                 rows = {x: [] for x in ("bucket", "block", "docs", "classes", "counts", "hashes", "shared", "head")}
                 for m, bucket in enumerate(some.tolist()):
                     x, y = slice(cut[m], cut[m + 1]), slice(of[m], of[m + 1])
-                    head = np.stack([ids[i:j].astype(np.int64), n.astype(np.int64), d1.view(np.int64), d2.view(np.int64), local.astype(np.int64)]).tobytes() if bucket == 0 else None
+                    head = np.stack([ids[i:j].astype(np.int64), n.astype(np.int64), d1.view(np.int64), d2.view(np.int64), local.astype(np.int64)]).tobytes() if bucket == home else None
                     for name, value in (("bucket", bucket), ("block", part << 32 | k), ("docs", doc[y].tobytes()), ("classes", cls[y].tobytes()), ("counts", size[y].tobytes()), ("hashes", v[x].tobytes()), ("shared", shared[cut_shared[m] : cut_shared[m + 1]].tobytes()), ("head", head)):
                         rows[name].append(value)
                 k += 1

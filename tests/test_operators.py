@@ -14,7 +14,7 @@ from tracelake.operators.reconcile import reconcile
 from tracelake.plans import chain, dsp
 from tracelake.plans.provenance import Dataset
 from tracelake.sources import sinks, views
-from tracelake.streaming import frames
+from tracelake.streaming import frames, ingest
 
 NS = 1_000_000_000
 TRACES = "mission_id string, trace_index long, trace_uid string, hash string, latitude double, record_position long"
@@ -169,3 +169,27 @@ def test_sweeps_strict(spark):
     points = [3, 0, 1, 2, 0, 1, 1, 0, 1, 2, 2, 0]
     df = spark.createDataFrame([(1, n, p) for n, p in enumerate(points)], "stream long, n long, point long")
     assert [(r.sweep, r.complete) for r in frames.sweeps(df, 3).orderBy("sweep").collect()] == [(1, True), (2, False), (3, True), (4, False)]
+
+
+def test_append_stream_writes_once(spark, tmp_path):
+    t = traces(spark, [(0, "a", "x", None), (1, "b", "x", None), (1, "b", "x", None)])
+    t.write.parquet(f"{tmp_path}/in")
+    for run in (1, 2):  # a second query over the same input finds everything stored
+        stream = spark.readStream.schema(t.schema).parquet(f"{tmp_path}/in")
+        ingest.append_stream(stream, f"file://{tmp_path}/sink", f"{tmp_path}/check{run}").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/sink/data").count() == 2
+
+
+def test_lines_stream_equals_batch(spark, tmp_path):
+    text = "one\r\n" + "y" * 300 + "\ntwo\n\nthree\nrest"
+    rows = [(s, k, text[7 * k : 7 * k + 7]) for s in (1, 2) for k in range(-(-len(text) // 7))]
+    df = spark.createDataFrame(rows, "stream long, seq long, text string")
+    want = [(s, n, x) for s in (1, 2) for n, x in enumerate(("one", "two", "", "three"))]
+    assert sorted(map(tuple, ingest.lines(df).collect())) == want
+    for k, part in enumerate((df.where("seq < 9"), df.where("seq >= 9 and seq < 44"), df.where("seq >= 44"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = ingest.lines_stream(stream).writeStream.format("memory").queryName("got_lines").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("got_lines").collect())) == want

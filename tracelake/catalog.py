@@ -15,7 +15,7 @@ from .operators import constraints, match, reconcile, timing
 from .plans import chain, dsp, provenance
 from .sources import projections as P
 from .sources import sinks, views
-from .streaming import frames
+from .streaming import frames, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -714,6 +714,69 @@ def j15(spark, d):
     return dsp.coherent_mean(P.samples(spark, d).where("trace_id < 12")).select("channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"), "captures")
 
 
+@_query("A18_envelope_digest", "SELECT doc_id, sha256(text) = CASE WHEN doc_id % 10 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS intact FROM documents WHERE text IS NOT NULL")
+def a18(spark, d):
+    """A stored payload is used only if its digest holds."""
+    t = P.table(spark, d, "documents").where("text is not null")
+    stored = F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256)
+    return t.select("doc_id", (F.sha2("text", 256) == stored).alias("intact"))
+
+
+@_query("A24_snapshot_codec", "SELECT c_custkey, base64(encode(c_name || '|' || c_mktsegment)) AS packed, c_name || '|' || c_mktsegment AS text FROM customer")
+def a24(spark, d):
+    packed = F.base64(F.concat_ws("|", "c_name", "c_mktsegment").cast("binary"))
+    return P.table(spark, d, "customer").select("c_custkey", packed.alias("packed"), F.unbase64(packed).cast("string").alias("text"))
+
+
+@_query("B14_version_window", "SELECT p_partkey, p_size BETWEEN 10 AND 20 AS supported FROM part")
+def b14(spark, d):
+    return P.table(spark, d, "part").select("p_partkey", F.col("p_size").between(10, 20).alias("supported"))
+
+
+@_query("B15_capabilities", "SELECT p_partkey, 'points' AS rule FROM part WHERE p_size NOT BETWEEN 2 AND 45 UNION ALL SELECT p_partkey, 'power' FROM part WHERE p_retailprice > 1500")
+def b15(spark, d):
+    return constraints.violations(P.table(spark, d, "part"), ["p_partkey"], {"points": F.col("p_size").between(2, 45), "power": F.col("p_retailprice") <= 1500})
+
+
+@_query("F3_fix_order", f"WITH {P.EVENTS_SQL} SELECT domain, fix_id, row_number() OVER (PARTITION BY domain ORDER BY received_ns, seq) AS place FROM fixes")
+def f3(spark, d):
+    return P.fixes(spark, d).select("domain", "fix_id", F.row_number().over(Window.partitionBy("domain").orderBy("received_ns", "seq")).alias("place"))
+
+
+@_query("H8_rmc", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE " + _m("(event_id % 50 + 0.5) * 1852.0 / 3600.0") + " END AS speed, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(make_date(CAST(CASE WHEN event_id % 100 >= 80 THEN 1900 ELSE 2000 END + event_id % 100 AS INT), CAST(event_id % 12 + 1 AS INT), CAST(event_id % 28 + 1 AS INT)) AS VARCHAR) END AS day FROM events")
+def h8(spark, d):
+    """RMC sentences: knots to metres a second, the century of the date; status V has neither."""
+    i = F.col("event_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    body = F.concat_ws(",", F.lit("GNRMC"), F.lit("120000"), F.when(i % 4 == 0, "V").otherwise("A"), F.lit("4807.038"), F.lit("N"), F.lit("01131.000"), F.lit("E"), F.concat((i % 50).cast("string"), F.lit(".5")), F.lit("84.4"), F.concat(two(i % 28 + 1), two(i % 12 + 1), two(i % 100)), F.lit(""), F.lit(""))
+    e = P.table(spark, d, "events").select("event_id", F.concat(F.lit("$"), body, F.lit("*"), nmea.checksum(body)).alias("line"))
+    return nmea.parse(e).select("event_id", micro(F.col("speed_mps")).alias("speed"), F.col("date").cast("string").alias("day"))
+
+
+@_query("J6_lines", "SELECT event_id AS stream, 0 AS n, event_type AS line FROM events WHERE event_id % 6 <> 0")
+def j6(spark, d):
+    """Each stream is one line in two chunks; every sixth is too long and dropped."""
+    e = P.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 6 == 0, F.rpad("event_type", 300, "x")).otherwise(F.col("event_type")).alias("t"))
+    c = e.select(F.col("event_id").alias("stream"), F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.concat(F.expr("substring(t, 4)"), F.lit("\r\n")).alias("text")), F.struct(F.lit(0).alias("seq"), F.substring("t", 1, 3).alias("text")))).alias("x")).select("stream", "x.seq", "x.text")
+    return ingest.lines(c).select("stream", F.col("n").cast("int").alias("n"), "line")
+
+
+@_query("J13_bound_decode", f"WITH {_AIR}, b AS (SELECT mission_id, trace_index, record_position, hash, CASE WHEN trace_index % 43 = 0 THEN 'damaged' ELSE hash END AS got FROM air) SELECT b.mission_id, trace_index, record_position, n.mission_id IS NOT NULL AND hash = got AS accepted FROM b LEFT JOIN (SELECT 'O' AS mission_id UNION ALL SELECT 'F') n USING (mission_id)")
+def j13(spark, d):
+    """A trace is accepted if its mission is known and its recomputed digest is the one it carries."""
+    known = spark.createDataFrame([("O",), ("F",)], "mission_id string").withColumn("known", F.lit(True))
+    a = P.side(spark, d, "air").withColumn("got", F.when(F.col("trace_index") % 43 == 0, "damaged").otherwise(F.col("hash")))
+    return a.join(known, "mission_id", "left").select("mission_id", "trace_index", "record_position", (F.coalesce("known", F.lit(False)) & (F.col("hash") == F.col("got"))).alias("accepted"))
+
+
+@_query("L6_safe_reuse", "WITH p AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber) AS used, list(CASE WHEN l_orderkey % 9 = 0 THEN l_partkey + 1 ELSE l_partkey END ORDER BY l_linenumber) AS offered FROM lineitem GROUP BY 1) SELECT l_orderkey, used = offered AS reusable FROM p")
+def l6(spark, d):
+    """Calibrated data are reused only with the same ordered list of profiles."""
+    li = P.table(spark, d, "lineitem").withColumn("o", F.col("l_partkey") + F.when(F.col("l_orderkey") % 9 == 0, 1).otherwise(0))
+    both = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("p")))).alias("u"), F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("o").alias("p")))).alias("o"))
+    return both.select("l_orderkey", (F.col("u.p") == F.col("o.p")).alias("reusable"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -510,15 +510,15 @@ def i8(spark, d):
 # ---- streams
 
 
-@_query("J1_packets", "SELECT event_id AS stream, 0 AS n, CAST(1 + event_id % 5 AS INT) AS kind, lower(hex(encode(event_type))) AS payload FROM events WHERE event_id % 20 <> 0")
+@_query("J1_packets", "SELECT user_id AS stream, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS n, CAST(1 + event_id % 5 AS INT) AS kind, lower(hex(encode(event_type))) AS payload FROM events WHERE event_id % 20 <> 0")
 def j1(spark, d):
-    """Packets made of events, between noise, cut in two chunks; every twentieth has a broken checksum."""
-    e = P.table(spark, d, "events").select("event_id", "event_type")
+    """A stream of packets for each user, between noise, each cut in two chunks; every twentieth has a broken checksum."""
+    e = P.table(spark, d, "events").select("event_id", "user_id", "event_type")
     body = F.concat(F.unhex(F.lit("5A")), F.unhex(F.lpad(F.hex((F.length("event_type") + 8).cast("long")), 2, "0")), F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex((F.col("event_id") % 5 + 1).cast("long")), 2, "0")), F.col("event_type").cast("binary"))
     crc = F.lpad(F.hex(F.crc32("b") + F.when(F.col("event_id") % 20 == 0, 1).otherwise(0)), 8, "0")
     flip = F.concat(*(F.substring("c", i, 2) for i in (7, 5, 3, 1)))
     rows = e.withColumn("b", body).withColumn("c", crc).withColumn("p", F.concat(F.unhex(F.lit("00FF")), F.col("b"), F.unhex(flip)))
-    half = rows.select(F.col("event_id").alias("stream"), F.explode(F.array(F.struct(F.lit(0).alias("seq"), F.expr("substring(p, 1, 7)").alias("data")), F.struct(F.lit(1).alias("seq"), F.expr("substring(p, 8, 100)").alias("data")))).alias("x")).select("stream", "x.seq", "x.data")
+    half = rows.select(F.col("user_id").alias("stream"), F.explode(F.array(F.struct((F.col("event_id") * 2).alias("seq"), F.expr("substring(p, 1, 7)").alias("data")), F.struct((F.col("event_id") * 2 + 1).alias("seq"), F.expr("substring(p, 8, 100)").alias("data")))).alias("x")).select("stream", "x.seq", "x.data")
     return frames.packets(half).select("stream", F.col("n").cast("int").alias("n"), "kind", F.lower(F.hex("payload")).alias("payload"))
 
 
@@ -753,11 +753,11 @@ def h8(spark, d):
     return nmea.parse(e).select("event_id", micro(F.col("speed_mps")).alias("speed"), F.col("date").cast("string").alias("day"))
 
 
-@_query("J6_lines", "SELECT event_id AS stream, 0 AS n, event_type AS line FROM events WHERE event_id % 6 <> 0")
+@_query("J6_lines", "SELECT user_id AS stream, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS n, event_type AS line FROM events WHERE event_id % 6 <> 0")
 def j6(spark, d):
-    """Each stream is one line in two chunks; every sixth is too long and dropped."""
-    e = P.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 6 == 0, F.rpad("event_type", 300, "x")).otherwise(F.col("event_type")).alias("t"))
-    c = e.select(F.col("event_id").alias("stream"), F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.concat(F.expr("substring(t, 4)"), F.lit("\r\n")).alias("text")), F.struct(F.lit(0).alias("seq"), F.substring("t", 1, 3).alias("text")))).alias("x")).select("stream", "x.seq", "x.text")
+    """A stream of lines for each user, each in two chunks; every sixth line is too long and dropped."""
+    e = P.table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 6 == 0, F.rpad("event_type", 300, "x")).otherwise(F.col("event_type")).alias("t"))
+    c = e.select(F.col("user_id").alias("stream"), F.explode(F.array(F.struct((F.col("event_id") * 2 + 1).alias("seq"), F.concat(F.expr("substring(t, 4)"), F.lit("\r\n")).alias("text")), F.struct((F.col("event_id") * 2).alias("seq"), F.substring("t", 1, 3).alias("text")))).alias("x")).select("stream", "x.seq", "x.text")
     return ingest.lines(c).select("stream", F.col("n").cast("int").alias("n"), "line")
 
 

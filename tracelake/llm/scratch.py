@@ -10,14 +10,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, or a temporary folder where it is unset (single-machine tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _temporary[app] = _temporary.get(app) or "file://" + tempfile.mkdtemp(prefix="tracelake-")
     return base.rstrip("/")
 
+
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 

@@ -214,9 +214,10 @@ def secret_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, *, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mask`` (overlapping spans by one); other texts and columns stay."""
     keep = docs.columns
-    found = _with_spans(docs.select(F.struct(*keep).alias("row"), "doc_id", "text"), BASE_RULES + MORE_RULES)
+    others = [c for c in keep if c not in ("doc_id", "text")]
+    found = _with_spans(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row")), BASE_RULES + MORE_RULES)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     piece = lambda a, s: F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask))).otherwise(a["out"])
     cut = F.aggregate("spans", start, lambda a, s: F.struct(piece(a, s).alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(cut["out"], F.substring(F.col("text"), (cut["at"] + 1).cast("int"), F.char_length("text"))))
-    return found.select(text.alias("clean"), "row").select(*(F.col("clean").alias("text") if c == "text" else F.col(f"row.{c}") for c in keep))
+    return found.select("doc_id", text.alias("text"), "row").select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`") for c in keep))

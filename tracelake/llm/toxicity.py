@@ -39,7 +39,7 @@ QUOTES = frozenset("\"“”„«»")
 #: Words of address in the four languages of the corpus (fixed values).
 ADDRESS = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta vous votre usted tú ti vosotros eres".split())
 #: Remembered tokens; when full, memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def edits_for(length: int) -> int:

@@ -104,9 +104,13 @@ def test_main_text(spark, pages):
     model = html_text.train()
     held = html_text.labelled_pages(120, 99)
     right = sum(html_text.extract([p], model)[0] == " ".join(sorted(keep, key=p.index)) for p, keep in held)
-    assert right >= 0.8 * len(held)
+    assert right >= 0.85 * len(held)
     page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="ad">Buy</div><article><h1>Head &amp; shoulders</h1><p><b>One\n two.<br><p>Three&nbsp;&lt;four&gt; <a href="x">five</a>.</p></article><div class="comments"><p>First!</p></div><footer>&copy; me</footer></body></html>'
     assert html_text.extract([page, None, ""], model) == ["Head & shoulders One two. Three <four> five.", "", ""]
+    deep = "<div>" * 3000 + "<article><p>deep text of some words</p></article>" + "</div>" * 3000
+    assert html_text.extract([deep, "<" * 5000, "<p " * 3000, '<p class="a>b'], model)[1:] is not None
+    hard = '<body><header><nav><a href="/">Home</a></nav></header><div id="cookie"><p>We use cookies.</p></div><article><header><h1>Title</h1></header><p>Body one.</p><aside class="related"><p>See also</p></aside><p>Body two with <a href="x">a link</a> inside.</p><form><input><button>Send</button></form></article><section id="comments"><h2>Comments</h2><p>Nice post</p></section><aside><p>Side</p></aside><footer><p>Foot</p></footer></body>'
+    assert html_text.extract([hard], model) == ["Title Body one. Body two with a link inside."]
     got = html_text.main_texts(pages)
     assert got.count() == len(PAGES) and html_text.main_texts(pages.limit(0)).count() == 0
     assert all(r.n_chars == len(r.text) for r in got.collect())

@@ -2,7 +2,7 @@
 
 Every element is content or not. Its own evidence (tag, words of class and id, text and link density under it) gives
 a node potential, and each parent-child edge a potential for agreeing, by the kind of the child; both are learned
-together from labelled pages, by the likelihood of each state given its parent's. Sum-product
+together from labelled pages, by greatest likelihood. Sum-product
 messages go upward from the leaves and downward from the root, which on a tree yields exact marginals. Text of an
 element whose marginal says content is kept, block by block in page order. Messages of a whole batch of pages are
 computed together, depth by depth.
@@ -12,6 +12,7 @@ No table holds labelled pages, so ``labelled_pages`` makes them: seeded page lay
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -37,13 +38,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "option": {"select"}, "body": {"html"}}
 SILENT = frozenset("head select textarea option datalist button".split())
 
+#: Elements nested deeper stand beside each other; their text stays.
+DEEPEST = 400
 CONTAINERS = frozenset("html body main article section div nav header footer aside form fieldset table ul ol dl menu dialog center".split())
 TAGS = ("article", "main", "section", "div", "p", "heading", "list", "li", "table", "quote", "pre", "figure", "nav", "header", "footer", "aside", "form", "a", "body", "html", "inline", "other")
 _TAG_OF = {**{f"h{k}": "heading" for k in range(1, 7)}, "ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "blockquote": "quote", "figcaption": "figure", "menu": "nav", "dialog": "form", "fieldset": "form", "input": "form", "address": "footer", **{t: "inline" for t in INLINE if t != "a"}}
 #: Words of class, id and role that speak against or for content.
 AGAINST = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|pag(?:er|ination)|foot\w*|header|masthead|topbar|side\w*|aside|widget\w*|cookie\w*|consent|notices?|notification\w*|alert\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|search\w*|form\w*|social|shar\w*|related|recommend\w*|comments?|commentlist|respond|repl(?:y|ies)|disqus|discussion|copyright|legal|skip\w*|toolbar|tags?|meta|byline|contentinfo|navigation|complementary)(?:$|[^a-z])")
 FOR = re.compile(r"(?:^|[^a-z])(?:article\w*|content|main\w*|post|entry\w*|story\w*|body|text|articlebody)(?:$|[^a-z])")
-N_FEATURES = len(TAGS) + 8
+N_FEATURES = len(TAGS) + 10
 
 
 @dataclass
@@ -110,11 +113,11 @@ def parse(page: str | None) -> Tree:
                 block += 1
             found = _ATTR.findall(attrs) if attrs else ()
             t.parent.append(stack[-1])
-            t.depth.append(min(len(stack), 400))
+            t.depth.append(len(stack))
             t.tag.append(name)
             t.marks.append(" ".join("".join(x) for x in found).lower())
             t.silent.append(t.silent[stack[-1]] or name in SILENT)
-            if not attrs.rstrip().endswith("/"):
+            if not attrs.rstrip().endswith("/") and len(stack) < DEEPEST:
                 stack.append(len(t.parent) - 1)
     return t
 
@@ -141,6 +144,10 @@ def _features(t: Tree) -> np.ndarray:
         if marks := t.marks[e]:
             x[e, len(TAGS)] = bool(AGAINST.search(marks))
             x[e, len(TAGS) + 1] = bool(FOR.search(marks)) and not x[e, len(TAGS)]
+        up = max(t.parent[e], 0)
+        within = x[up, len(TAGS) + 2]  # an article or what is marked as one, and what speaks against it, above or here
+        x[e, len(TAGS) + 2] = within or tag in ("article", "main") or x[e, len(TAGS) + 1]
+        x[e, len(TAGS) + 3] = x[up, len(TAGS) + 3] or x[e, len(TAGS)] or tag in ("nav", "footer", "aside", "form") or (tag == "header" and not within)
     holds = np.array([x in ("div", "section", "center") for x in t.tag])  # elsewhere the length of a text says little
     x[:, -6] = np.log1p(own) / 5 * holds
     x[:, -5] = linked / np.maximum(own, 1)
@@ -162,12 +169,12 @@ class Model:
     edge: np.ndarray  # by kind of the child: log potential of agreeing with the parent, its negative of differing
 
 
-def marginals(x: np.ndarray, parent: np.ndarray, depth: np.ndarray, kind: np.ndarray, model: Model) -> np.ndarray:
-    """P(content) of every node of a forest (parent -1: a root), by sum-product upward and then downward."""
+def sum_product(x: np.ndarray, parent: np.ndarray, depth: np.ndarray, kind: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """P(content) of every node of a forest (parent -1: a root), and how far each agrees with its parent (-1 to 1)."""
     score = x @ model.node
     total = np.stack([-score / 2, score / 2], axis=1)  # a node's own potential with all messages it has
     up = np.zeros_like(total)  # its message to its parent
-    agree = model.edge[kind]
+    agree, along_parent = model.edge[kind], np.zeros(len(x))
     levels = np.argsort(depth, kind="stable")
     bounds = np.searchsorted(depth[levels], np.arange(depth.max() + 2))
 
@@ -176,14 +183,22 @@ def marginals(x: np.ndarray, parent: np.ndarray, depth: np.ndarray, kind: np.nda
         m = np.stack([np.logaddexp(state[:, 0] + j, state[:, 1] - j), np.logaddexp(state[:, 0] - j, state[:, 1] + j)], axis=1)
         return m - m.max(axis=1, keepdims=True)
 
-    for d in range(len(bounds) - 2, 0, -1):
+    for d in range(len(bounds) - 2, 0, -1):  # upward
         at = levels[bounds[d] : bounds[d + 1]]
         up[at] = along(total[at], agree[at])
         np.add.at(total, parent[at], up[at])
-    for d in range(1, len(bounds) - 1):
+    for d in range(1, len(bounds) - 1):  # downward
         at = levels[bounds[d] : bounds[d + 1]]
-        total[at] += along(total[parent[at]] - up[at], agree[at])  # the parent without what this child said
-    return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -40, 40)))
+        rest, j = total[parent[at]] - up[at], agree[at]  # the parent without what this child said
+        same = np.logaddexp(rest[:, 0] + total[at, 0], rest[:, 1] + total[at, 1]) + j
+        other = np.logaddexp(rest[:, 0] + total[at, 1], rest[:, 1] + total[at, 0]) - j
+        along_parent[at] = np.tanh((same - other) / 2)
+        total[at] += along(rest, j)
+    return 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -40, 40))), along_parent
+
+
+def marginals(x: np.ndarray, parent: np.ndarray, depth: np.ndarray, kind: np.ndarray, model: Model) -> np.ndarray:
+    return sum_product(x, parent, depth, kind, model)[0]
 
 
 def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, set[str]]]:
@@ -202,69 +217,92 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, set[str]]]:
         keep: set[str] = set()
 
         def content(tag: str, lo: int, hi: int) -> str:
-            s = say(lo, hi)
-            keep.add(s)
-            return f"<{tag}>{s}</{tag}>"
-
-        def junk(names: str, inner: str = "") -> str:
-            tag = rng.choice(("div", "section", "aside", "div"))
-            return f'<{tag} class="{rng.choice(names.split())}">{inner or "".join(f"<p>{say(3, 30)}</p>" for _ in range(rng.randint(1, 3)))}</{tag}>'
+            parts = [say(lo, hi)]
+            if tag == "p" and rng.random() < 0.25:  # with a link inside
+                parts += [say(1, 3), say(2, 10)]
+            keep.update(parts)
+            return f"<{tag}>{parts[0]}" + (f' <a href="/{word()}">{parts[1]}</a> {parts[2]}' if len(parts) > 1 else "") + f"</{tag}>"
 
         links = lambda k: "<ul>" + "".join(f'<li><a href="/{word()}">{say(1, 3)}</a></li>' for _ in range(k)) + "</ul>"
-        body = [content("h1", 3, 8)] if rng.random() < 0.8 else []
+        pick = lambda p, x: [x] if rng.random() < p else []
+
+        def junk(names: str, inner: str = "") -> str:
+            tag, name, mark = rng.choice(("div", "section", "aside", "div")), rng.choice(names.split()), rng.choice(("class", "class", "id"))
+            head = f"<h{rng.randint(2, 4)}>{say(1, 4)}</h{rng.randint(2, 4)}>" if rng.random() < 0.4 else ""
+            inner = inner or rng.choice(("".join(f"<p>{say(2, 40)}</p>" for _ in range(rng.randint(1, 3))), say(2, 12), links(3)))
+            return f'<{tag} {mark}="{name}">{head}{inner}</{tag}>'
+
+        def comments() -> str:
+            each = rng.choice(('<div class="comment"><p>{}</p></div>', "<p>{}</p>", '<article class="comment"><p>{}</p></article>', '<li class="comment">{}</li>'))
+            return junk("comments comment-list respond", "".join(each.format(say(2, 40)) for _ in range(rng.randint(1, 4))))
+
+        form = lambda: f'<form action="/x"><label>{say(1, 4)}</label>{rng.choice((f"<p>{say(2, 12)}</p>", ""))}<input name="q"><button>{say(1, 2)}</button></form>'
+        title = content("h1", 2, 8)
+        body = [rng.choice((title, title, f"<header>{title}</header>"))] if rng.random() < 0.8 else []
         for _ in range(rng.randint(1, 8)):
             kind = rng.random()
-            if kind < 0.6:
-                body.append(content("p", 2, 60))
+            if kind < 0.58:
+                body.append(content("p", 1, 60))
+            elif kind < 0.68:
+                body.append("<ul>" + "".join(content("li", 1, 12) for _ in range(rng.randint(2, 4))) + "</ul>")
             elif kind < 0.74:
-                body.append("<ul>" + "".join(content("li", 2, 12) for _ in range(rng.randint(2, 4))) + "</ul>")
+                body.append(content("h2", 1, 6))
             elif kind < 0.8:
-                body.append(content("h2", 2, 6))
-            elif kind < 0.86:
                 body.append("<blockquote>" + content("p", 5, 30) + "</blockquote>")
+            elif kind < 0.84:
+                body.append("<div>" + content("p", 1, 40) + content("p", 1, 10) + "</div>")
             elif kind < 0.92:
-                body.append(junk("ad advert promo share related newsletter-signup"))
+                body.append(junk("ad advert promo share related newsletter-signup notice sidebar"))
+            elif kind < 0.94:
+                body.append(form())
+            elif kind < 0.96:
+                body.append(f"<aside>{rng.choice((links(2), f'<p>{say(1, 20)}</p>'))}</aside>")
             else:
                 body.append("<table><tr>" + content("td", 1, 5) + content("td", 1, 5) + "</tr></table>")
-        frame = rng.choice(("<article>{}</article>", '<div class="content">{}</div>', "<main><article>{}</article></main>", '<div id="main-content"><div class="post">{}</div></div>', '<section class="story-body">{}</section>', "<main>{}</main>", "{}"))
-        pick = lambda p, x: [x] if rng.random() < p else []
-        before = pick(0.8, f"<nav>{links(rng.randint(3, 7))}</nav>") + pick(0.4, f"<header><p>{say(1, 6)}</p></header>") + pick(0.3, junk("menu navbar topbar breadcrumbs", links(4))) + pick(0.4, junk("ad banner cookie-notice notice alert"))
-        after = pick(0.4, f"<aside>{links(3)}<p>{say(3, 20)}</p></aside>") + pick(0.4, junk("sidebar widget related")) + pick(0.5, junk("comments comment-list", "".join(f'<div class="comment"><p>{say(3, 40)}</p></div>' for _ in range(rng.randint(1, 4))))) + pick(0.3, f'<form action="/x"><label>{say(1, 4)}</label><p>{say(2, 12)}</p><input name="q"></form>') + pick(0.8, f"<footer>{say(2, 12)}</footer>")
+        keep -= {x for x in keep if not any(x in y for y in body)}
+        frame = rng.choice(("<article>{}</article>", "<article>{}</article>", '<div class="content">{}</div>', "<main><article>{}</article></main>", '<div id="main-content"><div class="post">{}</div></div>', '<section class="story-body">{}</section>', "<main>{}</main>", '<div class="article-body">{}</div>', "{}"))
+        nav = f"<nav>{links(rng.randint(3, 7))}</nav>"
+        before = pick(0.7, nav) + pick(0.4, f"<header>{rng.choice((f'<p>{say(1, 6)}</p>', nav, f'<h2>{say(1, 4)}</h2>'))}</header>") + pick(0.3, junk("menu navbar topbar breadcrumbs", links(4))) + pick(0.5, junk("ad banner cookie-notice notice alert"))
+        after = pick(0.4, f"<aside>{links(3)}<p>{say(2, 20)}</p></aside>") + pick(0.4, junk("sidebar widget related ad promo")) + pick(0.5, comments()) + pick(0.3, form()) + pick(0.8, f"<footer>{rng.choice((say(2, 12), f'<p>{say(2, 12)}</p>', links(3)))}</footer>")
         out.append((f"<html><head><title>{say(2, 5)}</title></head><body>{''.join(before)}{frame.format(''.join(body))}{''.join(after)}</body></html>", keep))
     return out
 
 
-def train(pages: list[tuple[str, set[str]]] | None = None) -> Model:
-    """Node and edge weights on bounded labelled pages, by the likelihood of each state given its parent's state.
+def _forest(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, parents, depths and kinds of all trees as one forest, and where each tree begins."""
+    base = np.concatenate([[0], np.cumsum([len(t.parent) for t in trees])])
+    parent = np.concatenate([np.array(t.parent) + np.where(np.array(t.parent) >= 0, b, 0) for t, b in zip(trees, base, strict=False)])
+    return np.concatenate([_features(t) for t in trees]), parent, np.concatenate([t.depth for t in trees]), np.concatenate([kinds(t) for t in trees]), base
+
 
-    Were the children's states given as well, they would explain a container's state and leave its tag and marks no weight.
-    """
-    xs, ys = [], []
-    for page, keep in labelled_pages() if pages is None else pages:
+@functools.lru_cache(maxsize=1)
+def train(steps: int = 400) -> Model:
+    """Node and edge weights of greatest likelihood on the labelled pages: what is seen less what sum-product expects is the gradient."""
+    trees, ys = [], []
+    for page, keep in labelled_pages():
         t = parse(page)
-        n, parent, kind = len(t.parent), np.array(t.parent), kinds(t)
-        good, size = np.zeros(n), np.zeros(n)
+        good, size = np.zeros(len(t.parent)), np.zeros(len(t.parent))
         for e, _, text in t.pieces:
             size[e] += len(text)
             good[e] += len(text) * (text.strip() in keep)
-        for e in range(n - 1, 0, -1):
-            good[parent[e]] += good[e]
-            size[parent[e]] += size[e]
-        y = (good > 0.5 * size).astype(int)
+        for e in range(len(t.parent) - 1, 0, -1):
+            good[t.parent[e]] += good[e]
+            size[t.parent[e]] += size[e]
+        y = (good > 0.5 * size).astype(float)
         y[[x in ("html", "body") for x in t.tag]] = 0  # of a page's frame nothing follows for its parts
-        side = 2.0 * y - 1
-        near = np.zeros((n, 4))
-        np.add.at(near, (np.arange(1, n), kind[1:]), 2 * side[parent[1:]])
-        xs.append(np.column_stack([_features(t), near]))
+        trees.append(t)
         ys.append(y)
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    w = np.zeros(x.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), x.T @ (y - p) - 0.5 * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
+    x, parent, depth, kind, _ = _forest(trees)
+    y = np.concatenate(ys)
+    child = np.flatnonzero(parent >= 0)
+    agrees = np.zeros(len(y))
+    agrees[child] = (2 * y[child] - 1) * (2 * y[parent[child]] - 1)
+    w, mean, square = np.zeros(x.shape[1] + 4), 0.0, 0.0
+    for k in range(1, steps + 1):
+        p, e = sum_product(x, parent, depth, kind, Model(w[:-4], w[-4:]))
+        g = np.concatenate([x.T @ (y - p), np.bincount(kind[child], (agrees - e)[child], 4)]) - 0.5 * w
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g  # Adam
+        w = w + 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
     return Model(w[:-4], w[-4:])
 
 
@@ -273,9 +311,8 @@ def extract(pages: list[str | None], model: Model) -> list[str]:
     trees = [parse(p) for p in pages]
     if not trees:
         return []
-    base = np.concatenate([[0], np.cumsum([len(t.parent) for t in trees])])
-    parent = np.concatenate([np.array(t.parent) + np.where(np.array(t.parent) >= 0, b, 0) for t, b in zip(trees, base, strict=False)])
-    p = marginals(np.concatenate([_features(t) for t in trees]), parent, np.concatenate([t.depth for t in trees]), np.concatenate([kinds(t) for t in trees]), model)
+    x, parent, depth, kind, base = _forest(trees)
+    p = marginals(x, parent, depth, kind, model)
     out = []
     for t, b in zip(trees, base, strict=False):
         blocks: list[str] = []

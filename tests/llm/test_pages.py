@@ -81,6 +81,40 @@ def test_mined_rules_match_as_a_scan_does(spark):
     assert (verdicts[200], verdicts[201], verdicts[202]) == ("block", "allow", "allow")
 
 
+def test_urls_are_mined_and_matched_whole(spark):
+    """Telling tokens at the sixth segment, the fifth query key, the fifth host label; long paths in both verdicts cost no more."""
+    path = "/".join(f"s{k}" for k in range(40))
+    rows = [(k, f"http://n{k}.com/{('de', 'fr')[k % 2]}/{k}/a/b/c/{('casino', 'garden')[k % 2]}?a=1&b=2&c=3&d=4&{('win', 'read')[k % 2]}=5") for k in range(60)]
+    rows += [(100 + k, f"http://{('bets', 'bees')[k % 2]}.r.q.p.com/{('de', 'fr')[k % 2]}/{path[: 20 + k]}") for k in range(100)]
+    rows += [(300, "http://o.net/z/y/x/w/v/casino"), (301, "http://o.net/z/y/x/w/v/garden"), (302, "http://o.net/?z=1&y=2&x=3&w=4&win=5"), (303, "http://bets.w.x.y.net/"), (304, "http://o.net/z/y/x/w/v/u")]
+    got = {r.page_id: r.verdict for r in url_rules.url_verdicts(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[k] for k in range(300, 305)] == ["block", "allow", "block", "block", "allow"]
+
+
+def test_mined_rules_are_all_rules(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        t = {x for x in "abcdefg" if rng.random() < 0.6}
+        t |= {"h"} if "a" in t else set()
+        rows.append((sorted(t), "block" if len(t & {"a", "b", "c"}) + (rng.random() < 0.1) > 2 else "allow"))
+    counts = lambda need, v=None: sum(need <= set(t) and v in (None, w) for t, w in rows)
+    want = []
+    for m in range(1, 9):
+        for need in map(frozenset, itertools.combinations("abcdefgh", m)):
+            n = counts(need)
+            for v in ("allow", "block"):
+                c = counts(need, v)
+                if c >= 20 and c / n >= 0.9 and n < len(rows) and not any(a <= need and w == v and x >= c / n for a, w, x, _ in want):
+                    want.append((need, v, c / n, c / len(rows)))
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), support=0.05)
+    assert want and any(len(a) > 2 for a, _, _, _ in want)
+    assert sorted(got) == sorted((tuple(sorted(a)), v, c, s) for a, v, c, s in want)
+
+
 def test_marginals_against_enumeration():
     import itertools
 

@@ -1,16 +1,22 @@
 """URL filters: given host and path rules, then association rules mined by FP-growth.
 
 Where one of the given rules fits, the longest decides. The urls they decide are also the labelled ones: a url is
-a transaction of tokens (host labels and their parts, path segments, extension, query keys) with its verdict, and
-Spark's FP-growth mines the token combinations that go with a verdict. Rules of enough support and confidence
-stay, less those that hold a smaller rule of the same verdict and no less confidence. An inverted index holds each
+a transaction of tokens (all host labels and their parts, path segments, extension, query keys) with its verdict, and
+FP-growth, dealt out by the rarest token of a combination, mines those that go with a verdict. Rules of enough support
+and confidence stay, less those that hold a smaller rule of the same verdict and no less confidence. Growth ends where
+only such rules could follow: where one verdict is left, and at tokens that all urls of a combination have (of a path
+and its beginnings one is grown), so urls need not be cut. An inverted index holds each
 rule under its rarest token; a url looks up its tokens there and keeps the rules all of whose tokens it has. The
 most confident of them decides, then the larger support, then the larger combination; without any, the url is allowed.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +25,6 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 SUPPORT, CONFIDENCE = 0.005, 0.9
 #: A combination needs this many urls, however few there are.
 LEAST_URLS = 8
-#: Tokens of a url that are mined and matched: segments and parts beyond are not looked at by the method (not by the rules).
-DEPTH = 4
-LABEL = "verdict="
 
 
 def host_of(url: Column) -> Column:
@@ -49,38 +52,87 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     parts = F.filter(F.flatten(F.transform(labels, lambda x: F.split(x, "[-_]"))), lambda x: F.length(x) > 1)
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    dirs = F.transform(F.slice(segments, 1, DEPTH), lambda x, i: F.concat(F.lit("dir"), i, F.lit(":"), F.regexp_replace(x, "[0-9]+", "0")))
+    dirs = F.transform(segments, lambda x, i: F.concat(F.lit("dir"), i, F.lit(":"), F.regexp_replace(x, "[0-9]+", "0")))
     kind = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*\?([^#]*)", 1)
-    keys = F.transform(F.filter(F.slice(F.split(query, "&"), 1, DEPTH), lambda x: x != ""), lambda x: F.concat(F.lit("key:"), F.substring_index(x, "=", 1)))
+    keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key:"), F.substring_index(x, "=", 1)))
     mark = lambda c, m: F.transform(c, lambda x: F.concat(F.lit(m), x))
-    return F.array_distinct(F.concat(mark(F.slice(F.reverse(labels), 1, DEPTH), "host:"), mark(F.slice(F.reverse(parts), 1, 2 * DEPTH), "part:"), dirs, F.when(kind != "", F.array(F.concat(F.lit("kind:"), kind))).otherwise(F.array().cast("array<string>")), keys))
+    return F.array_distinct(F.concat(mark(F.reverse(labels), "host:"), mark(F.reverse(parts), "part:"), dirs, F.when(kind != "", F.array(F.concat(F.lit("kind:"), kind))).otherwise(F.array().cast("array<string>")), keys))
+
+
+def grow(item: int, rows: list[tuple[tuple[int, ...], str, int]], least: int, confidence: float) -> list[tuple[tuple[int, ...], str, int, int]]:
+    """(combination, verdict, urls of both, urls of the combination) of those whose rarest token is ``item``.
+
+    ``rows`` are the urls that have it: their more frequent tokens (lower numbers, ascending), verdict, and how many they are.
+    """
+    out = []
+
+    def visit(found: tuple[int, ...], rows: list[tuple[tuple[int, ...], str, int]], best: dict[str, float]) -> None:
+        by: Counter = Counter()
+        for _, v, n in rows:
+            by[v] += n
+        total, best = by.total(), dict(best)
+        for v, n in by.items():
+            if n >= least and n / total >= confidence and n / total > best.get(v, 0):
+                best[v] = n / total
+                out.append((found, v, n, total))
+        if len(by) == 1:
+            return
+        counts: dict[int, Counter] = defaultdict(Counter)
+        for items, v, n in rows:
+            for x in items:
+                counts[x][v] += n
+        grown = {x for x, c in counts.items() if max(c.values()) >= least and c.total() < total}
+        for x in grown:
+            within: Counter = Counter()
+            for items, v, n in rows:
+                if x in items:
+                    within[tuple(y for y in items if y < x and y in grown), v] += n
+            visit((x, *found), [(*k, n) for k, n in within.items()], best)
+
+    visit((item,), rows, {})
+    return out
 
 
 def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
     """Pruned rules (tokens, verdict, confidence, support) of ``labelled(tokens, verdict)``.
 
     Their number is bounded by the support, not by the rows. Tokens that stand in every labelled url say nothing
-    and are left out first, and so are those rarer than the support.
+    and are left out first, and so are those rarer than the support. A token of a single verdict is a rule that no larger one betters.
     """
     n = labelled.count()
     if n < LEAST_URLS:
         return []
-    support = max(support, LEAST_URLS / n)
-    often = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where((F.col("count") >= support * n) & (F.col("count") < n))
-    often = sorted(r.t for r in often.collect())  # at most tokens-per-url / support many
-    if not often:
-        return []
-    items = F.array_append(F.array_intersect("tokens", F.array(*map(F.lit, often))), F.concat(F.lit(LABEL), F.col("verdict")))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(items.alias("items")))
-    rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)))
-    rows = [(frozenset(r.antecedent), r.consequent[0].removeprefix(LABEL), r.confidence, r.support) for r in rules.collect()]
-    rows.sort(key=lambda r: (len(r[0]), sorted(r[0]), r[1]))
-    kept: list[tuple[frozenset, str, float, float]] = []
-    for r in rows:
-        if not any(k[1] == r[1] and k[0] <= r[0] and k[2] >= r[2] for k in kept):
-            kept.append(r)
-    return [(tuple(sorted(a)), v, c, s) for a, v, c, s in kept]
+    least = max(LEAST_URLS, math.ceil(support * n))
+    counts = labelled.select("verdict", F.explode("tokens").alias("t")).groupBy("t", "verdict").count()
+    counts = counts.groupBy("t").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("verdict", "count").alias("verdict")).where((F.col("most") >= least) & (F.col("n") < n))
+    often = counts.collect()  # at most tokens-per-url / support many
+    raw = [(frozenset([r.t]), r.verdict, 1.0, r.n / n) for r in often if r.most == r.n]
+    names = [r.t for r in sorted(often, key=lambda r: (-r.n, r.t)) if r.most < r.n]
+    if names:
+        number = {t: k for k, t in enumerate(names)}
+
+        def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The mixed tokens of each url by number, summed within a task."""
+            for batch in batches:
+                seen = Counter((tuple(sorted(number[t] for t in tokens if t in number)), v) for tokens, v in zip(batch["tokens"], batch["verdict"], strict=True))
+                yield pd.DataFrame({"items": [list(k[0]) for k in seen], "verdict": [k[1] for k in seen], "n": list(seen.values())})
+
+        def combinations(part: pd.DataFrame) -> pd.DataFrame:
+            found = grow(int(part["item"].iloc[0]), [(tuple(i), v, k) for i, v, k in zip(part["before"], part["verdict"], part["n"].tolist(), strict=True)], least, confidence)
+            return pd.DataFrame(found, columns=["need", "verdict", "n", "total"])
+
+        seen = labelled.select("tokens", "verdict").mapInPandas(patterns, "items array<int>, verdict string, n long").groupBy("items", "verdict").agg(F.sum("n").alias("n"))
+        seen = seen.select("verdict", "n", "items", F.posexplode("items").alias("at", "item")).select("item", F.slice("items", 1, F.col("at")).alias("before"), "verdict", "n")
+        seen = seen.groupBy("item", "before", "verdict").agg(F.sum("n").alias("n"))
+        found = seen.groupBy("item").applyInPandas(combinations, "need array<int>, verdict string, n long, total long")
+        raw += [(frozenset(names[k] for k in r.need), r.verdict, r.n / r.total, r.n / n) for r in found.collect()]
+    raw.sort(key=lambda r: (len(r[0]), sorted(r[0]), r[1]))
+    kept: dict[str, list[tuple[frozenset, str, float, float]]] = defaultdict(list)  # by a token of theirs
+    for r in raw:
+        if not any(k[1] == r[1] and k[0] <= r[0] and k[2] >= r[2] for t in r[0] for k in kept.get(t, ())):
+            kept[min(r[0])].append(r)
+    return [(tuple(sorted(a)), v, c, s) for rules in kept.values() for a, v, c, s in rules]
 
 
 def judge(urls: DataFrame, mined: list[tuple[tuple[str, ...], str, float, float]]) -> DataFrame:

@@ -229,6 +229,26 @@ def test_automaton_against_edit_distance():
         assert lex.find(t) == min(want, default=None), t
 
 
+def test_toxic_words_may_be_rare(spark):
+    """Every toxic text has one toxic word, and each of those stands in under one in a hundred toxic texts."""
+    rng = random.Random(11)
+    rare = ["".join(rng.choice("bcdfghjklmnpqrstvz") for _ in range(9)) for _ in range(140)]
+    assert len(toxicity.choose_terms([(f"{a}{b}{c}$", 4, 4.0) for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"])) == 512
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    docs, labels, n = [], [], 0
+    for i in range(4000):
+        w, bad = [rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(12)], i % 7 == 0
+        if bad:
+            w[rng.randrange(12)] = rare[n // 4 % len(rare)]
+            n += not is_held(i)
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth, got = dict(labels), toxicity.toxicity_report(df, lab).collect()
+    assert not any(r.predicted for r in got if not truth[r.doc_id])
+    assert sum(r.predicted for r in got) >= 0.95 * sum(truth.values())
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(3)
     word = lambda: f"{rng.choice('abcdefgh')}{rng.choice(('lo', 'ma', 'ne', 'tri'))}{rng.choice(('st', 'nd', 'k'))}{rng.choice('xyz')}"

@@ -1,8 +1,8 @@
 """Toxicity: a Levenshtein automaton walked along a lexicon trie, and scores of the windows around its hits.
 
 ``fit`` learns from at most ``LABELLED_ROWS`` labelled rows (those whose id hashes lowest): Spark counts in how many
-toxic and clean texts each word and word beginning stands, and those whose log odds and support are high make
-the lexicon, whole words and stems. The lexicon is a trie; the automaton of a token's edits is walked along it,
+toxic and clean texts each word and word beginning stands, and those whose log odds are high and surely above none
+make the lexicon, whole words and stems, however small their share of the toxic texts. The lexicon is a trie; the automaton of a token's edits is walked along it,
 as sets of (trie node, edits used) that are made deterministic as they are met. A token hits with no, one or two
 edits, by the length of the term.
 
@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 
 from .scratch import Scratch
 
-#: Bounds: labelled rows to learn from, terms of the lexicon.
-LABELLED_ROWS, TERMS = 20_000, 400
-#: A term needs this log odds ratio, and this share of the toxic texts (three texts at least).
-LOG_ODDS, SUPPORT = 3.5, 0.01
+#: Bound: labelled rows to learn from. It bounds the lexicon too.
+LABELLED_ROWS = 20_000
+#: A term needs this log odds ratio, so many toxic texts, and a ratio so many standard errors above none (one sided, 1 %).
+LOG_ODDS, LEAST_TEXTS, ERRORS = 3.5, 3, 2.326
 #: Tokens on each side of a hit that make its window.
 WINDOW = 10
 #: Tokens: runs of letters and digits; quotation marks count by themselves.
@@ -188,7 +188,7 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": k, "bad": [toxic[x] for x in k], "good": [clean[x] for x in k]})
 
 
-def choose_terms(rows: list[tuple[str, int, float]], most: int = TERMS) -> list[tuple[str, bool, float]]:
+def choose_terms(rows: list[tuple[str, int, float]]) -> list[tuple[str, bool, float]]:
     """(term, stem, weight) from (term, toxic texts, log odds): a stem where it covers clearly more texts than what it begins."""
     bad = {t: (n, w) for t, n, w in rows}
     longest: dict[str, int] = defaultdict(int)  # toxic texts of the widest term that starts with a beginning
@@ -200,7 +200,7 @@ def choose_terms(rows: list[tuple[str, int, float]], most: int = TERMS) -> list[
     inside = lambda body: any(body[:k] in stems for k in range(3, len(body)))
     out = [(t.rstrip("$"), t[-1] != "$", w, n) for t, (n, w) in bad.items() if (t in stems and not inside(t)) or (t[-1] == "$" and not (t[:-1] in stems or inside(t[:-1])))]
     out.sort(key=lambda x: (-x[3] * x[2], x[0]))
-    return [x[:3] for x in out[:most]]
+    return [x[:3] for x in out]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -235,8 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = Scratch(spark, "toxicity").keep(docs.select("doc_id", "text").join(known, "doc_id"), "labelled")
     counts = texts.select("text", "toxic").mapInPandas(_terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (len(y) - n_bad + 1))
-    found = counts.where(F.col("bad") >= max(3, SUPPORT * n_bad)).select("term", "bad", odds.alias("odds")).where(F.col("odds") >= LOG_ODDS)
-    found = found.orderBy(F.col("bad").desc(), "term").limit(20 * TERMS).collect()
+    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5) - 1 / (n_bad + 1) - 1 / (len(y) - n_bad + 1))
+    found = counts.where(F.col("bad") >= LEAST_TEXTS).select("term", "bad", odds.alias("odds"), error.alias("error"))
+    found = found.where((F.col("odds") >= LOG_ODDS) & (F.col("odds") >= ERRORS * F.col("error"))).orderBy(F.col("bad").desc(), "term").collect()
     terms = choose_terms([(r.term, r.bad, r.odds) for r in found])
     model = Model([t[:2] for t in terms], [t[2] for t in terms], [])
 

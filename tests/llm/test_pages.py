@@ -150,6 +150,19 @@ def test_main_text(spark, pages):
     assert all(r.n_chars == len(r.text) for r in got.collect())
 
 
+def test_main_text_around_icons_formulas_and_deep_nests():
+    model = html_text.train()
+    page = "<body><nav><ul><li><a href='/'>{}Home</a></li></ul></nav><article><h1>Title</h1><p>Body {} one of some words.</p><p>Body two of some words.</p></article><footer><p>Foot</p></footer></body>"
+    text = "Title Body one of some words. Body two of some words."
+    for part in ('<svg class="icon"/>', "<svg><use href='#a'/>", "<svg><text>no</text><svg/><svg><g/></svg><text>no</text></svg>", "<math/>", "<object>", "<canvas>", "<svg-icon></svg-icon>", "<template><object></template>", "<noscript><p>no</p></noscript>"):
+        for where in ((part, ""), ("", part)):
+            assert html_text.extract([page.format(*where)], model) == [text], where
+    assert html_text.extract([page.format("", "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>")], model) == [text.replace("Body one", "Body x=1 one")]
+    t = html_text.parse("<main>" + "<div>" * 1000 + "deep" + "</div>" * 1000 + "<p>after</p></main><p>last</p>")
+    at = {text: t.tag[e] if t.tag[e] != "p" else (t.tag[t.parent[e]], t.depth[e]) for e, _, text in t.pieces}
+    assert at == {"deep": "div", "after": ("main", 2), "last": ("html", 1)}
+
+
 def test_given_pages(spark):
     import re
     from html import unescape

@@ -16,6 +16,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,15 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of a page: what has no text, raw-text elements, tags, text (tag names: fixed values of HTML).
+#: Parts of a page: what has no text, scripts and styles (without end tag: to the end of the page, as in HTML), tags, text (tag names: fixed values of HTML).
 _PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style|template|noscript|iframe|svg|math|canvas|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>|([^<]+|<)",
     re.S | re.I,
 )
+#: Elements whose content is left out up to their end tag (without one only the start tag goes); those that may hold their like.
+LEFT_OUT = frozenset("template noscript iframe svg canvas object title".split())
+NESTED = frozenset("template svg canvas object".split())
+_TAG_NAMED = {x: re.compile(rf"<(/?){x}(?=[\s/>])([^>]*)>", re.I) for x in LEFT_OUT}
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+                   " math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mlabeledtr mstyle mpadded mphantom menclose mfenced merror mmultiscripts mprescripts none semantics annotation annotation-xml".split())
 #: An opening tag ends an open one: tag -> what it closes; where the search for it stops.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "option": {"select"}, "body": {"html"}}
@@ -61,17 +67,41 @@ class Tree:
     pieces: list[tuple[int, int, str]] = field(default_factory=list)  # element, block, text
 
 
+def _end_of(page: str, name: str, at: int, without: set[tuple[str, str]]) -> int:
+    """Where the left out element ends whose start tag ends at ``at``; ``without`` keeps what a page lacks, so no search is made twice in vain."""
+    if ("end", name) not in without:
+        depth, first = 1, None
+        for m in _TAG_NAMED[name].finditer(page, at):
+            if m[1]:
+                depth, first = depth - 1, first or m.end()
+                if not depth or name not in NESTED or ("balance", name) in without:
+                    return m.end()
+            elif not (name == "svg" and m[2].endswith("/")):
+                depth += 1
+        without.add(("balance" if first else "end", name))
+        if first:
+            return first
+    return at
+
+
 def parse(page: str | None) -> Tree:
     t = Tree([-1], [0], ["html"], [""], [False])
     stack, block = [0], 0
+    beyond: list[str] = []  # open elements below the deepest on the stack, and how many of each name
+    names: Counter = Counter()
 
     def close(upto: int) -> None:
         nonlocal block
         if any(t.tag[n] not in INLINE for n in stack[upto:]):
             block += 1
         del stack[upto:]
+        beyond.clear()
+        names.clear()
 
-    for m in _PART.finditer(page or ""):
+    page, pos, without = page or "", 0, set()
+    while pos < len(page):
+        m = _PART.match(page, pos)
+        pos = m.end()
         _, slash, name, attrs, text = m.groups()
         if text is not None:
             t.pieces.append((stack[-1], block, text))
@@ -79,6 +109,14 @@ def parse(page: str | None) -> Tree:
             continue
         elif slash:
             name = name.lower()
+            if names[name]:  # ends that and what is open in it
+                while True:
+                    last = beyond.pop()
+                    names[last] -= 1
+                    block += last not in INLINE
+                    if last == name:
+                        break
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if t.tag[stack[k]] == name:
                     close(k)
@@ -89,6 +127,10 @@ def parse(page: str | None) -> Tree:
             name = name.lower()
             if name == "html":
                 continue
+            if name in LEFT_OUT:
+                if not (name == "svg" and attrs.endswith("/")):
+                    pos = _end_of(page, name, pos, without)
+                continue
             if name in VOID:
                 if name == "br":
                     t.pieces.append((stack[-1], block, " "))
@@ -99,7 +141,7 @@ def parse(page: str | None) -> Tree:
             if name not in INLINE:
                 ends = {*ends, "p"}
             lowest = None
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if not beyond else ():
                 tag = t.tag[stack[k]]
                 if tag in scope:
                     break
@@ -117,8 +159,12 @@ def parse(page: str | None) -> Tree:
             t.tag.append(name)
             t.marks.append(" ".join("".join(x) for x in found).lower())
             t.silent.append(t.silent[stack[-1]] or name in SILENT)
-            if not attrs.rstrip().endswith("/") and len(stack) < DEEPEST:
-                stack.append(len(t.parent) - 1)
+            if not attrs.rstrip().endswith("/"):
+                if len(stack) < DEEPEST:
+                    stack.append(len(t.parent) - 1)
+                else:
+                    beyond.append(name)
+                    names[name] += 1
     return t
 
 

@@ -26,3 +26,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_calibration_is_applied_to_every_trace(spark):
+    got = catalog.queries()["I2_apply_terms"](spark, SF)
+    traces = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert traces > 3 and got.where("re is not null and im is not null").groupBy("trace_id").count().where("count = 32").count() == traces

@@ -467,6 +467,22 @@ def i2(spark, d):
     return got.select("channel", "k", "trace_id", (C.magnitude(C.sub(F.struct("re", "im"), ideal)) < 1e-6).alias("exact"))
 
 
+#: By cross ratios, without the terms: the corrected y is to the ideal standards as the sample is to the measured ones.
+_APPLY_SQL = f"""WITH {P.SAMPLES_SQL}, x AS (SELECT s.*, s.re - o.re AS ar, s.im - o.im AS ai, h.re - l.re AS br, h.im - l.im AS bi, s.re - l.re AS cr, s.im - l.im AS ci, h.re - o.re AS er, h.im - o.im AS ei
+FROM s JOIN s o ON o.trace_id = 0 AND o.channel = s.channel AND o.k = s.k JOIN s h ON h.trace_id = 1 AND h.channel = s.channel AND h.k = s.k JOIN s l ON l.trace_id = 2 AND l.channel = s.channel AND l.k = s.k),
+p AS (SELECT *, -2 * (ar * br - ai * bi) AS nr, -2 * (ar * bi + ai * br) AS ni, cr * er - ci * ei AS pr, cr * ei + ci * er AS pi FROM x),
+d AS (SELECT *, -pr - 0.08 * pi AS dr, 0.08 * pr - pi AS di FROM p),
+u AS (SELECT *, dr - 0.1 * di + 0.02 * ni AS ur, di + 0.1 * dr - 0.02 * nr AS ui, dr - nr AS vr, di - ni AS vi FROM d), q AS (SELECT *, vr * vr + vi * vi AS q FROM u)
+SELECT trace_id, channel, k, {_m('(ur * vr + ui * vi) / q')} AS re, {_m('(ui * vr - ur * vi) / q')} AS im FROM q"""
+
+
+@_query("I2_apply_terms", _APPLY_SQL)
+def i2_apply(spark, d):
+    """All samples corrected by the terms of the three standards."""
+    got = dsp.apply_terms(P.samples(spark, d), dsp.solve_terms(_standards(spark, d)))
+    return dsp.flat(got).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"))
+
+
 @_query("I3_background", f"WITH {P.SAMPLES_SQL}, r AS (SELECT channel, k, avg(re) AS a, avg(im) AS b FROM s GROUP BY 1, 2) SELECT trace_id, channel, k, {_m('re - a')} AS re, {_m('im - b')} AS im FROM s JOIN r USING (channel, k)")
 def i3(spark, d):
     s = P.samples(spark, d)
@@ -501,10 +517,10 @@ def b1(spark, d):
 
 @_query("I8_chain")
 def i8(spark, d):
-    """The whole chain with background, band-pass, transform, dewow and flat reflection."""
-    s = P.samples(spark, d)
+    """The whole chain with calibration, background (of calibrated samples), band-pass, transform, dewow and flat reflection."""
+    s, terms = P.samples(spark, d), dsp.solve_terms(_standards(spark, d))
     p = chain.Profile(P.F0, P.DF, P.POINTS, _EDGES, 16, dewow_s=4e-9, traces=101)
-    return dsp.flat(chain.process(s, p, background=dsp.coherent_mean(s)).rows).groupBy("trace_id", "channel").agg(F.count("*").alias("samples"), F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) * 1e4).cast("long").alias("energy"))
+    return dsp.flat(chain.process(s, p, terms=terms, background=dsp.coherent_mean(dsp.apply_terms(s, terms))).rows).groupBy("trace_id", "channel").agg(F.count("*").alias("samples"), F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) * 1e4).cast("long").alias("energy"))
 
 
 # ---- streams

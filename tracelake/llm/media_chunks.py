@@ -2,9 +2,10 @@
 
 A text's payload is its UTF-8 bytes with zero bytes up to a positive multiple of 64, stored as the 8-bit mono
 samples of a WAV file. The file is cut where a rolling gear hash of the last 32 bytes has its upper bits zero, so
-an edit moves only the cuts near it; the header is a chunk of its own. The chunk store holds each different chunk
-once: digests (rows without bytes) are joined to find the first file with each chunk, and only those chunks'
-bytes pass on, to a table bucketed by digest. A media row is the ordered list of its chunk digests.
+an edit moves only the cuts near it. The header follows from the number of samples, so only samples are in chunks.
+The chunk store holds each different chunk once: digests (rows without bytes) are joined to find the first file
+with each chunk, and only those chunks' bytes pass on, to a table bucketed by digest, with buckets of bounded
+size. A media row is the ordered list of its chunk digests.
 
 Reading back joins the lists with the store on the digest, puts the chunks of each file in order, and verifies the
 digest of every chunk and file before any feature is computed. Equal files are one list, however many rows share
@@ -31,6 +32,8 @@ from .textops import byte_blocks
 LEAST, MEAN, MOST = 512, 2048, 16384
 #: Rounds in which the store is written and read back.
 ROUNDS = 3
+#: Text bytes for each bucket of the store.
+BUCKET_BYTES = 64 << 20
 _GEAR = np.random.RandomState(20240229).randint(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 RATE = 8000
 
@@ -70,25 +73,25 @@ def cut_points(data: np.ndarray) -> np.ndarray:
     return np.array(ends)
 
 
-def chunks(media: bytes) -> list[bytes]:
-    """The header, then the content-defined chunks of the samples."""
-    ends = cut_points(np.frombuffer(media, np.uint8, offset=44)) + 44
-    return [media[:44], *(media[a:b] for a, b in zip([44, *ends[:-1].tolist()], ends.tolist(), strict=True))]
+def chunks(payload: bytes) -> list[bytes]:
+    """The content-defined chunks of the samples."""
+    ends = cut_points(np.frombuffer(payload, np.uint8)).tolist()
+    return [payload[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _medias(column: pa.Array) -> Iterator[tuple[int, int, bytes]]:
+def _payloads(column: pa.Array) -> Iterator[tuple[int, int, bytes]]:
     for i, j, data, offs in byte_blocks(column):
         data = data.tobytes()
         for r in range(i, j):
             text = data[offs[r - i] : offs[r - i + 1]]
-            yield r, len(text), wav(padded(text))
+            yield r, len(text), padded(text)
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, sha, digests, sizes = [], [], [], []
-        for _, size, media in _medias(batch.column(1)):
-            parts = chunks(media)
+        for _, size, payload in _payloads(batch.column(1)):
+            parts, media = chunks(payload), wav(payload)
             n.append(size)
             sha.append(hashlib.sha256(media).digest())
             digests.append([hashlib.sha256(c).digest() for c in parts])
@@ -103,12 +106,12 @@ def _bytes(rounds: int, number: int):
         c = zstandard.ZstdCompressor(level=3, write_checksum=False)
         for batch in batches:
             rows: dict[tuple[bytes, bytes], bytes] = {}
-            for _, _, media in _medias(batch.column(0)):
+            for _, _, payload in _payloads(batch.column(0)):
                 sha = None
-                for part in chunks(media):
+                for part in chunks(payload):
                     d = hashlib.sha256(part).digest()
                     if d[0] % rounds == number:
-                        sha = sha or hashlib.sha256(media).digest()
+                        sha = sha or hashlib.sha256(wav(payload)).digest()
                         rows[d, sha] = part
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.binary()), pa.array([k[1] for k in rows], pa.binary()), pa.array([c.compress(v) for v in rows.values()], pa.binary())], names=["digest", "media", "data"])
 
@@ -133,7 +136,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if hashlib.sha256(c).digest() != p["digest"] or p["i"] != len(whole):
                     raise ValueError(f"chunk {p['i']} of {sha.hex()} is damaged or missing")
                 whole.append(c)
-            media = b"".join(whole)
+            media = wav(b"".join(whole))
             if hashlib.sha256(media).digest() != sha:
                 raise ValueError(f"file {sha.hex()} is damaged")
             payload = samples(media)
@@ -155,7 +158,8 @@ def store_media(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     owner = lists.select("media", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("media").alias("media"))
     owner = scratch.keep(owner, "owners")
     table, path = f"chunks_{scratch.root.rsplit('-', 1)[1]}", scratch.path("store")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = int(rows.agg(F.sum("n_bytes")).first()[0] or 0)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
     for k in range(ROUNDS):
         part = docs.select("text").mapInArrow(_bytes(ROUNDS, k), "digest binary, media binary, data binary")
         first = part.join(owner, ["digest", "media"], "left_semi").groupBy("digest").agg(F.first("data").alias("data"))
@@ -167,7 +171,7 @@ def store_media(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
 def media_report(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: n_bytes, and from the stored bytes payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks.
 
-    Null and empty texts have a payload of 64 zero bytes. Equal texts have equal values; repeated rows stay. An empty
+    The store is dropped once it is read back. Null and empty texts have a payload of 64 zero bytes. Equal texts have equal values; repeated rows stay. An empty
     table gives an empty result. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "media")
@@ -179,4 +183,6 @@ def media_report(docs: DataFrame) -> DataFrame:
         parts = own.join(store, "digest").groupBy("media").agg(F.collect_list(F.struct("i", "digest", "data")).alias("parts"))
         part = scratch.keep(parts.mapInArrow(_rebuild, _READ), "read")
         read = part if read is None else read.union(part)
+    scratch.drop(store)
+    docs.sparkSession.sql(f"DROP TABLE {table}")
     return rows.select("doc_id", "n_bytes", "media").join(read, "media", "left").drop("media")

@@ -28,3 +28,18 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         label = new.select("node", "component")
         if new.where("changed").isEmpty():
             return label
+
+
+def joined_components(label: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components ``label(node, component)`` with more ``links(a, b)``; only the components that these touch are walked."""
+    if label is None:
+        return connected_components(links, scratch)
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    ends = scratch.keep(ends.where("a <> b").distinct(), "joins")
+    if ends.isEmpty():
+        return label
+    up = connected_components(ends, scratch)
+    moved = label.join(up.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = up.join(label.select("node"), "node", "left_anti").select("node", "component")
+    return scratch.keep(moved.unionByName(fresh), "labels")

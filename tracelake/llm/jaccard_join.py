@@ -24,6 +24,7 @@ corpus fall together with a chance of about n^2 / 2^65).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,16 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import joined_components
 from .scratch import Scratch
 from .textops import BLOCK_BYTES, IS_SPACE_WORD, LOWER, byte_blocks, mix, prefix_hash, segments, span_hash, window_hash, words
 
 #: Text bytes for each hash bucket of the profile: about two million shingles.
 BUCKET_BYTES = 12_000_000
 #: Beyond so many buckets they grow instead, and blocks of documents with them, so that a message keeps several shingles.
-MANY_BUCKETS, LARGE_BUCKET_BYTES = 4096, 300_000_000
+MANY_BUCKETS, LARGE_BUCKET_BYTES = 4096, 48_000_000
 #: Sets of each list that are compared with all others in the first round, and how many times more in each next one.
-FIRST_PIVOTS, MORE_PIVOTS = 4, 8
+FIRST_PIVOTS, MORE_PIVOTS = 4, 16
+#: Columns of a set's signature.
+SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,17 +180,32 @@ def profile(docs: DataFrame, *, words_per_shingle: int = 5, buckets: int | None
     return back.groupBy("block").applyInArrow(_total, "doc_id long, n long, d1 long, d2 long, common long")
 
 
+def signatures(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Of each set, for 256 classes of its shingles, whether their number is odd: four 64-bit words.
+
+    Two sets whose signatures differ in k bits have at least k shingles that are not common.
+    """
+    rows = len(ptr) - 1
+    place = segments(ptr) * 256 + (mix(values ^ np.uint64(0x85EBCA6B)) >> np.uint64(56)).astype(np.int64)
+    odd = (np.bincount(place, minlength=256 * rows) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, 256), axis=1).view(np.int64).reshape(rows, len(SIGNATURE))
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offs in byte_blocks(batch.column(1)):
                 values, ptr = shingle_sets(data, offs, size)
                 tokens = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), tokens], names=["doc_id", "tokens"])
+                signs = signatures(values, ptr)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), tokens, *(pa.array(signs[:, k]) for k in range(len(SIGNATURE)))], names=["doc_id", "tokens", *SIGNATURE])
 
     return run
 
 
+_SETS = "doc_id long, tokens array<long>, " + ", ".join(f"{c} long" for c in ("s0", "s1", "s2", "s3"))
+
+
 def boundary(sets: DataFrame, subset: int = 2) -> int:
     """The set size from which scanning inverted lists is cheaper than enumerating subsets.
 
@@ -206,8 +224,8 @@ def boundary(sets: DataFrame, subset: int = 2) -> int:
     return int(at)
 
 
-def links_of(sets: DataFrame, scratch: Scratch, *, percent: int = 80) -> DataFrame:
-    """Links (a, b) between different sets of ``sets(doc_id, n, tokens)`` whose transitive closure is that of all links."""
+def components_of(sets: DataFrame, scratch: Scratch, *, percent: int = 80) -> DataFrame:
+    """``(node, component)`` of the different sets ``sets(doc_id, n, tokens, s0..s3)`` that have links; the component is its smallest node."""
     flat = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
     df = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = F.array_sort(F.collect_list(F.struct("df", "token")))
@@ -215,49 +233,51 @@ def links_of(sets: DataFrame, scratch: Scratch, *, percent: int = 80) -> DataFra
     prefix = flat.join(df, "token").groupBy("doc_id", "n").agg(own.alias("own")).withColumn("p", first).where("p + 1 > 0")
     prefix = prefix.select("doc_id", "n", F.size("own").cast("long").alias("shared"), F.slice("own", 1, (F.col("p") + 2).cast("int")).alias("own"), "p")
     scan = F.aggregate(F.slice("own", 1, (F.col("p") + 1).cast("int")), F.lit(0).cast("long"), lambda x, y: x + F.least(y["df"], F.lit(FIRST_PIVOTS)))
-    prefix = scratch.keep(prefix.select("doc_id", "n", "p", "shared", F.transform("own", lambda x: x["token"]).alias("own"), F.size("own").cast("long").alias("light"), scan.alias("scan")), "prefix")
+    prefix = prefix.select("doc_id", "n", "p", "shared", F.transform("own", lambda x: x["token"]).alias("own"), F.size("own").cast("long").alias("light"), scan.alias("scan"))
+    prefix = scratch.keep(prefix.join(sets.select("doc_id", *SIGNATURE), "doc_id"), "prefix")
     x = boundary(prefix)
 
     # ``left``: the most that two sets can have in common if this key is the first they share (position filter)
     before = F.col("n") - F.col("shared")
     single = F.posexplode(F.slice("own", 1, (F.col("p") + 1).cast("int"))).alias("i", "k1")
-    heavy = prefix.where(F.col("n") * 100 >= x * percent).select(single, F.lit(0).cast("long").alias("k2"), "doc_id", "n", before.alias("u"))
-    heavy = heavy.select("k1", "k2", "doc_id", "n", (F.col("n") - F.col("u") - F.col("i")).alias("left"))
+    heavy = prefix.where(F.col("n") * 100 >= x * percent).select(single, F.lit(0).cast("long").alias("k2"), "doc_id", "n", before.alias("u"), *SIGNATURE)
+    heavy = heavy.select("k1", "k2", "doc_id", "n", (F.col("n") - F.col("u") - F.col("i")).alias("left"), *SIGNATURE)
     tail = F.transform("own", lambda a, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda b, j: F.struct(a.alias("k1"), b.alias("k2"), (i + j + 1).alias("j"))))
-    light = prefix.where((F.col("n") < x) & (F.col("n") > 1)).select(F.explode(F.flatten(tail)).alias("k"), "doc_id", "n", before.alias("u"))
-    light = light.select("k.k1", "k.k2", "doc_id", "n", (F.col("n") - F.col("u") - F.col("k.j") + 1).alias("left"))
+    light = prefix.where((F.col("n") < x) & (F.col("n") > 1)).select(F.explode(F.flatten(tail)).alias("k"), "doc_id", "n", before.alias("u"), *SIGNATURE)
+    light = light.select("k.k1", "k.k2", "doc_id", "n", (F.col("n") - F.col("u") - F.col("k.j") + 1).alias("left"), *SIGNATURE)
     lists = heavy.unionByName(light)
-    key = ["k1", "k2"]
+    key, row = ["k1", "k2"], ["k1", "k2", "doc_id", "n", "left", *SIGNATURE]
     size = lists.groupBy(*key).agg(F.count("*").alias("m"), F.max("left").alias("most"), F.min("n").alias("least")).where("m > 1")
     can = F.least("left", "most") * (100 + percent) >= (F.col("n") + F.greatest(F.col("least"), F.col("n") * percent / 100)) * percent
-    lists = scratch.keep(lists.join(size, key).where(can).select(*key, "doc_id", "n", "left", F.col("doc_id").alias("component")), "lists")
-    found = tested = None
+    lists = scratch.keep(lists.join(size, key).where(can).select(*row, F.col("doc_id").alias("component")), "lists")
+    label = tested = None
     pivots = FIRST_PIVOTS
     while True:
         # one pivot of each of ``pivots`` parts of a list, so that no list is gathered
         part = F.pmod(F.xxhash64("doc_id"), F.lit(pivots))
-        chosen = lists.groupBy(*key, part.alias("part")).agg(F.min(F.struct("doc_id", "n", "left", "component")).alias("p")).select(*key, F.col("p.doc_id").alias("p"), F.col("p.n").alias("np"), F.col("p.left").alias("lp"), F.col("p.component").alias("cp"))
+        chosen = lists.groupBy(*key, part.alias("part")).agg(F.min(F.struct("doc_id", "n", "left", "component", *SIGNATURE)).alias("p"))
+        chosen = chosen.select(*key, F.col("p.doc_id").alias("p"), F.col("p.n").alias("np"), F.col("p.left").alias("lp"), F.col("p.component").alias("cp"), *(F.col(f"p.{c}").alias(f"p{c}") for c in SIGNATURE))
         chosen = scratch.keep(chosen, "pivots")
         same = [lists[c] == chosen[c] for c in key]
         fits = (F.col("component") != F.col("cp")) & (F.least("left", "lp") * (100 + percent) >= (F.col("n") + F.col("np")) * percent)
-        pairs = lists.join(chosen, [*same, fits]).select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
+        apart = functools.reduce(Column.__add__, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in SIGNATURE))
+        alike = apart * (100 + percent) <= (F.col("n") + F.col("np")) * (100 - percent)
+        pairs = lists.join(chosen, [*same, fits, alike]).select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "pairs")
         both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
         common = F.size(F.array_intersect("ta", "tb"))
         new = scratch.keep(both.where(common * 100 >= (F.size("ta") + F.size("tb") - common) * percent).select("a", "b"), "links")
-        found, tested = (new, pairs) if found is None else (found.union(new), tested.union(pairs))
+        label, tested = joined_components(label, new, scratch), pairs if tested is None else tested.union(pairs)
         # compared sets leave their lists; lists within one component are done
-        rest = scratch.keep(lists.join(chosen.select(*key, F.col("p").alias("doc_id")), [*key, "doc_id"], "left_anti").select(*key, "doc_id", "n", "left"), "rest")
-        if rest.isEmpty():
-            return found
-        label = connected_components(found, scratch)
+        rest = lists.join(chosen.select(*key, F.col("p").alias("doc_id")), [*key, "doc_id"], "left_anti").select(*row)
         rest = rest.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        rest = scratch.keep(rest.select(*row, "component"), "rest")
         open_ = rest.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*key)
-        lists = scratch.keep(rest.join(open_, key).select(*key, "doc_id", "n", "left", "component"), "lists")
+        lists = scratch.keep(rest.join(open_, key).select(*row, "component"), "lists")
         if lists.isEmpty():
-            return found
+            return label
         pivots *= MORE_PIVOTS
 
 
@@ -271,17 +291,18 @@ def jaccard_components(docs: DataFrame, *, words_per_shingle: int = 5, percent:
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    nameless = docs.where("doc_id is null").mapInArrow(_sets(words_per_shingle), "doc_id long, tokens array<long>")
+    nameless = docs.where("doc_id is null").mapInArrow(_sets(words_per_shingle), _SETS)
     docs = docs.where("doc_id is not null")
     all_ = scratch.keep(profile(docs, words_per_shingle=words_per_shingle), "profile")
     classes = all_.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("common").alias("common"))
     live = classes.where(F.col("common") >= needed(F.col("n"), percent)).select(F.col("rep").alias("doc_id"), "n")
     texts = docs.join(live.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.select("doc_id", "text").mapInArrow(_sets(words_per_shingle), "doc_id long, tokens array<long>")
-    sets = scratch.keep(sets.select("doc_id", F.size("tokens").cast("long").alias("n"), "tokens"), "sets")
-    label = connected_components(links_of(sets, scratch, percent=percent), scratch)
+    sets = texts.select("doc_id", "text").mapInArrow(_sets(words_per_shingle), _SETS)
+    sets = scratch.keep(sets.select("doc_id", F.size("tokens").cast("long").alias("n"), "tokens", *SIGNATURE), "sets")
+    label = components_of(sets, scratch, percent=percent)
     of = classes.select("n", "d1", "d2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    # a table of its own, so that Spark can split the rows of a class with many copies when they are joined with it
+    of = scratch.keep(of.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")), "classes")
     out = all_.join(of, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.unionAll(nameless.select("doc_id", F.size("tokens").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 

@@ -8,14 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import codecs, nmea
 from .functions import complexes as C
-from .functions import nmea
 from .functions import scalars as S
 from .operators import constraints, match, reconcile, timing
-from .plans import chain, dsp, provenance
+from .plans import chain, dsp, provenance, reuse
 from .sources import projections as P
 from .sources import sinks, views
-from .streaming import frames, ingest
+from .streaming import frames, ingest, protocol
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -366,6 +366,36 @@ def g3(spark, d):
     return c.select("c_custkey", h.alias("hash"))
 
 
+@_query("G3_raw_hash", "WITH x AS (SELECT p_partkey, p_brand, p_size, '000000000000' || printf('%02x%02x', ((1023 + p_size) & 15) * 16, (1023 + p_size) >> 4) AS a, '000000000000' || printf('%02x%02x', ((1024 + p_size) & 15) * 16, (1024 + p_size) >> 4) AS b, '000000000000' || printf('%02x%02x', ((1023 - p_size) & 15) * 16, ((1023 - p_size) >> 4) + 128) AS c FROM part) SELECT p_partkey, sha256(unhex(hex(encode('TRACELAKE-RAW')) || '0000000000000001' || lpad(printf('%x', octet_length(encode(p_brand))), 16, '0') || hex(encode(p_brand)) || '0000000000000001' || hex(encode('u')) || lpad(printf('%x', p_partkey), 16, '0') || '0000000000000001' || '0000000000000002' || hex(encode('s1')) || '0000000000000002' || a || b || a || c || c || b)) AS hash FROM x")
+def g3_raw(spark, d):
+    """From an axis and complex samples (powers of two) to their bytes and digest."""
+    t = P.table(spark, d, "part").withColumns({"a": F.pow(F.lit(2.0), F.col("p_size")), "b": F.pow(F.lit(2.0), F.col("p_size") + 1), "c": -F.pow(F.lit(2.0), -F.col("p_size"))})
+    axis, raw = codecs.le_doubles(F.array("a", "b")), codecs.le_complex(F.array(C.cx(F.col("a"), F.col("c")), C.cx(F.col("c"), F.col("b"))))
+    return t.select("p_partkey", S.raw_trace_sha256("TRACELAKE-RAW", F.col("p_brand"), F.lit("u"), F.col("p_partkey"), F.array(F.lit("s1")), F.lit(2), axis, raw).alias("hash"))
+
+
+@_query("G5_config_digest", """SELECT p_partkey, sha256('{"brand":"' || p_brand || '","channels":[{"id":"s1","size":' || CAST(p_size AS VARCHAR) || '}],"offset":0.0,"zeta":null}') AS digest FROM part""")
+def g5(spark, d):
+    """Configurations as structs; -0.0 counts as 0.0, and what only describes is left out."""
+    config = F.struct(F.lit(None).cast("string").alias("zeta"), F.col("p_brand").alias("brand"), F.array(F.struct(F.col("p_size").alias("size"), F.lit("s1").alias("id"))).alias("channels"), F.lit(-0.0).alias("offset"))
+    return P.table(spark, d, "part").select("p_partkey", codecs.canonical_digest(config).alias("digest"))
+
+
+def _profiles(spark, d, shift):
+    """Profiles of a data set (an order): a position for each line, the digest that of its part."""
+    lines = P.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
+    return lines.select(F.col("l_orderkey").alias("dataset_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("channel_id"), F.lit("s11").alias("s_parameter"), F.col("l_suppkey").cast("string").alias("profile_id"), F.sha2((F.col("l_partkey") + shift).cast("string"), 256).alias("content_sha256"))
+
+
+_LINES_SQL = "(SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)"
+_SET_SQL = f"""SELECT l_orderkey AS dataset_id, sha256('[' || string_agg('{{"channel_id":"c' || CAST(l_linenumber AS VARCHAR) || '","content_sha256":"' || sha256(CAST(l_partkey AS VARCHAR)) || '","profile_id":"' || CAST(l_suppkey AS VARCHAR) || '"}}', ',' ORDER BY l_linenumber) || ']') AS set_sha256 FROM {_LINES_SQL} GROUP BY 1"""
+
+
+@_query("G6_set_digest", _SET_SQL)
+def g6(spark, d):
+    return reuse.set_digest(_profiles(spark, d, F.lit(0)), "dataset_id")
+
+
 # ---- scalar functions
 
 
@@ -451,7 +481,36 @@ def _standards(spark, d):
     return rows.select("channel", "k", name.alias("standard"), F.struct("re", "im").alias("measured"), ideal.alias("actual"))
 
 
-@_query("I1_solve_terms")
+def _cplx(name: str, a: tuple[str, str], op: str, b: tuple[str, str]) -> str:
+    """SQL of one complex operation as two columns."""
+    (r, i), (x, y) = a, b
+    q = f"({x} * {x} + {y} * {y})"
+    re_, im_ = {"*": (f"{r} * {x} - {i} * {y}", f"{r} * {y} + {i} * {x}"), "-": (f"{r} - {x}", f"{i} - {y}"), "+": (f"{r} + {x}", f"{i} + {y}"), "/": (f"({r} * {x} + {i} * {y}) / {q}", f"({i} * {x} - {r} * {y}) / {q}")}[op]
+    return f"{re_} AS {name}r, {im_} AS {name}i"
+
+
+def _terms_sql() -> str:
+    """By Cramer's rule on the three equations m = D + a E + a m S, stage by stage."""
+    c = lambda x: (f"{x}r", f"{x}i")
+    const = {"ao": ("1.0", "0.1"), "as": ("-1.0", "0.1"), "al": ("0.0", "0.02")}
+    v = lambda x: const.get(x) or c(x)
+    steps = [[("po", "ao", "*", "mo"), ("ps", "as", "*", "ms"), ("pl", "al", "*", "ml")]]
+    pairs = (("o", "s"), ("s", "l"), ("l", "o"))
+    steps.append([(f"{x}{a}{b}", f"{y}{a}", "*", f"{z}{b}") for x, y, z in (("u", "a", "p"), ("v", "m", "p"), ("w", "a", "m")) for a, b in (*pairs, *((b, a) for a, b in pairs))])
+    steps.append([(f"{x}{a}{b}_", f"{x}{a}{b}", "-", f"{x}{b}{a}") for x in "uvw" for a, b in pairs])
+    steps.append([(f"{x}1", f"{x}os_", "+", f"{x}sl_") for x in "uvw"] + [(f"y{a}", f"m{a}", "*", f"u{b}{d}_") for a, b, d in (("o", "s", "l"), ("s", "l", "o"), ("l", "o", "s"))])
+    steps.append([(f"{x}2", f"{x}1", "+", f"{x}lo_") for x in "uvw"] + [("y1", "yo", "+", "ys")])
+    steps.append([("y2", "y1", "+", "yl"), ("E", "v2", "/", "u2"), ("S", "w2", "/", "u2")])
+    steps.append([("D", "y2", "/", "u2")])
+    steps.append([("DS", "D", "*", "S")])
+    steps.append([("T", "E", "+", "DS")])
+    ctes = "".join(f", c{n + 1} AS (SELECT *, {', '.join(_cplx(name, v(a), op, v(b)) for name, a, op, b in ops)} FROM c{n})" for n, ops in enumerate(steps))
+    base = "c0 AS (SELECT o.channel, o.k, o.re AS mor, o.im AS moi, h.re AS msr, h.im AS msi, l.re AS mlr, l.im AS mli FROM s o JOIN s h ON h.trace_id = 1 AND h.channel = o.channel AND h.k = o.k JOIN s l ON l.trace_id = 2 AND l.channel = o.channel AND l.k = o.k WHERE o.trace_id = 0)"
+    out = ", ".join(f"{_m(x + p[0])} AS {x}_{p}" for x in "DTS" for p in ("re", "im"))
+    return f"WITH {P.SAMPLES_SQL}, {base}{ctes} SELECT channel, k, true AS ok, {out} FROM c{len(steps)}"
+
+
+@_query("I1_solve_terms", _terms_sql())
 def i1(spark, d):
     t = dsp.solve_terms(_standards(spark, d))
     return t.select("channel", "k", "ok", *(micro(F.col(f"{x}.{p}")).alias(f"{x}_{p}") for x in "DTS" for p in ("re", "im")))
@@ -695,10 +754,14 @@ def h7(spark, d):
     return P.table(spark, d, "events").select(i, F.unix_micros(nmea.combine_utc(day, ((i * 977) % 86400).cast("double"), ((i * 4099) % 86400).cast("double"))).alias("us"))
 
 
-@_query("H13_json", "SELECT event_id, json_valid(p) AS valid FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN left(props, length(props) - 1) ELSE props END AS p FROM events)")
+_ODD_JSON = {5: "left(props, length(props) - 1)", 7: "'{\"a\": 1, \"b\": {\"k\": 1, \"k\": ' || props || '}}'", 11: "'{\"a\": NaN, \"b\": ' || props || '}'", 13: "'[' || props || ', \"k\", null]'"}
+_JSON_CASE = "CASE " + " ".join(f"WHEN event_id % {n} = 0 THEN {t}" for n, t in _ODD_JSON.items()) + " ELSE props END"
+
+
+@_query("H13_json", f"SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 = 0 THEN false WHEN event_id % 5 <> 0 AND event_id % 11 = 0 THEN false ELSE json_valid(p) END AS valid FROM (SELECT event_id, {_JSON_CASE} AS p FROM events)")
 def h13(spark, d):
-    p = F.when(F.col("event_id") % 5 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
-    return P.table(spark, d, "events").select("event_id", F.try_parse_json(p).isNotNull().alias("valid"))
+    """Cut short, with a repeated key inside, with NaN, and valid texts."""
+    return P.table(spark, d, "events").select("event_id", codecs.strict_json(F.expr(_JSON_CASE)).alias("valid"))
 
 
 @_query("H22_midpoint", f"WITH {P.EVENTS_SQL} SELECT sweep_id, (started_ns + finished_ns) // 2 AS mid FROM sweeps")
@@ -771,26 +834,113 @@ def h8(spark, d):
 
 @_query("J6_lines", "SELECT user_id AS stream, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS n, event_type AS line FROM events WHERE event_id % 6 <> 0")
 def j6(spark, d):
-    """A stream of lines for each user, each in two chunks; every sixth line is too long and dropped."""
+    """A stream of lines for each user, each in two chunks; every sixth line is too long and dropped, and so are empty lines after every fourth."""
     e = P.table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 6 == 0, F.rpad("event_type", 300, "x")).otherwise(F.col("event_type")).alias("t"))
-    c = e.select(F.col("user_id").alias("stream"), F.explode(F.array(F.struct((F.col("event_id") * 2 + 1).alias("seq"), F.concat(F.expr("substring(t, 4)"), F.lit("\r\n")).alias("text")), F.struct((F.col("event_id") * 2).alias("seq"), F.substring("t", 1, 3).alias("text")))).alias("x")).select("stream", "x.seq", "x.text")
+    c = e.select(F.col("user_id").alias("stream"), F.explode(F.array(F.struct((F.col("event_id") * 2 + 1).alias("seq"), F.concat(F.expr("substring(t, 4)"), F.when(F.col("event_id") % 4 == 0, "\r\n\r\n\n").otherwise("\r\n")).alias("text")), F.struct((F.col("event_id") * 2).alias("seq"), F.substring("t", 1, 3).alias("text")))).alias("x")).select("stream", "x.seq", "x.text")
     return ingest.lines(c).select("stream", F.col("n").cast("int").alias("n"), "line")
 
 
-@_query("J13_bound_decode", f"WITH {_AIR}, b AS (SELECT mission_id, trace_index, record_position, hash, CASE WHEN trace_index % 43 = 0 THEN 'damaged' ELSE hash END AS got FROM air) SELECT b.mission_id, trace_index, record_position, n.mission_id IS NOT NULL AND hash = got AS accepted FROM b LEFT JOIN (SELECT 'O' AS mission_id UNION ALL SELECT 'F') n USING (mission_id)")
+@_query("J13_bound_decode", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'unknown_mission' WHEN o_orderkey % 41 = 0 THEN 'channels' WHEN o_orderkey % 37 = 0 THEN 'axis' WHEN o_orderkey % 43 = 0 THEN 'hash' ELSE 'accepted' END AS verdict FROM orders")
 def j13(spark, d):
-    """A trace is accepted if its mission is known and its recomputed digest is the one it carries."""
-    known = spark.createDataFrame([("O",), ("F",)], "mission_id string").withColumn("known", F.lit(True))
-    a = P.side(spark, d, "air").withColumn("got", F.when(F.col("trace_index") % 43 == 0, "damaged").otherwise(F.col("hash")))
-    return a.join(known, "mission_id", "left").select("mission_id", "trace_index", "record_position", (F.coalesce("known", F.lit(False)) & (F.col("hash") == F.col("got"))).alias("accepted"))
-
-
-@_query("L6_safe_reuse", "WITH p AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber) AS used, list(CASE WHEN l_orderkey % 9 = 0 THEN l_partkey + 1 ELSE l_partkey END ORDER BY l_linenumber) AS offered FROM lineitem GROUP BY 1) SELECT l_orderkey, used = offered AS reusable FROM p")
+    """A trace is accepted if its mission is known, its channels and axis are the mission's, and its recomputed digest is the one it carries."""
+    i, v = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    digest = lambda value: S.raw_trace_sha256("TRACELAKE-RAW", F.col("mission_id"), i.cast("string"), i, F.col("channels"), F.size("axis"), codecs.le_doubles(F.col("axis")), codecs.le_complex(F.array(C.cx(value, -value))))
+    rows = P.table(spark, d, "orders").select(F.col("o_orderstatus").alias("mission_id"), i, v.alias("v"), F.array(F.when(i % 41 == 0, "s2").otherwise("s1")).alias("channels"), F.array(F.when(i % 37 == 0, 2.0).otherwise(1.0)).alias("axis"))
+    sent = rows.withColumn("hash", digest(F.col("v") + F.when(i % 43 == 0, 1).otherwise(0)))
+    known = spark.createDataFrame([(m, ["s1"], [1.0]) for m in "OF"], "mission_id string, channels array<string>, axis array<double>")
+    return protocol.bound_decode(sent, known, digest(F.col("v"))).select("o_orderkey", "verdict")
+
+
+@_query("L6_safe_reuse", f"""WITH w AS ({_SET_SQL}), l AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS n FROM lineitem), o AS (SELECT o_orderkey AS id, o_orderstatus AS st FROM orders),
+m AS (SELECT id, list('positions[' || CAST(n AS VARCHAR) || '].' || CASE WHEN n = 1 AND id % 9 = 0 THEN 'content_sha256' ELSE 'not_recorded' END ORDER BY 'positions[' || CAST(n AS VARCHAR) || '].') AS m FROM l WHERE (n = 1 AND id % 9 = 0) OR (n = 2 AND id % 11 = 0) GROUP BY 1)
+SELECT o.id AS dataset_id, x = '' AS reusable, x AS mismatches FROM o JOIN (SELECT o.id, CASE WHEN o.st = 'F' THEN 'not_calibrated' WHEN w.dataset_id IS NULL OR o.id % 13 = 0 OR (o.id % 11 = 0 AND o.id NOT IN (SELECT id FROM l WHERE n <> 2)) THEN 'no_provenance' ELSE concat_ws(',', array_to_string(m.m, ','), CASE WHEN o.id % 10 = 0 THEN 'set_sha256' END) END AS x FROM o LEFT JOIN w ON w.dataset_id = o.id LEFT JOIN m ON m.id = o.id) y ON y.id = o.id""".replace("concat_ws(',', array_to_string(m.m, ','), CASE", "concat_ws(',', nullif(array_to_string(m.m, ','), ''), CASE"))
 def l6(spark, d):
-    """Calibrated data are reused only with the same ordered list of profiles."""
-    li = P.table(spark, d, "lineitem").withColumn("o", F.col("l_partkey") + F.when(F.col("l_orderkey") % 9 == 0, 1).otherwise(0))
-    both = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("p")))).alias("u"), F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("o").alias("p")))).alias("o"))
-    return both.select("l_orderkey", (F.col("u.p") == F.col("o.p")).alias("reusable"))
+    """Orders as data sets: some not calibrated, without a list, with another digest at a position, a position or the digest of the set missing."""
+    want = _profiles(spark, d, F.lit(0))
+    have = _profiles(spark, d, F.when((F.col("l_orderkey") % 9 == 0) & (F.col("l_linenumber") == 1), 1).otherwise(0)).where("dataset_id % 13 <> 0 and not (position = 2 and dataset_id % 11 = 0)")
+    whole = reuse.set_digest(want, "dataset_id")
+    o = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("dataset_id"), F.when(F.col("o_orderstatus") == "F", "frequency_raw").otherwise("frequency_calibrated").alias("domain"))
+    sets = o.join(whole, "dataset_id", "left").withColumn("set_sha256", F.when(F.col("dataset_id") % 10 != 0, F.col("set_sha256")))
+    got = reuse.safe_reuse(sets, have, want)
+    return got.select("dataset_id", "reusable", F.array_join("mismatches", ",").alias("mismatches"))
+
+
+@_query("L3_reference_continuity", """WITH h AS (SELECT o_orderkey AS id, n, (o_custkey + n) AS s FROM orders, (SELECT unnest([1, 2, 3, 4]) AS n))
+SELECT id AS dataset_id, n AS ordinal, 'calibration_missing' AS violation FROM h WHERE n = 1 AND id % 5 = 0
+UNION ALL SELECT id, n, 'calibration_incompatible' FROM h WHERE n > 2 AND s % 7 = 0
+UNION ALL SELECT id, n, 'calibration_changed' FROM h WHERE n = 2 AND (id % 3 = 0 OR (id % 2 = 0 AND id % 5 = 0))
+UNION ALL SELECT id, n, 'background_missing' FROM h WHERE n = 2 AND s % 11 = 0""")
+def l3(spark, d):
+    """Orders as histories: calibration, background, then stages without references."""
+    h = P.table(spark, d, "orders").select(F.col("o_orderkey").alias("dataset_id"), "o_custkey", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("ordinal")).withColumn("s", F.col("o_custkey") + F.col("ordinal"))
+    n, i = F.col("ordinal"), F.col("dataset_id")
+    source = F.when(n == 1, "frequency_raw").when(n == 2, "frequency_calibrated").when(n == 3, "frequency_background_applied").otherwise("time_base")
+    target = F.when(n == 1, "frequency_calibrated").when(n == 2, "frequency_background_applied").otherwise("time_base")
+    cal = F.when(n == 1, F.when(i % 5 != 0, "A")).when(n == 2, F.when(i % 3 == 0, "B").when(i % 2 == 0, "A")).otherwise(F.when(F.col("s") % 7 == 0, "A"))
+    back = F.when((n == 2) & (F.col("s") % 11 != 0), "G")
+    return reuse.reference_violations(h.select("dataset_id", "ordinal", source.alias("source"), target.alias("target"), cal.alias("calibration_id"), back.alias("background_id")))
+
+
+@_query("L7_background_provenance", """SELECT o_orderkey AS dataset_id, m IS NULL AS compatible, m AS mismatch FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'not_calibrated' WHEN o_orderkey % 7 = 0 THEN 'reference_domain' WHEN o_orderkey % 5 = 0 THEN 'profile_id'
+WHEN o_orderkey % 11 = 0 THEN 'no_provenance' WHEN o_custkey % 3 = 0 THEN 'content_sha256' WHEN o_custkey % 4 = 0 THEN 'channel_id' END AS m FROM orders)""")
+def l7(spark, d):
+    """Orders as data sets, customers as profiles; each order has a reference of its own."""
+    o, i, c = P.table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    digest = lambda x: F.sha2(x.cast("string"), 256)
+    sets = o.select(i.alias("dataset_id"), F.when(F.col("o_orderstatus") == "F", "frequency_raw").otherwise("frequency_calibrated").alias("domain"), F.when(i % 5 == 0, c + 1).otherwise(c).cast("string").alias("calibration_id"), i.alias("reference_id"))
+    have = o.where("o_orderkey % 11 <> 0").select(i.alias("dataset_id"), F.lit("c1").alias("channel_id"), c.cast("string").alias("profile_id"), digest(c).alias("content_sha256"))
+    refs = o.select(i.alias("reference_id"), F.when(i % 7 == 0, "raw").otherwise("osl_calibrated").alias("reference_domain"), c.cast("string").alias("profile_id"))
+    k = F.col("c_custkey")
+    live = P.table(spark, d, "customer").select(k.cast("string").alias("profile_id"), F.when((k % 3 != 0) & (k % 4 == 0), "c2").otherwise("c1").alias("channel_id"), digest(F.when(k % 3 == 0, -k - 1).otherwise(k)).alias("content_sha256"))
+    return reuse.background_verdicts(sets, have, refs, live)
+
+
+_MAGIC = b"TLK1"
+
+
+def _be(c: Column, n: int) -> Column:
+    """The lowest n bytes of a number, the highest first."""
+    return F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
+
+
+@_query("J11_frames", """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+b AS (SELECT *, coalesce(max(CASE WHEN event_id % 17 = 0 THEN i END) OVER w, 0) AS broke, coalesce(max(CASE WHEN event_id % 5 = 0 THEN i END) OVER v, 0) AS reset FROM e WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY user_id ORDER BY i)),
+k AS (SELECT * FROM b WHERE reset > broke OR broke = 0)
+SELECT user_id AS stream, CAST(row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS INT) AS n, CASE WHEN event_id % 17 <> 0 THEN 'trace' END AS kind, CASE WHEN event_id % 17 <> 0 THEN '{"id":' || CAST(event_id AS VARCHAR) || '}' END AS header, CASE WHEN event_id % 17 <> 0 THEN event_type END AS payload, CASE WHEN event_id % 17 = 0 THEN 'unknown_kind' END AS error FROM k""")
+def j11(spark, d):
+    """A frame for each event, in two chunks; every seventeenth has an unknown kind and stops its stream, every fifth begins with a reset."""
+    i = F.col("event_id")
+    head = F.concat(F.lit('{"id":'), i.cast("string"), F.lit("}"))
+    kind = F.when(i % 17 == 0, 99).otherwise(5)
+    frame = F.concat(F.lit(_MAGIC), _be(F.lit(256), 2), _be(kind, 2), _be(F.lit(0), 2), _be(F.length(head), 4), _be(F.length("event_type"), 4), head.cast("binary"), F.col("event_type").cast("binary"))
+    e = P.table(spark, d, "events").select("event_id", F.col("user_id").alias("stream"), frame.alias("f"))
+    parts = F.array(F.struct((i * 2).alias("seq"), F.expr("substring(f, 1, 9)").alias("data"), (i % 5 == 0).alias("reset")), F.struct((i * 2 + 1).alias("seq"), F.expr("substring(f, 10)").alias("data"), F.lit(False).alias("reset")))
+    got = protocol.frames(e.select("stream", F.explode(parts).alias("x")).select("stream", "x.*"), _MAGIC)
+    return got.select("stream", F.col("n").cast("int").alias("n"), "kind", "header", F.col("payload").cast("string").alias("payload"), "error")
+
+
+@_query("J12_message_kinds", "SELECT p_partkey, CASE p_size % 10 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in protocol.KINDS.items()) + " END AS kind FROM part")
+def j12(spark, d):
+    return P.table(spark, d, "part").select("p_partkey", protocol.kind_name(F.col("p_size") % 10).alias("kind"))
+
+
+@_query("B13_wire_stamps", "SELECT p_partkey, p_size % 3 <> 0 AS even FROM part")
+def b13(spark, d):
+    """Axes of p_size + 1 points in steps of a quarter; in every third by size the last point is off."""
+    n = F.col("p_size")
+    axis = F.transform(F.sequence(F.lit(0), n), lambda i: F.lit(1.0) + i * F.lit(0.25) + F.when((i == n) & (n % 3 == 0), 0.125).otherwise(0.0))
+    return P.table(spark, d, "part").select("p_partkey", codecs.wire_stamps(axis, F.lit(1.0), F.lit(1.0) + n * 0.25, n + 1).alias("even"))
+
+
+@_query("J5_sweep_timeouts", "WITH x AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders) SELECT k AS stream, 1 AS sweep, 0 AS first_n, 1000 AS started_ms, 1000 + c % 30 + CASE WHEN c % 30 >= 20 THEN 0 WHEN 2 * (c % 30) >= 20 THEN c % 30 ELSE 2 * (c % 30) END AS last_ms FROM x WHERE CASE WHEN k % 2 = 0 THEN c % 30 >= 20 OR 2 * (c % 30) >= 20 OR 3 * (c % 30) >= 20 ELSE c % 30 >= 20 OR 2 * (c % 30) >= 20 END")
+def j5(spark, d):
+    """Sweeps of three points for each order, a step apart; even orders lack the last and have a tick instead; the deadline is 20 ms."""
+    k, step = F.col("o_orderkey"), F.col("o_custkey") % 30
+    rows = F.sequence(F.lit(0), F.lit(3))
+    o = P.table(spark, d, "orders").select(k.alias("stream"), step.alias("step"), F.explode(rows).alias("n"))
+    point = F.when(F.col("n") < F.when(F.col("stream") % 2 == 0, 2).otherwise(3), F.col("n"))
+    p = o.select("stream", "n", (F.lit(1000) + F.col("n") * F.col("step")).alias("at_ms"), point.alias("point"))
+    return frames.sweep_timeouts(p, 3, 20).select("stream", F.col("sweep").cast("int").alias("sweep"), "first_n", "started_ms", "last_ms")
 
 
 def queries() -> dict[str, Query]:

@@ -96,6 +96,25 @@ def sweeps(points: DataFrame, size: int) -> DataFrame:
     return got.select("stream", "sweep", "first_n", "points", (F.col("bad").isNull() & (F.col("points") >= size)).alias("complete"))
 
 
+def sweep_timeouts(points: DataFrame, size: int, timeout_ms: int) -> DataFrame:
+    """Of ``points(stream, n, at_ms, point)``: the sweeps that a deadline ends, ``(stream, sweep, first_n, started_ms, last_ms)``.
+
+    A point 0 opens a sweep. The deadline is looked at before each later point and at the end of the stream's rows (a
+    point of null is a mere tick): a sweep that is not whole ``timeout_ms`` after its start, the very moment included, is dropped.
+    """
+    w = Window.partitionBy("stream").orderBy("n")
+    df = points.withColumn("sweep", F.sum(F.when(F.col("point") == 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("sweep > 0")
+    s = Window.partitionBy("stream", "sweep").orderBy("n")
+    own = s.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"started": F.min("at_ms").over(own), "at": F.count("point").over(own) - 1})
+    df = df.withColumn("bad", F.max(F.col("point").isNotNull() & (F.col("point") != F.col("at"))).over(own))
+    # active until the sweep is whole or broken by a point out of order
+    before = F.lag(F.col("bad") | (F.col("at") >= size - 1)).over(s)
+    df = df.withColumn("due", ~F.coalesce(before, F.lit(False)) & (F.col("at_ms") - F.col("started") >= timeout_ms))
+    got = df.groupBy("stream", "sweep").agg(F.min("n").alias("first_n"), F.min("started").alias("started_ms"), F.min(F.when(F.col("due"), F.col("at_ms"))).alias("last_ms"))
+    return got.where("last_ms is not null")
+
+
 def receiver_plan(receivers, stage: int, port: int):
     """True where exactly one finite receiver holds the slot: its stage in bits 5-7, reference in bit 4, ports below."""
     fits = lambda r: (F.shiftright(r["desc"], 5) == stage) & (r["desc"].bitwiseAND(F.lit(16 if port == 0 else 1 << (port - 1))) != 0) & ((r["desc"].bitwiseAND(F.lit(16)) == 0) if port else F.lit(True)) & ~F.isnan(r["re"]) & ~F.isnan(r["im"])

@@ -23,14 +23,15 @@ def split_lines(buffer: str, skipping: bool, most: int = MAX_LINE) -> tuple[list
     *whole, left = buffer.split("\n")
     out = []
     for x in whole:
-        if not skipping and len(x) <= most:
-            out.append(x.rstrip("\r"))
+        x = x.rstrip("\r")
+        if not skipping and 0 < len(x) <= most:
+            out.append(x)
         skipping = False
     return (out, "", True) if skipping or len(left) > most else (out, left, False)
 
 
 def lines(chunks: DataFrame, most: int = MAX_LINE) -> DataFrame:
-    """``chunks(stream, seq, text)`` to ``(stream, n, line)``: each stream in order, overlong lines dropped whole."""
+    """``chunks(stream, seq, text)`` to ``(stream, n, line)``: each stream in order, overlong lines dropped whole, empty ones left out."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got, _, _ = split_lines("".join(pdf.sort_values("seq")["text"]), False, most)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, jaccard_join, media_chunks, mixing, repeated_bytes, secret_scan, textops, toxicity
+from tracelake.llm import decontaminate, jaccard_join, media_chunks, mixing, passages, repeated_bytes, secret_scan, textops, toxicity
 
 LONG = " ".join(f"w{i % 997}" for i in range(60_000))
 ODD = [
@@ -53,7 +53,33 @@ def test_words_and_hashes():
 # 1
 
 
+def brute_feature(p):
+    x = [b - 128 for b in p]
+    turns = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+    bins = Counter(b >> 4 for b in p)
+    return f"mean={sum(x) * 1000 // len(x)};energy={sum(a * a for a in x)};turns={turns};bins={','.join(str(bins[k]) for k in range(16))}"
+
+
+def test_each_chunk_is_stored_once(spark):
+    """Of texts with long common parts; the lists rebuild the texts."""
+    rng = random.Random(3)
+    common = "".join(rng.choices("abcdefgh ", k=30_000))
+    texts = [common[k * 500 :] + f"{k}" for k in range(12)] + ["", common]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:3])], "doc_id long, text string")
+    scratch = media_chunks.Scratch(spark, "test")
+    files, lists, table = media_chunks.store_media(df, scratch)
+    stored = {r.digest: media_chunks.zstandard.ZstdDecompressor().decompress(r.data) for r in spark.table(table).collect()}
+    assert spark.table(table).count() == len(stored) and all(hashlib.sha256(v).digest() == k for k, v in stored.items())
+    assert sum(map(len, stored.values())) < 0.4 * sum(map(len, texts))
+    of = {r.media: b"".join(stored[d] for d in r.digests) for r in lists.collect()}
+    assert {r.doc_id: of[r.media] for r in files.collect()} == {i: media_chunks.padded(t.encode()) for i, t in enumerate(texts + texts[:3])}
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_media_round_trip(odd, empty):
+    for r in media_chunks.media_report(odd).where("n_bytes < 1000").collect():
+        p = media_chunks.padded(next((t or "").encode() for i, t, *_ in ODD if i == r.doc_id and len((t or "").encode()) == r.n_bytes))
+        assert r.feature == brute_feature(p)
     got = Counter()
     for r in media_chunks.media_report(odd).collect():
         got[r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256] += 1
@@ -70,8 +96,8 @@ def test_media_round_trip(odd, empty):
 def test_chunks_follow_content():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 256, 60_000, dtype=np.uint8).tobytes()
-    one, two = (media_chunks.chunks(media_chunks.wav(x)) for x in (a, a[:5000] + b"!" + a[5000:]))
-    assert b"".join(one)[44:] == a and max(map(len, one)) <= media_chunks.MOST
+    one, two = (media_chunks.chunks(x) for x in (a, a[:5000] + b"!" + a[5000:]))
+    assert b"".join(one) == a and max(map(len, one)) <= media_chunks.MOST
     assert len(set(one) & set(two)) > 0.7 * len(one)
     slow = []
     h = 0
@@ -130,6 +156,27 @@ def test_jaccard_against_all_pairs(spark, monkeypatch):
         assert {tuple(r) for r in jaccard_join.jaccard_components(df).collect()} == want
 
 
+def test_unlike_sets_with_a_common_passage_make_no_pairs(spark, monkeypatch):
+    """2,000 sets share their rarest passage; what follows are passages that many more have, in other choices."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(34)]
+    parts = [[f"q{k}_{i}" for i in range(25)] for k in range(20)]
+    texts = [" ".join([*passage, *(w for k in rng.sample(range(20), 5) for w in parts[k])]) for _ in range(2000)]
+    texts += [" ".join(w for k in rng.sample(range(20), 2) for w in parts[k]) for _ in range(4500)]
+    made = []
+    keep = jaccard_join.Scratch.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.Scratch, "keep", kept)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 6500 and sum(made) < 20 * 2000, made
+
+
 def test_profile_counts_shared_shingles(spark, monkeypatch):
     rng = random.Random(8)
     texts = [" ".join(rng.choices("abcd", k=rng.choice((0, 3, 7, 9)))) for _ in range(60)] + [" ".join(rng.choices("abcdefghij", k=40)) for _ in range(20)]
@@ -303,12 +350,40 @@ def test_repeats(spark, n):
             t += b[a:z] + rnd(rng.randrange(3), "é ")
         texts.append((i, t))
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    got = sorted(repr(tuple(r)) for r in repeated_bytes.remove_repeats(df, length=n).drop("kept", "spans").collect())
+    got = sorted(repr(tuple(r)) for r in repeated_bytes.remove_repeats(df, length=n).drop("kept", "spans", "n_shared_words").collect())
     assert got == brute_repeats([(i, (t or "").encode()) for i, t in texts], n)
 
 
+def test_shared_words(spark):
+    """Words in runs of six that another document has, against brute force; a passage within one document alone does not count."""
+    rng = random.Random(9)
+    passage = [rng.choices([f"w{i}" for i in range(50)], k=k) for k in (3, 6, 7, 20)]
+    docs = []
+    for k in range(60):
+        t = []
+        for _ in range(rng.randrange(4)):
+            t += rng.choices([f"x{k}_{i}" for i in range(30)], k=rng.randrange(9)) + rng.choice(passage)
+        docs.append((k % 57, "  ".join(t)))
+    docs += [(100, " ".join([f"own{i}" for i in range(9)] * 3)), (101, None), (102, docs[0][1]), (None, docs[1][1])]
+    sets = Counter()
+    runs = lambda w: {tuple(w[i : i + 6]) for i in range(len(w) - 5)}
+    for i, t in set(docs):
+        sets.update(runs((t or "").split()))
+    want = Counter()
+    for i, t in docs:
+        w, hit = (t or "").split(), set()
+        for k in range(len(w) - 5):
+            if sets[tuple(w[k : k + 6])] > 1:
+                hit |= set(range(k, k + 6))
+        want[i, len(hit)] += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    h = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
+    got = {(r.doc_id, r.h): r.n_shared_words for r in passages.shared_words(h, repeated_bytes.Scratch(spark, "t"), length=6).collect()}
+    assert Counter((r.doc_id, got.get((r.doc_id, r.h), 0)) for r in h.collect()) == want
+
+
 def test_repeats_odd_rows(odd, empty):
-    got = sorted(repr(tuple(r)) for r in repeated_bytes.remove_repeats(odd, length=400).drop("kept", "spans").collect())
+    got = sorted(repr(tuple(r)) for r in repeated_bytes.remove_repeats(odd, length=400).drop("kept", "spans", "n_shared_words").collect())
     want = [(i, (t or "").encode()) for i, t, *_ in ODD if t is not LONG]
     assert [x for x in got if not x.startswith("(5,")] == brute_repeats(want, 400)
     (long,) = repeated_bytes.remove_repeats(odd, length=400).where("doc_id = 5").collect()
@@ -319,13 +394,14 @@ def test_repeats_odd_rows(odd, empty):
 # 8
 
 
-def test_fm_index_against_scan(spark):
+def test_fm_index_against_scan(monkeypatch):
     rng = random.Random(1)
     for _ in range(40):
         vocab = [f"w{i}" for i in range(rng.choice((2, 3, 8)))]
         items = [(str(i), " ".join(rng.choices(vocab, k=rng.choice((0, 1, 2, 3, 5, 8))))) for i in range(5)]
         docs = [", ".join(rng.choices([*vocab, "zz"], k=rng.choice((0, 1, 5, 40)))) for _ in range(12)]
-        for d, g in zip(docs, decontaminate.search_shard(pa.array(docs), decontaminate.phrases_of(items, 4)), strict=True):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", rng.choice((1, 7, 1 << 18)))
+        for d, g in zip(docs, decontaminate.search_texts(pa.array(docs), decontaminate.Phrases(*decontaminate.hashed(items), 4)), strict=True):
             w, hit, found = re.findall("[a-z0-9]+", d), set(), set()
             for i, t in items:
                 p = t.split()
@@ -360,8 +436,21 @@ def test_cuts_do_not_make_new_hits(spark):
 def test_benchmark_in_blocks(spark, monkeypatch, odd):
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(("two three", "five six", "one two", "six seven"))], "item_id long, text string")
     want = rows(decontaminate.contamination_report(odd, bench))
+    cut = rows(decontaminate.remove_contamination(odd, bench))
     monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 10)
     assert rows(decontaminate.contamination_report(odd, bench)) == want
+    assert rows(decontaminate.remove_contamination(odd, bench)) == cut
+    assert decontaminate.remove_contamination(odd.limit(0), bench).count() == 0
+
+
+def test_cuts_across_blocks(spark, monkeypatch):
+    """What meets at a cut of one block can be a phrase of another."""
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 1)
+    bench = spark.createDataFrame([(1, "a b"), (2, "c d")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x c a b d y", "k"), (2, "c a c d b d", "k"), (3, "a, c", None), (None, None, None)], "doc_id long, text string, hit_bytes string")
+    got = decontaminate.remove_contamination(df, bench)
+    assert got.columns == df.columns
+    assert {(r.doc_id, r.text and tuple(r.text.split()), r.hit_bytes) for r in got.collect()} == {(1, ("x", "y"), "k"), (2, "", "k"), (3, ("a,", "c"), None), (None, None, None)}
 
 
 # 10

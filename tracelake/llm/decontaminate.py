@@ -3,19 +3,21 @@
 Words are the runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lower-cased. Test phrases are the
 windows of ``window`` consecutive words of an item; an item of fewer words, but not none, is one phrase.
 
-A shard is one Arrow batch of documents. Its text for the index are the runs of words that occur in the
-benchmark at all and are at least as long as the shortest phrase: no phrase can occur outside of these.
-The shard's suffix order gives its Burrows-Wheeler transform, a wavelet matrix over that answers ranks,
-all phrases are searched backward at once, and occurrences are located by walking to sampled suffix
-positions. Hit words merge to removal spans. Nothing is shuffled, whatever phrases the documents share.
-
-The benchmark is read in blocks of bounded text (``BENCHMARK_BYTES``), each broadcast in its turn, so that
-what is broadcast does not grow with it. Words are compared by 64-bit hashes.
+A shard is at most ``SHARD_WORDS`` consecutive words of the documents of an Arrow batch; a longer document
+takes several, which overlap by a phrase. Its suffix order gives its Burrows-Wheeler transform, a wavelet matrix
+over that answers ranks, all phrases are searched backward at once, and occurrences are located by walking to
+sampled suffix positions. Hit words merge to removal spans. The index holds the shard's own words, so it
+serves any benchmark.
+
+The benchmark is read in blocks of bounded text (``BENCHMARK_BYTES``), one broadcast at a time; a block is its
+word hashes, and the workers make its windows. One block takes one pass without a shuffle. For more, the indexes
+are built once and kept with the documents, each block is searched in them, and only hits are written and joined.
+Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import Scratch
 from .textops import IS_ALNUM_WORD, LOWER, byte_blocks, prefix_hash, segments, span_hash, words
 
 #: Benchmark text that is searched for (and broadcast) at once.
 BENCHMARK_BYTES = 8 << 20
+#: Words of a shard.
+SHARD_WORDS = 1 << 18
 #: Every so many text positions a suffix position is kept.
 SAMPLE = 8
 
@@ -40,7 +45,7 @@ class WaveletMatrix:
         self.ones, self.zeros = [], []
         for b in range(self.bits - 1, -1, -1):
             bit = (values >> b) & 1
-            ones = np.zeros(len(values) + 1, np.int64)
+            ones = np.zeros(len(values) + 1, np.int32)
             np.cumsum(bit, out=ones[1:])
             self.ones.append(ones)
             self.zeros.append(len(values) - int(ones[-1]))
@@ -83,13 +88,15 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Of the runs of symbols 1..symbols-1 that separators (0) end."""
+    """Of the runs of symbols 1..symbols-1 that separators (0) end; ``order`` is the suffix order, if it is known."""
 
-    def __init__(self, text: np.ndarray, symbols: int) -> None:
+    def __init__(self, text: np.ndarray, symbols: int, order: np.ndarray | None = None) -> None:
         n, stop = len(text), text == 0
-        unique = text.astype(np.int64) + int(stop.sum())
-        unique[stop] = np.arange(int(stop.sum()))  # each separator its own symbol: ties end there
-        order = suffix_order(unique)
+        if order is None:
+            unique = text.astype(np.int64) + int(stop.sum())
+            unique[stop] = np.arange(int(stop.sum()))  # each separator its own symbol: ties end there
+            order = suffix_order(unique)
+        self.order = order
         self.bwt = text[order - 1]
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.tree = WaveletMatrix(self.bwt, symbols)
@@ -118,78 +125,105 @@ class FMIndex:
 
 
 def _word_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block of texts: word hashes, where each text's begin, and the first and end byte of each word in its text."""
     for _, _, data, offs in byte_blocks(column):
         low = LOWER[data]
         start, end, ptr = words(low, offs, IS_ALNUM_WORD)
         yield span_hash(prefix_hash(low), start, end), ptr, start - offs[:-1][segments(ptr)], end - offs[:-1][segments(ptr)]
 
 
-def phrases_of(items: list[tuple[str, str]], window: int) -> dict:
-    """Vocabulary (sorted word hashes), phrases by length as rows of symbols, and the item numbers of each phrase."""
-    texts = pa.array([x[1] for x in items], pa.string())
-    seqs = [h[a:b] for h, ptr, _, _ in _word_hashes(texts) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
-    vocab = np.unique(np.concatenate([*seqs, np.zeros(0, np.uint64)]))
-    found: dict[tuple, set[int]] = defaultdict(set)
-    for k, h in enumerate(seqs):
-        s = (np.searchsorted(vocab, h) + 1).tolist()
-        size = min(window, len(s))
-        for i in range(len(s) - size + 1 if size else 0):
-            found[tuple(s[i : i + size])].add(k)
-    by: dict[int, list] = defaultdict(list)
-    for p in sorted(found):
-        by[len(p)].append(p)
-    return {"vocab": vocab, "names": [x[0] for x in items], "by": {n: (np.array(p), [sorted(found[x]) for x in p]) for n, p in sorted(by.items())}}
-
-
-def search_shard(texts: pa.Array, bench: dict) -> list[tuple[int, list[tuple[int, int]], list[tuple[int, int]], set[str]]]:
-    """For each text: words, merged word spans that phrases cover, the same spans in bytes, items found."""
-    vocab, least = bench["vocab"], min(bench["by"], default=0)
-    counts, parts, rows, at, begin, end = [], [], [], [], [], []
-    base = 0
-    for h, ptr, b0, b1 in _word_hashes(texts):
-        row = segments(ptr)
-        known = np.zeros(len(h), np.int64)
-        if len(vocab):
-            k = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-            known = np.where(vocab[k] == h, k + 1, 0)
-        counts.append(np.diff(ptr))
-        # runs of known words within a text
-        on = known > 0
-        cut = np.flatnonzero(on & np.concatenate([[True], ~on[:-1] | (row[1:] != row[:-1])])) if len(on) else np.zeros(0, np.int64)
-        stop = np.flatnonzero(on & np.concatenate([~on[1:] | (row[1:] != row[:-1]), [True]])) + 1 if len(on) else cut
-        long = (stop - cut >= least) & (least > 0)
-        for a, z in zip(cut[long].tolist(), stop[long].tolist(), strict=True):
-            parts += [known[a:z], np.zeros(1, np.int64)]
-            rows.append(np.full(z - a + 1, base + row[a]))
-            at.append(np.arange(a, z + 1) - ptr[row[a]])
-            begin.append(np.append(b0[a:z], 0))
-            end.append(np.append(b1[a:z], 0))
-        base += len(ptr) - 1
-    n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    out = [(int(n), [], [], set()) for n in n_words]
-    if not parts:
-        return out
-    text, row, word, begin, end = (np.concatenate(x) for x in (parts, rows, at, begin, end))
-    index = FMIndex(text, len(vocab) + 1)
-    cover = np.zeros(len(text) + 1, np.int64)
-    for size, (phrases, owners) in bench["by"].items():
-        lo, hi = index.search(phrases)
-        hit = np.flatnonzero(hi > lo)
-        n = (hi - lo)[hit]
-        if not len(hit):
-            continue
-        ranks = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        pos = index.locate(ranks)
-        np.add.at(cover, pos, 1)
-        np.add.at(cover, pos + size, -1)
-        for p, r in set(zip(np.repeat(hit, n).tolist(), row[pos].tolist(), strict=True)):
-            out[r][3].update(bench["names"][k] for k in owners[p])
+class Phrases:
+    """The windows of a block of items, each different one once, with the items that have it."""
+
+    def __init__(self, names: list[str], hashes: np.ndarray, ptr: np.ndarray, window: int) -> None:
+        self.names, self.by = names, []
+        self.vocab, code = np.unique(hashes, return_inverse=True)
+        n = np.diff(ptr)
+        size = np.minimum(n, window)
+        for k in np.unique(size[n > 0]).tolist():
+            items = np.flatnonzero(size == k)
+            many = n[items] - k + 1
+            starts = np.repeat(ptr[items] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            rows, which = np.unique(code[starts[:, None] + np.arange(k)], axis=0, return_inverse=True)
+            owner = np.repeat(items, many)
+            order = np.argsort(which.ravel(), kind="stable")
+            self.by.append((k, rows, owner[order], np.concatenate([[0], np.cumsum(np.bincount(which.ravel(), minlength=len(rows)))])))
+
+
+class Shard:
+    """The index of words first to first + n - 1 of a block; ``at`` is the word at a text position."""
+
+    def __init__(self, text: np.ndarray, vocab: np.ndarray, at: np.ndarray, order: np.ndarray | None = None) -> None:
+        self.text, self.vocab, self.at = text, vocab, at
+        self.index = FMIndex(text, len(vocab) + 1, order)
+
+    def find(self, phrases: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Length, phrase number and word position of every occurrence, and the number's items as (items, ptr)."""
+        if not len(phrases.vocab):
+            return
+        k = np.minimum(np.searchsorted(self.vocab, phrases.vocab), len(self.vocab) - 1)
+        symbol = np.where(self.vocab[k] == phrases.vocab, k + 1, 0)
+        for size, rows, items, ptr in phrases.by:
+            known = np.flatnonzero((symbol > 0)[rows].all(axis=1))  # a phrase with a word that the shard lacks is nowhere
+            lo, hi = self.index.search(symbol[rows[known]])
+            hit = np.flatnonzero(hi > lo)
+            n = (hi - lo)[hit]
+            if len(hit):
+                ranks = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                yield size, np.repeat(known[hit], n), self.at[self.index.locate(ranks)], (items, ptr)
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, text=self.text.astype(np.int32), vocab=self.vocab, at=self.at.astype(np.int32), order=self.index.order.astype(np.int32))
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, blob: bytes) -> Shard:
+        with np.load(io.BytesIO(blob)) as x:
+            return cls(x["text"].astype(np.int64), x["vocab"], x["at"].astype(np.int64), x["order"].astype(np.int64))
+
+
+def shards_of(h: np.ndarray, ptr: np.ndarray, overlap: int) -> Iterator[Shard]:
+    """The shards of a block's word hashes: a separator ends each text, and a shard begins ``overlap`` words before the last one's end."""
+    row = segments(ptr)
+    for s in range(0, len(h), SHARD_WORDS):
+        e = min(s + SHARD_WORDS + overlap, len(h))
+        vocab, code = np.unique(h[s:e], return_inverse=True)
+        place = np.arange(e - s) + np.concatenate([[0], np.cumsum(row[s + 1 : e] != row[s : e - 1])])
+        text, at = np.zeros(place[-1] + 2, np.int64), np.zeros(place[-1] + 2, np.int64)
+        text[place], at[place] = code + 1, np.arange(s, e)
+        yield Shard(text, vocab, at)
+
+
+def hits_of(shards: Iterator[Shard], ptr: np.ndarray, begin: np.ndarray, end: np.ndarray, phrases: Phrases) -> dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]], set[str]]]:
+    """For each text of a block that has hits: merged word spans that phrases cover, the same spans in bytes, items found."""
+    row = segments(ptr)
+    cover = np.zeros(len(row) + 1, np.int64)
+    out: dict[int, tuple[list, list, set]] = {}
+    for shard in shards:
+        for size, phrase, word, (items, of) in shard.find(phrases):
+            np.add.at(cover, word, 1)
+            np.add.at(cover, word + size, -1)
+            for p, r in np.unique(np.stack([phrase, row[word]]), axis=1).T.tolist():
+                out.setdefault(r, ([], [], set()))[2].update(phrases.names[k] for k in items[of[p] : of[p + 1]].tolist())
     on = np.cumsum(cover)[:-1] > 0
-    first = np.flatnonzero(on & np.concatenate([[True], ~on[:-1]]))
-    last = np.flatnonzero(on & np.concatenate([~on[1:], [True]]))
-    for a, z in zip(first.tolist(), last.tolist(), strict=True):
-        out[row[a]][1].append((int(word[a]), int(word[z]) + 1))
-        out[row[a]][2].append((int(begin[a]), int(end[z])))
+    turn = row[1:] != row[:-1]
+    first = np.flatnonzero(on & np.concatenate([[True], ~on[:-1] | turn])) if len(on) else []
+    last = np.flatnonzero(on & np.concatenate([~on[1:] | turn, [True]])) if len(on) else []
+    for a, z in zip(first, last, strict=True):
+        r = int(row[a])
+        out[r][0].append((int(a - ptr[r]), int(z - ptr[r]) + 1))
+        out[r][1].append((int(begin[a]), int(end[z])))
+    return out
+
+
+def search_texts(texts: pa.Array, phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[tuple[int, int]], set[str]]]:
+    """For each text: words, merged word spans that phrases cover, the same spans in bytes, items found."""
+    out: list = []
+    overlap = max((size for size, *_ in phrases.by), default=1) - 1
+    for h, ptr, begin, end in _word_hashes(texts):
+        found = hits_of(shards_of(h, ptr, overlap), ptr, begin, end, phrases)
+        out += [(int(n), *found.get(r, ([], [], set()))) for r, n in enumerate(np.diff(ptr))]
     return out
 
 
@@ -209,30 +243,101 @@ _ARROW = {"n_words": pa.int64(), "hit_words": pa.list_(pa.struct([("start", pa.i
 _ARROW["hit_bytes"] = _ARROW["hit_words"]
 
 
-def _search(text_at: int, bench) -> object:
+def _spans(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"start": a, "end": b} for a, b in spans]
+
+
+_last: list = [None, None]
+
+
+def _phrases(bench, window: int) -> Phrases:
+    """The windows of a broadcast block; a worker keeps those of one block."""
+    if _last[0] is not bench.value:
+        _last[:] = [bench.value, Phrases(*bench.value, window)]
+    return _last[1]
+
+
+def _search(text_at: int, bench, window: int):
+    """Documents to documents with what one block finds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = search_shard(batch.column(text_at), bench.value)
-            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-            old = {x: cols[x].to_pylist() for x in ("hit_words", "hit_bytes", "hit_items")}
-            new = {"n_words": [x[0] for x in found]}
-            for k, x in ((1, "hit_words"), (2, "hit_bytes")):
-                new[x] = [[{"start": a, "end": b} for a, b in merged([*f[k], *((y["start"], y["end"]) for y in o or ())])] for f, o in zip(found, old[x], strict=True)]
-            new["hit_items"] = [sorted(f[3] | set(o or ())) for f, o in zip(found, old["hit_items"], strict=True)]
-            cols |= {x: pa.array(v, _ARROW[x]) for x, v in new.items()}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            found = search_texts(batch.column(text_at), _phrases(bench, window))
+            new = {"n_words": [x[0] for x in found], "hit_words": [_spans(x[1]) for x in found], "hit_bytes": [_spans(x[2]) for x in found], "hit_items": [sorted(x[3]) for x in found]}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, _ARROW[x]) for x, v in new.items())], names=[*batch.schema.names, *new])
+
+    return run
+
+
+_INDEX = "n_words long, block_ long, row_ int, shards_ array<binary>, words_ binary"
+
+
+def _indexed(text_at: int, window: int):
+    """Documents to documents with their number of words and place; the first of a block also has the block's indexes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            at = 0
+            for h, ptr, begin, end in _word_hashes(batch.column(text_at)):
+                n = len(ptr) - 1
+                out = io.BytesIO()
+                np.savez(out, ptr=ptr, begin=begin.astype(np.int32), end=end.astype(np.int32))
+                none = [None] * (n - 1)
+                new = [pa.array(np.diff(ptr), pa.int64()), pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([[s.dump() for s in shards_of(h, ptr, window - 1)], *none], pa.list_(pa.binary())), pa.array([out.getvalue(), *none], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns), *new], names=[*batch.schema.names, "n_words", "block_", "row_", "shards_", "words_"])
+                at, block = at + n, block + 1
 
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int) -> Iterator[object]:
-    """Broadcasts of the benchmark's phrases, block by block."""
+def _search_index(bench, window: int):
+    """Kept indexes to the hits of one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[str, list] = {x: [] for x in ("block_", "row_", "hit_words", "hit_bytes", "hit_items")}
+            for block, shards, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                with np.load(io.BytesIO(blob.as_py())) as x:
+                    found = hits_of((Shard.load(s.as_py()) for s in shards.values), x["ptr"], x["begin"], x["end"], _phrases(bench, window))
+                for r, f in found.items():
+                    for x, v in zip(rows, (block, r, _spans(f[0]), _spans(f[1]), sorted(f[2])), strict=True):
+                        rows[x].append(v)
+            types = (pa.int64(), pa.int32(), *(_ARROW[x] for x in ("hit_words", "hit_bytes", "hit_items")))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans and items that several blocks found, merged; nulls are none."""
+    for batch in batches:
+        cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+        for x in ("hit_words", "hit_bytes"):
+            cols[x] = pa.array([_spans(merged([(y["start"], y["end"]) for y in v or ()])) for v in cols[x].to_pylist()], _ARROW[x])
+        cols["hit_items"] = pa.array([sorted(set(v or ())) for v in cols["hit_items"].to_pylist()], _ARROW["hit_items"])
+        yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def hashed(items: list[tuple[str, str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, word hashes, and where each item's begin."""
+    hashes, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for h, ptr, _, _ in _word_hashes(pa.array([x[1] for x in items], pa.string())):
+        hashes.append(h)
+        size.append(np.diff(ptr))
+    return [x[0] for x in items], np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int64)
+
+
+def _block_of(benchmark: DataFrame, k: int, n: int):
+    """One of n blocks of the benchmark, by the hash of the item's id."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + int(size) // BENCHMARK_BYTES
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(phrases_of(sorted((r.item_id, r.text) for r in rows), window))
+    return hashed(sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()))
+
+
+def _number_of_blocks(benchmark: DataFrame) -> int:
+    return 1 + int(benchmark.where("item_id is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BENCHMARK_BYTES
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
@@ -242,13 +347,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 1
     words, have no words and no hits. Items without text, words or id are not searched for; equal items of
     several ids each count. Repeated rows give repeated results; empty tables an empty result or no hits.
     """
-    df = docs.drop(*(f.name for f in _ADDED))
-    text_at = df.columns.index("text")
-    for f in _ADDED:
-        df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
-    for bench in _blocks(benchmark, window):
-        df = df.mapInArrow(_search(text_at, bench), df.schema)
-    return df
+    docs, n = docs.drop(*(f.name for f in _ADDED)), _number_of_blocks(benchmark)
+    text_at, sc = docs.columns.index("text"), docs.sparkSession.sparkContext
+    if n == 1:
+        return docs.mapInArrow(_search(text_at, sc.broadcast(_block_of(benchmark, 0, 1)), window), T.StructType([*docs.schema.fields, *_ADDED]))
+    scratch = Scratch(docs.sparkSession, "contamination")
+    packed = docs.select(F.struct(*docs.columns).alias("doc_"), "text")
+    base = scratch.keep(packed.mapInArrow(_indexed(1, window), T.StructType([*packed.schema.fields, *T.StructType.fromDDL(_INDEX).fields])), "indexes")
+    hits = None
+    for k in range(n):
+        bench = sc.broadcast(_block_of(benchmark, k, n))
+        some = base.where("shards_ is not null").select("block_", "shards_", "words_").mapInArrow(_search_index(bench, window), T.StructType([T.StructField("block_", T.LongType()), T.StructField("row_", T.IntegerType()), *_ADDED[1:]]))
+        some = scratch.keep(some, "hits")
+        bench.destroy()
+        hits = some if hits is None else hits.unionByName(some)
+    hits = hits.groupBy("block_", "row_").agg(*(F.flatten(F.collect_list(f.name)).alias(f.name) for f in _ADDED[1:]))
+    out = base.join(hits, ["block_", "row_"], "left").select("doc_", *(f.name for f in _ADDED))
+    return out.mapInArrow(_merge, out.schema).select("doc_.*", *(f.name for f in _ADDED))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
@@ -261,21 +376,28 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, *, window: int =
     )
 
 
-def _cut(text_at: int, bench) -> object:
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the given byte spans."""
+    data, at, kept = text.encode(), 0, []
+    for a, b in spans:
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]]).decode()
+
+
+def _cut(text_at: int, bench, window: int):
+    """Cuts what the only block finds, until it finds nothing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, open_ = batch.column(text_at).to_pylist(), None
             while open_ is None or open_:
                 rows = range(len(texts)) if open_ is None else open_
-                found = search_shard(batch.column(text_at) if open_ is None else pa.array([texts[r] for r in rows], pa.string()), bench.value)
+                found = search_texts(batch.column(text_at) if open_ is None else pa.array([texts[r] for r in rows], pa.string()), _phrases(bench, window))
                 open_ = []
                 for r, f in zip(rows, found, strict=True):
                     if f[2]:
-                        data, at, kept = texts[r].encode(), 0, []
-                        for a, b in f[2]:
-                            kept.append(data[at:a])
-                            at = b
-                        texts[r] = b"".join([*kept, data[at:]]).decode()
+                        texts[r] = without(texts[r], f[2])
                         open_.append(r)  # what now meets at a cut is searched again
             cols = list(batch.columns)
             cols[text_at] = pa.array(texts, pa.string())
@@ -284,9 +406,28 @@ def _cut(text_at: int, bench) -> object:
     return run
 
 
+def _cut_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t if not s else without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_", "text"])
+
+
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
-    """``docs`` with every hit span cut from ``text`` until none is left; texts without hits stay as they are, byte by byte."""
-    df, text_at = docs, docs.columns.index("text")
-    for bench in _blocks(benchmark, window):
-        df = df.mapInArrow(_cut(text_at, bench), df.schema)
-    return df
+    """``docs`` with every hit span cut from ``text`` until no item of the whole benchmark is left; texts without hits stay as they are, byte by byte.
+
+    What meets at a cut can be a new hit and is cut too. Null and empty texts stay, and so do repeated rows and all
+    columns, whatever their names. An empty table gives an empty result; an empty benchmark cuts nothing.
+    """
+    n, columns = _number_of_blocks(benchmark), docs.columns
+    if n == 1:
+        return docs.mapInArrow(_cut(columns.index("text"), docs.sparkSession.sparkContext.broadcast(_block_of(benchmark, 0, 1)), window), docs.schema)
+    scratch, done = Scratch(docs.sparkSession, "cuts"), None
+    open_ = docs.select(F.struct(*columns).alias("doc_"), "text")
+    while True:  # whoever lost something is searched again for all blocks
+        found = scratch.keep(find_contamination(open_, benchmark, window=window).select("doc_", "text", "hit_bytes"), "found")
+        clean = found.where(F.size("hit_bytes") == 0).select("doc_", "text")
+        done = clean if done is None else done.unionAll(clean)
+        hit = found.where(F.size("hit_bytes") > 0)
+        if hit.isEmpty():
+            return done.select(*(F.col("text") if c == "text" else F.col("doc_")[c].alias(c) for c in columns))
+        open_ = hit.mapInArrow(_cut_found, open_.schema)

@@ -162,9 +162,10 @@ def store_media(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
     for k in range(ROUNDS):
         part = docs.select("text").mapInArrow(_bytes(ROUNDS, k), "digest binary, media binary, data binary")
-        first = part.join(owner, ["digest", "media"], "left_semi").groupBy("digest").agg(F.first("data").alias("data"))
+        # dealt out as the buckets are, so the bytes are shuffled once more only
+        first = part.join(owner, ["digest", "media"], "left_semi").repartition(buckets, "digest").groupBy("digest").agg(F.first("data").alias("data"))
         with scratch.releasing():
-            first.repartition(buckets, "digest").write.mode("append").option("path", path).option("compression", "zstd").bucketBy(buckets, "digest").saveAsTable(table)
+            first.write.mode("append").option("path", path).option("compression", "zstd").bucketBy(buckets, "digest").saveAsTable(table)
     return rows, lists, table
 
 

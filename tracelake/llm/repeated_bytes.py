@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .passages import shared_words
 from .scratch import Scratch
 from .textops import byte_blocks, mix, prefix_hash, span_hash
 
@@ -221,18 +222,20 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x, v in zip(rows, (len(text), removed, len(spans), hashlib.sha256(out).hexdigest(), out, [{"start": a, "end": b} for a, b in spans]), strict=True):
                     rows[x].append(v)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(rows.values(), types, strict=True))], names=["doc_id", *rows])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)), batch.column(4)], names=["doc_id", *rows, "n_shared_words"])
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans)`` for every row of ``docs(doc_id, text)``.
+def remove_repeats(docs: DataFrame, *, length: int = 400, passage: int = 51) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans, n_shared_words)`` for every row of ``docs(doc_id, text)``.
 
-    ``kept`` holds the remaining bytes and ``spans`` the maximal removed runs (end exclusive). Null texts are
+    ``n_shared_words`` counts the words in runs of ``passage`` words that another document has too; such a run can be
+    shorter than ``length`` bytes, and then nothing of it is removed. ``kept`` holds the remaining bytes and ``spans`` the maximal removed runs (end exclusive). Null texts are
     empty; texts shorter than ``length`` stay whole. Equal rows are separate texts, so both lose what they share;
     rows are told apart by doc_id and text, so a null or repeated doc_id is no matter. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
+    passages = shared_words(docs, scratch, length=passage)
     found = scratch.keep(docs.mapInArrow(_find(length), "doc_id long, h long, key long, h1 long, h2 long, q int, lo int, hi int"), "contexts")
     whole, row = ["key", "h1", "h2"], ["doc_id", "h"]
     counted = found.groupBy(*whole).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "q", "lo", "hi")).alias("one"))
@@ -244,9 +247,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
     texts = _with(docs, open_, ["contexts"], "inner").dropDuplicates(row)
     bytes_ = texts.mapInArrow(_fetch(length), "doc_id long, h long, key long, q int, lo int, hi int, m long, bytes binary")
     near = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(_expand(length), "doc_id long, h long, start int, end int")
-    spans = scratch.keep(copies.union(near).groupBy(*row).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "spans")
-    joined = _with(docs, spans, ["starts", "ends"], "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>")
+    parts = copies.union(near).withColumn("n", F.lit(None).cast("long")).union(passages.select(*row, F.lit(None).cast("int"), F.lit(None).cast("int"), "n_shared_words"))
+    spans = parts.groupBy(*row).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"), F.max("n").alias("n"))
+    spans = scratch.keep(spans, "spans")
+    scratch.drop(found)
+    joined = _with(docs, spans, ["starts", "ends", "n"], "left").select("doc_id", "text", "starts", "ends", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>, n_shared_words long")
 
 
 def _with(docs: DataFrame, other: DataFrame, columns: list[str], how: str) -> DataFrame:

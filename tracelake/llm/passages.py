@@ -51,8 +51,9 @@ def _anchors(length: int):
             r = batch.column(0).to_numpy()
             for i, _, data, offs in byte_blocks(batch.column(1)):
                 w = windows_of_block(data, offs, length)
-                both = np.unique(np.stack([w["row"], w["gram"].view(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(r[i + both[0]])], names=["gram", "r"])
+                gram, row = w["gram"].view(np.int64), w["row"]
+                new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(gram[new]), pa.array(r[i + row[new]])], names=["gram", "r"])
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +15,11 @@ _temporary: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a temporary folder where it is unset (single-machine tests)."""
+    """``spark.checkpoint.dir`` of the session, or a temporary folder where it is unset and all runs in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _temporary[app] = _temporary.get(app) or "file://" + tempfile.mkdtemp(prefix="tracelake-")
     return base.rstrip("/")

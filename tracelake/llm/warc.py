@@ -38,7 +38,7 @@ LEVEL = 3
 
 def record(page_id, url, payload: bytes, digest: str, revisits, date: str) -> bytes:
     """One WARC record; a revisit holds the HTTP headers, with the payload's length, but no payload."""
-    of = lambda p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{p}')}>"
+    of = lambda p: f"<urn:uuid:{uuid.uuid4() if p is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{p}')}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisits is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if revisits is None else 'revisit'}", f"WARC-Record-ID: {of(page_id)}", f"WARC-Date: {date}"]
@@ -126,6 +126,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, *, folder: str | None = N
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     keyed = pages.withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html"))
     firsts = keyed.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("m")).where("m > 1").select("digest", "least")
+    firsts = scratch.keep(firsts, "firsts")  # a table of its own, so that Spark can split the rows of a payload with many copies
     first = F.when((F.col("n") >= REVISIT_BYTES) & (F.col("page_id") > F.col("least")), F.col("least"))
     rows = keyed.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", first.alias("first"))
     ids = [r.page_id for r in pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(DICTIONARY_RECORDS).collect()]

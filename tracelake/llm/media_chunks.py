@@ -31,7 +31,7 @@ from .textops import byte_blocks
 #: Sizes of chunks, in bytes: none smaller but the last, none larger, and the mean distance of cuts.
 LEAST, MEAN, MOST = 512, 2048, 16384
 #: Rounds in which the store is written and read back.
-ROUNDS = 3
+ROUNDS = 5
 #: Text bytes for each bucket of the store.
 BUCKET_BYTES = 64 << 20
 _GEAR = np.random.RandomState(20240229).randint(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)

@@ -336,8 +336,10 @@ def brute_repeats(texts, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("n", [99, 400, 401])
-def test_repeats(spark, n):
+@pytest.mark.parametrize(("n", "hot", "step"), [(99, 8_000, 14), (400, 8_000, 14), (401, 8_000, 14), (99, 1, 5), (99, 3, 14), (400, 1, 14), (401, 2, 200)])
+def test_repeats(spark, monkeypatch, n, hot, step):
+    monkeypatch.setattr(repeated_bytes, "HOT", hot)
+    monkeypatch.setattr(repeated_bytes, "STEP", step)
     rng = random.Random(n)
     rnd = lambda k, al: "".join(rng.choices(al, k=k))
     base = [rnd(900, "ab c"), rnd(1300, "xyz é"), "ab" * 500, "x" * 900]
@@ -382,6 +384,18 @@ def test_shared_words(spark):
     assert Counter((r.doc_id, got.get((r.doc_id, r.h), 0)) for r in h.collect()) == want
 
 
+def test_repeats_of_a_core_in_many_texts(spark, monkeypatch):
+    """A passage in very many texts, each with other bytes around it, so that its cores are parted twice."""
+    monkeypatch.setattr(repeated_bytes, "HOT", 20)
+    rng = random.Random(1)
+    rnd = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    passage = rnd(150)
+    texts = [(i, rnd(rng.randrange(90, 200)) + passage[rng.randrange(2) * 20 :] + rnd(rng.randrange(90, 200))) for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(repr(tuple(r)) for r in repeated_bytes.remove_repeats(df, length=99).drop("kept", "spans", "n_shared_words").collect())
+    assert got == brute_repeats([(i, t.encode()) for i, t in texts], 99)
+
+
 def test_repeats_odd_rows(odd, empty):
     got = sorted(repr(tuple(r)) for r in repeated_bytes.remove_repeats(odd, length=400).drop("kept", "spans", "n_shared_words").collect())
     want = [(i, (t or "").encode()) for i, t, *_ in ODD if t is not LONG]

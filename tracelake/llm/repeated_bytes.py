@@ -16,6 +16,11 @@ bytes before it and at most as many after it.
   the order within is kept, and an interval of one suffix is closed. After e steps two neighbours share e bytes
   before the core, and are equal windows if they share ``reach`` - e bytes after it; since e rises by one at a
   time, windows come by increasing common prefix, and extension stops once core and prefix make ``length``.
+* An interval of more than ``HOT`` different contexts (a core that very many texts wrap in other bytes) is no work for
+  one task. Its extensions are parted into ranges of ``STEP``: within a range all windows that can be equal share the
+  bytes before the core up to its first extension and those after it down to its last, so contexts cut to the range
+  are grouped by these and go through the same two steps. A range that is still hot is parted into single
+  extensions, whose contexts are single windows, and there counting settles all.
 
 Matches never cross texts. Hashes choose and group; a window is found repeated by its bytes, or by the equal
 128-bit hash of a context.
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,9 @@ from .textops import byte_blocks, mix, prefix_hash, span_hash
 GRAM = 32
 #: Contexts that one extension works on together.
 TOGETHER = 60_000
+#: Different contexts of one core beyond which its extensions are parted, and the extensions of a part.
+HOT = 8_000
+STEP = 14
 
 
 def _geometry(length: int) -> tuple[int, int]:
@@ -136,8 +145,35 @@ def expand(key: np.ndarray, left: np.ndarray, right: np.ndarray, lo: np.ndarray,
     return (np.concatenate(who), np.concatenate(when)) if who else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _part(length: int, step: int):
+    """Rows (doc_id, h, text, contexts) to the contexts cut to ranges of ``step`` extensions, as ``contexts_of_block`` gives them."""
+    core, reach = _geometry(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            for i, j, data, offs in byte_blocks(batch.column(2)):
+                flat = lists.slice(i, j - i).flatten()
+                own = i + np.repeat(np.arange(j - i), np.asarray(lists.slice(i, j - i).value_lengths()))
+                q, lo, hi = (np.asarray(flat.field(x)).astype(np.int64) for x in ("q", "lo", "hi"))
+                which = np.arange(len(q)).repeat(hi // step - lo // step + 1)
+                nth = np.arange(len(which)) - np.searchsorted(which, which, "left")
+                first = (lo[which] // step + nth) * step
+                last = np.minimum(first + step - 1, reach)
+                at, low, high = q[which] + offs[own[which] - i], np.maximum(lo[which], first), np.minimum(hi[which], last)
+                one, two = prefix_hash(data), prefix_hash(_OTHER[data])
+                key = mix(span_hash(one, at - first, at + core + reach - last) ^ mix(first.astype(np.uint64)))
+                h1 = mix(span_hash(one, at - high, at + core + reach - low) ^ (high.astype(np.uint64) << np.uint64(32)) ^ low.astype(np.uint64))
+                h2 = span_hash(two, at - high, at + core + reach - low)
+                row = pa.array(own[which], pa.int64())
+                longs = (pa.array(x.view(np.int64)) for x in (key, h1, h2))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *longs, *(pa.array(x, pa.int32()) for x in (q[which], low, high))], names=["doc_id", "h", "key", "h1", "h2", "q", "lo", "hi"])
+
+    return run
+
+
 def _fetch(length: int):
-    """Rows (doc_id, h, text, contexts) to the bytes of each context."""
+    """Rows (doc_id, h, text, contexts) to the bytes of each context before and after its core."""
     core, reach = _geometry(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +185,7 @@ def _fetch(length: int):
                 for r in range(i, j):
                     for c in lists[r].as_py():
                         a = int(offs[r - i]) + c["q"]
-                        for x, v in (("doc_id", ids[r]), ("h", hs[r]), ("bytes", data[a - c["hi"] : a + core + reach - c["lo"]]), *((x, c[x]) for x in ("key", "q", "lo", "hi", "m"))):
+                        for x, v in (("doc_id", ids[r]), ("h", hs[r]), ("bytes", data[a - c["hi"] : a] + data[a + core : a + core + reach - c["lo"]]), *((x, c[x]) for x in ("key", "q", "lo", "hi", "m"))):
                             out[x].append(v)
             for a in range(0, len(out["key"]), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[a : a + 20_000], t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=list(out))
@@ -159,17 +195,17 @@ def _fetch(length: int):
 
 def _expand(length: int):
     """Contexts sorted by key to the spans of their repeated windows; whole keys are gathered until there are enough."""
-    core, reach = _geometry(length)
+    _, reach = _geometry(length)
 
     def spans(t: pa.Table) -> pa.RecordBatch:
         key, q, lo, hi, m = (t.column(x).to_numpy() for x in ("key", "q", "lo", "hi", "m"))
         raw = t.column("bytes").combine_chunks()
         offs = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
         data = np.frombuffer(raw.buffers()[2], np.uint8)
-        start = offs[:-1] + hi  # of the core
+        start = offs[:-1] + hi  # of what follows the core
         steps = np.arange(reach)
         left = np.where(steps[None, :] < hi[:, None], data[np.maximum(start[:, None] - 1 - steps[None, :], 0)], 0).astype(np.uint8)
-        right = np.where(steps[None, :] < (reach - lo)[:, None], data[np.minimum(start[:, None] + core + steps[None, :], len(data) - 1)], 0).astype(np.uint8)
+        right = np.where(steps[None, :] < (reach - lo)[:, None], data[np.minimum(start[:, None] + steps[None, :], len(data) - 1)], 0).astype(np.uint8)
         who, e = expand(key, left, right, lo, hi, reach)
         use = m[who] == 1  # of contexts that occur twice all windows are repeated anyhow
         who, e = who[use], e[use]
@@ -236,21 +272,31 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, passage: int = 51) ->
     scratch = Scratch(docs.sparkSession, "repeats")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
     passages = shared_words(docs, scratch, length=passage)
-    found = scratch.keep(docs.mapInArrow(_find(length), "doc_id long, h long, key long, h1 long, h2 long, q int, lo int, hi int"), "contexts")
-    whole, row = ["key", "h1", "h2"], ["doc_id", "h"]
-    counted = found.groupBy(*whole).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "q", "lo", "hi")).alias("one"))
-    keys = counted.groupBy("key").agg(F.count("*").alias("c"), F.sum("m").alias("n")).where("n > 1")
-    counted = scratch.keep(counted.join(keys, "key").select(*whole, "m", "c", "one"), "shared")
-
-    copies = found.join(counted.where("m > 1").select(*whole), whole, "left_semi").select(*row, (F.col("q") - F.col("hi")).alias("start"), (F.col("q") - F.col("lo") + length).alias("end"))
-    open_ = counted.where("c > 1").select("key", "m", "one.*").groupBy(*row).agg(F.collect_list(F.struct("key", "q", "lo", "hi", "m")).alias("contexts"))
-    texts = _with(docs, open_, ["contexts"], "inner").dropDuplicates(row)
-    bytes_ = texts.mapInArrow(_fetch(length), "doc_id long, h long, key long, q int, lo int, hi int, m long, bytes binary")
+    whole, row, fields = ["key", "h1", "h2"], ["doc_id", "h"], "doc_id long, h long, key long, h1 long, h2 long, q int, lo int, hi int"
+
+    def with_text(contexts: DataFrame) -> DataFrame:
+        of = contexts.select("key", "m", "one.*").groupBy(*row).agg(F.collect_list(F.struct("key", "q", "lo", "hi", "m")).alias("contexts"))
+        return _with(docs, of, ["contexts"], "inner").dropDuplicates(row)
+
+    tables, copies, open_ = [scratch.keep(docs.mapInArrow(_find(length), fields), "contexts")], [], []
+    for step in (STEP, 1, None):
+        found = tables[-1]
+        counted = found.groupBy(*whole).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "q", "lo", "hi")).alias("one"))
+        keys = counted.groupBy("key").agg(F.count("*").alias("c"), F.sum("m").alias("n")).where("n > 1")
+        counted = scratch.keep(counted.join(keys, "key").select(*whole, "m", "c", "one"), "shared")
+        copies.append(found.join(counted.where("m > 1").select(*whole), whole, "left_semi").select(*row, (F.col("q") - F.col("hi")).alias("start"), (F.col("q") - F.col("lo") + length).alias("end")))
+        open_.append(counted.where((F.col("c") > 1) & (F.col("c") <= HOT)))
+        hot = counted.where(F.col("c") > HOT)
+        if step is None or hot.isEmpty():
+            break
+        tables.append(scratch.keep(with_text(hot).mapInArrow(_part(length, step), fields), "parts"))
+    bytes_ = with_text(reduce(DataFrame.union, open_)).mapInArrow(_fetch(length), "doc_id long, h long, key long, q int, lo int, hi int, m long, bytes binary")
     near = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(_expand(length), "doc_id long, h long, start int, end int")
-    parts = copies.union(near).withColumn("n", F.lit(None).cast("long")).union(passages.select(*row, F.lit(None).cast("int"), F.lit(None).cast("int"), "n_shared_words"))
+    parts = reduce(DataFrame.union, [*copies, near]).withColumn("n", F.lit(None).cast("long")).union(passages.select(*row, F.lit(None).cast("int"), F.lit(None).cast("int"), "n_shared_words"))
     spans = parts.groupBy(*row).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"), F.max("n").alias("n"))
     spans = scratch.keep(spans, "spans")
-    scratch.drop(found)
+    for found in tables:
+        scratch.drop(found)
     joined = _with(docs, spans, ["starts", "ends", "n"], "left").select("doc_id", "text", "starts", "ends", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>, n_shared_words long")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import nmea
 from tracelake.functions import scalars as S
+from tracelake.operators import match
 from tracelake.operators.match import nearest_fix
 from tracelake.operators.reconcile import reconcile
 from tracelake.plans import chain, dsp
@@ -53,6 +54,34 @@ def test_nearest_fix_ties_and_thresholds(spark):
         nearest_fix(s, f, stale_after_s=5, window_s=1)
 
 
+@pytest.mark.parametrize(("window", "block", "chunk", "ids"), [(5, 8, 4, 10), (31, 8, 100, 7), (101, 4, 1, 1000), (3, 512, 256, 1)])
+def test_flat_reflection_in_blocks(spark, monkeypatch, window, block, chunk, ids):
+    for name, value in (("BLOCK_TRACES", block), ("CHUNK_SAMPLES", chunk), ("ID_RANGE", ids)):
+        monkeypatch.setattr(dsp, name, value)
+    rng = np.random.default_rng(window)
+    z = rng.normal(size=(37, 2, 6)) + 1j * rng.normal(size=(37, 2, 6))
+    at = np.cumsum(rng.integers(1, 9, 37)).tolist()  # ids with holes
+    s = spark.createDataFrame([(at[t], c, [(float(v.real), float(v.imag)) for v in z[t, c]]) for t in range(37) for c in range(2)], "trace_id long, channel int, values array<struct<re: double, im: double>>")
+    p = np.pad(z, ((window // 2, window // 2), (0, 0), (0, 0)), mode="edge")
+    want = z - sum(p[k : k + 37] for k in range(window)) / window
+    got = {(r.trace_id, r.channel): np.array([complex(v.re, v.im) for v in r["values"]]) for r in dsp.flat_reflection(s, window).collect()}
+    assert len(got) == 74 and all(np.allclose(got[at[t], c], want[t, c]) for t in range(37) for c in range(2))
+    ragged = s.withColumn("values", F.when(F.col("trace_id") == at[3], F.slice("values", 1, 5)).otherwise(F.col("values")))
+    with pytest.raises(Exception, match="one length"):
+        dsp.flat_reflection(ragged, window).collect()
+
+
+def test_last_before_in_buckets(spark):
+    rows = spark.createDataFrame([("d", 1, 5), ("d", 2, 100), ("d", 3, 101), ("d", 4, None), ("e", 5, 50), ("d", 6, 400), (None, 7, 9)], "domain string, id long, at long")
+    others = spark.createDataFrame([("d", 6, "a"), ("d", 100, "b"), ("d", 390, "c"), (None, 8, "n")], "domain string, at long, v string")
+    for bucket in (10, 64, 1_000_000):
+        got = {r.id: r.v for r in match.last_before(rows, others, "v", 10, bucket_ns=bucket).collect()}
+        assert got == {1: None, 2: "b", 3: "b", 4: None, 5: None, 6: "c", 7: "n"}
+        assert {r.id: r.v for r in match.last_before(rows, others, "v", 300, bucket_ns=bucket).collect()}[6] == "c"
+    far = others.where("at < 390")
+    assert {r.id: r.v for r in match.last_before(rows, far, "v", 300, bucket_ns=10).collect()}[6] == "b"
+
+
 def test_views(spark):
     t = traces(spark, [(3, "a", "x", None), (1, "b", "x", None), (3, "a", "x", None), (6, "c", "x", None), (7, "c", "y", None)])
     assert [r.trace_index for r in views.logical(t).orderBy("trace_index").collect()] == [1, 3]
@@ -117,7 +146,7 @@ def test_stages_against_numpy(spark):
     w = back(dsp.dewow(s, 5))
     p = np.pad(z, ((0, 0), (0, 0), (2, 2)), mode="reflect")
     assert np.allclose(w[0, 0], (z - sum(p[..., k : k + 16] for k in range(5)) / 5)[0, 0])
-    f = back(dsp.packed(dsp.flat_reflection(s.orderBy(F.rand(1)), 5)))
+    f = back(dsp.flat_reflection(s.orderBy(F.rand(1)), 5))
     p = np.pad(z, ((2, 2), (0, 0), (0, 0)), mode="edge")
     want = z - sum(p[k : k + 7] for k in range(5)) / 5
     assert all(np.allclose(f[k, c], want[k, c]) for k in range(7) for c in range(2))

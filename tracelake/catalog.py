@@ -287,7 +287,7 @@ def d12(spark, d):
 
 @_query("E1_flat_reflection", f"WITH {P.SAMPLES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY channel, k ORDER BY trace_id) - 1 AS n, count(*) OVER (PARTITION BY channel, k) AS t, sum(re) OVER w AS sr, sum(im) OVER w AS si, first(re) OVER a AS fr, first(im) OVER a AS fi, last(re) OVER a AS lr, last(im) OVER a AS li FROM s WINDOW w AS (PARTITION BY channel, k ORDER BY trace_id ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING), a AS (PARTITION BY channel, k ORDER BY trace_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT trace_id, channel, k, {_m('re - (sr + greatest(0, 50 - n) * fr + greatest(0, n + 50 - t + 1) * lr) / 101')} AS re, {_m('im - (si + greatest(0, 50 - n) * fi + greatest(0, n + 50 - t + 1) * li) / 101')} AS im FROM n")
 def e1(spark, d):
-    return dsp.flat_reflection(P.samples(spark, d), 101).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"))
+    return dsp.flat(dsp.flat_reflection(P.samples(spark, d), 101)).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"))
 
 
 @_query("E2_dewow", f"WITH {P.SAMPLES_SQL}, l AS (SELECT trace_id, channel, list(re ORDER BY k) AS r, list(im ORDER BY k) AS i FROM s GROUP BY 1, 2), o AS (SELECT *, unnest(range(16)) AS k FROM l), m AS (SELECT *, list_transform(range(-2, 3), lambda j: CASE WHEN k + j < 0 THEN -(k + j) WHEN k + j > 15 THEN 30 - (k + j) ELSE k + j END + 1) AS ix FROM o) SELECT trace_id, channel, k, {_m('r[k + 1] - list_sum(list_transform(ix, lambda x: r[x])) / 5')} AS re, {_m('i[k + 1] - list_sum(list_transform(ix, lambda x: i[x])) / 5')} AS im FROM m")

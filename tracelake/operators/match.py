@@ -48,12 +48,20 @@ def nearest_fix(sweeps: DataFrame, fixes: DataFrame, *, stale_after_s: float, wi
     return df.select("domain", "sweep_id", "started_ns", "finished_ns", F.col("best.fix_id").alias("fix_id"), "distance_ns", reason.isNull().alias("usable"), reason.alias("reason"))
 
 
-def last_before(rows: DataFrame, others: DataFrame, value: str, within_ns: int) -> DataFrame:
-    """``rows(domain, id, at)`` with the last ``value`` of ``others(domain, at)`` at or before it, no older than ``within_ns``."""
-    o = Window.partitionBy("domain").orderBy("at", "_is_row").rowsBetween(Window.unboundedPreceding, 0)
-    a = rows.select("domain", "id", "at", F.lit(1).alias("_is_row"), F.lit(None).cast("struct<at: bigint, v: string>").alias("_o"))
-    b = others.select("domain", F.lit(None).cast("long").alias("id"), "at", F.lit(0).alias("_is_row"), F.struct("at", F.col(value).cast("string").alias("v")).alias("_o"))
-    both = a.unionByName(b).withColumn("_o", F.last("_o", True).over(o)).where("_is_row = 1")
+def last_before(rows: DataFrame, others: DataFrame, value: str, within_ns: int, *, bucket_ns: int = 86_400 * NS) -> DataFrame:
+    """``rows(domain, id, at)`` with the last ``value`` of ``others(domain, at)`` at or before it, no older than ``within_ns``.
+
+    A domain is cut into buckets of ``bucket_ns``; the last value before a bucket is carried into it.
+    """
+    bucket = F.call_function("div", F.col("at"), F.lit(bucket_ns)).alias("bucket")
+    o = F.struct("at", F.col(value).cast("string").alias("v")).alias("_o")
+    a = rows.select("domain", bucket, "id", "at", F.lit(1).alias("_is_row"), F.lit(None).cast("struct<at: bigint, v: string>").alias("_o"))
+    b = others.select("domain", bucket, F.lit(None).cast("long").alias("id"), "at", F.lit(0).alias("_is_row"), o)
+    ends = a.select("domain", "bucket", "_o").unionByName(b.select("domain", "bucket", "_o")).groupBy("domain", "bucket").agg(F.max("_o").alias("_o"))
+    carried = F.last("_o", True).over(Window.partitionBy("domain").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("domain", "bucket", carried.alias("_o")).where(F.col("_o").isNotNull()).select("domain", "bucket", F.lit(None).cast("long").alias("id"), F.col("_o.at").alias("at"), F.lit(0).alias("_is_row"), "_o")
+    so_far = Window.partitionBy("domain", "bucket").orderBy("at", "_is_row").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).unionByName(carried).withColumn("_o", F.last("_o", True).over(so_far)).where("_is_row = 1")
     return both.select("domain", "id", "at", F.when(F.col("at") - F.col("_o.at") <= within_ns, F.col("_o.v")).alias(value))
 
 

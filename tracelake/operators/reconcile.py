@@ -1,6 +1,6 @@
 """Reconcile two copies of a mission, trace by trace.
 
-Each side's logical view holds one row per index. A full outer join on the index gives every index its verdict; an
+Each side's index view holds one row per index. A full outer join on the index gives every index its verdict; an
 index that a conflict excludes on one side is a conflict where the other side has it, and appears nowhere where
 the other side lacks or excludes it too.
 """
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.views import excluded_indices, identity_classes, logical, uid_conflicts
+from ..sources.views import identity_classes, index_view, uid_conflicts
 
 KINDS = ("consistent", "missing", "extra", "conflict", "gnss_diff")
 _KEY = ["mission_id", "trace_index"]
@@ -26,14 +26,12 @@ def diff_fields(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def reconcile(air: DataFrame, ground: DataFrame, gnss: tuple[str, ...] = ("latitude",)) -> DataFrame:
     """``(mission_id, trace_index, kind, detail)``, pair verdicts in the order uid, hash, position."""
     cols = ["trace_uid", "hash", *gnss]
-    side = lambda df, p: logical(df).select(*_KEY, F.lit(True).alias(f"{p}_has"), *(F.col(c).alias(f"{p}_{c}") for c in cols))
+    side = lambda df, p: index_view(df.select(*_KEY, "record_position", *cols)).select(*_KEY, F.col("excluded").alias(f"{p}_out"), *(F.col(f"row.{c}").alias(f"{p}_{c}") for c in cols))
     both = side(air, "a").join(side(ground, "g"), _KEY, "full_outer")
-    out = excluded_indices(air).withColumn("a_out", F.lit(True)).join(excluded_indices(ground).withColumn("g_out", F.lit(True)), _KEY, "full_outer")
-    both = both.join(out, _KEY, "left")
     fields = diff_fields({c: F.col(f"a_{c}") for c in gnss}, {c: F.col(f"g_{c}") for c in gnss})
     none = lambda p: reduce(lambda x, y: x & y, [F.col(f"{p}_{c}").isNull() for c in gnss])
     differs = F.when(none("a") & none("g"), "").when(none("a"), "air has no match").when(none("g"), "ground has no match").otherwise(fields)
-    a, g = F.col("a_has").isNotNull(), F.col("g_has").isNotNull()
+    a, g = (F.coalesce(~F.col(f"{p}_out"), F.lit(False)) for p in "ag")
     kind = (
         F.when(a & g & ((F.col("a_trace_uid") != F.col("g_trace_uid")) | (F.col("a_hash") != F.col("g_hash"))), "conflict")
         .when(a & g & (differs != ""), "gnss_diff").when(a & g, "consistent")
@@ -43,7 +41,7 @@ def reconcile(air: DataFrame, ground: DataFrame, gnss: tuple[str, ...] = ("latit
         F.when(a & g & (F.col("a_trace_uid") != F.col("g_trace_uid")), "uid differs").when(a & g & (F.col("a_hash") != F.col("g_hash")), "hash differs")
         .when(a & g & (differs != ""), differs).when(a & g, F.lit(None).cast("string")).when(F.col("g_out") & a, "conflict within ground").when(F.col("a_out") & g, "conflict within air")
     )
-    return both.select(*_KEY, kind.alias("kind"), detail.alias("detail"))
+    return both.where(a | g).select(*_KEY, kind.alias("kind"), detail.alias("detail"))
 
 
 def summary(items: DataFrame, air: DataFrame, ground: DataFrame) -> DataFrame:

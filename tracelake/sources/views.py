@@ -45,17 +45,27 @@ def uid_conflicts(traces: DataFrame) -> DataFrame:
     return traces.groupBy("mission_id", "trace_uid").agg(F.count_distinct("trace_index").alias("indices")).where("indices > 1")
 
 
+def index_view(traces: DataFrame) -> DataFrame:
+    """Per (mission, index): ``row``, its first committed row, and ``excluded``, whether a conflict of hashes or of uids takes it out.
+
+    One pass: a window over (mission, uid) tells uids that stand at several indices (a null uid conflicts with nothing),
+    then one aggregate gives the rest.
+    """
+    uid = Window.partitionBy("mission_id", "trace_uid", F.when(F.col("trace_uid").isNull(), F.col("trace_index")))
+    marked = traces.withColumn("_several", F.min("trace_index").over(uid) < F.max("trace_index").over(uid)).withColumn("_hash", F.coalesce("hash", F.lit("")))
+    excluded = (F.min("_hash") < F.max("_hash")) | F.coalesce(F.bool_or("_several"), F.lit(False))
+    return marked.groupBy("mission_id", "trace_index").agg(F.min_by(F.struct(*traces.columns), "record_position").alias("row"), excluded.alias("excluded"))
+
+
 def excluded_indices(traces: DataFrame) -> DataFrame:
     """(mission, index) that a conflict of hashes or of uids takes out of the logical view."""
-    by_hash = identity_classes(traces).where("verdict = 'conflict'").select("mission_id", "trace_index")
-    by_uid = traces.join(uid_conflicts(traces).select("mission_id", "trace_uid"), ["mission_id", "trace_uid"], "left_semi").select("mission_id", "trace_index")
-    return by_hash.union(by_uid).distinct()
+    keys = traces.select("mission_id", "trace_index", "trace_uid", "hash", "record_position")
+    return index_view(keys).where("excluded").select("mission_id", "trace_index")
 
 
 def logical(traces: DataFrame) -> DataFrame:
     """The first committed row of every index that no conflict excludes."""
-    first = F.row_number().over(Window.partitionBy("mission_id", "trace_index").orderBy("record_position"))
-    return traces.withColumn("_n", first).where("_n = 1").drop("_n").join(excluded_indices(traces), ["mission_id", "trace_index"], "left_anti")
+    return index_view(traces).where("not excluded").select("row.*")
 
 
 def by_index(traces: DataFrame, mission: str, index: int) -> DataFrame:

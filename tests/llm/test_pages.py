@@ -62,7 +62,7 @@ def test_urls(spark, pages):
     assert url_rules.url_verdicts(pages).count() == len(PAGES) and url_rules.url_verdicts(pages.limit(0)).count() == 0
 
 
-def test_mined_rules_match_as_a_scan_does(spark):
+def test_mined_rules_match_as_a_scan_does(spark, monkeypatch):
     rows = [(k, f"http://{h}.example.com/de/{k}") for k, h in enumerate(("pills-x", "shop") * 20)] + [(100 + k, f"http://{h}.example.com/fr/{k}") for k, h in enumerate(("news", "daily") * 20)]
     rows += [(200, "http://pills-x.example.net/en/1"), (201, "http://news.example.net/en/2"), (202, "http://other.net/")]
     df = spark.createDataFrame(rows, "page_id long, url string")
@@ -74,6 +74,8 @@ def test_mined_rules_match_as_a_scan_does(spark):
     mined = url_rules.mine(t.where("given is not null").select("tokens", F.col("given").alias("verdict")))
     assert mined and all(c >= url_rules.CONFIDENCE for _, _, c, _ in mined)
     got = {r.url: r.mined for r in url_rules.judge(t.where("given is null").select("url", "tokens"), mined).collect()}
+    monkeypatch.setattr(url_rules, "BROADCAST_CHARS", 0)
+    assert got == {r.url: r.mined for r in url_rules.judge(t.where("given is null").select("url", "tokens"), mined, {"host:com": 9, "host:example": 8}).collect()}
     for r in t.where("given is null").collect():
         fit = [(c, s, len(a), v == "block", v) for a, v, c, s in mined if set(a) <= set(r.tokens)]
         assert got.get(r.url) == (max(fit)[-1] if fit else None)

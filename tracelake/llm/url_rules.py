@@ -25,6 +25,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 SUPPORT, CONFIDENCE = 0.005, 0.9
 #: A combination needs this many urls, however few there are.
 LEAST_URLS = 8
+#: An index of the rules up to this size is broadcast; a larger one is joined by shuffles.
+BROADCAST_CHARS = 8 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -95,14 +97,19 @@ def grow(item: int, rows: list[tuple[tuple[int, ...], str, int]], least: int, co
 
 
 def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """Pruned rules (tokens, verdict, confidence, support) of ``labelled(tokens, verdict)``.
+    """Pruned rules (tokens, verdict, confidence, support) of ``labelled(tokens, verdict)``."""
+    return mine_counted(labelled, support, confidence)[0]
+
+
+def mine_counted(labelled: DataFrame, support: float, confidence: float) -> tuple[list[tuple[tuple[str, ...], str, float, float]], dict[str, int]]:
+    """The rules, and in how many labelled urls each of their tokens stands.
 
     Their number is bounded by the support, not by the rows. Tokens that stand in every labelled url say nothing
     and are left out first, and so are those rarer than the support. A token of a single verdict is a rule that no larger one betters.
     """
     n = labelled.count()
     if n < LEAST_URLS:
-        return []
+        return [], {}
     least = max(LEAST_URLS, math.ceil(support * n))
     counts = labelled.select("verdict", F.explode("tokens").alias("t")).groupBy("t", "verdict").count()
     counts = counts.groupBy("t").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("verdict", "count").alias("verdict")).where((F.col("most") >= least) & (F.col("n") < n))
@@ -132,16 +139,22 @@ def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = C
     for r in raw:
         if not any(k[1] == r[1] and k[0] <= r[0] and k[2] >= r[2] for t in r[0] for k in kept.get(t, ())):
             kept[min(r[0])].append(r)
-    return [(tuple(sorted(a)), v, c, s) for rules in kept.values() for a, v, c, s in rules]
+    return [(tuple(sorted(a)), v, c, s) for rules in kept.values() for a, v, c, s in rules], {r.t: r.n for r in often}
 
 
-def judge(urls: DataFrame, mined: list[tuple[tuple[str, ...], str, float, float]]) -> DataFrame:
-    """``urls(url, tokens)`` with the verdict of the mined rules, null without one, by an inverted index of the rules."""
+def judge(urls: DataFrame, mined: list[tuple[tuple[str, ...], str, float, float]], counts: dict[str, int] | None = None) -> DataFrame:
+    """``urls(url, tokens)`` with the verdict of the mined rules, null without one, by an inverted index of the rules.
+
+    A rule is listed under its token of the least count, whichever that is without ``counts``.
+    """
+    counts = counts or {}
     spark = urls.sparkSession
     if not mined:
         return urls.select("url", F.lit(None).cast("string").alias("mined"))
-    index = spark.createDataFrame([(min(a), list(a), v, c, s) for a, v, c, s in mined], "token string, need array<string>, verdict string, confidence double, support double")
-    found = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    index = spark.createDataFrame([(min(a, key=lambda t: (counts.get(t, 0), t)), list(a), v, c, s) for a, v, c, s in mined], "token string, need array<string>, verdict string, confidence double, support double")
+    if sum(len(t) + 16 for a, *_ in mined for t in a) <= BROADCAST_CHARS:
+        index = F.broadcast(index)
+    found = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
     found = found.where(F.forall("need", lambda x: F.array_contains(F.col("tokens"), x)))
     best = F.max_by("verdict", F.struct("confidence", "support", F.size("need"), F.when(F.col("verdict") == "block", 1).otherwise(0)))
     return found.groupBy("url").agg(best.alias("mined"))
@@ -157,6 +170,6 @@ def url_verdicts(pages: DataFrame, *, rules=RULES, support: float = SUPPORT, con
     rule, verdict = given_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("given"))
     urls = rows.where("host <> ''").select("url", "host", "path", "given").withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
-    mined = mine(urls.where("given is not null").select("tokens", F.col("given").alias("verdict")), support=support, confidence=confidence)
-    judged = judge(urls.where("given is null").select("url", "tokens").dropDuplicates(["url"]), mined)
+    mined, counts = mine_counted(urls.where("given is not null").select("tokens", F.col("given").alias("verdict")), support, confidence)
+    judged = judge(urls.where("given is null").select("url", "tokens").dropDuplicates(["url"]), mined, counts)
     return rows.join(judged, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("given", "mined", F.lit("allow")).alias("verdict"))

@@ -12,7 +12,7 @@ from .functions import codecs, nmea
 from .functions import complexes as C
 from .functions import scalars as S
 from .operators import constraints, match, reconcile, timing
-from .plans import chain, dsp, provenance, reuse
+from .plans import capture, chain, dsp, provenance, reuse
 from .sources import projections as P
 from .sources import sinks, views
 from .streaming import frames, ingest, protocol
@@ -203,11 +203,11 @@ def c9(spark, d):
     return views.missing_indices(P.side(spark, d, "air"))
 
 
-@_query("C10_registry_lookup", "SELECT l_orderkey, l_linenumber, coalesce(s_name, 'unknown') AS spec FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 5 <> 0) ON l_suppkey = s_suppkey WHERE l_quantity > 45")
+@_query("C10_registry_lookup", "SELECT l_orderkey, l_linenumber, coalesce(s_name, 'unknown') AS spec FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 5 <> 0) ON l_suppkey = s_suppkey")
 def c10(spark, d):
-    s = P.table(spark, d, "supplier").where("s_suppkey % 5 <> 0")
-    li = P.table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_suppkey")
-    return li.join(s.select("s_suppkey", "s_name"), li["l_suppkey"] == s["s_suppkey"], "left").select("l_orderkey", "l_linenumber", F.coalesce("s_name", F.lit("unknown")).alias("spec"))
+    registry = P.table(spark, d, "supplier").where("s_suppkey % 5 <> 0")
+    rows = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return constraints.lookup(rows, "l_suppkey", registry, "s_suppkey", "s_name", unknown="unknown").select("l_orderkey", "l_linenumber", F.col("s_name").alias("spec"))
 
 
 @_query("C11_field_diff", "WITH r AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS size, p_brand AS brand FROM part), a AS (SELECT p_partkey AS k, CAST(CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS VARCHAR) AS size, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_brand END AS brand FROM part) SELECT r.k, f AS field, CASE f WHEN 'size' THEN r.size ELSE r.brand END AS requested, CASE f WHEN 'size' THEN a.size ELSE a.brand END AS applied FROM r JOIN a USING (k), (SELECT unnest(['size', 'brand']) AS f) WHERE CASE f WHEN 'size' THEN r.size ELSE r.brand END IS DISTINCT FROM CASE f WHEN 'size' THEN a.size ELSE a.brand END")
@@ -273,7 +273,12 @@ def d7(spark, d):
 
 @_query("D8_missing_ranges", f"WITH {_AIR}, m AS (SELECT mission_id, max(trace_index) AS hi FROM air GROUP BY 1), g AS (SELECT mission_id, unnest(range(hi + 1)) AS t FROM m), x AS (SELECT g.* FROM g ANTI JOIN air a ON g.mission_id = a.mission_id AND g.t = a.trace_index), y AS (SELECT mission_id, t, t - row_number() OVER (PARTITION BY mission_id ORDER BY t) AS isl FROM x) SELECT mission_id, min(t) AS low, max(t) AS high FROM y GROUP BY mission_id, isl")
 def d8(spark, d):
-    return views.ranges(views.missing_indices(P.side(spark, d, "air")))
+    return views.missing_ranges(P.side(spark, d, "air"))
+
+
+@_query("D8_index_ranges", f"WITH {_AIR}, x AS (SELECT DISTINCT mission_id, trace_index AS t FROM air), y AS (SELECT mission_id, t, t - row_number() OVER (PARTITION BY mission_id ORDER BY t) AS isl FROM x) SELECT mission_id, min(t) AS low, max(t) AS high FROM y GROUP BY mission_id, isl")
+def d8_ranges(spark, d):
+    return views.ranges(P.side(spark, d, "air"))
 
 
 @_query("D12_compatibility", "WITH c AS (SELECT l_suppkey AS subject, l_returnflag = 'R' AS hard, l_discount < 0.1 AS ok, l_linenumber FROM lineitem) SELECT subject, CASE WHEN NOT coalesce(bool_and(ok) FILTER (hard), true) THEN 'incompatible' WHEN NOT coalesce(bool_and(ok) FILTER (NOT hard), true) THEN 'warnings' ELSE 'compatible' END AS verdict FROM c GROUP BY 1")
@@ -297,9 +302,7 @@ def e2(spark, d):
 
 @_query("E3_window_samples", "WITH x AS (SELECT p_partkey, p_size / 2.0 AS ratio FROM part), y AS (SELECT p_partkey, greatest(1, CAST(round_even(ratio, 0) AS BIGINT)) AS n FROM x) SELECT p_partkey, CASE WHEN n + (CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END) BETWEEN 3 AND 21 THEN n + (CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END) END AS samples FROM y")
 def e3(spark, d):
-    n = F.greatest(F.lit(1).cast("long"), F.bround(F.col("p_size") / 2.0).cast("long"))
-    n = n + F.when(n % 2 == 0, 1).otherwise(0)
-    return P.table(spark, d, "part").select("p_partkey", F.when(n.between(3, 21), n).alias("samples"))
+    return P.table(spark, d, "part").select("p_partkey", S.window_samples(F.col("p_size") / 2.0, 21).alias("samples"))
 
 
 @_query("E4_schedule", f"WITH {P.EVENTS_SQL} SELECT domain, sweep_id, started_ns - lag(started_ns) OVER w AS interval_ns, started_ns - lag(started_ns) OVER w - 60 * {_BIG} AS error_ns, greatest(0, finished_ns - started_ns - 60 * {_BIG}) AS overrun_ns FROM sweeps WINDOW w AS (PARTITION BY domain ORDER BY started_ns, sweep_id)")
@@ -318,6 +321,12 @@ def e7(spark, d):
     return timing.replay_gaps(s).select(F.col("mission_id").alias("domain"), F.col("trace_index").alias("sweep_id"), "gap_ns")
 
 
+@_query("A21_paced_replay", f"WITH {P.EVENTS_SQL} SELECT domain, sweep_id, coalesce(greatest(0, started_ns - lag(started_ns) OVER (PARTITION BY domain ORDER BY sweep_id)), 0) // 4 AS gap_ns FROM sweeps")
+def a21_paced(spark, d):
+    s = P.sweeps(spark, d).select(F.col("domain").alias("mission_id"), F.col("sweep_id").alias("trace_index"), F.col("started_ns").alias("at_ns"))
+    return timing.paced(s, "accelerated", 4.0).select(F.col("mission_id").alias("domain"), F.col("trace_index").alias("sweep_id"), "gap_ns")
+
+
 _HISTORY = "h AS (SELECT o_custkey AS dataset_id, o_orderkey AS ordinal, CASE o_orderkey % 3 WHEN 0 THEN 'calibration' WHEN 1 THEN 'ifft' ELSE 'dewow' END AS stage, CASE o_orderkey % 3 WHEN 0 THEN 'frequency_raw' WHEN 1 THEN 'frequency_calibrated' ELSE 'time_base' END AS source, CASE o_orderkey % 3 WHEN 0 THEN 'frequency_calibrated' WHEN 1 THEN 'time_base' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'frequency_raw' ELSE 'time_processed' END END AS target FROM orders)"
 
 
@@ -346,7 +355,9 @@ def f4(spark, d):
 
 @_query("G1_union", f"WITH {_AIR}, {_GROUND} SELECT mission_id, trace_index, trace_uid FROM air UNION ALL SELECT mission_id, trace_index, trace_uid FROM ground")
 def g1(spark, d):
-    return P.side(spark, d, "air").unionByName(P.side(spark, d, "ground")).select("mission_id", "trace_index", "trace_uid")
+    sides = [P.side(spark, d, name) for name in ("air", "ground")]
+    contracts = [x.groupBy("mission_id").agg(F.min(F.length("hash")).alias("digest_length")) for x in sides]
+    return views.stack(sides, contracts, ("digest_length",)).select("mission_id", "trace_index", "trace_uid")
 
 
 @_query("G2_excluded", f"WITH {_AIR}, {_AIRX} SELECT DISTINCT mission_id, trace_index FROM air EXCEPT SELECT mission_id, trace_index FROM air_l")
@@ -460,15 +471,18 @@ def h20(spark, d):
     return m.select("sweep_id", S.quality_reason(F.col("reason"), F.col("usable")).alias("quality"), S.health(F.col("reason"), F.col("usable")).alias("health"))
 
 
-@_query("H23_quantize", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS hz, CAST(round_even(o_totalprice * 10, 0) AS BIGINT) AS tenths FROM orders")
+@_query("H23_quantize", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS start_hz, CAST(trunc(o_totalprice * 2) AS BIGINT) AS stop_hz, CAST(trunc(o_totalprice / 100) AS BIGINT) AS bandwidth_hz, CAST(round_even((o_totalprice % 100 - 50) * 100, 0) AS BIGINT) AS hundredths FROM orders")
 def h23(spark, d):
-    return P.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("long").alias("hz"), F.bround(F.col("o_totalprice") * 10).cast("long").alias("tenths"))
+    x = F.col("o_totalprice")
+    q = S.quantized(x, x * 2, x / 100, x % 100 - 50)
+    o = P.table(spark, d, "orders").select("o_orderkey", q.alias("q"))
+    return o.select("o_orderkey", "q.start_hz", "q.stop_hz", "q.bandwidth_hz", F.round(F.col("q.power_dbm") * 100).cast("long").alias("hundredths"))
 
 
 @_query("H24_timeout", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE greatest(2.0, 501.0 * 2 / greatest(p_size, 1) * 0.1) END AS timeout_s FROM part")
 def h24(spark, d):
     explicit = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("double"))
-    return P.table(spark, d, "part").select("p_partkey", F.coalesce(explicit, F.greatest(F.lit(2.0), F.lit(501.0) * 2 / F.greatest("p_size", F.lit(1)) * 0.1)).alias("timeout_s"))
+    return P.table(spark, d, "part").select("p_partkey", S.sweep_timeout(explicit, F.lit(501.0), F.lit(2), F.col("p_size")).alias("timeout_s"))
 
 
 # ---- signal processing
@@ -619,8 +633,12 @@ def j7(spark, d):
 
 @_query("J14_capture_steps", "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events) SELECT event_id, user_id, n // 5 AS step FROM r WHERE n // 5 < 6")
 def j14(spark, d):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return P.table(spark, d, "events").select("event_id", "user_id", F.floor(n / 5).cast("long").alias("step")).where("step < 6")
+    return capture.reference_session(P.table(spark, d, "events").select("event_id", "user_id"), session="user_id", order="event_id", per_step=5)
+
+
+@_query("J14_session_state", "WITH g AS (SELECT user_id, least(count(*), 30) AS n FROM events GROUP BY 1) SELECT user_id, n // 5 AS step, n % 5 AS captured, n = 30 AS complete FROM g")
+def j14_state(spark, d):
+    return capture.session_state(P.table(spark, d, "events"), session="user_id", order="event_id", per_step=5)
 
 
 @_query("J16_publishable", "SELECT o_orderkey, o_custkey FROM orders JOIN (SELECT o_custkey, max(o_orderkey % 3) AS m FROM orders GROUP BY 1) USING (o_custkey) WHERE o_orderkey % 3 = m")
@@ -645,13 +663,12 @@ def a10(spark, d):
     """A legacy table lacks columns; they stay missing."""
     e = P.table(spark, d, "events")
     new = e.where("event_type = 'click'").select(F.col("event_id").alias("trace_index"), F.col("user_id").alias("generation"), F.lit(2).alias("version"))
-    return new.unionByName(e.where("event_type = 'view'").select(F.col("event_id").alias("trace_index"), F.lit(1).alias("version")), allowMissingColumns=True)
+    return views.with_legacy(new, e.where("event_type = 'view'").select(F.col("event_id").alias("trace_index")))
 
 
-@_query("A16_partial_inspection", f"WITH {_AIR}, {P.MISSIONS_SQL} SELECT a.mission_id, count(*) AS stored, count(*) FILTER (record_position >= committed_record_count) AS tail_rows, max(record_position) AS last FROM air a JOIN missions USING (mission_id) GROUP BY 1")
+@_query("A16_partial_inspection", f"WITH {_AIR}, {P.MISSIONS_SQL} SELECT a.mission_id, count(*) AS stored, count(*) FILTER (record_position >= committed_record_count) AS tail_rows, max(record_position) AS last, max(record_position) + 1 - count(DISTINCT record_position) AS missing_positions FROM air a JOIN missions USING (mission_id) GROUP BY 1")
 def a16(spark, d):
-    t = P.side(spark, d, "air").join(P.missions(spark, d), "mission_id")
-    return t.groupBy("mission_id").agg(F.count("*").alias("stored"), F.count_if(F.col("record_position") >= F.col("committed_record_count")).alias("tail_rows"), F.max("record_position").alias("last"))
+    return sinks.inspect_partial(P.side(spark, d, "air"), P.missions(spark, d))
 
 
 @_query("A20_simulated_source")
@@ -732,19 +749,18 @@ def d11(spark, d):
 
 @_query("E8_first_of_duplicates", f"WITH {_GROUND} SELECT mission_id, trace_index, min(record_position) AS record_position FROM ground GROUP BY 1, 2")
 def e8(spark, d):
-    n = F.row_number().over(Window.partitionBy("mission_id", "trace_index").orderBy("record_position"))
-    return P.side(spark, d, "ground").withColumn("n", n).where("n = 1").select("mission_id", "trace_index", "record_position")
+    return views.first_of_duplicates(P.side(spark, d, "ground")).select("mission_id", "trace_index", "record_position")
 
 
 @_query("F5_argmin", "SELECT l_suppkey, arg_min({'o': l_orderkey, 'l': l_linenumber}, {'d': abs(l_quantity - 25), 'o': l_orderkey, 'l': l_linenumber}).o AS l_orderkey FROM lineitem GROUP BY 1")
 def f5(spark, d):
-    li = P.table(spark, d, "lineitem")
-    return li.groupBy("l_suppkey").agg(F.min_by("l_orderkey", F.struct(F.abs(F.col("l_quantity") - 25), "l_orderkey", "l_linenumber")).alias("l_orderkey"))
+    li = P.table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return match.nearest(li, "l_suppkey", F.abs(F.col("l_quantity") - 25), ["l_orderkey", "l_linenumber"]).select("l_suppkey", "l_orderkey")
 
 
 @_query("G9_manifest", "SELECT page_id, sha256(html) AS digest, strlen(html) AS bytes FROM pages")
 def g9(spark, d):
-    return P.table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+    return sinks.manifest(P.table(spark, d, "pages"), "page_id", "html")
 
 
 @_query("H7_combine_utc", "WITH x AS (SELECT event_id, CAST(date '2024-02-28' + CAST(event_id % 3 AS INT) AS DATE) AS dt, (event_id * 977) % 86400 AS r, (event_id * 4099) % 86400 AS g FROM events) SELECT event_id, epoch_us(dt + INTERVAL 1 DAY * CASE WHEN g - r < -43200 THEN 1 WHEN g - r > 43200 THEN -1 ELSE 0 END) + g * 1000000 AS us FROM x")
@@ -790,26 +806,30 @@ def j2(spark, d):
 @_query("J15_background_capture", f"WITH {P.SAMPLES_SQL} SELECT channel, k, {_m('avg(re)')} AS re, {_m('avg(im)')} AS im, count(*) AS captures FROM s WHERE trace_id < 12 GROUP BY 1, 2")
 def j15(spark, d):
     """The reference is the mean of the first twelve captures."""
-    return dsp.coherent_mean(P.samples(spark, d).where("trace_id < 12")).select("channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"), "captures")
+    return capture.background_session(P.samples(spark, d), 12).select("channel", "k", micro(F.col("re")).alias("re"), micro(F.col("im")).alias("im"), "captures")
 
 
-@_query("A18_envelope_digest", "SELECT doc_id, sha256(text) = CASE WHEN doc_id % 10 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS intact FROM documents WHERE text IS NOT NULL")
+@_query("A18_envelope_digest", "SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN sha256(text) END AS payload, CASE WHEN text IS NOT NULL THEN doc_id % 10 <> 0 END AS intact FROM documents")
 def a18(spark, d):
-    """A stored payload is used only if its digest holds."""
-    t = P.table(spark, d, "documents").where("text is not null")
-    stored = F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256)
-    return t.select("doc_id", (F.sha2("text", 256) == stored).alias("intact"))
+    """A stored payload is used only if the digest recomputed from it holds; every tenth envelope was changed after it was sealed."""
+    sealed = codecs.seal(F.col("text"))
+    sealed = F.when(F.col("doc_id") % 10 == 0, F.regexp_replace(sealed, r'^\{"payload":"', '{"payload":"!')).otherwise(sealed)
+    t = P.table(spark, d, "documents").select("doc_id", codecs.unseal(sealed).alias("e"))
+    return t.select("doc_id", F.sha2("e.payload", 256).alias("payload"), F.col("e.intact").alias("intact"))
 
 
-@_query("A24_snapshot_codec", "SELECT c_custkey, base64(encode(c_name || '|' || c_mktsegment)) AS packed, c_name || '|' || c_mktsegment AS text FROM customer")
+@_query("A24_snapshot_codec", f"WITH {P.SAMPLES_SQL} SELECT trace_id, channel, k, re, im FROM s WHERE trace_id % 7 <> 0")
 def a24(spark, d):
-    packed = F.base64(F.concat_ws("|", "c_name", "c_mktsegment").cast("binary"))
-    return P.table(spark, d, "customer").select("c_custkey", packed.alias("packed"), F.unbase64(packed).cast("string").alias("text"))
+    """Samples through the text of a snapshot and back; every seventh text claims a wrong shape and gives nothing."""
+    text = codecs.pack_complex(F.col("values"))
+    text = F.when(F.col("trace_id") % 7 == 0, F.replace(text, F.lit("[16]"), F.lit("[15]"))).otherwise(text)
+    x = P.samples(spark, d).select("trace_id", "channel", codecs.unpack_complex(text).alias("values")).where("values is not null")
+    return dsp.flat(x).select("trace_id", "channel", "k", "re", "im")
 
 
-@_query("B14_version_window", "SELECT p_partkey, p_size BETWEEN 10 AND 20 AS supported FROM part")
+@_query("B14_version_window", "SELECT p_partkey, p_size % 2 = 1 AND p_size BETWEEN 10 AND 20 AS supported FROM part")
 def b14(spark, d):
-    return P.table(spark, d, "part").select("p_partkey", F.col("p_size").between(10, 20).alias("supported"))
+    return P.table(spark, d, "part").select("p_partkey", constraints.supported_version(F.col("p_size") % 2, F.col("p_size"), own=1, least=10, most=20).alias("supported"))
 
 
 @_query("B15_capabilities", "SELECT p_partkey, 'points' AS rule FROM part WHERE p_size NOT BETWEEN 2 AND 45 UNION ALL SELECT p_partkey, 'power' FROM part WHERE p_retailprice > 1500")
@@ -819,7 +839,8 @@ def b15(spark, d):
 
 @_query("F3_fix_order", f"WITH {P.EVENTS_SQL} SELECT domain, fix_id, row_number() OVER (PARTITION BY domain ORDER BY received_ns, seq) AS place FROM fixes")
 def f3(spark, d):
-    return P.fixes(spark, d).select("domain", "fix_id", F.row_number().over(Window.partitionBy("domain").orderBy("received_ns", "seq")).alias("place"))
+    """Places are given to the sorted table, to show its order."""
+    return match.snapshot(P.fixes(spark, d)).select("domain", "fix_id", F.row_number().over(Window.partitionBy("domain").orderBy("received_ns", "seq")).alias("place"))
 
 
 @_query("H8_rmc", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE " + _m("(event_id % 50 + 0.5) * 1852.0 / 3600.0") + " END AS speed, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(make_date(CAST(CASE WHEN event_id % 100 >= 80 THEN 1900 ELSE 2000 END + event_id % 100 AS INT), CAST(event_id % 12 + 1 AS INT), CAST(event_id % 28 + 1 AS INT)) AS VARCHAR) END AS day FROM events")

@@ -105,3 +105,35 @@ def _stamps(axis: pa.Array, start: pa.Array, stop: pa.Array, points: pa.Array) -
 def wire_stamps(axis: Column, start: Column, stop: Column, points: Column) -> Column:
     """Whether an axis is, byte for byte, the even grid that its start, stop and number of points declare; a null is not."""
     return _stamps(axis, start.cast("double"), stop.cast("double"), points.cast("long"))
+
+
+def seal(payload: Column) -> Column:
+    """An envelope around a JSON text: that text and its SHA-256. Null for null."""
+    return F.when(payload.isNotNull(), F.to_json(F.struct(payload.alias("payload"), F.sha2(payload, 256).alias("sha256"))))
+
+
+def unseal(envelope: Column) -> Column:
+    """(``payload``, ``intact``) of an envelope; the payload is null unless the digest recomputed from it is the one it carries."""
+    e = F.from_json(envelope, "payload string, sha256 string")
+    intact = F.coalesce(F.sha2(e["payload"], 256) == e["sha256"], F.lit(False))
+    return F.when(envelope.isNotNull(), F.struct(F.when(intact, e["payload"]).alias("payload"), intact.alias("intact")))
+
+
+def pack_complex(values: Column) -> Column:
+    """An array of complex structs as a JSON text of shape, dtype and base64 of the little-endian bytes."""
+    return F.to_json(F.struct(F.array(F.size(values)).alias("shape"), F.lit("<c16").alias("dtype"), F.base64(le_complex(values)).alias("data")))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])))
+def _complex(shapes: pa.Array, data: pa.Array) -> pa.Array:
+    out = []
+    for shape, b in zip(shapes.to_pylist(), data.to_pylist(), strict=True):
+        z = np.frombuffer(b, "<c16") if b is not None and len(b) % 16 == 0 else None
+        out.append(None if z is None or shape != [len(z)] else [{"re": x, "im": y} for x, y in zip(z.real.tolist(), z.imag.tolist(), strict=True)])
+    return pa.array(out, pa.list_(pa.struct([("re", pa.float64()), ("im", pa.float64())])))
+
+
+def unpack_complex(text: Column) -> Column:
+    """The array of ``pack_complex``; null where the dtype is another one or the shape does not fit the bytes."""
+    e = F.from_json(text, "shape array<long>, dtype string, data string")
+    return _complex(e["shape"], F.when(e["dtype"] == "<c16", F.unbase64(e["data"])))

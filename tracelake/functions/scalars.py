@@ -131,3 +131,21 @@ def raw_trace_sha256(magic: str, mission: Column, uid: Column, index: Column, ch
     text = lambda c: F.concat(u64(F.octet_length(c)), c.cast("binary"))
     names = F.unhex(F.array_join(F.transform(channels, lambda c: F.hex(text(c))), ""))
     return F.sha2(F.concat(F.lit(magic).cast("binary"), u64(F.lit(1)), text(mission), text(uid), u64(index), u64(F.size(channels)), names, u64(n_freq), axis_le, raw_le), 256)
+
+
+def window_samples(ratio: Column, n: Column | int) -> Column:
+    """Samples of a window of ``ratio`` steps: rounded half to even, at least 1, then up to odd; null below 3 or beyond ``n``."""
+    k = F.greatest(F.lit(1).cast("long"), F.bround(ratio).cast("long"))
+    k = k + F.when(k % 2 == 0, 1).otherwise(0)
+    return F.when(k.between(F.lit(3), n if isinstance(n, Column) else F.lit(n)), k)
+
+
+def quantized(start_hz: Column, stop_hz: Column, bandwidth_hz: Column, power_dbm: Column) -> Column:
+    """A device's whole values as a struct: hertz cut off, power to hundredths of a dBm, half to even."""
+    whole = {"start_hz": start_hz, "stop_hz": stop_hz, "bandwidth_hz": bandwidth_hz}
+    return F.struct(*(c.cast("long").alias(k) for k, c in whole.items()), (F.bround(power_dbm * 100) / 100).alias("power_dbm"))
+
+
+def sweep_timeout(explicit: Column, points: Column, stages: Column, bandwidth_hz: Column, *, least_s: float = 2.0, factor: float = 0.1) -> Column:
+    """Seconds until a sweep is given up: the explicit value, else ``points * stages / bandwidth * factor``, not below ``least_s``."""
+    return F.coalesce(explicit, F.greatest(F.lit(least_s), points * stages / F.greatest(bandwidth_hz, F.lit(1)) * F.lit(factor)))

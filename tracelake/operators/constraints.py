@@ -55,3 +55,19 @@ def config_facts(missions: DataFrame, axis: str) -> DataFrame:
     first, last, n = F.get(axis, F.lit(0)), F.element_at(axis, -1), F.size(axis)
     step = (last - first) / F.when(n > 1, n - 1)
     return missions.withColumns({"step": step, "period": 1 / F.when(step > 0, step), "bandwidth": last - first})
+
+
+def lookup(rows: DataFrame, column: str, registry: DataFrame, key: str, value: str, *, unknown: str | None = None) -> DataFrame:
+    """``rows`` with ``value`` of the registry's row whose ``key`` is ``column``; a registry names each key once.
+
+    An id that is not registered fails the job, unless ``unknown`` names the text to put there.
+    """
+    known = registry.select(F.col(key).alias("_key"), F.struct(F.col(value)).alias("_known"))
+    missing = F.raise_error(F.concat(F.lit("unknown id "), F.coalesce(F.col(column).cast("string"), F.lit("null")))) if unknown is None else F.lit(unknown)
+    found = F.when(F.col("_known").isNotNull(), F.col("_known")[value]).otherwise(missing)
+    return rows.join(known, F.col(column) == F.col("_key"), "left").select(*rows.columns, found.alias(value))
+
+
+def supported_version(major: Column, minor: Column, *, own: int, least: int, most: int) -> Column:
+    """Whether a peer's version can be talked to: the own major number, and a minor one in the window, both ends included."""
+    return F.coalesce((major == own) & minor.between(least, most), F.lit(False))

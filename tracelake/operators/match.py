@@ -7,7 +7,7 @@ time, and window functions carry the last fix before and the first fix after eve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import midpoint
@@ -70,3 +70,13 @@ def bounded_cache(fixes: DataFrame, now_ns: int, *, max_age_s: float = 120.0, ke
     young = fixes.where(F.col("received_ns") >= now_ns - int(max_age_s * NS))
     n = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("received_ns").desc(), F.col("seq").desc()))
     return young.withColumn("_n", n).where(F.col("_n") <= keep).drop("_n")
+
+
+def snapshot(fixes: DataFrame) -> DataFrame:
+    """All fixes by receive time within their domain; of equal times the lowest seq first. A range sort over the cluster."""
+    return fixes.orderBy("domain", "received_ns", "seq")
+
+
+def nearest(rows: DataFrame, by: str, distance: Column, ties: list[str]) -> DataFrame:
+    """The nearest row of each ``by``: least distance, then least ``ties``. Partial minima before the shuffle."""
+    return rows.groupBy(by).agg(F.min_by(F.struct(*(c for c in rows.columns if c != by)), F.struct(distance, *ties)).alias("_r")).select(by, "_r.*")

@@ -5,33 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ordered import bucket, of_bucket, with_previous
+
+#: What one window may span: a day of a clock, a million traces of a mission.
+DAY_NS, INDEX_RANGE = 86_400_000_000_000, 1_000_000
+
 
 def schedule(sweeps: DataFrame, target_ns: int) -> DataFrame:
     """``sweeps(domain, sweep_id, started_ns, finished_ns)`` with interval, schedule error (both null first) and overrun."""
-    w = Window.partitionBy("domain").orderBy("started_ns", "sweep_id")
-    interval = F.col("started_ns") - F.lag("started_ns").over(w)
+    interval = F.col("started_ns") - F.col("_previous.started_ns")
     over = F.greatest(F.lit(0), F.col("finished_ns") - F.col("started_ns") - target_ns)
-    return sweeps.withColumns({"interval_ns": interval, "error_ns": interval - target_ns, "overrun_ns": over})
+    df = with_previous(sweeps, ["domain"], ["started_ns", "sweep_id"], [], DAY_NS)
+    return df.withColumns({"interval_ns": interval, "error_ns": interval - target_ns, "overrun_ns": over}).drop("_previous")
 
 
 def deadlines(sweeps: DataFrame, target_ns: int) -> DataFrame:
-    """Absolute deadlines: an anchor, and whole intervals after it; a resume sets a new anchor. ``sweeps`` has ``resumed``."""
-    w = Window.partitionBy("domain").orderBy("started_ns", "sweep_id")
-    df = sweeps.withColumn("segment", F.sum(F.col("resumed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = Window.partitionBy("domain", "segment").orderBy("started_ns", "sweep_id")
-    return df.withColumn("deadline_ns", F.first("started_ns").over(s) + (F.row_number().over(s) - 1) * F.lit(target_ns).cast("long"))
+    """Absolute deadlines: an anchor, and whole intervals after it; a resume sets a new anchor. ``sweeps`` has ``resumed``.
+
+    Ranks and anchors are found within a day, and carried from day to day.
+    """
+    days = Window.partitionBy("domain").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    day = Window.partitionBy("domain", "_bucket").orderBy("started_ns", "sweep_id")
+    df = sweeps.withColumn("_bucket", bucket("started_ns", DAY_NS))
+    before = df.groupBy("domain", "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(days), F.lit(0)))
+    df = of_bucket(df.withColumn("_rank", F.row_number().over(day)), ["domain"], before, "_before").withColumn("_rank", F.col("_rank") + F.col("_before"))
+    df = df.withColumn("_anchor", F.when(F.coalesce("resumed", F.lit(False)) | (F.col("_rank") == 1), F.struct("_rank", "started_ns")))
+    carried = df.groupBy("domain", "_bucket").agg(F.max("_anchor").alias("_own")).withColumn("_carried", F.last("_own", True).over(days))
+    so_far = F.last("_anchor", True).over(day.rowsBetween(Window.unboundedPreceding, 0))
+    df = of_bucket(df.withColumn("_anchor", so_far), ["domain"], carried, "_carried").withColumn("_anchor", F.coalesce("_anchor", "_carried"))
+    deadline = F.col("_anchor.started_ns") + (F.col("_rank") - F.col("_anchor._rank")) * F.lit(target_ns).cast("long")
+    return df.select(*sweeps.columns, deadline.alias("deadline_ns"))
 
 
 def replay_gaps(traces: DataFrame) -> DataFrame:
     """``traces(mission_id, trace_index, at_ns)`` with the wait before each: never negative, none first."""
-    w = Window.partitionBy("mission_id").orderBy("trace_index")
-    return traces.withColumn("gap_ns", F.coalesce(F.greatest(F.lit(0), F.col("at_ns") - F.lag("at_ns").over(w)), F.lit(0)))
+    df = with_previous(traces, ["mission_id"], ["trace_index"], ["at_ns"], INDEX_RANGE)
+    return df.withColumn("gap_ns", F.coalesce(F.greatest(F.lit(0), F.col("at_ns") - F.col("_previous.at_ns")), F.lit(0))).drop("_previous")
+
+
+def paced(traces: DataFrame, mode: str, acceleration: float = 1.0) -> DataFrame:
+    """``replay_gaps`` by mode: ``per_trace`` (no waits), ``original_time``, or ``accelerated`` (gaps divided by more than 1)."""
+    fits = 1 < acceleration < float("inf") if mode == "accelerated" else acceleration == 1
+    if mode not in ("per_trace", "original_time", "accelerated") or not fits:
+        raise ValueError("only the accelerated mode takes an acceleration, a finite one above 1")
+    if mode == "per_trace":
+        return traces.withColumn("gap_ns", F.lit(0).cast("long"))
+    gaps = replay_gaps(traces)
+    return gaps if mode == "original_time" else gaps.withColumn("gap_ns", F.floor(F.col("gap_ns") / F.lit(float(acceleration))).cast("long"))
 
 
 def monotonic_violations(traces: DataFrame, column: str) -> DataFrame:
     """Rows whose value does not rise above that of the trace before."""
-    w = Window.partitionBy("mission_id").orderBy("record_position")
-    return traces.withColumn("_p", F.lag(column).over(w)).where(F.col(column) <= F.col("_p")).drop("_p")
+    df = with_previous(traces, ["mission_id"], ["record_position"], [column], INDEX_RANGE)
+    return df.where(F.col(column) <= F.col(f"_previous.{column}")).drop("_previous")
 
 
 def latency_metrics(rows: DataFrame, key: str, value: str, failed: str) -> DataFrame:

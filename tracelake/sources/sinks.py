@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Indices of a mission that one folder of the stored data holds.
+INDEX_RANGE = 100_000
+
 
 def classify(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """``incoming`` with ``action``: ``append``, ``duplicate`` (nothing to write) or ``conflict`` (rejected, kept as evidence).
@@ -20,17 +23,24 @@ def classify(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def append_batch(incoming: DataFrame, path: str) -> dict[str, int]:
-    """Append what is new below ``path``; running a batch again writes nothing. Data first, then the row of the manifest."""
+    """Append what is new below ``path``; running a batch again writes nothing. Data first, then the row of the manifest.
+
+    Data are kept by ranges of the index, and a batch is held only against the ranges that it spans.
+    """
     spark = incoming.sparkSession
+    span = F.call_function("div", F.col("trace_index"), F.lit(INDEX_RANGE))
     key = ["mission_id", "trace_index", "trace_uid", "hash", "record_position"]
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
     there = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    stored = spark.read.parquet(f"{path}/data").select(*key) if there else incoming.select(*key).limit(0)
+    stored = incoming.select(*key).limit(0)
+    if there:
+        lo, hi = incoming.agg(F.min(span), F.max(span)).first()
+        stored = spark.read.parquet(f"{path}/data").where(F.col("index_range").between(lo, hi)).select(*key)
     rows = classify(incoming, stored).persist()
     try:
         counts = {r.action: r["count"] for r in rows.groupBy("action").count().collect()}
         if counts.get("append"):
-            rows.where("action = 'append'").drop("action").write.mode("append").parquet(f"{path}/data")
+            rows.where("action = 'append'").drop("action").withColumn("index_range", span).write.mode("append").partitionBy("index_range").parquet(f"{path}/data")
         if counts.get("conflict"):
             rows.where("action = 'conflict'").drop("action").write.mode("append").parquet(f"{path}/conflicts")
         spark.createDataFrame([(counts.get("append", 0), counts.get("duplicate", 0), counts.get("conflict", 0))], "appended long, duplicates long, conflicts long").write.mode("append").parquet(f"{path}/manifest")
@@ -51,3 +61,43 @@ def recovery_plan(traces: DataFrame, missions: DataFrame) -> DataFrame:
     tail = F.greatest(F.lit(0), F.coalesce("last", F.lit(-1)) + 1 - F.col("committed_record_count"))
     fits = F.coalesce("last", F.lit(-1)) + 1 >= F.col("committed_record_count")
     return df.select("mission_id", "committed_record_count", "stored", tail.alias("tail_rows"), F.when(fits, "recover").otherwise("refuse").alias("plan"))
+
+
+def recover(traces: DataFrame, missions: DataFrame, path: str) -> None:
+    """Copy the committed prefix of every mission to ``path``, its rows as they are; a plan that refuses a mission stops it all.
+
+    ``source_digest`` of each row names the plan it was copied under; a table that is there is never overwritten.
+    """
+    plan = recovery_plan(traces, missions)
+    if bad := plan.where("plan = 'refuse'").select("mission_id").first():
+        raise ValueError(f"mission {bad[0]} claims more committed rows than are stored")
+    note = plan.select("mission_id", "committed_record_count", F.sha2(F.to_json(F.struct(*plan.columns)), 256).alias("source_digest"))
+    finalize(traces.join(note, "mission_id").where("record_position < committed_record_count").drop("committed_record_count"), path)
+
+
+def inspect_partial(traces: DataFrame, missions: DataFrame) -> DataFrame:
+    """Per mission of an unfinished table: stored rows, rows of the tail, last position, positions that are missing below it."""
+    have = traces.groupBy("mission_id").agg(F.count("*").alias("stored"), F.max("record_position").alias("last"), F.count_distinct("record_position").alias("_n"))
+    tail = traces.join(missions.select("mission_id", "committed_record_count"), "mission_id").groupBy("mission_id").agg(F.count_if(F.col("record_position") >= F.col("committed_record_count")).alias("tail_rows"))
+    return have.join(tail, "mission_id").select("mission_id", "stored", "tail_rows", "last", (F.col("last") + 1 - F.col("_n")).alias("missing_positions"))
+
+
+def manifest(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, digest, bytes) of a payload column; with Spark's ``binaryFile`` source, of files (key ``path``, content ``content``)."""
+    return rows.select(key, F.sha2(F.col(content).cast("binary"), 256).alias("digest"), F.octet_length(content).cast("long").alias("bytes"))
+
+
+def attach(traces: DataFrame, derived: DataFrame, declared: tuple[str, ...], path: str) -> None:
+    """Write ``traces`` with the derived columns of ``derived(mission_id, trace_index, ...)`` as a new table at ``path``.
+
+    Only columns that the schema declares as optional outputs are taken, and none that the traces have; the order-free
+    digest of all raw columns must be the same before and after.
+    """
+    key = ["mission_id", "trace_index"]
+    new = [c for c in derived.columns if c not in key]
+    if bad := sorted(c for c in new if c not in declared or c in traces.columns):
+        raise ValueError(f"not declared as derived, or raw: {bad}")
+    finalize(traces.join(derived, key, "left"), path)
+    raw = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*traces.columns).cast("decimal(38, 0)")), F.bit_xor(F.xxhash64(F.lit(1), *traces.columns))).first()
+    if raw(traces) != raw(traces.sparkSession.read.parquet(path).select(traces.columns)):
+        raise ValueError("the raw columns changed while derived ones were attached")

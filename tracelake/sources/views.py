@@ -6,12 +6,17 @@ partition every window and join, so any number of missions spreads over the clus
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import from_sentinel, unmask
+from .ordered import with_previous
 
 KEY = ["mission_id"]
+#: Indices of a mission that one window may span.
+INDEX_RANGE = 1_000_000
 
 
 def committed(traces: DataFrame, missions: DataFrame) -> DataFrame:
@@ -57,6 +62,31 @@ def index_view(traces: DataFrame) -> DataFrame:
     return marked.groupBy("mission_id", "trace_index").agg(F.min_by(F.struct(*traces.columns), "record_position").alias("row"), excluded.alias("excluded"))
 
 
+def first_of_duplicates(traces: DataFrame) -> DataFrame:
+    """The first committed row of every index, conflicts or not."""
+    return traces.groupBy("mission_id", "trace_index").agg(F.min_by(F.struct(*traces.columns), "record_position").alias("row")).select("row.*")
+
+
+def stack(parts: list[DataFrame], contracts: list[DataFrame] | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of all parts. Parts of other columns or types are refused, and so are missions whose ``fields`` differ between contracts."""
+    types = [sorted((f.name, f.dataType.simpleString()) for f in p.schema.fields) for p in parts]
+    if any(t != types[0] for t in types):
+        raise ValueError("the parts have different columns")
+    if contracts:
+        said = reduce(DataFrame.unionAll, [c.select("mission_id", F.to_json(F.struct(*fields)).alias("c")) for c in contracts])
+        bad = said.groupBy("mission_id").agg(F.count_distinct("c").alias("n")).where("n > 1").select("mission_id").first()
+        if bad:
+            raise ValueError(f"the contracts of {bad[0]} differ")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_legacy(traces: DataFrame, legacy: DataFrame, version: int = 1) -> DataFrame:
+    """Traces and those of an older table: what the older one lacks stays missing; a column that only it has is refused."""
+    if extra := set(legacy.columns) - set(traces.columns):
+        raise ValueError(f"unknown columns of a legacy table: {sorted(extra)}")
+    return traces.unionByName(legacy.withColumn("version", F.lit(version)), allowMissingColumns=True)
+
+
 def excluded_indices(traces: DataFrame) -> DataFrame:
     """(mission, index) that a conflict of hashes or of uids takes out of the logical view."""
     keys = traces.select("mission_id", "trace_index", "trace_uid", "hash", "record_position")
@@ -77,19 +107,35 @@ def by_index(traces: DataFrame, mission: str, index: int) -> DataFrame:
     return row
 
 
+def missing_ranges(traces: DataFrame) -> DataFrame:
+    """Holes in 0..max of each mission as (mission_id, low, high); only the neighbours of a hole are compared."""
+    seen = with_previous(traces.select("mission_id", "trace_index").distinct(), KEY, ["trace_index"], [], INDEX_RANGE)
+    low = F.coalesce(F.col("_previous.trace_index"), F.lit(-1).cast("long")) + 1
+    return seen.where(F.col("trace_index") > low).select("mission_id", low.alias("low"), (F.col("trace_index") - 1).alias("high"))
+
+
 def missing_indices(traces: DataFrame) -> DataFrame:
-    """Holes in 0..max of each mission, by neighbours: the holes themselves are made only where rows leave a gap."""
-    nxt = F.lead("trace_index").over(Window.partitionBy("mission_id").orderBy("trace_index"))
-    seen = traces.select("mission_id", "trace_index").distinct()
-    starts = seen.groupBy("mission_id").agg(F.min("trace_index").alias("hi")).select("mission_id", F.lit(-1).cast("long").alias("lo"), "hi")
-    gaps = seen.withColumn("hi", nxt).select("mission_id", F.col("trace_index").alias("lo"), "hi").union(starts)
-    return gaps.where("hi > lo + 1").select("mission_id", F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1)).alias("trace_index"))
+    """The holes one by one; a long hole is made in parts, so that no row holds all of it."""
+    part = F.explode(F.sequence("low", "high", F.lit(INDEX_RANGE).cast("long"))).alias("from")
+    holes = missing_ranges(traces).select("mission_id", "high", part)
+    return holes.select("mission_id", F.explode(F.sequence("from", F.least("high", F.col("from") + (INDEX_RANGE - 1)))).alias("trace_index"))
 
 
 def ranges(indices: DataFrame) -> DataFrame:
-    """Islands [low, high] of consecutive indices."""
-    island = F.col("trace_index") - F.row_number().over(Window.partitionBy("mission_id").orderBy("trace_index"))
-    return indices.distinct().withColumn("island", island).groupBy("mission_id", "island").agg(F.min("trace_index").alias("low"), F.max("trace_index").alias("high")).drop("island")
+    """Islands [low, high] of consecutive indices.
+
+    Islands are made within ranges of the index; only those that touch the edge of a range, two a range at most, are then joined.
+    """
+    start = F.col("trace_index") - F.pmod("trace_index", F.lit(INDEX_RANGE))
+    seen = indices.select("mission_id", "trace_index", start.alias("start")).distinct()
+    island = F.col("trace_index") - F.row_number().over(Window.partitionBy("mission_id", "start").orderBy("trace_index"))
+    parts = seen.withColumn("island", island).groupBy("mission_id", "start", "island").agg(F.min("trace_index").alias("low"), F.max("trace_index").alias("high"))
+    edge = (F.col("low") == F.col("start")) | (F.col("high") == F.col("start") + (INDEX_RANGE - 1))
+    w = Window.partitionBy("mission_id").orderBy("low")
+    new = F.coalesce(F.lag("high").over(w) + 1 < F.col("low"), F.lit(True))
+    edges = parts.where(edge).withColumn("new", new).withColumn("n", F.sum(F.col("new").cast("int")).over(w))
+    joined = edges.groupBy("mission_id", "n").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return parts.where(~edge).select("mission_id", "low", "high").union(joined.select("mission_id", "low", "high"))
 
 
 def decode(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

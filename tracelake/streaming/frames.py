@@ -41,13 +41,23 @@ def packet(kind: int, payload: bytes) -> bytes:
 
 
 def packets(chunks: DataFrame) -> DataFrame:
-    """``chunks(stream, seq, data)`` to ``(stream, n, kind, payload)``: each stream is put in order and deframed by itself."""
+    """``chunks(stream, seq, data)`` to ``(stream, n, kind, payload)``: each stream is put in order and deframed by itself.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got, _ = split_packets(b"".join(pdf.sort_values("seq")["data"]))
-        return pd.DataFrame({"stream": pdf["stream"].iloc[0], "n": range(len(got)), "kind": [k for k, _ in got], "payload": [p for _, p in got]})
+    Streams are sorted on Spark and read batch by batch; only what is left of a buffer is carried on, so no stream is held whole. Rows without a stream are left out.
+    """
 
-    return chunks.groupBy("stream").applyInPandas(run, "stream long, n long, kind int, payload binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, left, n = None, b"", 0
+        for batch in batches:
+            for key, pdf in batch.groupby("stream", sort=False):
+                if key != stream:
+                    stream, left, n = key, b"", 0
+                got, left = split_packets(left + b"".join(pdf["data"]))
+                yield pd.DataFrame({"stream": key, "n": range(n, n + len(got)), "kind": [k for k, _ in got], "payload": [p for _, p in got]})
+                n += len(got)
+
+    ordered = chunks.where("stream is not null").select("stream", "seq", "data").repartition("stream").sortWithinPartitions("stream", "seq")
+    return ordered.mapInPandas(run, "stream long, n long, kind int, payload binary")
 
 
 def packets_stream(chunks: DataFrame) -> DataFrame:

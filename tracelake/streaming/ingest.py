@@ -27,17 +27,27 @@ def split_lines(buffer: str, skipping: bool, most: int = MAX_LINE) -> tuple[list
         if not skipping and 0 < len(x) <= most:
             out.append(x)
         skipping = False
-    return (out, "", True) if skipping or len(left) > most else (out, left, False)
+    return (out, "", True) if skipping or len(left.rstrip("\r")) > most else (out, left, False)
 
 
 def lines(chunks: DataFrame, most: int = MAX_LINE) -> DataFrame:
-    """``chunks(stream, seq, text)`` to ``(stream, n, line)``: each stream in order, overlong lines dropped whole, empty ones left out."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got, _, _ = split_lines("".join(pdf.sort_values("seq")["text"]), False, most)
-        return pd.DataFrame({"stream": pdf["stream"].iloc[0], "n": range(len(got)), "line": pd.Series(got, dtype=object)})
-
-    return chunks.groupBy("stream").applyInPandas(run, "stream long, n long, line string")
+    """``chunks(stream, seq, text)`` to ``(stream, n, line)``: each stream in order, overlong lines dropped whole, empty ones left out.
+
+    Streams are sorted on Spark and read batch by batch; only an unfinished line is carried on. Rows without a stream are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, left, skipping, n = None, "", False, 0
+        for batch in batches:
+            for key, pdf in batch.groupby("stream", sort=False):
+                if key != stream:
+                    stream, left, skipping, n = key, "", False, 0
+                got, left, skipping = split_lines(left + "".join(pdf["text"].dropna()), skipping, most)
+                yield pd.DataFrame({"stream": key, "n": range(n, n + len(got)), "line": pd.Series(got, dtype=object)})
+                n += len(got)
+
+    ordered = chunks.where("stream is not null").select("stream", "seq", "text").repartition("stream").sortWithinPartitions("stream", "seq")
+    return ordered.mapInPandas(run, "stream long, n long, line string")
 
 
 def lines_stream(chunks: DataFrame, most: int = MAX_LINE) -> DataFrame:

@@ -14,7 +14,7 @@ from .functions import scalars as S
 from .operators import constraints, match, reconcile, timing
 from .plans import capture, chain, dsp, provenance, reuse
 from .sources import projections as P
-from .sources import sinks, views
+from .sources import legacy, sinks, views
 from .streaming import frames, ingest, protocol
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,20 @@ def a12(spark, d):
     return e.select(F.lit("legacy").alias("mission_id"), F.col("event_id").alias("trace_index"), S.uuid5("6ba7b8129dad11d180b400c04fd430c8", F.concat(F.lit("legacy:"), F.col("event_id").cast("string"))).alias("trace_uid"))
 
 
+@_query("A12_migration_refusals", f"""WITH {P.EVENTS_SQL}, t AS (SELECT domain, sweep_id, CASE WHEN domain = 0 AND sweep_id % 100 = 0 THEN NULL WHEN domain = 1 AND sweep_id % 50 = 0 THEN 0 ELSE started_ns END AS at FROM sweeps),
+g AS (SELECT domain, coalesce(at < lag(at) OVER (PARTITION BY domain ORDER BY sweep_id), false) AS falls, at FROM t),
+f AS (SELECT domain, count(*) FILTER (at IS NULL) AS untimed, count(*) FILTER (falls) AS n, min(at) AS lo FROM g GROUP BY 1)
+SELECT domain AS mission_id, CASE WHEN untimed > 0 THEN 'no trace time' WHEN n > 0 THEN 'time decreases' WHEN domain = 2 THEN 'time before creation' ELSE 'time axis' END AS reason FROM f""")
+def a12_refusals(spark, d):
+    """Clock domains as missions: one lacks times, one has falling ones, one a late creation, one a time axis of another length."""
+    s, n = P.sweeps(spark, d), F.col("sweep_id")
+    at = F.when((F.col("domain") == 0) & (n % 100 == 0), None).when((F.col("domain") == 1) & (n % 50 == 0), 0).otherwise(F.col("started_ns"))
+    t = s.select(F.col("domain").alias("mission_id"), n.alias("trace_index"), at.cast("long").alias("at_ns"))
+    first = s.groupBy(F.col("domain").alias("mission_id")).agg(F.min("started_ns").alias("lo"))
+    m = first.select("mission_id", (F.col("lo") + F.when(F.col("mission_id") == 2, 1).otherwise(0) - F.when(F.col("mission_id") == 1, F.col("lo")).otherwise(0)).alias("created_ns"), F.lit(16).alias("points"), F.when(F.col("mission_id") == 3, 15).alias("time_points"))
+    return legacy.refusals(t, m)
+
+
 @_query("A14_append_classes", f"""WITH {_AIR}, {_GROUND}, st AS (SELECT mission_id, trace_index, arg_min(hash, record_position) AS old FROM air GROUP BY 1, 2),
 r AS (SELECT g.*, st.old, row_number() OVER w AS n, first(g.hash) OVER w AS f FROM ground g LEFT JOIN st USING (mission_id, trace_index) WINDOW w AS (PARTITION BY mission_id, trace_index ORDER BY record_position)),
 x AS (SELECT *, coalesce(old, CASE WHEN n > 1 THEN f END) AS against FROM r)
@@ -785,24 +799,32 @@ def h22(spark, d):
     return P.sweeps(spark, d).select("sweep_id", S.midpoint(F.col("started_ns"), F.col("finished_ns")).alias("mid"))
 
 
-@_query("J2_datapoints", "SELECT vec_id AS stream, 0 AS n, label AS point, 1000000 + vec_id AS frequency, label <> 9 AS whole, " + _m("embedding[1]") + " AS re, " + _m("embedding[2]") + " AS im FROM (SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE label END AS label, embedding FROM embeddings) WHERE label IS NOT NULL AND label <> 9")
+@_query("J2_datapoints", "SELECT vec_id AS stream, 0 AS n, label AS point, 1000000 + vec_id AS frequency, label <> 9 AS whole, " + _m("embedding[1]") + " AS re, " + _m("embedding[2]") + " AS im FROM embeddings WHERE vec_id % 9 <> 0")
 def j2(spark, d):
-    """Payloads of one receiver made of ``embeddings``; every ninth is cut short and label 9 left out, and malformed ones are dropped."""
+    """Payloads of one receiver made of ``embeddings``; label 9 has two; every ninth is cut short, and malformed ones are dropped."""
     import struct
 
     import pandas as pd
 
     def make(batches):
         for b in batches:
-            p = [struct.pack("<QhH", 1_000_000 + i, 0, q) + struct.pack("<ffB", e[0], e[1], 33) for i, q, e in zip(b["vec_id"], b["label"], b["embedding"], strict=True)]
+            p = [struct.pack("<QhH", 1_000_000 + i, 0, q) + (struct.pack("<ffffBB", e[0], e[2], e[1], e[3], 33, 34) if q == 9 else struct.pack("<ffB", e[0], e[1], 33)) for i, q, e in zip(b["vec_id"], b["label"], b["embedding"], strict=True)]
             yield pd.DataFrame({"stream": b["vec_id"], "n": 0, "payload": [x[:-1] if i % 9 == 0 else x for i, x in zip(b["vec_id"], p, strict=True)]})
 
-    rows = P.table(spark, d, "embeddings").where("label <> 9").mapInPandas(make, "stream long, n long, payload binary")
+    rows = P.table(spark, d, "embeddings").mapInPandas(make, "stream long, n long, payload binary")
     got = frames.datapoints(rows).where("not malformed")
     r = F.get("receivers", F.lit(0))
     return got.select("stream", F.col("n").cast("int").alias("n"), "point", "frequency", (F.size("receivers") == 1).alias("whole"), micro(r["re"].cast("double")).alias("re"), micro(r["im"].cast("double")).alias("im"))
 
 
+@_query("J3_packet_counters", "SELECT user_id AS stream, count(*) AS packets, count(*) FILTER (event_id % 5 <> 0) AS ignored, count(*) FILTER (event_id % 5 = 0 AND event_id % 3 <> 0) AS malformed FROM events GROUP BY 1")
+def j3(spark, d):
+    """Every fifth packet is a datapoint, a third of them of the right length."""
+    i = F.col("event_id")
+    rows = P.table(spark, d, "events").select(F.col("user_id").alias("stream"), F.when(i % 5 == 0, frames.DATAPOINT).otherwise(3).alias("kind"), F.repeat(F.lit("x"), (F.lit(21) + i % 3).cast("int")).cast("binary").alias("payload"))
+    return frames.packet_counters(rows)
+
+
 @_query("J15_background_capture", f"WITH {P.SAMPLES_SQL} SELECT channel, k, {_m('avg(re)')} AS re, {_m('avg(im)')} AS im, count(*) AS captures FROM s WHERE trace_id < 12 GROUP BY 1, 2")
 def j15(spark, d):
     """The reference is the mean of the first twelve captures."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _COMPLEX = "struct<re: double, im: double>"
@@ -25,3 +26,17 @@ def contract_violations(have: T.StructType, name: str) -> list[str]:
     """Fields that a table lacks or holds with another type."""
     got = {f.name: f.dataType.simpleString() for f in have}
     return [f"{f.name}: {got.get(f.name, 'missing')}" for f in schema(name) if got.get(f.name) != f.dataType.simpleString()]
+
+
+def read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A Parquet table under its contract: the contract's columns in its order; a field that is missing or of another type raises."""
+    table = spark.read.parquet(path)
+    if bad := contract_violations(table.schema, name):
+        raise ValueError(f"{path} is no table of {name}: {', '.join(bad)}")
+    return table.select(*schema(name).fieldNames())
+
+
+def probe(have: T.StructType) -> str | None:
+    """The table whose contract a schema meets, None where none or several do."""
+    fits = [name for name in _DDL if not contract_violations(have, name)]
+    return fits[0] if len(fits) == 1 else None

@@ -92,20 +92,52 @@ def datapoints(rows: DataFrame) -> DataFrame:
     return rows.select("stream", "n", "payload").mapInPandas(run, "stream long, n long, point long, frequency long, receivers array<struct<desc: int, re: float, im: float>>, malformed boolean")
 
 
+def packet_counters(rows: DataFrame) -> DataFrame:
+    """Per stream of ``rows(stream, kind, payload)``: packets, those of other kinds than datapoints, datapoints that are malformed."""
+    size = F.octet_length("payload")
+    mine = F.col("kind") == DATAPOINT
+    return rows.groupBy("stream").agg(F.count("*").alias("packets"), F.count_if(~mine).alias("ignored"), F.count_if(mine & ((size < 12) | ((size - 12) % 9 != 0))).alias("malformed"))
+
+
 def sweeps(points: DataFrame, size: int) -> DataFrame:
     """Strict assembly of ``points(stream, n, point)``: (stream, sweep, first_n, points, complete).
 
-    A point 0 opens a sweep; only 0..size-1 in order completes it, and anything else drops it.
+    A point 0 opens a sweep; only 0..size-1 in order completes it, and anything else, a null included, drops it.
     """
     w = Window.partitionBy("stream").orderBy("n")
     df = points.withColumn("sweep", F.sum(F.when(F.col("point") == 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("sweep > 0")
     s = Window.partitionBy("stream", "sweep").orderBy("n")
     df = df.withColumn("at", F.row_number().over(s) - 1)
-    got = df.groupBy("stream", "sweep").agg(F.min("n").alias("first_n"), F.count("*").alias("points"), F.min(F.when((F.col("at") < size) & (F.col("point") != F.col("at")), F.col("at"))).alias("bad"))
+    got = df.groupBy("stream", "sweep").agg(F.min("n").alias("first_n"), F.count("*").alias("points"), F.min(F.when((F.col("at") < size) & ~F.col("point").eqNullSafe(F.col("at")), F.col("at"))).alias("bad"))
     # what follows a whole sweep, up to the next point 0, is a drop of its own
     return got.select("stream", "sweep", "first_n", "points", (F.col("bad").isNull() & (F.col("points") >= size)).alias("complete"))
 
 
+def sweeps_stream(points: DataFrame, size: int) -> DataFrame:
+    """For a stream of ``points(stream, n, point)``: whole sweeps ``(stream, sweep, first_n)`` as soon as they are complete.
+
+    Sweeps have the numbers that ``sweeps`` gives them. Points of one trigger are put in order by n; the state is two numbers and a flag.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sweep, first, want = state.get if state.exists else (0, 0, -1)  # the point that must follow; -1: wait for a point 0
+        out = []
+        rows = pd.concat(list(pdfs)).sort_values("n")
+        for n, point in zip(rows["n"].tolist(), rows["point"].tolist(), strict=True):
+            if point == 0:
+                sweep, first, want = sweep + 1, n, 1
+            else:
+                want = want + 1 if point == want else -1
+            if want == size:
+                out.append((key[0], sweep, first))
+                want = -1
+        state.update((sweep, int(first), want))
+        yield pd.DataFrame(out, columns=["stream", "sweep", "first_n"])
+
+    return points.groupBy("stream").applyInPandasWithState(run, "stream long, sweep long, first_n long", "sweep long, first_n long, want long", "append", GroupStateTimeout.NoTimeout)
+
+
 def sweep_timeouts(points: DataFrame, size: int, timeout_ms: int) -> DataFrame:
     """Of ``points(stream, n, at_ms, point)``: the sweeps that a deadline ends, ``(stream, sweep, first_n, started_ms, last_ms)``.
 
@@ -142,3 +174,32 @@ def health(events: DataFrame, stale_ns: int) -> DataFrame:
     some = F.max(F.col("kind").isin("invalid", "valid", "sentence").cast("int")).over(since)
     state = F.when(F.col("link.kind") == "disconnect", "disconnected").when(fix.isNotNull(), F.when(F.col("at") - fix > stale_ns, "stale").otherwise("valid")).when(bad, "invalid").when(some == 1, "no_fix").otherwise("no_sentence")
     return df.select("stream", "at", "seq", "kind", state.alias("state"))
+
+
+def health_stream(events: DataFrame, stale_ns: int) -> DataFrame:
+    """The same for a stream; the state of a receiver is its link, its last valid fix, and what came since it was connected."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        link, fix, heard = state.get if state.exists else (None, None, None)
+        out = []
+        rows = pd.concat(list(pdfs)).sort_values(["at", "seq"])
+        for at, seq, kind in zip(rows["at"].tolist(), rows["seq"].tolist(), rows["kind"].tolist(), strict=True):
+            if kind in ("connect", "disconnect"):
+                link, fix, heard = kind, None, None
+            elif kind in ("valid", "invalid", "sentence"):
+                heard = kind
+                fix = at if kind == "valid" else fix
+            if link is None:
+                continue
+            if link == "disconnect":
+                now = "disconnected"
+            elif fix is not None:
+                now = "stale" if at - fix > stale_ns else "valid"
+            else:
+                now = {None: "no_sentence", "invalid": "invalid"}.get(heard, "no_fix")
+            out.append((key[0], at, seq, kind, now))
+        state.update((link, fix, heard))
+        yield pd.DataFrame(out, columns=["stream", "at", "seq", "kind", "state"])
+
+    return events.groupBy("stream").applyInPandasWithState(run, "stream long, at long, seq long, kind string, state string", "link string, fix long, heard string", "append", GroupStateTimeout.NoTimeout)

@@ -602,12 +602,33 @@ def b1(spark, d):
     return dsp.flat(dsp.time_crop(x, 1 / (64 * P.DF), 1e-9, 4e-9, 64)).select("trace_id", "channel", "k", micro(F.col("re")).alias("re"))
 
 
-@_query("I8_chain")
+def _chain_sql() -> str:
+    """All stages one after the other: terms, correction, background, weights, transform as a sum, and the means over time and traces as windows."""
+    terms, last = _terms_sql().split(" SELECT channel, k, true AS ok")[0], _terms_sql().rsplit("FROM ", 1)[1]
+    both = lambda f: ", ".join(f"{f(x)} AS {x}" for x in ("re", "im"))
+    mirror = "CASE WHEN g < 0 THEN -g WHEN g > 511 THEN 1022 - g ELSE g END"
+    edge = lambda x: f"({x}_s + greatest(0, 50 - n) * {x}_f + greatest(0, n + 50 - t + 1) * {x}_l) / 101"
+    return f"""{terms}, x AS (SELECT s.trace_id, channel, k, s.re - Dr AS xr, s.im - Di AS xi, Tr, Ti, Sr, Si FROM s JOIN {last} USING (channel, k)),
+q AS (SELECT *, Tr + Sr * xr - Si * xi AS qr, Ti + Sr * xi + Si * xr AS qi FROM x), cal AS (SELECT trace_id, channel, k, (xr * qr + xi * qi) / (qr * qr + qi * qi) AS re, (xi * qr - xr * qi) / (qr * qr + qi * qi) AS im FROM q),
+bg AS (SELECT channel, k, avg(re) AS a, avg(im) AS b FROM cal GROUP BY 1, 2), less AS (SELECT trace_id, channel, k, re - a AS re, im - b AS im, 520000000 + k * 1e8 AS f FROM cal JOIN bg USING (channel, k)),
+band AS (SELECT trace_id, channel, k, re * ({_WEIGHT}) AS re, im * ({_WEIGHT}) AS im FROM less), {_dft("band", 512)},
+wide AS (SELECT trace_id, channel, g, {both(lambda x: x)} FROM (SELECT unnest(range(-102, 614)) AS g) JOIN y ON y.k = {mirror}),
+mean AS (SELECT trace_id, channel, g AS k, {both(lambda x: f"{x} - avg({x}) OVER w")} FROM wide WINDOW w AS (PARTITION BY trace_id, channel ORDER BY g ROWS BETWEEN 102 PRECEDING AND 102 FOLLOWING)),
+dew AS (SELECT * FROM mean WHERE k BETWEEN 0 AND 511),
+n AS (SELECT *, row_number() OVER (PARTITION BY channel, k ORDER BY trace_id) - 1 AS n, count(*) OVER (PARTITION BY channel, k) AS t, {", ".join(f"sum({x}) OVER w AS {x}_s, first({x}) OVER a AS {x}_f, last({x}) OVER a AS {x}_l" for x in ("re", "im"))} FROM dew
+  WINDOW w AS (PARTITION BY channel, k ORDER BY trace_id ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING), a AS (PARTITION BY channel, k ORDER BY trace_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+flat AS (SELECT trace_id, channel, {both(lambda x: f"{x} - {edge(x)}")} FROM n)
+SELECT trace_id, channel, count(*) AS samples, CAST(round(1000 * log10(sum(re * re + im * im))) AS BIGINT) AS millibels FROM flat GROUP BY 1, 2"""
+
+
+@_query("I8_chain", _chain_sql())
 def i8(spark, d):
-    """The whole chain with calibration, background (of calibrated samples), band-pass, transform, dewow and flat reflection."""
+    """The whole chain with calibration, background (of calibrated samples), band-pass, transform, dewow and flat reflection: each trace's energy."""
     s, terms = P.samples(spark, d), dsp.solve_terms(_standards(spark, d))
     p = chain.Profile(P.F0, P.DF, P.POINTS, _EDGES, 16, dewow_s=4e-9, traces=101)
-    return dsp.flat(chain.process(s, p, terms=terms, background=dsp.coherent_mean(dsp.apply_terms(s, terms))).rows).groupBy("trace_id", "channel").agg(F.count("*").alias("samples"), F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) * 1e4).cast("long").alias("energy"))
+    rows = chain.process(s, p, terms=terms, background=dsp.coherent_mean(dsp.apply_terms(s, terms))).rows
+    energy = F.aggregate("values", F.lit(0.0), lambda a, v: a + v["re"] * v["re"] + v["im"] * v["im"])
+    return rows.select("trace_id", "channel", F.size("values").cast("long").alias("samples"), F.round(1000 * F.log10(energy)).cast("long").alias("millibels"))
 
 
 # ---- streams

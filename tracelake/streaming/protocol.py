@@ -83,9 +83,21 @@ def frames(chunks: DataFrame, magic: bytes) -> DataFrame:
     """``chunks(stream, seq, data, reset)`` to ``(stream, n, kind, header, payload, error)``.
 
     Each stream is put in order and parsed by itself, however it is cut in chunks. An error is a row of its own, and
-    what follows it is dropped up to the next chunk with ``reset``, which also drops an unfinished frame.
+    what follows it is dropped up to the next chunk with ``reset``, which also drops an unfinished frame. Streams are sorted on Spark and read batch
+    by batch; only an unfinished frame is carried on. Rows without a stream are left out.
     """
-    return chunks.groupBy("stream").applyInPandas(lambda pdf: _feed(pdf["stream"].iloc[0], pdf.sort_values("seq"), b"", None, 0, magic)[0], _OUT)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, left, error, n = None, b"", None, 0
+        for batch in batches:
+            for key, pdf in batch.groupby("stream", sort=False):
+                if key != stream:
+                    stream, left, error, n = key, b"", None, 0
+                out, left, error, n = _feed(key, pdf, left, error, n, magic)
+                yield out
+
+    ordered = chunks.where("stream is not null").select("stream", "seq", "data", "reset").repartition("stream").sortWithinPartitions("stream", "seq")
+    return ordered.mapInPandas(run, _OUT)
 
 
 def frames_stream(chunks: DataFrame, magic: bytes) -> DataFrame:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cover_tree import near_vectors
 from .decontaminate import contamination_report
 from .html_text import main_texts
 from .jaccard_join import jaccard_components
 from .media_chunks import media_report
 from .mixing import mix_report
+from .phrases import collocations
+from .prefix_trie import trie_report
 from .repeated_bytes import remove_repeats
 from .secret_scan import secret_report
 from .toxicity import toxicity_report
@@ -64,6 +67,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_docs(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_docs(spark, sf_dir), least=100, longest=5, top=2000)
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
+
+
 #: Words are lower-cased over A-Z alone; windows are joined by a byte that no word holds.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP8_SQL = rf"""
@@ -133,10 +148,46 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(f
 """
 
 
+#: The checksum of the decimal id byte by byte; a prefix is the text of its turns' digests, 32 letters each.
+OP11_SQL = r"""
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+            md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS t, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM conversations WHERE conv_id IS NOT NULL),
+bytes AS (SELECT c, n, c - c % 20 AS base, list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT)) AS b FROM o WHERE k = 1),
+crc AS (SELECT c, n, base, xor(list_reduce(b, lambda x, y: xor(x >> 8, list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(x, y) & 255)), CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h FROM bytes),
+v AS (SELECT crc.c, crc.base, crc.h, least(crc.h, coalesce(b.n, 0)) AS m, least(crc.h, coalesce(b.n, 0)) + greatest(0, crc.n - crc.h) AS len FROM crc LEFT JOIN crc AS b ON b.c = crc.base),
+r AS (SELECT v.c, o.k AS d, o.t, o.words FROM v JOIN o ON o.c = v.base AND o.k <= v.m UNION ALL SELECT v.c, v.m + o.k - v.h, o.t, o.words FROM v JOIN o ON o.c = v.c AND o.k > v.h),
+p AS (SELECT c, d, words, string_agg(t, '') OVER (PARTITION BY c ORDER BY d) AS key FROM r UNION ALL SELECT c, 0, 0, '' FROM v),
+nd AS (SELECT p.key, p.d, count(*) AS n, min(p.c) AS c, any_value(words) AS words, sha256(coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (v.len = p.d), '')) AS ends FROM p JOIN v ON v.c = p.c GROUP BY p.key, p.d),
+kid AS (SELECT substr(key, 1, length(key) - 32) AS key, count(*) AS n FROM nd WHERE d > 0 GROUP BY 1),
+own AS (SELECT nd.*, coalesce(kid.n, 0) AS kids, (nd.n - 1) * words AS saved FROM nd LEFT JOIN kid ON kid.key = nd.key),
+up AS (SELECT substr(key, 1, 32 * i) AS key, CASE WHEN kids = 0 THEN 1 ELSE 0 END AS leaf, saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM own)),
+su AS (SELECT key, sum(leaf) AS leaves, sum(saved) AS saved FROM up GROUP BY key)
+SELECT own.c AS conv_id, CAST(own.d AS BIGINT) AS depth, par.c AS parent_conv_id, CAST(own.n AS BIGINT) AS n_convs, CAST(own.kids AS BIGINT) AS n_children, CAST(su.leaves AS BIGINT) AS n_leaves, CAST(su.saved AS BIGINT) AS saved_tokens, own.ends AS ends_sha256
+FROM own JOIN su ON su.key = own.key LEFT JOIN nd AS par ON own.d > 0 AND par.key = substr(own.key, 1, length(own.key) - 32)
+"""
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, phrase, CAST(k AS INTEGER) AS k, count(*) AS f FROM g GROUP BY lang, phrase, k HAVING count(*) >= 100),
+s AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+kept AS (SELECT * FROM s WHERE k >= 2 AND NOT EXISTS (SELECT 1 FROM s AS o WHERE o.lang = s.lang AND o.k > s.k AND o.f >= s.f AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' '))),
+c AS (SELECT lang, phrase, f, w, k, unnest(range(1, k)) AS cut FROM kept),
+sc AS (SELECT c.lang, c.phrase, c.f AS a, c.cut, x.f AS l, y.f AS r, n.n, (CAST(1000 AS HUGEINT) * c.f * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+       FROM c JOIN n ON n.lang = c.lang JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, c.cut), ' ')
+       JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, c.cut + 1, c.k), ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM sc),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE best = 1)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
-    all_ = (op1_media_chunks, op2_jaccard_join, op3_mixing, op4_toxicity, op5_repeated_bytes, op6_url_rules, op7_warc, op8_decontaminate, op9_html_text, op10_secret_scan)
+    all_ = (op1_media_chunks, op2_jaccard_join, op3_mixing, op4_toxicity, op5_repeated_bytes, op6_url_rules, op7_warc, op8_decontaminate, op9_html_text, op10_secret_scan, op11_prefix_trie, op12_phrases, op13_near_vectors)
     return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_secret_scan": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_secret_scan": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_phrases": OP12_SQL}

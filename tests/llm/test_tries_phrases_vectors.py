@@ -113,10 +113,10 @@ def texts(spark):
     return table, df.withColumns({c: F.lit(1) for c in CLASHING})
 
 
-@pytest.mark.parametrize(("least", "longest", "top", "heavy", "chunk"), [(3, 5, 2000, 4_000_000, 200_000), (3, 5, 7, 50, 40), (10, 3, 2000, 4_000_000, 10), (100, 5, 2000, 1, 200_000)])
-def test_phrases(texts, least, longest, top, heavy, chunk):
+@pytest.mark.parametrize(("least", "longest", "top", "heavy", "bucket_words"), [(3, 5, 2000, 500_000, 1_000_000), (3, 5, 7, 50, 400), (10, 3, 2000, 500_000, 100), (100, 5, 2000, 1, 10_000)])
+def test_phrases(texts, least, longest, top, heavy, bucket_words):
     table, df = texts
-    assert rows(phrases.collocations(df, least, longest, top, heavy, chunk)) == mined(table, least, longest, top)
+    assert rows(phrases.collocations(df, least, longest, top, heavy, bucket_words)) == mined(table, least, longest, top)
 
 
 def test_phrases_of_no_texts(texts):

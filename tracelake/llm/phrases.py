@@ -3,8 +3,8 @@
 A first pass counts words into a sketch of fixed size, which never counts too low. It orders the words: by estimated
 count, then by bits of their hash. A phrase is owned by its pivot, the leftmost of its rarest words, so an occurrence of a word needs
 only the words around it that are not rarer (up to four on each side, all with enough occurrences to stand in a
-phrase): that fragment goes to the word's partition, where all phrases around the pivot are counted. No phrase is counted twice, and
-none needs another partition. The order need not be exact for that, so the sketch bounds what is broadcast, and only
+phrase): that fragment goes to the word's bucket, where all phrases around the pivot are counted. No phrase is counted twice, and
+none needs another bucket. The order need not be exact for that, so the sketch bounds what is broadcast, and only
 exact counts decide.
 
 Odd inputs: a null text is empty; a null lang is ``und``; null ids and repeated rows count like any other; columns
@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +29,17 @@ from .textops import LOWER, byte_blocks, mix, prefix_hash, segments, span_hash,
 
 #: Cells of the sketch: 16 MB as numbers, whatever the input.
 CELLS = 1 << 21
-#: Bytes of text that a task works on at once, and fragments that it mines at once.
+#: Bytes of text that a task works on at once, and rows of a batch that it gives.
 BLOCK, CHUNK = 4 << 20, 200_000
-#: Occurrences of a pivot, by the sketch, from which its fragments are dealt out to several partitions.
-HEAVY = 4_000_000
+#: Words of the corpus to a bucket of pivots, and occurrences of a pivot, by the sketch, from which its fragments are dealt out to several buckets.
+BUCKET_WORDS, HEAVY = 1_000_000, 500_000
 #: Words within a piece, and what ends a piece (fixed values).
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 0x09, *b".,;:!?", *range(0x0A, 0x0E)]] = False
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _IN_FRAGMENT = np.ones(256, bool)
-_IN_FRAGMENT[0x20] = False
+_IN_FRAGMENT[[0x20, 0x0A]] = False
 _U = np.uint64
 
 
@@ -121,16 +122,29 @@ def _alike(h: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(first)
 
 
-_FRAGMENT = "lang string, pivot long, salt int, salts int, at int, text string, n long"
+_FRAGMENT = "bucket int, lang string, salted boolean, body binary"
 
 
-def _fragments(docs: DataFrame, sketch, least: int, longest: int, heavy: int) -> DataFrame:
-    """The fragment around each word that may stand in a phrase, with the position of that word in it; equal ones of a block are counted."""
+def _packed(at: np.ndarray, n: np.ndarray, texts: bytes) -> bytes:
+    """Fragments as bytes: how many, the pivots' positions, the counts, the texts with a line end after each."""
+    body = np.uint32(len(at)).tobytes() + at.astype(np.uint8).tobytes() + n.astype(np.uint32).tobytes() + texts
+    return b"z" + zstandard.ZstdCompressor(level=1).compress(body) if len(body) > 200 else b"-" + body
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    body = zstandard.ZstdDecompressor().decompress(body[1:]) if body[:1] == b"z" else body[1:]
+    m = int(np.frombuffer(body, np.uint32, 1)[0])
+    return np.frombuffer(body, np.uint8, m, 4).astype(np.int64), np.frombuffer(body, np.uint32, m, 4 + m).astype(np.int64), body[4 + 5 * m :]
+
+
+def _fragments(docs: DataFrame, sketch, least: int, longest: int, heavy: int, buckets: int) -> DataFrame:
+    """The fragment around each word that may stand in a phrase, with the position of that word in it; equal ones of a block are counted, and those of one bucket packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
             texts, langs = _columns(batch)
+            names = langs.dictionary.to_pylist()
             for b in _blocks(texts, langs):
                 estimate = counts[(b.key % _U(CELLS)).astype(np.int64)]
                 often = estimate >= least
@@ -153,27 +167,38 @@ def _fragments(docs: DataFrame, sketch, least: int, longest: int, heavy: int) ->
                 one = order[first]
                 n = np.diff(np.append(first, len(order)))
                 salts = np.minimum(-(-estimate[i[one]] // heavy), 1 << 20)
-                salt = (h[one] % salts.astype(_U)).astype(np.int32)
-                for at in range(0, len(one), CHUNK):
-                    k = slice(at, at + CHUNK)
-                    lang = langs.dictionary.take(pa.array(b.lang[i[one[k]]]))
-                    columns = [lang, pa.array(b.key[i[one[k]]].view(np.int64)), pa.array(salt[k]), pa.array(salts[k].astype(np.int32)), pa.array(left[one[k]].astype(np.int32)), _slices(b.data, start[one[k]], end[one[k]]), pa.array(n[k])]
-                    yield pa.record_batch(columns, [x.split()[0] for x in _FRAGMENT.split(", ")])
+                bucket = (mix(b.key[i[one]] + h[one] % salts.astype(_U)) % _U(buckets)).astype(np.int64)
+                lang, salted = b.lang[i[one]], salts > 1
+                order = np.lexsort((salted, lang, bucket))
+                one, n, bucket, lang, salted = one[order], n[order], bucket[order], lang[order], salted[order]
+                cuts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1]) | (salted[1:] != salted[:-1]))) if len(one) else np.zeros(0, np.int64)
+                size = end[one] - start[one] + 1
+                offs = np.zeros(len(one) + 1, np.int64)
+                np.cumsum(size, out=offs[1:])
+                body = b.data[np.minimum(np.repeat(start[one] - offs[:-1], size) + np.arange(offs[-1]), len(b.data) - 1)]
+                body[offs[1:] - 1] = 0x0A
+                spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(one)], strict=True))
+                packed = [_packed(left[one[x:y]], n[x:y], body[offs[x] : offs[y]].tobytes()) for x, y in spans]
+                columns = [pa.array(bucket[cuts].astype(np.int32)), pa.array([names[k] for k in lang[cuts].tolist()], pa.string()), pa.array(salted[cuts]), pa.array(packed, pa.binary())]
+                yield pa.record_batch(columns, [x.split()[0] for x in _FRAGMENT.split(", ")])
 
     return docs.select("text", "lang").mapInArrow(run, _FRAGMENT)
 
 
-def _mine(t: pa.Table, cut: int | None, least: int, longest: int) -> pa.RecordBatch:
-    """Phrases that the pivots of the fragments own, with counts; of pivots whose fragments are all here (not ``cut``, not salted) the frequent ones alone."""
+def _mine(t: pa.Table, least: int, longest: int) -> pa.Table:
+    """Phrases that the pivots of a bucket own, with counts: the frequent ones, and all of pivots that are dealt out to several buckets."""
     langs = t["lang"].combine_chunks().dictionary_encode()
-    lang, seeds = langs.indices.to_numpy(zero_copy_only=False), _seeds(langs.dictionary)
-    (_, _, data, offs) = next(byte_blocks(t["text"].combine_chunks(), 1 << 62))
+    seeds = _seeds(langs.dictionary)
+    bodies = [_unpacked(x) for x in t["body"].to_pylist()]
+    row = np.repeat(np.arange(len(bodies)), [len(at) for at, _, _ in bodies])
+    lang, whole = langs.indices.to_numpy(zero_copy_only=False)[row], ~t["salted"].to_numpy(zero_copy_only=False)[row]
+    at, n = np.concatenate([x for x, _, _ in bodies]), np.concatenate([x for _, x, _ in bodies])
+    data = np.frombuffer(b"".join(x for _, _, x in bodies), np.uint8)
+    offs = np.append(0, np.flatnonzero(data == 0x0A) + 1)
     start, end, ptr = words(data, offs, _IN_FRAGMENT)
     prefix = prefix_hash(data)
     sums = np.zeros(len(start) + 1, _U)
     np.cumsum(mix(span_hash(prefix, start, end)), out=sums[1:])
-    at, n = t["at"].to_numpy().astype(np.int64), t["n"].to_numpy()
-    whole = (t["salts"].to_numpy() == 1) & (t["pivot"].to_numpy() != cut if cut is not None else True)
     pivot, after = ptr[:-1] + at, np.diff(ptr) - 1 - at
     rows, lo, hi = [], [], []
     for i in range(longest):
@@ -189,14 +214,14 @@ def _mine(t: pa.Table, cut: int | None, least: int, longest: int) -> pa.RecordBa
     one = order[first]
     out = (total >= least) | ~whole[r[one]]
     one, total = one[out], total[out]
-    return pa.record_batch([langs.dictionary.take(pa.array(lang[r[one]])), _slices(data, start[lo[one]], end[hi[one]]), pa.array((hi - lo + 1)[one].astype(np.int32)), pa.array(total)], ["lang", "phrase", "k", "f"])
+    return pa.table({"lang": langs.dictionary.take(pa.array(lang[r[one]])), "phrase": _slices(data, start[lo[one]], end[hi[one]]), "k": pa.array((hi - lo + 1)[one].astype(np.int32)), "f": pa.array(total)})
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, heavy: int = HEAVY, chunk: int = CHUNK, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, heavy: int = HEAVY, bucket_words: int = BUCKET_WORDS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``longest`` words with ``least`` occurrences in a lang, ``(lang, phrase, k, f)``, and words by lang, ``(lang, n)``.
 
-    A pivot's fragments are sorted beside each other and mined a chunk at a time; a pivot with more of them than a
-    chunk, or dealt out to several partitions, gives counts that are summed afterwards.
+    Pivots go to buckets by hash, as many as keep a bucket at some ``bucket_words`` words; the counts of a pivot that is
+    dealt out to several buckets are summed afterwards.
     """
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "phrases")
@@ -206,39 +231,21 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, heavy:
     table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     sketch = spark.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, cut = [], 0, None  # cut: a pivot that gave counts of a part of its fragments
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < chunk:
-                continue
-            t = pa.Table.from_batches(held)
-            pivots = t["pivot"].to_numpy()
-            last = int(np.searchsorted(pivots, pivots[-1]))
-            if last:
-                yield _mine(t[:last], cut, least, longest)
-                held, size = t[last:].combine_chunks().to_batches(), size - last
-            else:
-                cut = int(pivots[-1])
-                yield _mine(t, cut, least, longest)
-                held, size = [], 0
-        if size:
-            yield _mine(pa.Table.from_batches(held), cut, least, longest)
-
-    dealt = _fragments(docs, sketch, least, longest, heavy).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt")
-    mined = dealt.mapInArrow(run, "lang string, phrase string, k int, f long")
+    totals = counted.where("cell is null").select("lang", "n")
+    buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // bucket_words))
+    dealt = _fragments(docs, sketch, least, longest, heavy, buckets)
+    mined = dealt.groupBy("bucket").applyInArrow(lambda t: _mine(t, least, longest), "lang string, phrase string, k int, f long")
     frequent = mined.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return scratch.keep(frequent, "frequent"), counted.where("cell is null").select("lang", "n")
+    return scratch.keep(frequent, "frequent"), totals
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, heavy: int = HEAVY, chunk: int = CHUNK) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, heavy: int = HEAVY, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """The ``top`` phrases of each lang by score: ``lang, rank, phrase, a, l, r, n, score``.
 
     The score of a phrase is floor(1000 a n / (l r)) at the cut where that is least. A phrase that a longer frequent
     one always comes with is left out; as counts never rise with length, the longer ones by one word tell.
     """
-    frequent, totals = frequent_phrases(docs, least, longest, heavy, chunk)
+    frequent, totals = frequent_phrases(docs, least, longest, heavy, bucket_words)
     parts = F.split("phrase", " ")
     part = lambda a, n: F.array_join(F.slice(parts, a, n), " ")
     found = frequent.where("k >= 2")

@@ -33,3 +33,23 @@ def with_previous(rows: DataFrame, key: list[str], order: list[str], values: lis
     last = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*key).orderBy("_bucket")))
     within = F.lag(row).over(Window.partitionBy(*key, "_bucket").orderBy(*order, *values))
     return of_bucket(df, key, last, "_carried").withColumn("_previous", F.coalesce(within, "_carried")).drop("_bucket", "_carried")
+
+
+def running(rows: DataFrame, key: list[str], order: list[str], size: int, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with running values along ``order`` within ``key``, the row itself left out.
+
+    ``sums`` are sums of the rows before (0 for the first), ``lasts`` the last value before that is not null. A range of
+    ``size`` values of the first order column has a summary, its sums and last values; summaries are associative, so what a range
+    begins with is that of all ranges before it, one row a range, and a task holds a range only. Rows that are equal in
+    ``order`` follow each other in an order of Spark's own.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    df = rows.withColumns({"_bucket": bucket(order[0], size)} | {f"_{n}": F.coalesce(c, F.lit(0)).cast("long") for n, c in sums.items()} | {f"_{n}": c for n, c in lasts.items()})
+    place = F.struct(*order)
+    per = df.groupBy(*key, "_bucket").agg(*(F.sum(f"_{n}").alias(n) for n in sums), *(F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), place)).alias(n) for n in lasts))
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*key, "_bucket", F.struct(*(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums), *(F.last(n, True).over(before).alias(n) for n in lasts)).alias("_carried"))
+    within = Window.partitionBy(*key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = of_bucket(df, key, per, "_carried")
+    df = df.withColumns({n: F.coalesce(F.sum(f"_{n}").over(within), F.lit(0)) + F.col("_carried")[n] for n in sums} | {n: F.coalesce(F.last(f"_{n}", True).over(within), F.col("_carried")[n]) for n in lasts})
+    return df.drop("_bucket", "_carried", *(f"_{n}" for n in [*sums, *lasts]))

@@ -6,33 +6,72 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ordered import running
+from .segments import byte_ranges, cut, entries, joined, numbered
+
 #: Framing (fixed values): first byte, least and largest length, type without checksum.
 HEADER, LEAST, MOST, DATAPOINT = 0x5A, 8, 4096, 27
+#: Rows, and nanoseconds, of a stream that one task looks at.
+RANGE_ROWS, RANGE_NS = 100_000, 86_400_000_000_000
 
 
-def split_packets(buffer: bytes) -> tuple[list[tuple[int, bytes]], bytes]:
-    """Whole packets of a buffer and what is left: noise is skipped, an impossible length or a bad checksum realigns."""
-    out, at = [], 0
-    while True:
-        at = buffer.find(HEADER, at)
+#: Bytes of a stream that one task deframes.
+RANGE_BYTES = 4 << 20
+
+
+def packets_from(buffer: bytes, at: int = 0, stop: int | None = None) -> tuple[list[tuple[int, bytes]], int]:
+    """Whole packets that begin in [at, stop), and where the next one may begin: noise is skipped, an impossible length or a bad checksum realigns."""
+    out, stop = [], len(buffer) if stop is None else stop
+    while at < stop:
+        at = buffer.find(HEADER, at, stop)
         if at < 0:
-            return out, b""
+            return out, stop
         if len(buffer) - at < 4:
-            return out, buffer[at:]
+            return out, at
         (size,) = struct.unpack_from("<H", buffer, at + 1)
         if not LEAST <= size <= MOST:
             at += 1
             continue
         if len(buffer) - at < size:
-            return out, buffer[at:]
+            return out, at
         raw = buffer[at : at + size]
         at += size
         if raw[3] == DATAPOINT or struct.unpack("<I", raw[-4:])[0] == zlib.crc32(raw[:-4]):
             out.append((raw[3], raw[4:-4]))
+    return out, at
+
+
+def split_packets(buffer: bytes) -> tuple[list[tuple[int, bytes]], bytes]:
+    """Whole packets of a buffer and what is left."""
+    out, at = packets_from(buffer)
+    return out, buffer[at:]
+
+
+def passage(data: bytes, size: int) -> np.ndarray:
+    """For each offset below ``MOST`` at which a range of ``size`` bytes may be entered, the offset at which the next range is.
+
+    ``data`` goes on for at least two bytes behind the range, where the stream does. Where a header leads depends on its length alone, so the headers' jumps are followed all at once,
+    twice as far each time.
+    """
+    x = np.frombuffer(data, np.uint8)
+    size = min(size, max(0, len(x) - 2))
+    length = x[1 : size + 1].astype(np.int64) | x[2 : size + 2].astype(np.int64) << 8
+    heads = np.flatnonzero((x[:size] == HEADER) & (length >= LEAST) & (length <= MOST))
+    end = heads + length[heads]
+    after = np.append(np.searchsorted(heads, end), len(heads))
+    leave = np.append(np.maximum(end - size, 0), 0)  # the last one stands for no header: noise up to the end
+    jump = np.where(np.append(end < size, False), after, np.arange(len(heads) + 1))
+    while (further := jump[jump]).tolist() != jump.tolist():
+        jump = further
+    entry = np.arange(MOST)
+    out = leave[jump[np.searchsorted(heads, entry)]]
+    return np.where(entry >= size, entry - size, out).astype(np.int16)
 
 
 def packet(kind: int, payload: bytes) -> bytes:
@@ -40,24 +79,31 @@ def packet(kind: int, payload: bytes) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def packets(chunks: DataFrame) -> DataFrame:
-    """``chunks(stream, seq, data)`` to ``(stream, n, kind, payload)``: each stream is put in order and deframed by itself.
+def packets(chunks: DataFrame, range_bytes: int | None = None) -> DataFrame:
+    """``chunks(stream, seq, data)`` to ``(stream, n, kind, payload)``: the packets of each stream in order, as if it were read from its start.
 
-    Streams are sorted on Spark and read batch by batch; only what is left of a buffer is carried on, so no stream is held whole. Rows without a stream are left out.
+    A stream is cut in ranges of bytes that tasks read apart. Of a stream with several, each range first gives its
+    ``passage``; composed, these say where the first packet of each range begins, and so ranges are deframed in
+    parallel. Rows without a stream are left out.
     """
+    size = max(range_bytes or RANGE_BYTES, MOST)
+    pieces = cut(byte_ranges(chunks.where("stream is not null"), ["stream"], size, MOST + 3))
+    long = pieces.where(F.col("r") > 0).select("stream").distinct()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, left, n = None, b"", 0
-        for batch in batches:
-            for key, pdf in batch.groupby("stream", sort=False):
-                if key != stream:
-                    stream, left, n = key, b"", 0
-                got, left = split_packets(left + b"".join(pdf["data"]))
-                yield pd.DataFrame({"stream": key, "n": range(n, n + len(got)), "kind": [k for k, _ in got], "payload": [p for _, p in got]})
-                n += len(got)
+    def pass_(t: pa.Table) -> pa.Table:
+        return pa.table({"stream": t["stream"][:1], "r": t["r"][:1], "f": pa.array([passage(joined(t), size).tobytes()], pa.binary())})
+
+    def read(t: pa.Table, at: pa.Table) -> pa.Table:
+        got, _ = packets_from(data := joined(t), at["entry"][0].as_py() if at.num_rows else 0, min(size, len(data)))
+        m = len(got)
+        same = lambda c: pa.array([t[c][0].as_py()] * m, pa.int64())
+        return pa.table({"stream": same("stream"), "r": same("r"), "i": pa.array(range(m), pa.int64()), "kind": pa.array([k for k, _ in got], pa.int32()), "payload": pa.array([p for _, p in got], pa.binary())})
 
-    ordered = chunks.where("stream is not null").select("stream", "seq", "data").repartition("stream").sortWithinPartitions("stream", "seq")
-    return ordered.mapInPandas(run, "stream long, n long, kind int, payload binary")
+    functions = cut(pieces.join(long, "stream", "left_semi").groupBy("stream", "r").applyInArrow(pass_, "stream long, r long, f binary"))
+    view = lambda f: np.frombuffer(f, np.int16)
+    at = entries(functions, ["stream"], lambda f, g: view(g)[view(f)].tobytes(), lambda f, e: int(view(f)[e]))
+    rows = pieces.groupBy("stream", "r").cogroup(at.groupBy("stream", "r")).applyInArrow(read, "stream long, r long, i long, kind int, payload binary")
+    return numbered(cut(rows), ["stream"]).select("stream", "n", "kind", "payload")
 
 
 def packets_stream(chunks: DataFrame) -> DataFrame:
@@ -104,13 +150,13 @@ def sweeps(points: DataFrame, size: int) -> DataFrame:
 
     A point 0 opens a sweep; only 0..size-1 in order completes it, and anything else, a null included, drops it.
     """
-    w = Window.partitionBy("stream").orderBy("n")
-    df = points.withColumn("sweep", F.sum(F.when(F.col("point") == 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("sweep > 0")
-    s = Window.partitionBy("stream", "sweep").orderBy("n")
-    df = df.withColumn("at", F.row_number().over(s) - 1)
-    got = df.groupBy("stream", "sweep").agg(F.min("n").alias("first_n"), F.count("*").alias("points"), F.min(F.when((F.col("at") < size) & ~F.col("point").eqNullSafe(F.col("at")), F.col("at"))).alias("bad"))
-    # what follows a whole sweep, up to the next point 0, is a drop of its own
-    return got.select("stream", "sweep", "first_n", "points", (F.col("bad").isNull() & (F.col("points") >= size)).alias("complete"))
+    opens = F.col("point") == 0
+    df = running(points.select("stream", "n", "point"), ["stream"], ["n"], RANGE_ROWS, {"opened": F.when(opens, 1)}, {"before": F.struct("point")})
+    df = df.withColumn("sweep", F.col("opened") + F.when(opens, 1).otherwise(0)).where("sweep > 0")
+    broken = F.coalesce(~opens & (F.col("point") != F.col("before.point") + 1), F.lit(True))
+    # in order up to the first break: the first last point must come before it; what follows a whole sweep, up to the next point 0, is a drop of its own
+    got = df.groupBy("stream", "sweep").agg(F.min("n").alias("first_n"), F.count("*").alias("points"), F.min(F.when(broken, F.col("n"))).alias("bad"), F.min(F.when(F.col("point") == size - 1, F.col("n"))).alias("done"))
+    return got.select("stream", "sweep", "first_n", "points", F.coalesce(F.col("done") < F.coalesce("bad", F.col("done") + 1), F.lit(False)).alias("complete"))
 
 
 def sweeps_stream(points: DataFrame, size: int) -> DataFrame:
@@ -144,17 +190,14 @@ def sweep_timeouts(points: DataFrame, size: int, timeout_ms: int) -> DataFrame:
     A point 0 opens a sweep. The deadline is looked at before each later point and at the end of the stream's rows (a
     point of null is a mere tick): a sweep that is not whole ``timeout_ms`` after its start, the very moment included, is dropped.
     """
-    w = Window.partitionBy("stream").orderBy("n")
-    df = points.withColumn("sweep", F.sum(F.when(F.col("point") == 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("sweep > 0")
-    s = Window.partitionBy("stream", "sweep").orderBy("n")
-    own = s.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"started": F.min("at_ms").over(own), "at": F.count("point").over(own) - 1})
-    df = df.withColumn("bad", F.max(F.col("point").isNotNull() & (F.col("point") != F.col("at"))).over(own))
-    # active until the sweep is whole or broken by a point out of order
-    before = F.lag(F.col("bad") | (F.col("at") >= size - 1)).over(s)
-    df = df.withColumn("due", ~F.coalesce(before, F.lit(False)) & (F.col("at_ms") - F.col("started") >= timeout_ms))
-    got = df.groupBy("stream", "sweep").agg(F.min("n").alias("first_n"), F.min("started").alias("started_ms"), F.min(F.when(F.col("due"), F.col("at_ms"))).alias("last_ms"))
-    return got.where("last_ms is not null")
+    opens = F.col("point") == 0
+    df = running(points.select("stream", "n", "at_ms", "point"), ["stream"], ["n"], RANGE_ROWS, {"opened": F.when(opens, 1)}, {"before": F.col("point"), "since": F.when(opens, F.col("at_ms"))})
+    df = df.withColumns({"sweep": F.col("opened") + F.when(opens, 1).otherwise(0), "started": F.when(opens, F.col("at_ms")).otherwise(F.col("since"))}).where("sweep > 0")
+    ends = F.coalesce(~opens & (F.col("point") != F.col("before") + 1), F.lit(False)) | F.coalesce(F.col("point") == size - 1, F.lit(False))
+    due = F.col("at_ms") - F.col("started") >= timeout_ms
+    got = df.groupBy("stream", "sweep").agg(F.min("n").alias("first_n"), F.min_by("started", "n").alias("started_ms"), F.min(F.when(ends, F.col("n"))).alias("end"), F.min(F.when(due, F.struct("n", "at_ms"))).alias("due"))
+    # active until the sweep is whole or broken by a point out of order, that point included
+    return got.where("due is not null and (end is null or due.n <= end)").select("stream", "sweep", "first_n", "started_ms", F.col("due.at_ms").alias("last_ms"))
 
 
 def receiver_plan(receivers, stage: int, port: int):
@@ -165,14 +208,14 @@ def receiver_plan(receivers, stage: int, port: int):
 
 def health(events: DataFrame, stale_ns: int) -> DataFrame:
     """State of a receiver at each of ``events(stream, at, kind)``: kinds valid, invalid, sentence, connect, disconnect, tick."""
-    w = Window.partitionBy("stream").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    link = F.last(F.when(F.col("kind").isin("connect", "disconnect"), F.struct("at", "seq", "kind")), True).over(w)
-    df = events.withColumn("link", link).where("link is not null")
-    since = Window.partitionBy("stream", "link.at", "link.seq").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    fix = F.max(F.when(F.col("kind") == "valid", F.col("at"))).over(since)
-    bad = F.last(F.when(F.col("kind").isin("invalid", "valid", "sentence"), F.col("kind") == "invalid"), True).over(since)
-    some = F.max(F.col("kind").isin("invalid", "valid", "sentence").cast("int")).over(since)
-    state = F.when(F.col("link.kind") == "disconnect", "disconnected").when(fix.isNotNull(), F.when(F.col("at") - fix > stale_ns, "stale").otherwise("valid")).when(bad, "invalid").when(some == 1, "no_fix").otherwise("no_sentence")
+    kind = F.col("kind")
+    marks = {"link": kind.isin("connect", "disconnect"), "fix": kind == "valid", "heard": kind.isin("invalid", "valid", "sentence")}
+    mark = {n: F.when(c, F.struct("at", "seq", "kind")) for n, c in marks.items()}
+    df = running(events.select("stream", "at", "seq", "kind"), ["stream"], ["at", "seq"], RANGE_NS, lasts=mark)
+    df = df.withColumns({n: F.coalesce(c, F.col(n)) for n, c in mark.items()}).where("link is not null")
+    since = lambda c: F.struct(f"{c}.at", f"{c}.seq") > F.struct("link.at", "link.seq")
+    fix, heard = F.coalesce(since("fix"), F.lit(False)), F.coalesce(since("heard"), F.lit(False))
+    state = F.when(F.col("link.kind") == "disconnect", "disconnected").when(fix, F.when(F.col("at") - F.col("fix.at") > stale_ns, "stale").otherwise("valid")).when(heard & (F.col("heard.kind") == "invalid"), "invalid").when(heard, "no_fix").otherwise("no_sentence")
     return df.select("stream", "at", "seq", "kind", state.alias("state"))
 
 

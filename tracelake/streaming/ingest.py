@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.ordered import running
 from ..sources.sinks import append_batch
+from .segments import CHUNKS
 
 MAX_LINE = 256
 
@@ -33,21 +36,27 @@ def split_lines(buffer: str, skipping: bool, most: int = MAX_LINE) -> tuple[list
 def lines(chunks: DataFrame, most: int = MAX_LINE) -> DataFrame:
     """``chunks(stream, seq, text)`` to ``(stream, n, line)``: each stream in order, overlong lines dropped whole, empty ones left out.
 
-    Streams are sorted on Spark and read batch by batch; only an unfinished line is carried on. Rows without a stream are left out.
+    A line's number among the ends of lines is known from counts alone, so chunks are split where they lie. Only what a
+    chunk begins and ends with is put together with its neighbours, and of that only what fits a line is gathered, however long the rest is. Rows without a stream are left out.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, left, skipping, n = None, "", False, 0
-        for batch in batches:
-            for key, pdf in batch.groupby("stream", sort=False):
-                if key != stream:
-                    stream, left, skipping, n = key, "", False, 0
-                got, left, skipping = split_lines(left + "".join(pdf["text"].dropna()), skipping, most)
-                yield pd.DataFrame({"stream": key, "n": range(n, n + len(got)), "line": pd.Series(got, dtype=object)})
-                n += len(got)
-
-    ordered = chunks.where("stream is not null").select("stream", "seq", "text").repartition("stream").sortWithinPartitions("stream", "seq")
-    return ordered.mapInPandas(run, "stream long, n long, line string")
+    parts = F.split(F.coalesce("text", F.lit("")), "\n")
+    df = chunks.where("stream is not null").select("stream", "seq", parts.alias("parts"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars"))
+    df = running(df, ["stream"], ["seq"], CHUNKS, {"ends": F.size("parts") - 1, "start": F.col("chars")})
+    bare = lambda c: F.rtrim(c, F.lit("\r"))
+    fits = lambda n: (n > 0) & (n <= most)
+    inner = df.select("stream", "ends", F.posexplode(F.slice("parts", 2, F.greatest(F.lit(0), F.size("parts") - 2))).alias("k", "line"))
+    whole = inner.select("stream", (F.col("ends") + F.col("k") + 1).alias("at"), bare(F.col("line")).alias("line")).where(fits(F.char_length("line")))
+    first, last = F.get("parts", F.lit(0)), F.element_at("parts", -1)
+    edge = lambda at, text, start, closed: F.struct(at.alias("at"), text.alias("text"), start.alias("start"), closed.alias("closed"))
+    both = F.array_compact(F.array(edge(F.col("ends"), first, F.col("start"), F.size("parts") > 1), F.when(F.size("parts") > 1, edge(F.col("ends") + F.size("parts") - 1, last, F.col("start") + F.col("chars") - F.char_length(last), F.lit(False)))))
+    edges = df.select("stream", "seq", F.explode(both).alias("e")).select("stream", "seq", "e.*")
+    stop = F.when(F.char_length(bare(F.col("text"))) > 0, F.col("start") + F.char_length(bare(F.col("text"))))
+    size = edges.groupBy("stream", "at").agg(F.min("start").alias("from"), F.max(stop).alias("to"), F.bool_or("closed").alias("closed"))
+    size = size.where(F.col("closed") & fits(F.col("to") - F.col("from"))).drop("closed")
+    pieces = edges.where("text <> ''").join(size, ["stream", "at"]).where("start < to")
+    met = pieces.groupBy("stream", "at").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("p"))
+    met = met.select("stream", "at", bare(F.array_join(F.transform("p", lambda x: x["text"]), "")).alias("line"))
+    return running(whole.unionByName(met), ["stream"], ["at"], CHUNKS, {"n": F.lit(1)}).select("stream", "n", "line")
 
 
 def lines_stream(chunks: DataFrame, most: int = MAX_LINE) -> DataFrame:

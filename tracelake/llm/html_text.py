@@ -12,11 +12,12 @@ No table holds labelled pages, so ``labelled_pages`` makes them: seeded page lay
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,8 +45,6 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "option": {"select"}, "body": {"html"}}
 SILENT = frozenset("head select textarea option datalist button".split())
 
-#: Elements nested deeper stand beside each other; their text stays.
-DEEPEST = 400
 CONTAINERS = frozenset("html body main article section div nav header footer aside form fieldset table ul ol dl menu dialog center".split())
 TAGS = ("article", "main", "section", "div", "p", "heading", "list", "li", "table", "quote", "pre", "figure", "nav", "header", "footer", "aside", "form", "a", "body", "html", "inline", "other")
 _TAG_OF = {**{f"h{k}": "heading" for k in range(1, 7)}, "ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "tr": "table", "td": "table", "th": "table", "tbody": "table", "thead": "table", "blockquote": "quote", "figcaption": "figure", "menu": "nav", "dialog": "form", "fieldset": "form", "input": "form", "address": "footer", **{t: "inline" for t in INLINE if t != "a"}}
@@ -87,16 +86,28 @@ def _end_of(page: str, name: str, at: int, without: set[tuple[str, str]]) -> int
 def parse(page: str | None) -> Tree:
     t = Tree([-1], [0], ["html"], [""], [False])
     stack, block = [0], 0
-    beyond: list[str] = []  # open elements below the deepest on the stack, and how many of each name
-    names: Counter = Counter()
+    open_: defaultdict[str, list[int]] = defaultdict(list)  # places on the stack by tag, and of those that aren't inline; so no search walks the stack, however deep
+    blocks: list[int] = []
 
     def close(upto: int) -> None:
         nonlocal block
-        if any(t.tag[n] not in INLINE for n in stack[upto:]):
+        if blocks and blocks[-1] >= upto:
             block += 1
+        for e in stack[upto:]:
+            open_[t.tag[e]].pop()
+        while blocks and blocks[-1] >= upto:
+            blocks.pop()
         del stack[upto:]
-        beyond.clear()
-        names.clear()
+
+    def lowest(ends: set[str], scope: frozenset[str] | set[str]) -> int | None:
+        """The outermost open element within the scope that the new one ends; a paragraph alone only if nothing but inline elements is open in it."""
+        above = max((open_[x][-1] for x in scope if open_[x]), default=0)
+        if ends == {"p"}:
+            top = next((k for k in reversed(blocks) if t.tag[stack[k]] != "head"), 0)
+            if top <= above or t.tag[stack[top]] != "p":
+                return None
+        found = [open_[x][k] for x in ends if (k := bisect.bisect_right(open_[x], above)) < len(open_[x])]
+        return min(found, default=None)
 
     page, pos, without = page or "", 0, set()
     while pos < len(page):
@@ -109,20 +120,8 @@ def parse(page: str | None) -> Tree:
             continue
         elif slash:
             name = name.lower()
-            if names[name]:  # ends that and what is open in it
-                while True:
-                    last = beyond.pop()
-                    names[last] -= 1
-                    block += last not in INLINE
-                    if last == name:
-                        break
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if t.tag[stack[k]] == name:
-                    close(k)
-                    break
-                if name in INLINE and t.tag[stack[k]] not in INLINE:
-                    break  # an inline end tag closes nothing beyond its block
+            if open_[name] and not (name in INLINE and blocks and blocks[-1] > open_[name][-1]):  # an inline end tag closes nothing beyond its block
+                close(open_[name][-1])
         else:
             name = name.lower()
             if name == "html":
@@ -140,17 +139,8 @@ def parse(page: str | None) -> Tree:
             ends, scope = CLOSES.get(name, frozenset()), SCOPES.get(name, frozenset())
             if name not in INLINE:
                 ends = {*ends, "p"}
-            lowest = None
-            for k in range(len(stack) - 1, 0, -1) if not beyond else ():
-                tag = t.tag[stack[k]]
-                if tag in scope:
-                    break
-                if tag in ends:
-                    lowest = k
-                elif tag not in INLINE and tag != "head" and lowest is None and not ends - {"p"}:
-                    break
-            if lowest is not None:
-                close(lowest)
+            if ends and (end := lowest(ends, scope)) is not None:
+                close(end)
             if name not in INLINE:
                 block += 1
             found = _ATTR.findall(attrs) if attrs else ()
@@ -160,26 +150,22 @@ def parse(page: str | None) -> Tree:
             t.marks.append(" ".join("".join(x) for x in found).lower())
             t.silent.append(t.silent[stack[-1]] or name in SILENT)
             if not attrs.rstrip().endswith("/"):
-                if len(stack) < DEEPEST:
-                    stack.append(len(t.parent) - 1)
-                else:
-                    beyond.append(name)
-                    names[name] += 1
+                open_[name].append(len(stack))
+                if name not in INLINE:
+                    blocks.append(len(stack))
+                stack.append(len(t.parent) - 1)
     return t
 
 
 def _features(t: Tree) -> np.ndarray:
     n = len(t.parent)
-    own, linked = np.zeros(n), np.zeros(n)
+    own, linked, in_link = np.zeros(n), np.zeros(n), [False] * n
+    for e in range(1, n):  # parents come first
+        in_link[e] = t.tag[e] == "a" or (t.tag[e] in INLINE and in_link[t.parent[e]])
     for e, _, text in t.pieces:
         size = len(text.strip())
         own[e] += size
-        at = e
-        while at >= 0 and t.tag[at] in INLINE:
-            if t.tag[at] == "a":
-                linked[e] += size
-                break
-            at = t.parent[at]
+        linked[e] += size * in_link[e]
     for e in range(n - 1, 0, -1):  # children come after their parents
         own[t.parent[e]] += own[e]
         linked[t.parent[e]] += linked[e]
@@ -363,15 +349,15 @@ def extract(pages: list[str | None], model: Model) -> list[str]:
     for t, b in zip(trees, base, strict=False):
         blocks: list[str] = []
         last, text = None, []
+        of = [0] * len(t.parent)  # inline text stands with its block, and so does a link's with what is around the link
+        for e in range(1, len(of)):
+            of[e] = of[t.parent[e]] if t.tag[e] in INLINE else e
         for e, block, piece in t.pieces:
             if block != last:
                 if text:
                     blocks.append("".join(text))
                 last, text = block, []
-            at = e
-            while at > 0 and t.tag[at] in INLINE and t.tag[at] != "a":  # inline text stands with its block
-                at = t.parent[at]
-            if not t.silent[e] and p[b + (at if t.tag[at] != "a" else _block_of(t, at))] >= 0.5:
+            if not t.silent[e] and p[b + of[e]] >= 0.5:
                 text.append(piece)
         if text:
             blocks.append("".join(text))
@@ -379,12 +365,6 @@ def extract(pages: list[str | None], model: Model) -> list[str]:
     return out
 
 
-def _block_of(t: Tree, at: int) -> int:
-    while at > 0 and t.tag[at] in INLINE:
-        at = t.parent[at]
-    return at
-
-
 def main_texts(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 

@@ -161,6 +161,18 @@ def b9(spark, d):
     return timing.monotonic_violations(P.side(spark, d, "air"), "trace_index").select("mission_id", "record_position", "trace_index")
 
 
+_SCAN = "s AS (SELECT *, CASE WHEN mission_id = 'P' THEN 'O' ELSE mission_id END AS scan FROM air)"
+
+
+@_query("B9_scan_violations", f"""WITH {_AIR}, {_SCAN}, r AS (SELECT scan, record_position, row_number() OVER (PARTITION BY scan, trace_uid ORDER BY record_position) > 1 AS uid, row_number() OVER (PARTITION BY scan, mission_id, trace_index ORDER BY record_position) > 1 AS identity,
+mission_id <> first_value(mission_id) OVER w AS mission, trace_index <= lag(trace_index) OVER w AS rising FROM s WINDOW w AS (PARTITION BY scan ORDER BY record_position))
+SELECT scan, record_position, rule FROM (SELECT scan, record_position, 'uid' AS rule FROM r WHERE uid UNION ALL SELECT scan, record_position, 'identity' FROM r WHERE identity UNION ALL SELECT scan, record_position, 'mission' FROM r WHERE mission UNION ALL SELECT scan, record_position, 'order' FROM r WHERE rising)""")
+def b9_scans(spark, d):
+    """Two of the missions lie in one scan."""
+    scan = F.when(F.col("mission_id") == "P", "O").otherwise(F.col("mission_id"))
+    return constraints.scan_violations(P.side(spark, d, "air").withColumn("scan", scan), ["scan"])
+
+
 # ---- joins
 
 
@@ -200,8 +212,7 @@ def c4(spark, d):
 @_query("C5_calibration_binding", f"WITH {P.SAMPLES_SQL}, r AS (SELECT channel, k, avg(re) AS mre, avg(im) AS mim FROM s GROUP BY 1, 2) SELECT trace_id, channel, count(*) AS points FROM s JOIN r USING (channel, k) GROUP BY 1, 2")
 def c5(spark, d):
     s = P.samples(spark, d)
-    ref = dsp.coherent_mean(s)
-    return dsp.flat(s).join(ref.select("channel", "k"), ["channel", "k"]).groupBy("trace_id", "channel").agg(F.count("*").alias("points"))
+    return dsp.bound(s, dsp.coherent_mean(s), "re", "im").select("trace_id", "channel", F.size("terms").cast("long").alias("points"))
 
 
 @_query("C7_last_before", f"""WITH {P.EVENTS_SQL}, r AS (SELECT domain, event_id AS id, at FROM ev WHERE event_type = 'purchase'), o AS (SELECT domain, at, max(CAST(event_id AS VARCHAR)) AS v FROM ev WHERE event_type = 'view' GROUP BY 1, 2)
@@ -279,10 +290,36 @@ def d6(spark, d):
     return m.select("user_id", "n", "errors", *(micro(F.col(c)).alias(c) for c in ("error_rate", "mean", "max", "p50", "p95", "p99")))
 
 
-@_query("D7_fingerprint", "WITH d AS (SELECT sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)) AS d FROM lineitem) SELECT count(*) AS rows, " + ", ".join(f"bit_xor(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT)) AS w{i}" for i in range(8)) + " FROM d")
+def _digest_sql(rows: str, by: str = "") -> str:
+    """Columns ``rows`` and ``digest`` of digests ``d`` of a CTE: sums of 16 bits each, carries from the last one up."""
+    group = f" GROUP BY {by}" if by else ""
+    by = f"{by}, " if by else ""
+    ctes = [f"l AS (SELECT {by}count(*) AS rows, " + ", ".join(f"CAST(sum(CAST('0x' || substr(d, {4 * i + 1}, 4) AS BIGINT)) AS BIGINT) AS w{i}" for i in range(16)) + f" FROM {rows}{group})", "t15 AS (SELECT *, w15 AS t15 FROM l)"]
+    ctes += [f"t{i} AS (SELECT *, w{i} + (t{i + 1} >> 16) AS t{i} FROM t{i + 1})" for i in reversed(range(15))]
+    return ", ".join(ctes) + f", digests AS (SELECT {by}rows, " + " || ".join(f"lpad(lower(hex(t{i} % 65536)), 4, '0')" for i in range(16)) + " AS digest FROM t0)"
+
+
+def _framed_sql(*columns: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
+@_query("D7_fingerprint", f"WITH d AS (SELECT {_framed_sql('l_orderkey', 'l_linenumber', 'l_partkey', 'l_returnflag')} AS d FROM lineitem), {_digest_sql('d')} SELECT rows, digest FROM digests")
 def d7(spark, d):
-    li = P.table(spark, d, "lineitem").select(*(F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")))
-    return provenance.fingerprint(li, "l_orderkey", "l_linenumber", "l_partkey")
+    return provenance.fingerprint(P.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+
+
+_TREE = "SELECT trace_index // 256 AS range, " + _framed_sql("trace_index", "trace_uid", "hash") + " AS d"
+
+
+@_query("G7_digest_tree", f"WITH {_AIR}, d AS (SELECT mission_id, range, d FROM ({_TREE}, mission_id FROM air)), {_digest_sql('d', 'mission_id, range')} SELECT mission_id, range, rows, digest FROM digests")
+def g7_tree(spark, d):
+    return provenance.digest_tree(P.side(spark, d, "air"), ["mission_id"], "trace_index", ["trace_index", "trace_uid", "hash"], 256)[0]
+
+
+@_query("L8_differing_ranges", f"WITH {_AIR}, {_GROUND}, x AS (SELECT mission_id, trace_index // 256 AS r, list(trace_index || '/' || trace_uid || '/' || hash ORDER BY trace_index, trace_uid, hash) AS a FROM air GROUP BY 1, 2), y AS (SELECT mission_id, trace_index // 256 AS r, list(trace_index || '/' || trace_uid || '/' || hash ORDER BY trace_index, trace_uid, hash) AS b FROM ground GROUP BY 1, 2) SELECT mission_id, r * 256 AS low, r * 256 + 255 AS high FROM x FULL JOIN y USING (mission_id, r) WHERE a IS DISTINCT FROM b")
+def l8_ranges(spark, d):
+    """Where the two copies differ, found down two trees of digests."""
+    return provenance.differing_ranges(P.side(spark, d, "air"), P.side(spark, d, "ground"), ["mission_id"], "trace_index", ["trace_index", "trace_uid", "hash"], 256, 8)
 
 
 @_query("D8_missing_ranges", f"WITH {_AIR}, m AS (SELECT mission_id, max(trace_index) AS hi FROM air GROUP BY 1), g AS (SELECT mission_id, unnest(range(hi + 1)) AS t FROM m), x AS (SELECT g.* FROM g ANTI JOIN air a ON g.mission_id = a.mission_id AND g.t = a.trace_index), y AS (SELECT mission_id, t, t - row_number() OVER (PARTITION BY mission_id ORDER BY t) AS isl FROM x) SELECT mission_id, min(t) AS low, max(t) AS high FROM y GROUP BY mission_id, isl")
@@ -455,9 +492,9 @@ def h10(spark, d):
     return P.table(spark, d, "events").select("event_id", ns.alias("ns"), F.unix_micros(S.ts_of(ns)).alias("us"))
 
 
-@_query("H15_edge_window", f"WITH k AS (SELECT unnest(range(0, 300)) AS k), f AS (SELECT k, k * 1e7 AS f FROM k) SELECT k, {_m('CASE WHEN f < 5e8 OR f > 25e8 THEN 0 WHEN f < 1e9 THEN pow(sin(pi() / 2 * (f - 5e8) / 5e8), 2) WHEN f <= 15e8 THEN 1 ELSE pow(sin(pi() / 2 * (25e8 - f) / 1e9), 2) END')} AS w FROM f")
+@_query("H15_edge_window", f"WITH f AS (SELECT o_orderkey, round(o_totalprice * 100) * 50 AS f FROM orders) SELECT o_orderkey, {_m('CASE WHEN f < 5e8 OR f > 25e8 THEN 0 WHEN f < 1e9 THEN pow(sin(pi() / 2 * (f - 5e8) / 5e8), 2) WHEN f <= 15e8 THEN 1 ELSE pow(sin(pi() / 2 * (25e8 - f) / 1e9), 2) END')} AS w FROM f")
 def h15(spark, d):
-    return spark.range(300).select(F.col("id").alias("k"), micro(S.edge_window(F.col("id") * 1e7, (0.5e9, 1e9, 1.5e9, 2.5e9))).alias("w"))
+    return P.table(spark, d, "orders").select("o_orderkey", micro(S.edge_window(F.round(F.col("o_totalprice") * 100) * 50, (0.5e9, 1e9, 1.5e9, 2.5e9))).alias("w"))
 
 
 @_query("H16_next_power", "SELECT p_partkey, CAST(pow(2, ceil(log2(p_partkey))) AS BIGINT) AS n FROM part WHERE p_partkey > 0")
@@ -706,19 +743,17 @@ def a16(spark, d):
     return sinks.inspect_partial(P.side(spark, d, "air"), P.missions(spark, d))
 
 
-@_query("A20_simulated_source")
-def a20(spark, d):
-    """Noise of a hash under a falling envelope: the same whatever the partitioning."""
-    u = lambda k: (F.pmod(F.xxhash64("trace_id", "channel", "k", F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30)
-    g = F.sqrt(-2 * F.log(u(0)))
-    rows = spark.range(50).select(F.col("id").alias("trace_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("channel")).select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
-    env = 1 / (1 + F.pow((F.col("k") + 1) / 16.0, 2))
-    return rows.select("trace_id", "channel", "k", micro(g * F.cos(2 * F.pi() * u(1)) * env).alias("re"), micro(g * F.sin(2 * F.pi() * u(1)) * env).alias("im"))
-
-
-@_query("A21_replay_gate", f"WITH {_AIR}, c AS (SELECT mission_id, trace_index, count(DISTINCT hash) AS h FROM air GROUP BY 1, 2), u AS (SELECT DISTINCT mission_id FROM (SELECT mission_id, trace_uid FROM air GROUP BY ALL HAVING count(DISTINCT trace_index) > 1)) SELECT mission_id, 'conflicts' AS reason FROM (SELECT mission_id FROM c WHERE h > 1 UNION SELECT mission_id FROM u)")
+@_query("A21_replay_gate", """WITH t AS (SELECT n_name AS mission_id, s_suppkey AS i, s_nationkey % 7 AS kind FROM supplier JOIN nation ON n_nationkey = s_nationkey), g AS (SELECT mission_id, min(kind) AS kind FROM t WHERE kind <> 6 GROUP BY 1)
+SELECT n_name AS mission_id, CASE kind WHEN 1 THEN 'conflicts' WHEN 2 THEN 'hashes' WHEN 3 THEN 'hashes' WHEN 4 THEN 'conflicts' ELSE 'no rows' END AS reason FROM nation LEFT JOIN g ON mission_id = n_name WHERE kind IS NULL OR kind IN (1, 2, 3, 4)""")
 def a21(spark, d):
-    return constraints.replay_refusals(views.validation_summary(P.side(spark, d, "air")))
+    """A mission for each nation, of its suppliers: some have none, or rows that contradict each other, wrong hashes or none at all."""
+    s = P.table(spark, d, "supplier").join(P.table(spark, d, "nation").select("n_name", F.col("n_nationkey").alias("s_nationkey")), "s_nationkey")
+    kind = F.col("s_nationkey") % 7
+    t = s.select(F.col("n_name").alias("mission_id"), F.col("s_suppkey").cast("long").alias("trace_index"), F.col("s_name").alias("raw"), F.sha2("s_name", 256).alias("right"), kind.alias("kind")).where("kind <> 6")
+    copies = F.when(F.col("kind") == 1, F.array(F.lit(""), F.lit("other"))).when(F.col("kind") == 4, F.array(F.lit(""), F.lit("another"))).otherwise(F.array(F.lit("")))
+    t = t.select("*", F.posexplode(copies).alias("copy", "mark")).withColumn("raw", F.concat("raw", "mark"))
+    t = t.withColumn("hash", F.when(F.col("kind") == 2, F.reverse("right")).when(F.col("kind") != 3, F.sha2("raw", 256))).withColumns({"trace_uid": F.concat_ws("-", "mission_id", "trace_index"), "record_position": F.col("trace_index") * 2 + F.col("copy")})
+    return constraints.replay_refusals(t, P.table(spark, d, "nation").select(F.col("n_name").alias("mission_id")), F.sha2("raw", 256))
 
 
 @_query("B2_filter_kind", f"WITH {_RECONCILE} SELECT mission_id, trace_index FROM items WHERE kind = 'gnss_diff'")
@@ -882,8 +917,9 @@ def b15(spark, d):
 
 @_query("F3_fix_order", f"WITH {P.EVENTS_SQL} SELECT domain, fix_id, row_number() OVER (PARTITION BY domain ORDER BY received_ns, seq) AS place FROM fixes")
 def f3(spark, d):
-    """Places are given to the sorted table, to show its order."""
-    return match.snapshot(P.fixes(spark, d)).select("domain", "fix_id", F.row_number().over(Window.partitionBy("domain").orderBy("received_ns", "seq")).alias("place"))
+    """Places follow the order in which the sorted table comes out, whatever that is."""
+    out = match.snapshot(P.fixes(spark, d)).withColumn("_out", F.monotonically_increasing_id())
+    return out.select("domain", "fix_id", F.row_number().over(Window.partitionBy("domain").orderBy("_out")).alias("place"))
 
 
 @_query("H8_rmc", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE " + _m("(event_id % 50 + 0.5) * 1852.0 / 3600.0") + " END AS speed, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(make_date(CAST(CASE WHEN event_id % 100 >= 80 THEN 1900 ELSE 2000 END + event_id % 100 AS INT), CAST(event_id % 12 + 1 AS INT), CAST(event_id % 28 + 1 AS INT)) AS VARCHAR) END AS day FROM events")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ordered import with_previous
+from ..sources.views import validation_summary
+
+#: Positions of a scan that one task looks at.
+POSITION_RANGE = 1_000_000
+
 
 def violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
     """(key, rule) for every rule that does not hold; a rule that is null does not hold."""
@@ -44,10 +50,29 @@ def axis_gate(sweeps: DataFrame, planned: str, measured: str, tolerance: float =
     return sweeps.where((F.size(planned) == F.size(measured)) & F.coalesce(near, F.lit(False)))
 
 
-def replay_refusals(summary: DataFrame) -> DataFrame:
-    """Missions that a replay refuses, with the first reason: no rows, conflicts, rows without hash."""
-    reason = F.when(F.col("rows") == 0, "no rows").when((F.col("conflicts") > 0) | (F.col("uid_conflicts") > 0), "conflicts").when(F.col("unhashed") > 0, "rows without hash")
-    return summary.select("mission_id", reason.alias("reason")).where("reason is not null")
+def replay_refusals(traces: DataFrame, missions: DataFrame, digest: Column) -> DataFrame:
+    """``(mission_id, reason)`` of the ``missions(mission_id)`` that a replay refuses, the first reason: conflicts, hashes, no rows.
+
+    Conflicts are of indices or uids; ``hashes`` are missing ones and those that differ from ``digest``, which is computed from what a row holds.
+    """
+    wrong = traces.groupBy("mission_id").agg(F.count_if((F.col("hash") != "") & ~F.coalesce(F.col("hash") == digest, F.lit(False))).alias("wrong"))
+    facts = missions.select("mission_id").distinct().join(validation_summary(traces), "mission_id", "left").join(wrong, "mission_id", "left")
+    reason = F.when((F.col("conflicts") > 0) | (F.col("uid_conflicts") > 0), "conflicts").when((F.col("unhashed") > 0) | (F.col("wrong") > 0), "hashes").when(F.coalesce("rows", F.lit(0)) == 0, "no rows")
+    return facts.select("mission_id", reason.alias("reason")).where("reason is not null")
+
+
+def scan_violations(traces: DataFrame, scan: list[str]) -> DataFrame:
+    """Rows that break a rule of one scan, by position: ``(*scan, record_position, rule)``.
+
+    ``uid``: its uid came before; ``identity``: its mission and index did; ``mission``: not that of the scan's first row; ``order``: its index does
+    not rise above that of the row before. Rows with the same uid or identity meet in a window, a scan's rows only range by range.
+    """
+    again = lambda *c: F.row_number().over(Window.partitionBy(*scan, *c).orderBy("record_position")) > 1
+    first = traces.groupBy(*scan).agg(F.min_by("mission_id", "record_position").alias("_mission"))
+    df = with_previous(traces.select(*scan, "record_position", "mission_id", "trace_index", "trace_uid"), scan, ["record_position"], ["trace_index"], POSITION_RANGE)
+    df = df.join(first, scan).withColumns({"uid": again("trace_uid"), "identity": again("mission_id", "trace_index"), "mission": F.col("mission_id") != F.col("_mission"), "order": F.coalesce(F.col("trace_index") <= F.col("_previous.trace_index"), F.lit(False))})
+    rules = F.array_compact(F.array(*(F.when(F.col(r), F.lit(r)) for r in ("uid", "identity", "mission", "order"))))
+    return df.select(*scan, "record_position", F.explode(rules).alias("rule"))
 
 
 def config_facts(missions: DataFrame, axis: str) -> DataFrame:

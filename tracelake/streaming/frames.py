@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import cut
 from ..sources.ordered import running
-from .segments import byte_ranges, cut, entries, joined, numbered
+from .segments import byte_ranges, entries, joined, numbered
 
 #: Framing (fixed values): first byte, least and largest length, type without checksum.
 HEADER, LEAST, MOST, DATAPOINT = 0x5A, 8, 4096, 27

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codecs import canonical_json, parse_strict
+from ..sources.checkpoints import cut
 from ..sources.ordered import running
-from .segments import CHUNKS, byte_ranges, cut, entries, joined
+from .segments import CHUNKS, byte_ranges, entries, joined
 
 #: Message kinds by code, and the greatest lengths of header and payload (fixed values).
 KINDS = {1: "hello", 2: "status", 3: "command", 4: "mission", 5: "trace", 6: "ack", 7: "inventory", 8: "error"}

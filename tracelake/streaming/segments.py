@@ -8,8 +8,6 @@ more than a range or the functions of one group, however long a stream is.
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,22 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import cut
 from ..sources.ordered import bucket, running
 
 #: Functions that one task composes, and chunks that one task counts the bytes of.
 FAN, CHUNKS = 64, 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again, so that nothing before it runs twice."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracelake-"))
-    return df.checkpoint()
-
-
 def byte_ranges(chunks: DataFrame, key: list[str], size: int, halo: int) -> DataFrame:
     """``chunks(*key, seq, data)`` to pieces ``(*key, r, start, data)``: range r has the bytes from ``r * size`` on, and ``halo`` bytes more."""
     placed = running(chunks.where(F.octet_length("data") > 0).select(*key, "seq", "data"), key, ["seq"], CHUNKS, {"start": F.octet_length("data")})

@@ -171,6 +171,7 @@ def test_attached_outputs_leave_raw_data_alone(spark, tmp_path):
             sinks.attach(t, bad, ("processed", "hash"), f"file://{tmp_path}/no")
     with pytest.raises(ValueError, match="raw columns changed"):
         sinks.attach(t, d.union(d), ("processed",), f"file://{tmp_path}/twice")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
 
 
 def test_the_sink_reads_the_ranges_of_a_batch(spark, tmp_path, monkeypatch):

@@ -14,7 +14,7 @@ from .functions import scalars as S
 from .operators import constraints, match, reconcile, timing
 from .plans import capture, chain, dsp, provenance, reuse
 from .sources import projections as P
-from .sources import legacy, sinks, views
+from .sources import legacy, sinks, snapshots, views
 from .streaming import frames, ingest, protocol
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,16 @@ def a12_refusals(spark, d):
     return legacy.refusals(t, m)
 
 
+@_query("A13_snapshot", f"WITH {_AIR} SELECT mission_id, trace_index, trace_uid, hash, record_position FROM (SELECT *, row_number() OVER (PARTITION BY mission_id, trace_index ORDER BY trace_index % 3 = 0, record_position) AS n FROM air) WHERE n = 1")
+def a13(spark, d):
+    """A table that got two thirds of the indices, then all rows again, and all once more: the last of its versions."""
+    rows = P.side(spark, d, "air").drop("latitude")
+    table = snapshots.shared_table(spark, "a13")
+    for batch in (rows.where("trace_index % 3 <> 0"), rows, rows):
+        table.append(batch)
+    return table.read()
+
+
 @_query("A14_append_classes", f"""WITH {_AIR}, {_GROUND}, st AS (SELECT mission_id, trace_index, arg_min(hash, record_position) AS old FROM air GROUP BY 1, 2),
 r AS (SELECT g.*, st.old, row_number() OVER w AS n, first(g.hash) OVER w AS f FROM ground g LEFT JOIN st USING (mission_id, trace_index) WINDOW w AS (PARTITION BY mission_id, trace_index ORDER BY record_position)),
 x AS (SELECT *, coalesce(old, CASE WHEN n > 1 THEN f END) AS against FROM r)

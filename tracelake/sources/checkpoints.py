@@ -5,14 +5,20 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again, so that nothing before it runs twice."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, or a temporary one where it is unset and all runs in one process (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracelake-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracelake-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to that folder and read again, so that nothing before it runs twice."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

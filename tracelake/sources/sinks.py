@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.provenance import fingerprint
+
 #: Indices of a mission that one folder of the stored data holds.
 INDEX_RANGE = 100_000
 
@@ -90,14 +94,20 @@ def manifest(rows: DataFrame, key: str, content: str) -> DataFrame:
 def attach(traces: DataFrame, derived: DataFrame, declared: tuple[str, ...], path: str) -> None:
     """Write ``traces`` with the derived columns of ``derived(mission_id, trace_index, ...)`` as a new table at ``path``.
 
-    Only columns that the schema declares as optional outputs are taken, and none that the traces have; the order-free
-    digest of all raw columns must be the same before and after.
+    Only columns that the schema declares as optional outputs are taken, and none that the traces have. The table is
+    written beside ``path`` and read back; it is moved there only if the digest of its raw columns is that of the traces, else it is removed.
     """
     key = ["mission_id", "trace_index"]
     new = [c for c in derived.columns if c not in key]
     if bad := sorted(c for c in new if c not in declared or c in traces.columns):
         raise ValueError(f"not declared as derived, or raw: {bad}")
-    finalize(traces.join(derived, key, "left"), path)
-    raw = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*traces.columns).cast("decimal(38, 0)")), F.bit_xor(F.xxhash64(F.lit(1), *traces.columns))).first()
-    if raw(traces) != raw(traces.sparkSession.read.parquet(path).select(traces.columns)):
+    spark = traces.sparkSession
+    staged, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.staged-{uuid.uuid4().hex}", path))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise ValueError(f"{path} is there")
+    finalize(traces.join(derived, key, "left"), staged.toString())
+    if fingerprint(traces, *traces.columns).first() != fingerprint(spark.read.parquet(staged.toString()), *traces.columns).first():
+        files.delete(staged, True)
         raise ValueError("the raw columns changed while derived ones were attached")
+    files.rename(staged, target)

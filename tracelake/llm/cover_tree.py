@@ -371,24 +371,32 @@ def _grown(leaves: DataFrame, t: float) -> DataFrame:
     return leaves.groupBy("node").applyInArrow(run, "node string, uids binary, m binary, sizes array<int>, begins binary, radii binary")
 
 
-def _compared(pairs: DataFrame, trees: DataFrame, least: float) -> DataFrame:
-    """(uid, n, other) for pairs of leaves: rows with links, how many, and a row of the same set."""
+def _compared(pairs: DataFrame, trees: DataFrame, least: float, blocks: int) -> DataFrame:
+    """(uid, n, other) for pairs of leaves: rows with links, how many, and a row of the same set.
+
+    Leaves are dealt to ``blocks`` by hash and pairs to pairs of blocks, so that a leaf travels once for each block that it meets.
+    """
 
     def read(t: pa.Table, i: int) -> Leaf:
         uid, m, begins, radii = (np.frombuffer(t[c][i].as_py(), d) for c, d in (("uids", np.int64), ("m", np.float64), ("begins", np.int64), ("radii", np.float64)))
         cuts = np.cumsum(t["sizes"][i].as_py())[:-1]
         return Leaf(uid, m.reshape(len(uid), -1), np.split(begins, cuts), np.split(radii, cuts))
 
-    def run(t: pa.Table) -> pa.Table:
-        one, same = read(t, 0), t.num_rows == 1
-        other = one if same else read(t, 1)
-        na, nb, of = compare(one, other, least, same)
-        uid, n = (one.uid, na) if same else (np.concatenate([one.uid, other.uid]), np.concatenate([na, nb]))
-        k = np.flatnonzero(n)
-        return pa.table({"uid": pa.array(uid[k]), "n": pa.array(n[k]), "other": pa.array(uid[of[k]])})
+    def run(pairs: pa.Table, t: pa.Table) -> pa.Table:
+        leaves = {node: read(t, i) for i, node in enumerate(t["node"].to_pylist())}
+        out = [(np.zeros(0, np.int64),) * 3]
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            one, other, same = leaves[a], leaves[b], a == b
+            na, nb, of = compare(one, other, least, same)
+            uid, n = (one.uid, na) if same else (np.concatenate([one.uid, other.uid]), np.concatenate([na, nb]))
+            k = np.flatnonzero(n)
+            out.append((uid[k], n[k], uid[of[k]]))
+        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("uid", "n", "other"), zip(*out, strict=True), strict=True)})
 
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
-    return sides.join(trees, "node").groupBy("a", "b").applyInArrow(run, "uid long, n long, other long")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    pairs = pairs.withColumns({"x": F.least(block("a"), block("b")), "y": F.greatest(block("a"), block("b"))})
+    sides = pairs.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct().join(trees, "node")
+    return pairs.groupBy("x", "y").cogroup(sides.groupBy("x", "y")).applyInArrow(run, "uid long, n long, other long")
 
 
 def linked(vectors: DataFrame, least: float = 0.95, leaf_rows: int = LEAF_ROWS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
@@ -401,7 +409,8 @@ def linked(vectors: DataFrame, least: float = 0.95, leaf_rows: int = LEAF_ROWS,
     whole, pairs = _walk(nodes, t, scratch)
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
     whole, pairs = union(whole), union(pairs)
-    met = scratch.keep(_compared(pairs, scratch.keep(_grown(leaves, t), "trees"), least), "met")
+    blocks = max(1, -(-rows.count() // (2 * leaf_rows)))
+    met = scratch.keep(_compared(pairs, scratch.keep(_grown(leaves, t), "trees"), least, blocks), "met")
     # what was taken whole above the leaves: counts and one link for all rows below
     fact = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("rep").alias(f"r{x}"))
     both = whole.join(fact("a"), "a").join(fact("b"), "b")

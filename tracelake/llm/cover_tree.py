@@ -395,8 +395,8 @@ def _compared(pairs: DataFrame, trees: DataFrame, least: float, blocks: int) ->
 
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     pairs = pairs.withColumns({"x": F.least(block("a"), block("b")), "y": F.greatest(block("a"), block("b"))})
-    sides = pairs.select("x", "y", F.explode(F.array("a", "b")).alias("node")).distinct().join(trees, "node")
-    return pairs.groupBy("x", "y").cogroup(sides.groupBy("x", "y")).applyInArrow(run, "uid long, n long, other long")
+    sides = pairs.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.array("a", "b")).alias("node")).distinct().join(trees, "node")
+    return pairs.groupBy("x", "y").cogroup(sides.groupBy("bx", "by")).applyInArrow(run, "uid long, n long, other long")
 
 
 def linked(vectors: DataFrame, least: float = 0.95, leaf_rows: int = LEAF_ROWS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:

@@ -54,7 +54,7 @@ def test_nearest_fix_ties_and_thresholds(spark):
         nearest_fix(s, f, stale_after_s=5, window_s=1)
 
 
-@pytest.mark.parametrize(("window", "block", "chunk", "ids"), [(5, 8, 4, 10), (31, 8, 100, 7), (101, 4, 1, 1000), (3, 512, 256, 1)])
+@pytest.mark.parametrize(("window", "block", "chunk", "ids"), [(5, 8, 4, 10), (31, 8, 100, 7), (37, 4, 1, 1000), (3, 512, 256, 1)])
 def test_flat_reflection_in_blocks(spark, monkeypatch, window, block, chunk, ids):
     for name, value in (("BLOCK_TRACES", block), ("CHUNK_SAMPLES", chunk), ("ID_RANGE", ids)):
         monkeypatch.setattr(dsp, name, value)
@@ -222,3 +222,14 @@ def test_lines_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("got_lines").collect())) == want
+
+
+def test_views_on_wide_rows(spark):
+    """The look-up by position gives whole rows; a uid elsewhere in the mission excludes an index, one of another mission does not."""
+    rows = [("m", 1, "a", "h", 0, b"x"), ("m", 1, "a", "h", 9, b"y"), ("m", 2, "b", "h", 1, b"z"), ("m", 3, "b", "h", 2, b"z"), ("m", 4, "c", "h", 3, b"z"), ("m", 4, "c", "k", 4, b"z"), ("m", 5, None, None, 5, b"n"), ("m", 6, None, None, 6, b"n"), ("o", 1, "c", "h", 0, b"o")]
+    t = spark.createDataFrame(rows, "mission_id string, trace_index long, trace_uid string, hash string, record_position long, raw binary")
+    assert sorted((r.mission_id, r.trace_index, bytes(r.raw)) for r in views.logical(t).collect()) == [("m", 1, b"x"), ("m", 5, b"n"), ("m", 6, b"n"), ("o", 1, b"o")]
+    assert bytes(views.by_index(t, "m", 1).first().raw) == b"x" and views.by_index(t, "m", 5).count() == views.by_index(t, "o", 1).count() == 1
+    for index, why in ((2, "excluded"), (4, "excluded"), (7, "absent")):
+        with pytest.raises(LookupError, match=why):
+            views.by_index(t, "m", index)

@@ -94,17 +94,31 @@ def excluded_indices(traces: DataFrame) -> DataFrame:
 
 
 def logical(traces: DataFrame) -> DataFrame:
-    """The first committed row of every index that no conflict excludes."""
-    return index_view(traces).where("not excluded").select("row.*")
+    """The first committed row of every index that no conflict excludes.
+
+    Exclusion and first position are found on the keys alone; rows with more than those are then looked up by position, so samples are shuffled once at most and never sorted.
+    """
+    keys = ["mission_id", "trace_index", "trace_uid", "hash", "record_position"]
+    first = index_view(traces.select(*keys)).where("not excluded")
+    if set(traces.columns) <= set(keys):
+        return first.select(*(f"row.{c}" for c in traces.columns))
+    return traces.join(first.select("row.mission_id", "row.trace_index", "row.record_position"), ["mission_id", "trace_index", "record_position"], "left_semi")
 
 
 def by_index(traces: DataFrame, mission: str, index: int) -> DataFrame:
-    """One logical trace; an excluded index and an absent one raise."""
-    own = traces.where((F.col("mission_id") == mission) & (F.col("trace_index") == index))
-    row = logical(traces.where(F.col("mission_id") == mission)).where(F.col("trace_index") == index)
-    if row.isEmpty():
-        raise LookupError(f"trace {index} of {mission} is " + ("absent" if own.isEmpty() else "excluded by a conflict"))
-    return row
+    """One logical trace; an excluded index and an absent one raise.
+
+    The index's own rows are read by a pushed filter; of the rest of the mission only uids and indices are, to see whether one of these uids stands elsewhere.
+    """
+    of_mission = traces.where(F.col("mission_id") == mission)
+    own = of_mission.where(F.col("trace_index") == index)
+    rows, hashes = own.agg(F.count("*"), F.count_distinct(F.coalesce("hash", F.lit("")))).first()
+    if not rows:
+        raise LookupError(f"trace {index} of {mission} is absent")
+    elsewhere = of_mission.where(F.col("trace_index") != index).select("trace_uid").join(own.select("trace_uid").distinct(), "trace_uid", "left_semi")
+    if hashes > 1 or not elsewhere.isEmpty():
+        raise LookupError(f"trace {index} of {mission} is excluded by a conflict")
+    return own.orderBy("record_position").limit(1)
 
 
 def missing_ranges(traces: DataFrame) -> DataFrame:

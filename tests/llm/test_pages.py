@@ -42,7 +42,8 @@ def test_archives(spark, pages):
 def test_archive_form(spark, pages):
     manifest = warc.write_archives(pages.coalesce(1), Scratch(spark, "form"))
     (row,) = manifest.collect()
-    raw = fs.LocalFileSystem().open_input_stream(row.path).read()
+    store, place = fs.FileSystem.from_uri(row.path)
+    raw = store.open_input_stream(place).read()
     magic, size = struct.unpack("<II", raw[:8])
     assert magic == 0x184D2A5D and size > 0 and row.records == len(PAGES) and row.bytes == len(raw) - 8 - size
     d, at, n = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size])), 8 + size, 0
@@ -53,6 +54,16 @@ def test_archive_form(spark, pages):
     assert n == len(PAGES)
 
 
+def test_archives_lie_where_hadoop_says(spark, pages, tmp_path):
+    """A folder without scheme is one of the default file system, not of each executor's own disk."""
+    manifest = warc.write_archives(pages, Scratch(spark, "there"), folder=f"{tmp_path}/w")
+    assert all(r.path.startswith(f"file://{tmp_path}/w/") for r in manifest.collect())
+    assert warc.read_archives(manifest).count() == pages.count()
+    with pytest.raises(Exception, match="nowhere"):
+        warc._qualified(spark, "nowhere://host/w")
+    assert warc._qualified(spark, "/w") == "file:///w" and warc._qualified(spark, "file:/w") == "file:///w"
+
+
 def test_urls(spark, pages):
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_rules.url_verdicts(pages).collect()}
     assert {

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -82,8 +83,15 @@ def read_archive(file) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, content
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri)
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme and host of the file system that Hadoop's settings give it, so that all tasks open the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", uri)
 
 
 def _writer(folder: str, dictionary: bytes, date: str):
@@ -97,8 +105,8 @@ def _writer(folder: str, dictionary: bytes, date: str):
         for batch in batches:
             for page_id, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    path, n, size = f"{base}/{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = store.open_output_stream(path)
+                    name, n, size = f"{uuid.uuid4().hex}.warc.zst", 0, 0
+                    path, out = f"{folder}/{name}", store.open_output_stream(f"{base}/{name}")
                     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
                 frame = c.compress(record(page_id, url, html.encode(), digest, first, date))
                 out.write(frame)
@@ -116,7 +124,7 @@ def _writer(folder: str, dictionary: bytes, date: str):
 
 
 def write_archives(pages: DataFrame, scratch: Scratch, *, folder: str | None = None, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Write one record for each row of ``pages(page_id, url, html)``; returns the manifest (path, records, bytes).
+    """Write one record for each row of ``pages(page_id, url, html)``; returns the manifest (path with its scheme, records, bytes).
 
     ``folder`` is where the archives stay, any file system that Arrow knows; without it they go to the scratch folder.
 
@@ -133,19 +141,19 @@ def write_archives(pages: DataFrame, scratch: Scratch, *, folder: str | None = N
     sample = pages.where(F.col("page_id").isin(ids)).dropDuplicates(["page_id"]).collect() if ids else []
     sample.sort(key=lambda r: r.page_id)
     dictionary = build_dictionary([record(r.page_id, r.url, r.html.encode(), hashlib.sha256(r.html.encode()).hexdigest(), None, date) for r in sample])
-    folder = folder or scratch.path("warc")
+    folder = _qualified(scratch.spark, folder or scratch.path("warc"))
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
     return scratch.keep(rows.mapInArrow(_writer(folder, dictionary, date), "path string, records long, bytes long"), "manifest")
 
 
-def _reader(folder: str):
+def _reader():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = _open(folder)
         for batch in batches:
             for path, records in zip(batch["path"], batch["records"], strict=True):
                 rows, seen = [], 0
-                with store.open_input_stream(path) as file:
+                store, place = _open(path)
+                with store.open_input_stream(place) as file:
                     for head, content in read_archive(file):
                         at = content.index(b"\r\n\r\n") + 4
                         http = dict(x.split(": ", 1) for x in content[: at - 4].decode().split("\r\n")[1:])
@@ -172,10 +180,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of every record of the archives, verified."""
-    one = manifest.select("path").first()
-    folder = one.path.rsplit("/", 1)[0] if one else "/"
     rows = manifest.repartition(max(1, manifest.count()), "path")
-    return rows.mapInPandas(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return rows.mapInPandas(_reader(), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

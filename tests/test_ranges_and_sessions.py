@@ -158,6 +158,7 @@ def test_recovery_copies_the_committed_prefix(spark, tmp_path):
         sinks.recover(t, m(9), f"file://{tmp_path}/other")
     holes = sinks.inspect_partial(t.where("record_position <> 2"), m(4)).first()
     assert (holes.stored, holes.tail_rows, holes["last"], holes.missing_positions) == (5, 2, 5, 1)
+    assert tuple(sinks.inspect_partial(t.limit(0), m(4)).first()) == ("m", 0, 0, None, None)
 
 
 def test_attached_outputs_leave_raw_data_alone(spark, tmp_path):

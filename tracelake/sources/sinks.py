@@ -80,10 +80,10 @@ def recover(traces: DataFrame, missions: DataFrame, path: str) -> None:
 
 
 def inspect_partial(traces: DataFrame, missions: DataFrame) -> DataFrame:
-    """Per mission of an unfinished table: stored rows, rows of the tail, last position, positions that are missing below it."""
-    have = traces.groupBy("mission_id").agg(F.count("*").alias("stored"), F.max("record_position").alias("last"), F.count_distinct("record_position").alias("_n"))
-    tail = traces.join(missions.select("mission_id", "committed_record_count"), "mission_id").groupBy("mission_id").agg(F.count_if(F.col("record_position") >= F.col("committed_record_count")).alias("tail_rows"))
-    return have.join(tail, "mission_id").select("mission_id", "stored", "tail_rows", "last", (F.col("last") + 1 - F.col("_n")).alias("missing_positions"))
+    """Per mission of an unfinished table: stored rows, rows of the tail, last position, positions that are missing below it; a mission without rows has none of them."""
+    have = missions.select("mission_id", "committed_record_count").join(traces.select("mission_id", "record_position"), "mission_id", "left").groupBy("mission_id")
+    got = have.agg(F.count("record_position").alias("stored"), F.count_if(F.col("record_position") >= F.col("committed_record_count")).alias("tail_rows"), F.max("record_position").alias("last"), F.count_distinct("record_position").alias("_n"))
+    return got.select("mission_id", "stored", "tail_rows", "last", (F.col("last") + 1 - F.col("_n")).alias("missing_positions"))
 
 
 def manifest(rows: DataFrame, key: str, content: str) -> DataFrame:

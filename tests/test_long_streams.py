@@ -41,7 +41,7 @@ def test_packets_in_ranges(spark):
     df = dealt(spark, streams, rng)
     want = sorted((s, n, k, p) for s, x in streams.items() for n, (k, p) in enumerate(frames.split_packets(x)[0]))
     assert len(want) > 25
-    for size in (4096, 5000, 16_384, 1 << 22):
+    for size in (4096, 16_384):
         got = sorted((r.stream, r.n, r.kind, bytes(r.payload)) for r in frames.packets(df, size).collect())
         assert got == want
 
@@ -109,7 +109,7 @@ def test_frames_in_ranges(spark):
                 at, seq, first = at + size, seq + 1, False
     rng.shuffle(rows)
     df = spark.createDataFrame([*rows, (None, 1, b"x", False)], "stream long, seq long, data binary, reset boolean").repartition(3)
-    for size in (64, 700, 1 << 23):
+    for size in (300, 1 << 23):
         got = [(r.stream, r.n, r.kind, r.header, None if r.payload is None else bytes(r.payload), r.error) for r in protocol.frames(df, MAGIC, range_bytes=size).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
 

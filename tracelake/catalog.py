@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import schemas
 from .functions import codecs, nmea
 from .functions import complexes as C
 from .functions import scalars as S
 from .operators import constraints, match, reconcile, timing
 from .plans import capture, chain, dsp, provenance, reuse
 from .sources import projections as P
-from .sources import legacy, sinks, snapshots, views
+from .sources import legacy, sinks, snapshots, tracefiles, views
+from .sources.checkpoints import shared_dir
 from .streaming import frames, ingest, protocol
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +74,31 @@ def a5(spark, d):
     return views.by_index(air, mission, 12).select("mission_id", "trace_index", "hash")
 
 
+def _published(spark, d):
+    """The air side as a published table in the shared folder."""
+    rows = schemas.completed(P.side(spark, d, "air"), "traces")
+    return tracefiles.publish(rows, f"{shared_dir(spark)}/published-{uuid.uuid4().hex}", role="air")
+
+
+@_query("A1_published_scan", f"WITH {_AIR}, {_AIRX} SELECT mission_id, trace_index, trace_uid, hash, record_position, latitude, record_position = min(record_position) OVER (PARTITION BY mission_id, trace_index) AS first, (mission_id, trace_index) IN (SELECT (mission_id, trace_index) FROM air_x) AS excluded FROM air")
+def a1(spark, d):
+    return tracefiles.open_table(spark, _published(spark, d), columns=["mission_id", "trace_index", "trace_uid", "hash", "record_position", "latitude", "first", "excluded"])
+
+
+@_query("A4_published_logical_view", f"WITH {_AIR}, {_AIRX} SELECT mission_id, trace_index, trace_uid, hash, record_position FROM air_l WHERE trace_index BETWEEN 500 AND 20000")
+def a4_published(spark, d):
+    """A range of the logical view; the range reaches the reader."""
+    rows = tracefiles.logical(tracefiles.open_table(spark, _published(spark, d))).where("trace_index between 500 and 20000")
+    return rows.select("mission_id", "trace_index", "trace_uid", "hash", "record_position")
+
+
+@_query("A5_published_lookup", f"WITH {_AIR}, {_AIRX} SELECT mission_id, trace_index, hash FROM air_l WHERE trace_index = 12 AND mission_id = (SELECT mission_id FROM air WHERE trace_index = 12 LIMIT 1)")
+def a5_published(spark, d):
+    path = _published(spark, d)
+    mission = tracefiles.open_table(spark, path, columns=["mission_id", "trace_index"]).where("trace_index = 12").first()[0]
+    return tracefiles.lookup(spark, path, mission, 12, ["mission_id", "trace_index", "hash"])
+
+
 def _checks():
     return {"priced": F.col("o_totalprice") > 1000, "dated": F.col("o_orderdate").isNotNull(), "ranked": F.col("o_orderpriority").rlike("^[1-3]-")}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _COMPLEX = "struct<re: double, im: double>"
@@ -36,6 +37,11 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return table.select(*schema(name).fieldNames())
 
 
+def completed(df: DataFrame, name: str) -> DataFrame:
+    """The contract's columns; those that ``df`` lacks are null, others of its own are left out."""
+    return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name)))
+
+
 def probe(have: T.StructType) -> str | None:
     """The table whose contract a schema meets, None where none or several do."""
     fits = [name for name in _DDL if not contract_violations(have, name)]

@@ -18,7 +18,7 @@ from .plans import capture, chain, dsp, provenance, reuse
 from .sources import projections as P
 from .sources import legacy, sinks, snapshots, tracefiles, views
 from .sources.checkpoints import shared_dir
-from .streaming import frames, ingest, protocol
+from .streaming import frames, ingest, protocol, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -416,6 +416,12 @@ def a21_paced(spark, d):
     return timing.paced(s, "accelerated", 4.0).select(F.col("mission_id").alias("domain"), F.col("trace_index").alias("sweep_id"), "gap_ns")
 
 
+@_query("A21_due_times", f"WITH {P.EVENTS_SQL}, g AS (SELECT domain, sweep_id, coalesce(greatest(0, started_ns - lag(started_ns) OVER (PARTITION BY domain ORDER BY sweep_id)), 0) AS gap FROM sweeps) SELECT domain, sweep_id, CAST(sum(gap) OVER (PARTITION BY domain ORDER BY sweep_id) AS BIGINT) AS due_ns FROM g")
+def a21_due(spark, d):
+    s = P.sweeps(spark, d).select(F.col("domain").alias("mission_id"), F.col("sweep_id").alias("trace_index"), F.col("started_ns").alias("at_ns"))
+    return replay.due(s).select(F.col("mission_id").alias("domain"), F.col("trace_index").alias("sweep_id"), "due_ns")
+
+
 _HISTORY = "h AS (SELECT o_custkey AS dataset_id, o_orderkey AS ordinal, CASE o_orderkey % 3 WHEN 0 THEN 'calibration' WHEN 1 THEN 'ifft' ELSE 'dewow' END AS stage, CASE o_orderkey % 3 WHEN 0 THEN 'frequency_raw' WHEN 1 THEN 'frequency_calibrated' ELSE 'time_base' END AS source, CASE o_orderkey % 3 WHEN 0 THEN 'frequency_calibrated' WHEN 1 THEN 'time_base' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'frequency_raw' ELSE 'time_processed' END END AS target FROM orders)"
 
 

@@ -64,7 +64,7 @@ def publish(traces: DataFrame, path: str, *, role: str, lifecycle: str = "comple
     chunk = F.floor(F.col("trace_index") / chunk_rows)
     rows = rows.join(flags, ["mission_id", "trace_index"]).select(*rows.columns, (F.col("record_position") == F.col("_first")).alias("first"), "excluded", F.col("mission_id").alias("_mission"), chunk.alias("_chunk"))
     rows.repartition("_mission", "_chunk").sortWithinPartitions("_mission", "_chunk", "trace_index", "record_position").write.partitionBy("_mission", "_chunk").mode("error").parquet(f"{root}/chunks")
-    fs, hadoop = _fs(spark, root)
+    fs, hadoop = hadoop_fs(spark, root)
     stored = 0
     if any(s.isDirectory() for s in fs.listStatus(hadoop(f"{root}/chunks"))):
         written = spark.read.schema("mission_id string, trace_index long").parquet(f"{root}/chunks")
@@ -79,12 +79,12 @@ def publish(traces: DataFrame, path: str, *, role: str, lifecycle: str = "comple
     return root
 
 
-def _fs(spark: SparkSession, root: str):
+def hadoop_fs(spark: SparkSession, root: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     return hadoop(root).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def _arrow(path: str):
+def arrow_path(path: str):
     """pyarrow's file system of a path, which isn't encoded as a URI is, and the path in it."""
     from pyarrow import fs
 
@@ -98,7 +98,7 @@ def _arrow(path: str):
 
 def probe(path: str) -> dict:
     """The header of a table, checked; what is wrong raises ``Unreadable``."""
-    fs, root = _arrow(path)
+    fs, root = arrow_path(path)
     try:
         with fs.open_input_stream(f"{root}/header.json") as f:
             header = json.loads(f.read())
@@ -181,7 +181,7 @@ class TraceReader(DataSourceReader):
 
         if not self.rows:
             return [Chunks([])]
-        fs, root = _arrow(self.path)
+        fs, root = arrow_path(self.path)
         index = ds.dataset(f"{root}/index", filesystem=fs, format="parquet", exclude_invalid_files=False)
         counted = sum(b["rows"].to_numpy().sum() for b in index.to_batches(columns=["rows"]))
         if counted != self.rows:
@@ -202,7 +202,7 @@ class TraceReader(DataSourceReader):
 
         want = to_arrow_schema(self.schema)
         for file in partition.files:
-            fs, path = _arrow(file)
+            fs, path = arrow_path(file)
             chunk = ds.dataset(path, filesystem=fs, format="parquet")
             if lacking := [n for n in want.names if n not in chunk.schema.names]:
                 raise Unreadable(f"{file} lacks {', '.join(lacking)}")

@@ -18,7 +18,7 @@ from .plans import capture, chain, dsp, provenance, reuse
 from .sources import projections as P
 from .sources import legacy, sinks, snapshots, tracefiles, views
 from .sources.checkpoints import shared_dir
-from .streaming import frames, ingest, protocol, replay
+from .streaming import frames, ingest, messages, protocol, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -328,6 +328,14 @@ def d6(spark, d):
     return m.select("user_id", "n", "errors", *(micro(F.col(c)).alias(c) for c in ("error_rate", "mean", "max", "p50", "p95", "p99")))
 
 
+@_query("D6_percentiles_of_large_groups", f"WITH g AS (SELECT event_type, round(value * 100) / 100 AS v FROM events UNION ALL SELECT 'all', round(value * 100) / 100 FROM events) SELECT event_type, count(v) AS n, {_m('quantile_cont(v, 0.5)')} AS p50, {_m('quantile_cont(v, 0.95)')} AS p95, {_m('quantile_cont(v, 0.99)')} AS p99 FROM g GROUP BY 1")
+def d6_large(spark, d):
+    """One group of all rows and one for each type."""
+    e = P.table(spark, d, "events").select(F.explode(F.array("event_type", F.lit("all"))).alias("event_type"), (F.round(F.col("value") * 100) / 100).alias("v"))
+    got = timing.percentiles_of_large_groups(e, "event_type", "v", (0.5, 0.95, 0.99))
+    return got.select("event_type", "n", *(micro(F.get("percentiles", F.lit(i))).alias(c) for i, c in enumerate(("p50", "p95", "p99"))))
+
+
 def _digest_sql(rows: str, by: str = "") -> str:
     """Columns ``rows`` and ``digest`` of digests ``d`` of a CTE: sums of 16 bits each, carries from the last one up."""
     group = f" GROUP BY {by}" if by else ""
@@ -1063,6 +1071,30 @@ def j11(spark, d):
     return got.select("stream", F.col("n").cast("int").alias("n"), "kind", "header", F.col("payload").cast("string").alias("payload"), "error")
 
 
+_BROKEN = ((11, "trace_index", "value"), (13, "result", "value"), (17, "mission_id", "missing"), (19, "raw_trace_sha256", "value"), (23, "received_utc", "value"))
+
+
+def _acknowledgements(spark, d):
+    """An acknowledgement for each order; of every 11th, 13th, 17th, 19th and 23rd key one field is wrong."""
+    k, uuid_of = F.col("o_orderkey"), lambda c: F.regexp_replace(F.md5(c.cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    broken = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    results, sha = F.array(*map(F.lit, messages.RESULTS)), F.sha2(k.cast("string"), 256)
+    fields = {"mission_id": broken(17, F.lit(None), uuid_of(F.col("o_custkey"))), "trace_uid": uuid_of(k), "trace_index": broken(11, -k - 1, k), "raw_trace_sha256": broken(19, F.upper(sha), sha), "result": broken(13, F.lit("lost"), F.get(results, (k % 4).cast("int"))), "received_utc": F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00"), broken(23, F.lit(""), F.lit("Z")))}
+    frames_ = P.table(spark, d, "orders").select(k.alias("n"), F.lit("ack").alias("kind"), F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("header"))
+    return messages.check(frames_, trace_domain="t", inventory_domain="i")
+
+
+@_query("J12_header_violations", " UNION ALL ".join(f"SELECT o_orderkey AS n, 'ack' AS kind, '{f}' AS field, '{p}' AS problem FROM orders WHERE o_orderkey % {m} = 0" for m, f, p in _BROKEN))
+def j12_violations(spark, d):
+    return messages.violations(_acknowledgements(spark, d))
+
+
+@_query("J12_typed_headers", f"SELECT o_orderkey AS n, o_orderkey AS trace_index, md5(CAST(o_custkey AS VARCHAR)) AS mission, CASE o_orderkey % 4 WHEN 0 THEN 'persisted' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'rejected' ELSE 'conflict' END AS result, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) // 1000 AS received_s FROM orders WHERE {' AND '.join(f'o_orderkey % {m} <> 0' for m, _, _ in _BROKEN)}")
+def j12_typed(spark, d):
+    acks = messages.of_kind(_acknowledgements(spark, d), "ack")
+    return acks.select("n", "h.trace_index", F.replace("h.mission_id", F.lit("-"), F.lit("")).alias("mission"), "h.result", F.unix_seconds("h.received_utc").alias("received_s"))
+
+
 @_query("J12_message_kinds", "SELECT p_partkey, CASE p_size % 10 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in protocol.KINDS.items()) + " END AS kind FROM part")
 def j12(spark, d):
     return P.table(spark, d, "part").select("p_partkey", protocol.kind_name(F.col("p_size") % 10).alias("kind"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import cut
 from ..sources.ordered import bucket, of_bucket, with_previous
 
 #: What one window may span: a day of a clock, a million traces of a mission.
@@ -66,3 +67,30 @@ def latency_metrics(rows: DataFrame, key: str, value: str, failed: str) -> DataF
     p = F.percentile(ok, [0.5, 0.95, 0.99])
     out = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("errors"), F.avg(ok).alias("mean"), F.max(ok).alias("max"), p.alias("_p"))
     return out.select(key, "n", "errors", (F.col("errors") / F.col("n")).alias("error_rate"), "mean", "max", *(F.get("_p", F.lit(i)).alias(f"p{q}") for i, q in enumerate((50, 95, 99))))
+
+
+def percentiles_of_large_groups(rows: DataFrame, key: str, value: str, quantiles: tuple[float, ...], *, ranges: int | None = None) -> DataFrame:
+    """``(key, n, percentiles)``: exact linear percentiles of groups that no task could hold.
+
+    Equal values are counted first, then parted into ranges of (key, value); a range's place in its group is the
+    sum of the ranges before it, and only the values at the asked ranks leave their range. Null values don't count, a group without values has no row;
+    NaN is above all numbers; a null key is a group. ``ranges`` is the number of ranges, that of the shuffle partitions by default.
+    """
+    if not quantiles or not all(0 <= q <= 1 for q in quantiles):
+        raise ValueError("quantiles lie between 0 and 1")
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.struct(F.col(key)).alias("_key"), F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    # written, so that a range stays the same when a task runs again
+    placed = cut(counted.repartitionByRange(n, "_key", "_value").withColumn("_range", F.spark_partition_id()))
+    of_group = Window.partitionBy("_key")
+    sums = placed.groupBy("_key", "_range").agg(F.sum("_n").alias("_sum"))
+    sums = sums.select("_key", "_range", F.sum("_sum").over(of_group).alias("_total"), (F.sum("_sum").over(of_group.orderBy("_range")) - F.col("_sum")).alias("_before"))
+    position = lambda q: F.lit(float(q)) * (F.col("_total") - 1)
+    asked = F.array(*(F.struct(F.lit(i).alias("i"), position(q).alias("at"), edge(position(q)).cast("long").alias("rank")) for i, q in enumerate(quantiles) for edge in (F.floor, F.ceil)))
+    up_to = F.sum("_n").over(Window.partitionBy("_key", "_range").orderBy("_value"))
+    found = placed.withColumn("_end", up_to).join(sums, ["_key", "_range"]).withColumn("_end", F.col("_end") + F.col("_before"))
+    found = found.select("_key", "_total", "_value", F.explode(F.filter(F.array_distinct(asked), lambda x: (x["rank"] < F.col("_end")) & (x["rank"] >= F.col("_end") - F.col("_n")))).alias("x"))
+    low, high, part = F.min_by("_value", "x.rank"), F.max_by("_value", "x.rank"), F.first("x.at") - F.floor(F.first("x.at"))
+    each = found.groupBy("_key", "_total", "x.i").agg(F.when(part == 0, low).otherwise((1 - part) * low + part * high).alias("p"))
+    out = each.groupBy("_key", "_total").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("_p"))
+    return out.select(F.col(f"_key.{key}").alias(key), F.col("_total").alias("n"), F.col("_p.p").alias("percentiles"))

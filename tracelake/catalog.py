@@ -14,7 +14,7 @@ from .functions import codecs, nmea
 from .functions import complexes as C
 from .functions import scalars as S
 from .operators import constraints, match, reconcile, timing
-from .plans import capture, chain, dsp, provenance, reuse
+from .plans import binding, capture, chain, dsp, provenance, reuse
 from .sources import projections as P
 from .sources import legacy, sinks, snapshots, tracefiles, views
 from .sources.checkpoints import shared_dir
@@ -253,6 +253,21 @@ def c5(spark, d):
     return dsp.bound(s, dsp.coherent_mean(s), "re", "im").select("trace_id", "channel", F.size("terms").cast("long").alias("points"))
 
 
+@_query("C5_contract_mismatches", """WITH have AS (SELECT c_custkey AS channel, c_custkey * 2 AS position, 'S11' AS s_parameter, c_acctbal AS f FROM customer WHERE c_custkey % 13 <> 0),
+want AS (SELECT c_custkey AS channel, c_custkey * 2 + CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END AS position, CASE WHEN c_custkey % 11 = 0 THEN 'S22' ELSE 'S11' END AS s_parameter, c_acctbal + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS f FROM customer WHERE c_custkey % 19 <> 0)
+SELECT coalesce(have.channel, want.channel) AS channel, CASE WHEN have.channel IS NULL THEN 'missing' WHEN want.channel IS NULL THEN 'unbound' WHEN have.position <> want.position THEN 'position' WHEN have.s_parameter <> want.s_parameter THEN 's_parameter' ELSE 'axis' END AS problem
+FROM have FULL JOIN want ON have.channel = want.channel WHERE have.channel IS NULL OR want.channel IS NULL OR have.position <> want.position OR have.s_parameter <> want.s_parameter OR have.f <> want.f""")
+def c5_mismatches(spark, d):
+    """Contracts of a channel for each customer, of which the reference's differ at fixed moduli."""
+    k, f = F.col("c_custkey"), F.col("c_acctbal").cast("double")
+    off = lambda n, yes, no: F.when(k % n == 0, yes).otherwise(no)
+    axis = lambda x: F.array(x, x + 1, x + 2)
+    c = P.table(spark, d, "customer")
+    have = c.where(k % 13 != 0).select(k.alias("channel"), (k * 2).alias("position"), F.lit("S11").alias("s_parameter"), axis(f).alias("axis"))
+    want = c.where(k % 19 != 0).select(k.alias("channel"), (k * 2 + off(17, 1, 0)).alias("position"), off(11, F.lit("S22"), F.lit("S11")).alias("s_parameter"), axis(f + off(7, 1, 0)).alias("axis"))
+    return binding.mismatches(have, want)
+
+
 @_query("C7_last_before", f"""WITH {P.EVENTS_SQL}, r AS (SELECT domain, event_id AS id, at FROM ev WHERE event_type = 'purchase'), o AS (SELECT domain, at, max(CAST(event_id AS VARCHAR)) AS v FROM ev WHERE event_type = 'view' GROUP BY 1, 2)
 SELECT r.domain, r.id, CASE WHEN r.at - o.at <= 60 * {_BIG} THEN o.v END AS view_id FROM r ASOF LEFT JOIN o ON r.domain = o.domain AND r.at >= o.at""")
 def c7(spark, d):

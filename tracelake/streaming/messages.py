@@ -126,7 +126,8 @@ def check(frames: DataFrame, *, trace_domain: str, inventory_domain: str) -> Dat
 def violations(checked: DataFrame) -> DataFrame:
     """A row for each violation: the columns but the header and payload, ``field`` and ``problem``."""
     kept = [c for c in checked.columns if c not in ("header", "payload", "violations")]
-    rows = checked.select(*kept, F.explode("violations").alias("_x"))
+    # the outer form: of an inner one Spark makes filters, and the rules would run for each of them again
+    rows = checked.select(*kept, F.explode_outer("violations").alias("_x")).where("_x is not null")
     return rows.select(*kept, F.substring_index("_x", ": ", 1).alias("field"), F.substring_index("_x", ": ", -1).alias("problem"))
 
 

@@ -31,3 +31,17 @@ def test_empty_tables_infinities_and_refusals(spark):
     for bad in ((), (1.1,), (-0.1,)):
         with pytest.raises(ValueError):
             timing.percentiles_of_large_groups(df, "k", "v", bad)
+
+
+def test_a_mean_does_not_hang_on_the_order_of_rows(spark):
+    """64 values in hundredths whose mean lies halfway between two millionths: added up in doubles it comes out on either side."""
+    rng = random.Random(7)
+    cents = [rng.randrange(1, 40_000) for _ in range(63)]
+    cents.append(next(c for c in range(1, 40_000) if (sum(cents) + c) % 64 == 30))
+    want = sum(cents) / 100 / 64
+    assert {float(np.cumsum(rng.sample([c / 100 for c in cents], 64))[-1]) / 64 for _ in range(50)} > {want}
+    orders = [rng.sample(cents, 64) for _ in range(50)]
+    rows = [(k, c / 100, False) for k, order in enumerate(orders) for c in order] + [(k, 1e9, True) for k in range(50)] + [(50, v, False) for v in (1e300, 1e-300, 2.0)] + [(51, float("nan"), False), (51, 1.0, False), (52, None, False), (53, 5.0, True)]
+    got = {r.k: r for r in timing.latency_metrics(spark.createDataFrame(rows, "k long, v double, failed boolean").coalesce(1), "k", "v", "failed").collect()}
+    assert {got[k].mean for k in range(50)} == {want}
+    assert got[50].mean == pytest.approx(1e300 / 3) and np.isnan(got[51].mean) and got[52].mean is None and got[53].mean is None

@@ -54,6 +54,18 @@ def test_nearest_fix_ties_and_thresholds(spark):
         nearest_fix(s, f, stale_after_s=5, window_s=1)
 
 
+def test_nearest_fix_of_a_crowded_bucket(spark):
+    """One bucket holds all rows; no frame runs from a row to the end of it, which would cost the square of its rows."""
+    rng = np.random.default_rng(5)
+    at, fixed = rng.integers(0, 40_000, 3000), np.unique(rng.integers(0, 40_000, 2000))
+    s = spark.createDataFrame([(1, i, t, t) for i, t in enumerate(at.tolist())], "domain long, sweep_id long, started_ns long, finished_ns long")
+    f = spark.createDataFrame([(1, t, t, t, True) for t in fixed.tolist()], "domain long, fix_id long, received_ns long, seq long, valid boolean")
+    df = nearest_fix(s, f, stale_after_s=15, window_s=80)
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r.sweep_id: r.fix_id for r in df.collect()}
+    assert got == {i: int(fixed[np.argmin(np.abs(fixed - t))]) for i, t in enumerate(at.tolist())}
+
+
 @pytest.mark.parametrize(("window", "block", "chunk", "ids"), [(5, 8, 4, 10), (31, 8, 100, 7), (37, 4, 1, 1000), (3, 512, 256, 1)])
 def test_flat_reflection_in_blocks(spark, monkeypatch, window, block, chunk, ids):
     for name, value in (("BLOCK_TRACES", block), ("CHUNK_SAMPLES", chunk), ("ID_RANGE", ids)):

@@ -33,14 +33,16 @@ def nearest_fix(sweeps: DataFrame, fixes: DataFrame, *, stale_after_s: float, wi
     # the last fix before and the first after a bucket stand in for all that lie beyond it
     ends = first.groupBy("domain", bucket.alias("bucket")).agg(F.min(F.struct("at", "fix_id", "valid")).alias("lo"), F.max(F.struct("at", "fix_id", "valid")).alias("hi"))
     buckets = s.select("domain", bucket.alias("bucket")).distinct().join(ends, ["domain", "bucket"], "full_outer")
-    w = Window.partitionBy("domain").orderBy("bucket")
-    edge = buckets.select("domain", "bucket", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    # what follows is found backwards: a frame that runs from each row to the end costs Spark the square of the rows
+    forth, back = (Window.partitionBy("domain").orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.col("bucket").asc(), F.col("bucket").desc()))
+    edge = buckets.select("domain", "bucket", F.last("hi", True).over(forth).alias("before"), F.last("lo", True).over(back).alias("after"))
     extra = edge.select("domain", "bucket", F.explode(F.array_compact(F.array("before", "after"))).alias("f")).select("domain", "bucket", "f.*")
     fix = first.withColumn("bucket", bucket).unionByName(extra).select("domain", "bucket", "at", F.struct("at", "fix_id", "valid").alias("fix"), F.lit(None).cast("long").alias("sweep_id"), F.lit(0).alias("is_sweep"), F.lit(None).cast("long").alias("started_ns"), F.lit(None).cast("long").alias("finished_ns"))
     sweep = s.select("domain", bucket.alias("bucket"), "at", F.lit(None).cast("struct<at: bigint, fix_id: bigint, valid: boolean>").alias("fix"), "sweep_id", F.lit(1).alias("is_sweep"), "started_ns", "finished_ns")
-    o = Window.partitionBy("domain", "bucket").orderBy("at", "is_sweep")
+    o = Window.partitionBy("domain", "bucket")
+    forth, back = (o.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("at", "is_sweep"), (F.col("at").desc(), F.col("is_sweep").desc())))
     both = fix.unionByName(sweep)
-    both = both.withColumn("prev", F.last("fix", True).over(o.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first("fix", True).over(o.rowsBetween(0, Window.unboundedFollowing))).where("is_sweep = 1")
+    both = both.withColumn("prev", F.last("fix", True).over(forth)).withColumn("next", F.last("fix", True).over(back)).where("is_sweep = 1")
     d0, d1 = F.col("at") - F.col("prev.at"), F.col("next.at") - F.col("at")
     best = F.when(d1.isNull() | (d0 <= d1), F.col("prev")).otherwise(F.col("next"))
     df = both.withColumn("best", best).withColumn("distance_ns", F.abs(F.col("best.at") - F.col("at")))

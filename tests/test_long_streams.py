@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,22 @@ def test_sweeps_timeouts_and_health_however_cut(spark, monkeypatch):
                         ended |= x[3] != expect or expect == 3
                         expect += 1
     assert sorted(tuple(r) for r in frames.sweep_timeouts(df, 4, 25).collect()) == sorted(want)
+
+
+def test_many_short_ranges_pass_one_task_and_keep_their_own_bytes_and_entries(spark, monkeypatch):
+    """Ranges are told apart within a task; no group of Spark's own, which costs milliseconds, for each of them."""
+    monkeypatch.setattr(segments, "ROWS_OUT", 7)
+    rows = [(s, r, at, bytes([s % 251, r, at])) for s in range(400) for r in range(2) for at in range(s % 3 + 1)]
+    random.Random(3).shuffle(rows)
+    pieces = spark.createDataFrame(rows, "stream long, r long, start long, data binary").withColumn("length", F.col("stream") + 5)
+    entered = spark.createDataFrame([(s, 1, s + 1) for s in range(0, 400, 2)], "stream long, r long, entry long")
+    fields = {"entry": ("long", pa.int64()), "length": ("long", pa.int64()), "data": ("binary", pa.binary())}
+
+    def read(r, data, entry, length):
+        return [] if length == 10 else [(entry, length, data)] * (2 if length == 11 else 1)
+
+    df = segments.each_range(pieces, entered, ["stream"], read, fields, ("length",))
+    assert "CoGroup" not in df._jdf.queryExecution().optimizedPlan().toString() and df.columns == ["stream", "r", "entry", "length", "data"]
+    want = [(s, r, s + 1 if r == 1 and s % 2 == 0 else 0, s + 5, b"".join(bytes([s % 251, r, at]) for at in range(s % 3 + 1))) for s in range(400) if s != 5 for r in range(2) for _ in range(2 if s == 6 else 1)]
+    assert sorted((x.stream, x.r, x.entry, x.length, bytes(x.data)) for x in df.collect()) == want
+    assert segments.each_range(pieces.limit(0), entered.limit(0), ["stream"], read, fields, ("length",)).count() == 0

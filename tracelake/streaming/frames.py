@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.checkpoints import cut
 from ..sources.ordered import running
-from .segments import byte_ranges, entries, joined, numbered
+from .segments import byte_ranges, each_range, entries, joined, numbered
 
 #: Framing (fixed values): first byte, least and largest length, type without checksum.
 HEADER, LEAST, MOST, DATAPOINT = 0x5A, 8, 4096, 27
@@ -94,16 +94,13 @@ def packets(chunks: DataFrame, range_bytes: int | None = None) -> DataFrame:
     def pass_(t: pa.Table) -> pa.Table:
         return pa.table({"stream": t["stream"][:1], "r": t["r"][:1], "f": pa.array([passage(joined(t), size).tobytes()], pa.binary())})
 
-    def read(t: pa.Table, at: pa.Table) -> pa.Table:
-        got, _ = packets_from(data := joined(t), at["entry"][0].as_py() if at.num_rows else 0, min(size, len(data)))
-        m = len(got)
-        same = lambda c: pa.array([t[c][0].as_py()] * m, pa.int64())
-        return pa.table({"stream": same("stream"), "r": same("r"), "i": pa.array(range(m), pa.int64()), "kind": pa.array([k for k, _ in got], pa.int32()), "payload": pa.array([p for _, p in got], pa.binary())})
+    def read(r: int, data: bytes, entry: int) -> list[tuple]:
+        return [(i, *p) for i, p in enumerate(packets_from(data, entry, min(size, len(data)))[0])]
 
     functions = cut(pieces.join(long, "stream", "left_semi").groupBy("stream", "r").applyInArrow(pass_, "stream long, r long, f binary"))
     view = lambda f: np.frombuffer(f, np.int16)
     at = entries(functions, ["stream"], lambda f, g: view(g)[view(f)].tobytes(), lambda f, e: int(view(f)[e]))
-    rows = pieces.groupBy("stream", "r").cogroup(at.groupBy("stream", "r")).applyInArrow(read, "stream long, r long, i long, kind int, payload binary")
+    rows = each_range(pieces, at, ["stream"], read, {"i": ("long", pa.int64()), "kind": ("int", pa.int32()), "payload": ("binary", pa.binary())})
     return numbered(cut(rows), ["stream"]).select("stream", "n", "kind", "payload")
 
 

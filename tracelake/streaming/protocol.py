@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs import canonical_json, parse_strict
 from ..sources.checkpoints import cut
 from ..sources.ordered import running
-from .segments import CHUNKS, byte_ranges, entries, joined
+from .segments import CHUNKS, byte_ranges, each_range, entries, joined
 
 #: Message kinds by code, and the greatest lengths of header and payload (fixed values).
 KINDS = {1: "hello", 2: "status", 3: "command", 4: "mission", 5: "trace", 6: "ack", 7: "inventory", 8: "error"}
@@ -155,12 +155,11 @@ def frames(chunks: DataFrame, magic: bytes, major: int = 1, range_bytes: int | N
         keys = np.array(sorted(to), np.int64)
         return pa.table({"stream": t["stream"][:1], "part": t["part"][:1], "r": t["r"][:1], "f": pa.array([_pack(size, keys, np.array([to[k] for k in keys.tolist()], np.int64))], pa.binary())})
 
-    schema = "stream long, part long, r long, i long, kind string, header string, error string, ends long, body long, whole boolean, payload binary"
+    text, number = ("string", pa.string()), ("long", pa.int64())
+    fields = {"i": number, "kind": text, "header": text, "error": text, "ends": number, "body": number, "whole": ("boolean", pa.bool_()), "payload": ("binary", pa.binary())}
 
-    def read(t: pa.Table, entered: pa.Table) -> pa.Table:
-        stream, part, r = (t[c][0].as_py() for c in ("stream", "part", "r"))
-        data, left, base = joined(t), t["length"][0].as_py() - r * size, r * size
-        at = entered["entry"][0].as_py() if entered.num_rows else 0
+    def read(r: int, data: bytes, at: int, length: int) -> list[tuple]:
+        left, base = length - r * size, r * size
         rows, i = [], 0
         if at > 0:  # the rest of a frame that an earlier range began
             rows.append((-1, None, None, None, base + at, base, False, data[: min(at, size)]))
@@ -173,15 +172,12 @@ def frames(chunks: DataFrame, magic: bytes, major: int = 1, range_bytes: int | N
             body = at + PREFIX + len(header)
             rows.append((i, KINDS[int.from_bytes(data[at + 6 : at + 8], "big")], header, None, base + end, base + body, end <= size, data[body : min(end, max(size, body))]))
             at, i = end, i + 1
-        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
-        same = [pa.array([x] * len(rows), pa.int64()) for x in (stream, part, r)]
-        return pa.table([*same, *(pa.array(c, ty) for c, ty in zip(columns, types, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
+        return rows
 
     long = pieces.where(F.col("r") > 0).select(*key).distinct()
     functions = cut(pieces.join(long, key, "left_semi").groupBy(*key, "r").applyInArrow(leads, "stream long, part long, r long, f binary"))
     at = entries(functions, key, _composed, lambda f, e: int(_applied(f, np.array([e]))[0]))
-    rows = cut(pieces.groupBy(*key, "r").cogroup(at.groupBy(*key, "r")).applyInArrow(read, schema))
+    rows = cut(each_range(pieces, at, key, read, fields, ("length",)))
     # a frame over several ranges: what each of them holds of it, less what of its header lies there
     whole, parts = rows.where("i >= 0"), rows.where("not whole").select(*key, "ends", F.struct("r", "i", F.col("body").alias("from"), "payload").alias("x"))
     met = parts.groupBy(*key, "ends").agg(F.array_sort(F.collect_list("x")).alias("parts"))

@@ -8,7 +8,7 @@ more than a range or the functions of one group, however long a stream is.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -20,6 +20,8 @@ from ..sources.ordered import bucket, running
 
 #: Functions that one task composes, and chunks that one task counts the bytes of.
 FAN, CHUNKS = 64, 100_000
+#: Rows that ``each_range`` hands on at once, after a whole range.
+ROWS_OUT = 10_000
 
 
 def byte_ranges(chunks: DataFrame, key: list[str], size: int, halo: int) -> DataFrame:
@@ -70,6 +72,55 @@ def entries(functions: DataFrame, key: list[str], compose: Callable[[bytes, byte
     return at
 
 
+def each_range(pieces: DataFrame, entered: DataFrame, key: list[str], read: Callable[..., list[tuple]], fields: dict[str, tuple[str, pa.DataType]], more: tuple[str, ...] = ()) -> DataFrame:
+    """``(*key, r, *fields)``: the rows that ``read(r, data, entry, *more)`` gives for each range, by its pieces and its entry, 0 where there is none.
+
+    Ranges are told apart as they come by, one in memory at a time: most streams are short, and a group of Spark's own for
+    each would take longer than to read it. ``fields`` are types by name, Spark's and Arrow's; ``more`` are columns that are equal in all pieces.
+    """
+    types, same = {f.name: f.dataType.simpleString() for f in pieces.schema}, [*key, "r"]
+    ways_in = entered.select(*same, F.lit(-1).cast("long").alias("start"), "entry")
+    rows = pieces.select(*same, "start", "data", *more).unionByName(ways_in, allowMissingColumns=True).select(*same, "start", "data", "entry", *more)
+    n = len(same)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, out, held, at, data, entry, rest = [], [], 0, None, [], 0, ()
+
+        def finish() -> None:
+            nonlocal held
+            got = read(at[-1], b"".join(data), entry, *rest)
+            keys.extend([at] * len(got))
+            out.extend(got)
+            held += len(got) + sum(map(len, data)) // 1024
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*keys, strict=True)) + list(zip(*out, strict=True)) if out else [()] * (n + len(fields))
+            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, [*key_types, *(ty for _, ty in fields.values())], strict=True)], names=[*same, *fields])
+
+        for batch in batches:
+            key_types = [batch.schema.field(k).type for k in same]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                here, (start, piece, way), others = row[:n], row[n : n + 3], row[n + 3 :]
+                if here != at:
+                    if at is not None:
+                        finish()
+                        if held >= ROWS_OUT:
+                            yield batch_of()
+                            keys, out, held = [], [], 0
+                    at, data, entry, rest = here, [], 0, ()
+                if start < 0:
+                    entry = way
+                else:
+                    data.append(piece)
+                    rest = others
+        if at is not None:
+            finish()
+            yield batch_of()
+
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in same), *(f"{f} {ty}" for f, (ty, _) in fields.items())])
+    return rows.repartition(*same).sortWithinPartitions(*same, "start").mapInArrow(run, schema)
+
+
 def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
     """``rows(*key, r, i, ...)`` with ``n``, their number within ``key`` by (r, i); i counts from 0 within r. Only counts of ranges meet in a window."""
     counts = rows.groupBy(*key, "r").agg(F.count("*").alias("_count"))

@@ -61,3 +61,12 @@ def test_tables_of_kinds(checked):
         assert {k: v for k, v in first.items() if not k.endswith("_utc")} == {k: v for k, v in ({n: None for n in messages.FIELDS[kind]} | header).items() if k in first and not k.endswith("_utc")}
     assert messages.of_kind(checked, "command").orderBy("n").select("h.issued_utc").first()[0].isoformat() == "2024-05-01T10:00:00.250000"
     assert messages.violations(checked).count() == checked.selectExpr("sum(size(violations))").first()[0]
+
+
+def test_a_header_is_parsed_and_judged_once(spark):
+    """Of plain columns Spark's filters take copies: the rules ran again for the filter on violations, and the header was made and parsed in each of them."""
+    rows = spark.range(3).selectExpr("id as n", "'ack' as kind", "to_json(named_struct('trace_index', id)) as header")
+    checked = messages.check(rows, trace_domain="t", inventory_domain="i")
+    plan = messages.of_kind(checked, "ack").select("n", "h.trace_index", "h.result")._jdf.queryExecution().optimizedPlan().toString().lower()
+    parsed = sum(plan.count(x) for x in ("parse_json", "parsejson"))
+    assert parsed == 2 and plan.count("named_struct(trace_index") == 1, plan

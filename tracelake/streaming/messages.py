@@ -41,6 +41,11 @@ _UUID = r"\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"
 _UTC = r"\A\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d([.,]\d{1,9})?)?(Z|\+00:00)\z"
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is worked out once a row: as a plain one, Spark would write it out wherever it is used, in filters too."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def _raw(name: str, within: str = "_v") -> Column:
     return F.try_variant_get(within, f"$.{name}", "variant")
 
@@ -116,11 +121,11 @@ def check(frames: DataFrame, *, trace_domain: str, inventory_domain: str) -> Dat
         own = F.array_compact(F.array(*(_problem(n, r) for n, r in fields.items())))
         between = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(~F.coalesce(c, F.lit(False)), f"rule: {n}") for n, c in _between_fields(kind, trace_domain, inventory_domain, payload).items())))
         by_kind = F.when(F.col("kind") == kind, F.when(F.size(own) > 0, own).otherwise(between)).otherwise(by_kind)
-    rows = frames.withColumn("_v", F.try_parse_json("header"))
+    rows = _once(frames, "_v", F.try_parse_json("header"))
     known = F.coalesce(F.col("kind").isin(*FIELDS), F.lit(False))
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     found = F.when(~known, F.array(F.lit("kind: unknown"))).when(~is_object, F.array(F.lit("header: json"))).otherwise(by_kind)
-    return rows.withColumn("violations", found).drop("_v")
+    return _once(rows, "violations", found).drop("_v")
 
 
 def violations(checked: DataFrame) -> DataFrame:
@@ -134,5 +139,5 @@ def violations(checked: DataFrame) -> DataFrame:
 def of_kind(checked: DataFrame, kind: str) -> DataFrame:
     """The table of one kind: frames without violations, their fields typed as ``h`` (times as timestamps, objects as VARIANT)."""
     fields = F.struct(*(_typed(n, r.rstrip("?")).alias(n) for n, r in FIELDS[kind].items()))
-    rows = checked.where((F.col("kind") == kind) & (F.size("violations") == 0)).withColumn("_v", F.parse_json("header"))
+    rows = _once(checked.where((F.col("kind") == kind) & (F.size("violations") == 0)), "_v", F.parse_json("header"))
     return rows.withColumn("h", fields).drop("_v", "header", "violations")

@@ -35,6 +35,21 @@ def test_appends_and_versions(spark, table, monkeypatch):
         Snapshots(spark, table.path + "-other").read()
 
 
+def test_a_range_is_written_by_one_task(spark, table, monkeypatch):
+    """Else each task writes a file in each range, and a table of many ranges is all files."""
+    monkeypatch.setattr(snapshots, "INDEX_RANGE", 10)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        assert table.append(traces(spark, 0, 30).unionByName(traces(spark, 0, 30, mission="n"))) == {"append": 60}
+    finally:
+        spark.conf.set(name, before)
+    names = [r.f for r in table.read().select(F.input_file_name().alias("f")).distinct().collect()]
+    ranges = [n.split("index_range=")[1].split("/")[0] for n in names]
+    assert set(ranges) == {"0", "1", "2"} and max(map(ranges.count, ranges)) <= 2 and table.read().count() == 60
+
+
 def test_two_writers_race_and_nothing_is_lost(spark, table):
     table.append(traces(spark, 0, 1))
     with ThreadPoolExecutor(4) as pool:  # overlapping ranges from four writers at once

@@ -44,7 +44,7 @@ def append_batch(incoming: DataFrame, path: str) -> dict[str, int]:
     try:
         counts = {r.action: r["count"] for r in rows.groupBy("action").count().collect()}
         if counts.get("append"):
-            rows.where("action = 'append'").drop("action").withColumn("index_range", span).write.mode("append").partitionBy("index_range").parquet(f"{path}/data")
+            rows.where("action = 'append'").drop("action").withColumn("index_range", span).repartition("mission_id", "index_range").write.mode("append").partitionBy("index_range").parquet(f"{path}/data")
         if counts.get("conflict"):
             rows.where("action = 'conflict'").drop("action").write.mode("append").parquet(f"{path}/conflicts")
         spark.createDataFrame([(counts.get("append", 0), counts.get("duplicate", 0), counts.get("conflict", 0))], "appended long, duplicates long, conflicts long").write.mode("append").parquet(f"{path}/manifest")

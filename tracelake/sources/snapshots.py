@@ -117,7 +117,9 @@ class Snapshots:
 
     def _write(self, rows: DataFrame) -> str:
         folder = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("index_range", bucket("trace_index", INDEX_RANGE)).write.partitionBy("index_range").parquet(f"{self.path}/{folder}")
+        # a range of a mission is one task's, or each task would write a file in each range
+        rows = rows.withColumn("index_range", bucket("trace_index", INDEX_RANGE)).repartition("mission_id", "index_range")
+        rows.write.partitionBy("index_range").parquet(f"{self.path}/{folder}")
         return folder
 
     def _rows(self, state: State) -> DataFrame | None:

@@ -83,6 +83,16 @@ def test_flat_reflection_in_blocks(spark, monkeypatch, window, block, chunk, ids
         dsp.flat_reflection(ragged, window).collect()
 
 
+def test_flat_reflection_of_traces_that_one_chunk_holds(spark):
+    """They are not shuffled again after the mean; the length that was named must be theirs."""
+    s = spark.range(9).selectExpr("id as trace_id", "0 as channel", "transform(sequence(0, 6), i -> named_struct('re', double(id * id + i), 'im', double(id % 3))) as values")
+    df = dsp.flat_reflection(s, 5, points=7)
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(df.collect()) == sorted(dsp.flat_reflection(s, 5).collect())
+    with pytest.raises(Exception, match="of 8 samples"):
+        dsp.flat_reflection(s, 5, points=8).collect()
+
+
 def test_last_before_in_buckets(spark):
     rows = spark.createDataFrame([("d", 1, 5), ("d", 2, 100), ("d", 3, 101), ("d", 4, None), ("e", 5, 50), ("d", 6, 400), (None, 7, 9)], "domain string, id long, at long")
     others = spark.createDataFrame([("d", 6, "a"), ("d", 100, "b"), ("d", 390, "c"), (None, 8, "n")], "domain string, at long, v string")

@@ -36,5 +36,5 @@ def process(samples: DataFrame, p: Profile, *, terms: DataFrame | None = None, b
         w = dsp.window_samples(p.dewow_s, 1 / (n * p.df), n)
         d = d.then("dewow", "time_processed", lambda x: dsp.dewow(x, w), window=w)
     if p.traces is not None:
-        d = d.then("flat_reflection", "time_processed", lambda x: dsp.flat_reflection(x, p.traces, samples), window=p.traces)
+        d = d.then("flat_reflection", "time_processed", lambda x: dsp.flat_reflection(x, p.traces, samples, points=n), window=p.traces)
     return d

@@ -54,6 +54,14 @@ def test_nearest_fix_ties_and_thresholds(spark):
         nearest_fix(s, f, stale_after_s=5, window_s=1)
 
 
+def test_nearest_fix_of_null_instants_and_domains(spark):
+    s = spark.createDataFrame([(1, 1, 10, 10), (1, 2, None, 10), (1, 3, 10, None), (None, 4, 10, 10), (None, 5, None, None), (2, 6, 10, 10)], "domain long, sweep_id long, started_ns long, finished_ns long")
+    f = [(1, 20, 8, 1, True), (1, 21, None, 2, True), (None, 22, 9, 3, True), (None, 23, None, 4, True), (2, 24, None, 5, True)]
+    f = spark.createDataFrame(f, "domain long, fix_id long, received_ns long, seq long, valid boolean")
+    got = {r.sweep_id: (r.fix_id, r.distance_ns, r.reason, r.usable) for r in nearest_fix(s, f, stale_after_s=15, window_s=80).collect()}
+    assert got == {1: (20, 2, None, True)} | {i: (None, None, "no_fix", False) for i in range(2, 7)}
+
+
 def test_nearest_fix_of_a_crowded_bucket(spark):
     """One bucket holds all rows; no frame runs from a row to the end of it, which would cost the square of its rows."""
     rng = np.random.default_rng(5)

@@ -19,7 +19,7 @@ def nearest_fix(sweeps: DataFrame, fixes: DataFrame, *, stale_after_s: float, wi
     """``sweeps(domain, sweep_id, started_ns, finished_ns)`` with ``fix_id, distance_ns, usable, reason``.
 
     ``fixes(domain, fix_id, received_ns, seq, valid)``: nearest by whole nanoseconds, valid or not; of equal distance the
-    earlier one, of equal time the lowest seq. A fix beyond the window stays as evidence. Null instants are no_fix.
+    earlier one, of equal time the lowest seq. A fix beyond the window stays as evidence. Null instants and domains are no_fix.
     """
     if not 0 < stale_after_s <= window_s:
         raise ValueError("0 < stale_after_s <= window_s is needed")
@@ -27,6 +27,8 @@ def nearest_fix(sweeps: DataFrame, fixes: DataFrame, *, stale_after_s: float, wi
     s = sweeps.withColumn("at", midpoint(F.col("started_ns"), F.col("finished_ns")))
     if not shared_clock:
         return s.select(*sweeps.columns, F.lit(None).cast("long").alias("fix_id"), F.lit(None).cast("long").alias("distance_ns"), F.lit(False).alias("usable"), F.lit("clock_unavailable").alias("reason"))
+    # windows put nulls together, where a join would not: a fix without domain or time would meet the sweeps without
+    fixes = fixes.where(F.col("domain").isNotNull() & F.col("received_ns").isNotNull())
     first = fixes.groupBy("domain", "received_ns").agg(F.min_by(F.struct("fix_id", "valid"), "seq").alias("f")).select("domain", F.col("received_ns").alias("at"), "f.fix_id", "f.valid")
     size = bucket_s * NS
     bucket = F.call_function("div", F.col("at"), F.lit(size))

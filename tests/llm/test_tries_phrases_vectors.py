@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,63 @@ def test_each_phrase_has_one_owner(texts):
     assert {r.lang for r in totals.collect()} == {lang or "und" for _, lang in table}
 
 
+def peak(run):
+    """What ``run`` gives, and the most bytes that it holds in Python and Numpy at once."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_bucket_is_mined_in_memory_in_proportion_to_its_text():
+    """60,000 fragments of 2.5 MB: counts as by brute force, in at most 16 bytes for each of theirs (49 when all phrases were held at once)."""
+    rnd = random.Random(7)
+    fragments = [([f"common{rnd.randrange(40)}" for _ in range(rnd.randrange(5))], f"pivot{rnd.randrange(30)}", [f"other{rnd.randrange(40)}" for _ in range(rnd.randrange(5))], rnd.randrange(1, 4)) for _ in range(60_000)]
+    salted = lambda k: k % 10 == 0
+    want, packs, size = Counter(), [], 0
+    for k in range(60):
+        part = fragments[k * 1000 : k * 1000 + 1000]
+        part = [(a, f"dealt{p}" if salted(k) else p, b, n) for a, p, b, n in part]
+        for a, p, b, n in part:
+            w = [*a, p, *b]
+            for i in range(len(a) + 1):
+                for j in range(min(len(b) + 1, 5 - i)):
+                    want[("de" if k % 2 else "en", " ".join(w[len(a) - i : len(a) + j + 1]), i + j + 1)] += n
+        text = "".join(" ".join([*a, p, *b]) + "\n" for a, p, b, _ in part).encode()
+        size += len(text)
+        packs.append((0, "de" if k % 2 else "en", salted(k), phrases._packed(np.array([len(x[0]) for x in part]), np.array([x[3] for x in part]), text)))
+    table = pa.Table.from_arrays([pa.array(x) for x in zip(*packs, strict=True)], ["bucket", "lang", "salted", "body"])
+    phrases._word_hashes(np.frombuffer(b"a ", np.uint8), np.array([0, 2]))  # tables of powers, held by the process
+    got, most = peak(lambda: list(phrases._mine(iter(table.to_batches(max_chunksize=7)), 20, 5)))
+    found = [tuple(r.values()) for batch in got for r in batch.to_pylist()]
+    assert sorted(found) == sorted((*key, n) for key, n in want.items() if n >= 20 or " dealt" in f" {key[1]}")
+    assert most < 16 * size
+
+
+def test_a_block_is_cut_into_words_in_memory_in_proportion_to_its_text():
+    """A block of 3.6 MB: at most 24 bytes for each of its text (43 when every byte had its position and hash at once)."""
+    text = " ".join(f"Word{k % 9973}{'.' * (k % 11 == 0)}" for k in range(400_000))
+    texts, langs = pa.array([text]), pa.array(["en"]).dictionary_encode()
+    list(phrases._blocks(pa.array(["a b"]), langs))
+    (b,), most = peak(lambda: list(phrases._blocks(texts, langs)))
+    want = re.findall(r"[^ .]+", text.lower())
+    assert b.data.tobytes() == (" ".join(want) + " ").encode()
+    assert len(np.unique(b.key)) == 9973 and (b.key[:9973] == b.key[9973:19946]).all()
+    assert most < 24 * len(text)
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 18])
+def test_spans_are_gathered_and_hashed_alike_whatever_the_step(monkeypatch, step):
+    monkeypatch.setattr(phrases, "STEP", step)
+    data = np.frombuffer(b"a bb ccc a " + b"long" * 50 + b" bb ", np.uint8)
+    at = np.append(0, np.flatnonzero(data == 0x20) + 1)
+    h = phrases._word_hashes(data, at)
+    assert h[0] == h[3] and h[1] == h[5] and len(set(h.tolist())) == 4
+    got, offs = phrases._gathered(data, np.array([9, 2, 0, 5, 11]), np.array([1, 2, 0, 3, 200]))
+    assert got.tobytes() == b"abbccc" + b"long" * 50 and offs.tolist() == [0, 1, 3, 3, 6, 206]
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 

@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textops import LOWER, byte_blocks, mix, prefix_hash, segments, span_hash, words
+from .textops import LOWER, byte_blocks, mix, powers, prefix_hash, segments, span_hash, words
 
 #: Cells of the sketch: 16 MB as numbers, whatever the input.
 CELLS = 1 << 21
 #: Bytes of text that a task works on at once, and rows of a batch that it gives.
 BLOCK, CHUNK = 4 << 20, 200_000
+#: Bytes of text whose numbers (hashes, positions) a task holds at once.
+STEP = 1 << 18
 #: Words of the corpus to a bucket of pivots, and occurrences of a pivot, by the sketch, from which its fragments are dealt out to several buckets.
 BUCKET_WORDS, HEAVY = 1_000_000, 500_000
 #: Words within a piece, and what ends a piece (fixed values).
@@ -58,6 +60,35 @@ def _seeds(names: pa.Array) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names.to_pylist()], _U)
 
 
+def _steps(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive spans of some ``STEP`` bytes; ``at``: where each begins, and the end of the last."""
+    cuts = np.unique(np.searchsorted(at[:-1], np.arange(at[0], at[-1] + STEP, STEP))) if len(at) > 1 else np.zeros(0, np.int64)
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of ``data`` one after the other, and their offsets. A last byte beyond the end is left open."""
+    offs = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offs[1:])
+    out = np.empty(offs[-1], np.uint8)
+    for x, y in _steps(offs):
+        if y == x + 1:
+            span = data[start[x] : start[x] + size[x]]
+            out[offs[x] : offs[x] + len(span)] = span
+        else:
+            at = np.repeat(start[x:y] - offs[x:y], size[x:y]) + np.arange(offs[x], offs[y])
+            out[offs[x] : offs[y]] = data[np.minimum(at, len(data) - 1)]
+    return out, offs
+
+
+def _word_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of words with one byte after each; ``at``: where each begins, and the end."""
+    out = np.empty(len(at) - 1, _U)
+    for x, y in _steps(at):
+        out[x:y] = span_hash(prefix_hash(data[at[x] : at[y]]), at[x:y] - at[x], at[x + 1 : y + 1] - at[x] - 1)
+    return out
+
+
 def _blocks(texts: pa.Array, langs: pa.DictionaryArray) -> Iterator[_Block]:
     codes, seeds = langs.indices.to_numpy(zero_copy_only=False), _seeds(langs.dictionary)
     for i, j, data, offs in byte_blocks(texts, BLOCK):
@@ -65,16 +96,13 @@ def _blocks(texts: pa.Array, langs: pa.DictionaryArray) -> Iterator[_Block]:
         start, end, ptr = words(data, offs, _IS_WORD)
         if not len(start):
             continue
-        row, cuts = segments(ptr), np.cumsum(_ENDS[data])[start]
+        row, cuts = segments(ptr), np.cumsum(_ENDS[data], dtype=np.int32 if len(data) < 1 << 31 else np.int64)[start]
         piece = np.zeros(len(start), np.int64)
         np.cumsum((row[1:] != row[:-1]) | (cuts[1:] != cuts[:-1]), out=piece[1:])
-        size = end - start
-        at = np.zeros(len(start), np.int64)
-        np.cumsum(size[:-1] + 1, out=at[1:])
-        joined = data[np.minimum(np.repeat(start - at, size + 1) + np.arange(int(size.sum()) + len(size)), len(data) - 1)]
-        joined[at + size] = 0x20
+        joined, at = _gathered(data, start, end - start + 1)
+        joined[at[1:] - 1] = 0x20
         lang = codes[i:j][row]
-        yield _Block(joined, at, at + size, piece, lang, mix(span_hash(prefix_hash(joined), at, at + size) ^ seeds[lang]))
+        yield _Block(joined, at[:-1], at[1:] - 1, piece, lang, mix(_word_hashes(joined, at) ^ seeds[lang]))
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[pa.Array, pa.DictionaryArray]:
@@ -104,11 +132,8 @@ def _sketch(docs: DataFrame) -> DataFrame:
 
 def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """The spans [start, end) of ``data`` as strings."""
-    size = end - start
-    offs = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size, out=offs[1:])
-    body = data[np.repeat(start - offs[:-1], size) + np.arange(offs[-1])]
-    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(body)]).cast(pa.string())
+    body, offs = _gathered(data, start, end - start)
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offs), pa.py_buffer(body)]).cast(pa.string())
 
 
 def _alike(h: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +159,7 @@ def _packed(at: np.ndarray, n: np.ndarray, texts: bytes) -> bytes:
 def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     body = zstandard.ZstdDecompressor().decompress(body[1:]) if body[:1] == b"z" else body[1:]
     m = int(np.frombuffer(body, np.uint32, 1)[0])
-    return np.frombuffer(body, np.uint8, m, 4).astype(np.int64), np.frombuffer(body, np.uint32, m, 4 + m).astype(np.int64), body[4 + 5 * m :]
+    return np.frombuffer(body, np.uint8, m, 4).copy(), np.frombuffer(body, np.uint32, m, 4 + m).copy(), body[4 + 5 * m :]
 
 
 def _fragments(docs: DataFrame, sketch, least: int, longest: int, heavy: int, buckets: int) -> DataFrame:
@@ -159,11 +184,13 @@ def _fragments(docs: DataFrame, sketch, least: int, longest: int, heavy: int, bu
                     j = np.minimum(i + d, len(often) - 1)
                     more &= (i + d < len(often)) & often[j] & (b.piece[j] == b.piece[i]) & (rank[j] >= rank[i])
                     right += more
-                sums = np.zeros(len(often) + 1, _U)
+                sums, runs = np.zeros((2, len(often) + 1), _U)
                 np.cumsum(b.key, out=sums[1:])
+                np.cumsum(b.key * powers(len(often)), out=runs[1:])
                 start, end = b.start[i - left], b.end[i + right]
-                h = mix(span_hash(prefix_hash(b.data), start, end) ^ b.key[i] ^ left.astype(_U))
+                h = mix(span_hash(runs, i - left, i + right + 1) ^ b.key[i] ^ left.astype(_U))
                 order, first = _alike(h, sums[i + right + 1] - sums[i - left])
+                del on, more, runs
                 one = order[first]
                 n = np.diff(np.append(first, len(order)))
                 salts = np.minimum(-(-estimate[i[one]] // heavy), 1 << 20)
@@ -172,10 +199,7 @@ def _fragments(docs: DataFrame, sketch, least: int, longest: int, heavy: int, bu
                 order = np.lexsort((salted, lang, bucket))
                 one, n, bucket, lang, salted = one[order], n[order], bucket[order], lang[order], salted[order]
                 cuts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1]) | (salted[1:] != salted[:-1]))) if len(one) else np.zeros(0, np.int64)
-                size = end[one] - start[one] + 1
-                offs = np.zeros(len(one) + 1, np.int64)
-                np.cumsum(size, out=offs[1:])
-                body = b.data[np.minimum(np.repeat(start[one] - offs[:-1], size) + np.arange(offs[-1]), len(b.data) - 1)]
+                body, offs = _gathered(b.data, start[one], end[one] - start[one] + 1)
                 body[offs[1:] - 1] = 0x0A
                 spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(one)], strict=True))
                 packed = [_packed(left[one[x:y]], n[x:y], body[offs[x] : offs[y]].tobytes()) for x, y in spans]
@@ -185,36 +209,49 @@ def _fragments(docs: DataFrame, sketch, least: int, longest: int, heavy: int, bu
     return docs.select("text", "lang").mapInArrow(run, _FRAGMENT)
 
 
-def _mine(t: pa.Table, least: int, longest: int) -> pa.Table:
-    """Phrases that the pivots of a bucket own, with counts: the frequent ones, and all of pivots that are dealt out to several buckets."""
-    langs = t["lang"].combine_chunks().dictionary_encode()
-    seeds = _seeds(langs.dictionary)
-    bodies = [_unpacked(x) for x in t["body"].to_pylist()]
-    row = np.repeat(np.arange(len(bodies)), [len(at) for at, _, _ in bodies])
-    lang, whole = langs.indices.to_numpy(zero_copy_only=False)[row], ~t["salted"].to_numpy(zero_copy_only=False)[row]
-    at, n = np.concatenate([x for x, _, _ in bodies]), np.concatenate([x for _, x, _ in bodies])
-    data = np.frombuffer(b"".join(x for _, _, x in bodies), np.uint8)
-    offs = np.append(0, np.flatnonzero(data == 0x0A) + 1)
-    start, end, ptr = words(data, offs, _IN_FRAGMENT)
-    prefix = prefix_hash(data)
-    sums = np.zeros(len(start) + 1, _U)
-    np.cumsum(mix(span_hash(prefix, start, end)), out=sums[1:])
-    pivot, after = ptr[:-1] + at, np.diff(ptr) - 1 - at
-    rows, lo, hi = [], [], []
+def _mine(batches: Iterator[pa.RecordBatch], least: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Phrases that the pivots of a bucket own, with counts: the frequent ones, and all of pivots that are dealt out to several buckets.
+
+    The pivot stands at one place in a phrase, so the phrases with i words before it and j after it are counted apart, in
+    fragments where those with a word less were frequent.
+    """
+    names, bodies, lang, whole = {}, [], [], []
+    for batch in batches:
+        for name, salted, body in zip(*(batch.column(c) for c in ("lang", "salted", "body")), strict=True):
+            bodies.append(_unpacked(body.as_py()))
+            lang.append(np.full(len(bodies[-1][0]), names.setdefault(name.as_py(), len(names)), np.int32))
+            whole.append(np.full(len(bodies[-1][0]), not salted.as_py()))
+    at, n, lang, whole = (np.concatenate(x) for x in ([x for x, _, _ in bodies], [x for _, x, _ in bodies], lang, whole))
+    data = np.frombuffer(b"".join([x for _, _, x in bodies]), np.uint8)
+    del bodies
+    langs = pa.array(list(names), pa.string())
+    seeds, stops = _seeds(langs), np.flatnonzero(~_IN_FRAGMENT[data])
+    start, ends = np.append(0, stops + 1), np.flatnonzero(data[stops] == 0x0A) + 1
+    del stops
+    word = mix(_word_hashes(data, start))
+    pivot = np.append(0, ends[:-1]) + at
+    after = (ends - pivot - 1).astype(np.uint8)
+    rows = np.arange(len(at))
     for i in range(longest):
+        r = rows = rows[at[rows] >= i]
         for j in range(longest - i):
-            r = np.flatnonzero((at >= i) & (after >= j))
-            rows.append(r)
-            lo.append(pivot[r] - i)
-            hi.append(pivot[r] + j)
-    r, lo, hi = np.concatenate(rows), np.concatenate(lo), np.concatenate(hi)
-    h = mix(span_hash(prefix, start[lo], end[hi]) ^ seeds[lang[r]])
-    order, first = _alike(h, sums[hi + 1] - sums[lo])
-    total = np.add.reduceat(n[r[order]], first)
-    one = order[first]
-    out = (total >= least) | ~whole[r[one]]
-    one, total = one[out], total[out]
-    return pa.table({"lang": langs.dictionary.take(pa.array(lang[r[one]])), "phrase": _slices(data, start[lo[one]], end[hi[one]]), "k": pa.array((hi - lo + 1)[one].astype(np.int32)), "f": pa.array(total)})
+            r = r[after[r] >= j]
+            lo = pivot[r] - i
+            h, v = np.zeros((2, len(r)), _U)
+            for k in range(i + j + 1):
+                w = word[lo + k]
+                h, v = h * _U(0x9FB21C651E98DF25) + w, v + w
+            order, first = _alike(mix(h ^ seeds[lang[r]]), v)
+            r, lo = r[order], lo[order]
+            total = np.add.reduceat(n[r], first, dtype=np.int64)
+            out = (total >= least) | ~whole[r[first]]
+            one, total = first[out], total[out]
+            for x in range(0, len(one), CHUNK):
+                y = one[x : x + CHUNK]
+                columns = [langs.take(pa.array(lang[r[y]])), _slices(data, start[lo[y]], start[lo[y] + i + j + 1] - 1), pa.array(np.full(len(y), i + j + 1, np.int32)), pa.array(total[x : x + CHUNK])]
+                yield pa.record_batch(columns, ["lang", "phrase", "k", "f"])
+            r = r[np.repeat(out, np.diff(np.append(first, len(r))))]
+            rows = rows if j else r
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, heavy: int = HEAVY, bucket_words: int = BUCKET_WORDS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +271,11 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, heavy:
     totals = counted.where("cell is null").select("lang", "n")
     buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // bucket_words))
     dealt = _fragments(docs, sketch, least, longest, heavy, buckets)
-    mined = dealt.groupBy("bucket").applyInArrow(lambda t: _mine(t, least, longest), "lang string, phrase string, k int, f long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _mine(batches, least, longest)
+
+    mined = dealt.groupBy("bucket").applyInArrow(run, "lang string, phrase string, k int, f long")
     frequent = mined.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return scratch.keep(frequent, "frequent"), totals
 
